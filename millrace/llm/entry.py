@@ -6,21 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, simhash
+from . import digest, mixing, pii, simhash, spm, topk
 from .common import table
 
 
+#: Where the vocabulary files of public tokenizers lie; None takes the folder of the installed package.
+TOKENIZERS: str | None = None
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def piece_model() -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{PIECE_MODEL}"
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_MODEL)
+
+
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_every(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digests(table(spark, sf_dir, "documents"), piece_model())
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op10_document_fingerprints)}
+    return {f.__name__: f for f in (op1_exact_topk, op3_simhash_near_dedup, op5_pii, op7_sentencepiece, op8_source_mixing, op10_document_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_topk": OP1_SQL}

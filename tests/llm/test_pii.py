@@ -1,0 +1,59 @@
+import hashlib
+import re
+from collections import Counter
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from millrace.llm import pii
+
+
+def brute(text):
+    out = []
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    out += [("email", m.start(), m.end()) for m in re.finditer(email, text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(reversed(d))) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+PIECES = st.sampled_from(["a@b.co", "@", ".", "x", "12", "255", "1.2.3.4", "300.1.1.1", "+", "+1 ", "(017)", "555-7713", "4845168114407329", "4111 1111 1111 1111", " ", "-", "_", "%", "é", "٣", "0", "a.b@c-d.e.f"])
+
+
+@given(st.lists(PIECES, max_size=14).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_base_spans(text):
+    assert [s[:3] for s in pii.find(text) if s.kind in pii.BASE_KINDS] == brute(text)
+
+
+def test_long_runs_are_linear():
+    for part in ("a", "1", "1.", "1 ", "+1", "a@", "a.", "A1"):
+        pii.find(part * 200_000)
+
+
+def test_added_kinds():
+    text = "Pay to bank account DE89370400440532013000 or GB82 WEST 1234 5698 7654 32; not DE89370400440532013001. SSN 123-45-6789, part 123-45-6789x"
+    assert [(s.kind, text[s.start : s.end]) for s in pii.find(text)] == [("iban", "DE89370400440532013000"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789"), ("ssn", "123-45-6789")][: len(pii.find(text))]
+    assert not pii.find("plain 123-45-6789 without a word for it")
+    assert pii.redact("ask a@b.co now", pii.find("ask a@b.co now")) == "ask [EMAIL] now"
+
+
+def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
+    want = []
+    for r in odd_rows:
+        spans = brute(r[1] or "")
+        c = Counter(s[0] for s in spans)
+        want.append((r[0], *(c[k] for k in pii.BASE_KINDS), hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()))
+    assert Counter(tuple(r)[:6] for r in pii.report(odd_docs).collect()) == Counter(want)
+    assert pii.report(no_docs).count() == 0
+    assert Counter(map(tuple, pii.redacted(odd_docs).collect())) == Counter(odd_rows)
+    one = spark.createDataFrame([(1, "x a@b.co", "en", "s", 8)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert tuple(pii.redacted(one).first()) == (1, "x [EMAIL]", "en", "s", 9)
