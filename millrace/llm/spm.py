@@ -14,6 +14,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -231,17 +232,32 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[str]:
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded for each row of ``docs``: the token ids of the whole text, without begin or end ids,
     and the text that they decode to. A null text counts as empty and has no ids."""
+    return _encoded(docs, path, "decoded string", lambda m, ids, text: m.decode(ids))
+
+
+def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip for each row of ``docs``: as ``encoded``, with whether the ids decode to
+    the text (word marks that stand in the text itself come back as spaces)."""
+    found = _encoded(docs, path, "round_trip boolean", lambda m, ids, text: m.decode(ids) == text)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
+def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
+    name, kind = column.split()
+    arrow = {"string": pa.string(), "boolean": pa.bool_()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         encode = _encoder(path, lambda _, ids: ids)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [[i for c in found for i in c] for _, found in encode(_texts(part, 1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([m.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts = _texts(part, 1)
+                ids = [list(chain.from_iterable(found)) for _, found in encode(texts)]
+                more = [check(m, i, t) for i, t in zip(ids, texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow)], ["doc_id", "ids", name])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, ids array<int>, {column}")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
