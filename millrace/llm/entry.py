@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, langid, mixing, pii, quality, simhash, spm, topk
+from . import digest, langid, mixing, paragraphs, pii, quality, simhash, spm, suffix, topk
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search_every(table(spark, sf_dir, "embeddings"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(table(spark, sf_dir, "documents"), piece_model())
 
@@ -73,9 +81,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_exact_topk,
+        op2_substring_dedup,
         op3_simhash_near_dedup,
         op4_language_id,
         op5_pii,
+        op6_suffix_array_dedup,
         op7_sentencepiece,
         op8_source_mixing,
         op9_quality_classifier,
