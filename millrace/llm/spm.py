@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Adjacent symbol pairs whose joint piece is known wait in an agenda ordered by score, then position; the best is
-merged and its new neighbours are entered. No piece of such a vocabulary runs from another character into a word
-mark, and none holds a line break, so a text falls into chunks that merge independently; results are kept by
-chunk, and each chunk that is new to a task is checked against the sentencepiece library, batch by batch.
+merged and its new neighbours are entered. Where no piece runs from another character into a word mark or over a
+line break, a text falls into chunks that merge independently; results are kept by chunk, and each chunk that is new
+to a worker is checked against the sentencepiece library, in groups of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
+from functools import cached_property, lru_cache
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Symbols of a chunk up to which the agenda is a plain list.
 SHORT = 64
-#: Chunks kept by a Python worker before it starts anew.
-KEPT = 200_000
+#: Chunks of one generation that a Python worker keeps; two generations are held.
+KEPT = 250_000
+#: Symbols of a chunk up to which many chunks are merged together.
+WIDE = 32
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
+#: Stands for no joint piece: the last entry of a table by piece.
+_NEVER_ID = -1
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -55,6 +60,52 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
         yield tag >> 3, value
 
 
+class _Pairs:
+    """Pairs of symbols to their joint piece: an open-addressed table searched for many pairs at once."""
+
+    def __init__(self, triples: np.ndarray) -> None:
+        self.bits = max(4, int(4 * len(triples)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.values = np.full(1 << self.bits, _NEVER_ID, np.int32)
+        left = np.arange(len(triples))
+        keys = (triples[:, 0] << 32) | triples[:, 1]
+        slot = self._slot(keys)
+        self.probes = 0
+        while len(left):  # of the keys that want a free slot one gets it, the others go on
+            self.probes += 1
+            free = left[self.keys[slot[left]] == -1]
+            self.keys[slot[free]] = keys[free]
+            self.values[slot[free]] = triples[free, 2]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+        # a slot that two keys wanted holds the value written last, as it does the key
+        own = self._search(keys)
+        assert (own == triples[:, 2]).all()
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _search(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], _NEVER_ID)
+        open_ = np.flatnonzero((held != keys) & (held != -1))
+        for _ in range(self.probes):
+            if not len(open_):
+                break
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[open_]]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (held != -1)]
+        return out
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
+        keys = np.where((left < 0) | (right < 0), -2, keys)
+        return self._search(keys.ravel()).reshape(keys.shape)
+
+
 class Model:
     """A merge-type sentencepiece model with byte fallback and identity normalisation."""
 
@@ -81,11 +132,14 @@ class Model:
         self.costs, self.never = {p: -s for p, s in self.scores.items()}, float("inf")
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == _BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.chunks = re.compile(self._boundaries())
+
+    def _boundaries(self) -> str:
+        """A pattern for chunks that merge independently: no piece runs over their ends."""
         joined = "\n".join(self.ids)
         if re.search(f"[^{MARK}\n]{MARK}", joined) or any("\n" in p for p in self.ids):
-            self.chunks = re.compile(r"(?s).+")
-        else:
-            self.chunks = re.compile(r" *[^ \n]+| +|\n")
+            return r"(?s).+"
+        return r" *[^ \n]+| +|\n"
 
     def normalise(self, text: str) -> str:
         """With plain spaces for word marks; the library treats the two alike."""
@@ -127,17 +181,103 @@ class Model:
 
     def _merge_short(self, symbols: list[str]) -> list[str]:
         cost, never = self.costs.get, self.never
-        agenda = [cost(a + b, never) for a, b in zip(symbols, symbols[1:])]
-        while agenda and (best := min(agenda)) != never:
+        agenda = [cost(a + b, never) for a, b in pairwise(symbols)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
             i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
+            symbols[i] = piece = symbols[i] + symbols.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = cost(symbols[i - 1] + symbols[i], never)
+                agenda[i - 1] = cost(symbols[i - 1] + piece, never)
             if i < len(agenda):
-                agenda[i] = cost(symbols[i] + symbols[i + 1], never)
+                agenda[i] = cost(piece + symbols[i + 1], never)
         return symbols
 
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        """Many chunks at once: those of up to WIDE symbols keep their agendas as rows of a matrix, from which each
+        round takes and merges every row's best pair."""
+        out: list[list[int] | None] = [None] * len(chunks)
+        by_width: dict[int, list[int]] = {}
+        for i, c in enumerate(chunks):
+            if (n := len(c)) <= WIDE:
+                by_width.setdefault(8 if n <= 8 else 16 if n <= 16 else WIDE, []).append(i)
+            else:
+                out[i] = self.encode_chunk(c)
+        for width, at in by_width.items():
+            for lo in range(0, len(at), 1 << 14):
+                part = at[lo : lo + (1 << 14)]
+                for i, ids in zip(part, self._merge_rows([chunks[i] for i in part], width)):
+                    out[i] = self.encode_chunk(chunks[i]) if ids is None else ids
+        return out
+
+    def _merge_rows(self, chunks: list[str], width: int) -> Iterator[list[int] | None]:
+        """Ids of each chunk; None where a character is not in the vocabulary."""
+        symbol_of, pairs = self._arrays
+        codes = np.frombuffer("".join([c.ljust(width, "\0") for c in chunks]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        sym = symbol_of[codes].reshape(-1, width)
+        column = np.arange(width)
+        sym[column >= size[:, None]] = -2
+        strange = ((sym == -1) & (column < size[:, None])).any(axis=1)
+        joint = np.full(sym.shape, _NEVER_ID, np.int32)
+        joint[:, :-1] = pairs.find(sym[:, :-1], sym[:, 1:])
+        rank = self._rank  # the order of the pieces by score; the agenda holds ranks
+        agenda = rank[joint]
+        done = sym.copy()
+        rows = np.arange(len(sym))
+        while len(rows):
+            best = agenda.argmin(axis=1)
+            line = np.arange(len(rows))
+            live = agenda[line, best] < len(self.pieces)
+            if not live.all():
+                done[rows[~live]] = sym[~live]
+                rows, sym, agenda, joint, best = rows[live], sym[live], agenda[live], joint[live], best[live]
+                line = np.arange(len(rows))
+                if not len(rows):
+                    break
+            merged = joint[line, best]
+            shift = np.minimum(column + (column > best[:, None]), width - 1)
+            sym = np.take_along_axis(sym, shift, 1)
+            joint = np.take_along_axis(joint, shift, 1)
+            sym[:, -1] = -2
+            joint[:, -1] = _NEVER_ID
+            sym[line, best] = merged
+            nxt = np.minimum(best + 1, width - 1)
+            joint[line, best] = np.where(best + 1 < width, pairs.find(merged, sym[line, nxt]), _NEVER_ID)
+            prev = np.maximum(best - 1, 0)
+            fresh = pairs.find(sym[line, prev], merged)
+            joint[line, prev] = np.where(best > 0, fresh, joint[line, prev])
+            agenda = rank[joint]
+        flat = done[done >= 0].tolist()
+        ends = np.cumsum((done >= 0).sum(axis=1)).tolist()
+        start = 0
+        for end, odd in zip(ends, strange.tolist()):
+            yield None if odd else flat[start:end]
+            start = end
+
+    @cached_property
+    def _rank(self) -> np.ndarray:
+        """By piece its place in score order, ties alike; the last entry stands for no piece."""
+        values = sorted({-x for x in self.scores.values()})
+        place = {v: i for i, v in enumerate(values)}
+        out = np.full(len(self.pieces) + 1, 1 << 30, np.int32)
+        for p, i in self.ids.items():
+            out[i] = place[-self.scores[p]]
+        return out
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, _Pairs]:
+        """The symbol of each code point (-1: none), and the table of pairs whose joint piece is known."""
+        symbol_of = np.full(0x110000, -1, np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                symbol_of[ord(p)] = i
+        symbol_of[ord(" ")] = self.ids.get(MARK, -1)
+        triples = [(self.ids[p[:k]], self.ids[p[k:]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids]
+        return symbol_of, _Pairs(np.array(triples, np.int64).reshape(-1, 3))
+
     def _ids(self, symbols: list[str]) -> list[int]:
         ids: list[int] = []
         for piece in symbols:
@@ -201,32 +341,48 @@ def _library(path: str):
 def _checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int]]]:
     """Ids of chunks by the agenda, held against the library. A line break before each chunk keeps the library's
     own leading word mark apart; should the two ever differ, the library's ids are taken."""
-    own = [m.encode_chunk(c) for c in chunks]
+    own = m.encode_chunks(chunks)
     head = lib.encode("\n")
     for chunk, ids, other in zip(chunks, own, lib.encode(["\n" + c for c in chunks], num_threads=1)):
         yield chunk, ids if other[: len(head)] != head or ids == other[len(head) :] else other[len(head) :]
 
 
-def _encoder(path: str, entry):
-    """A function from texts to lists of ``entry(chunk, ids)``, one for each chunk of a text."""
+#: What a Python worker keeps from task to task, by model and kind of entry: the chunks of now and of before.
+_known: dict[tuple[str, str], tuple[dict, dict]] = {}
+
+
+def _encoder(path: str, kind: str, entry):
+    """A function from texts to lists of ``entry(chunk, ids)``, one list for each text, an entry for each chunk."""
     m, lib = model(path), _library(path)
-    known: dict = {}
-
-    def run(texts: list[str]) -> Iterator[tuple[list[str], list]]:
-        for text in texts:
-            chunks = m.chunks.findall(m.normalise(text))
-            new = set(chunks).difference(known)
-            if new:
-                known.update((c, entry(c, ids)) for c, ids in _checked(m, lib, list(new)))
-            yield chunks, [known[c] for c in chunks]
-            if len(known) > KEPT:
-                known.clear()
+
+    def run(texts: list[str]) -> list[list]:
+        now, before = _known.setdefault((path, kind), ({}, {}))
+        if len(now) > KEPT:
+            now, before = _known[path, kind] = {}, now
+        chunks = [m.chunks.findall(m.normalise(text)) for text in texts]
+        new = set(chain.from_iterable(chunks)).difference(now)
+        if before:
+            found = [c for c in new if c in before]
+            now.update((c, before[c]) for c in found)
+            new.difference_update(found)
+        if new:
+            now.update((c, entry(c, ids)) for c, ids in _checked(m, lib, list(new)))
+        return [[now[c] for c in own] for own in chunks]
 
     return run
 
 
-def _texts(batch: pa.RecordBatch, at: int) -> list[str]:
-    return [x or "" for x in batch.column(at).to_pylist()]
+def _groups(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch, of so many rows and about so many characters at most, with their texts."""
+    at = 0
+    while at < batch.num_rows:
+        texts = [x or "" for x in batch.column(1).slice(at, rows).to_pylist()]
+        n = total = 0
+        while n < len(texts) and (not n or total + len(texts[n]) <= size):
+            total += len(texts[n])
+            n += 1
+        yield batch.slice(at, n), texts[:n]
+        at += n
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -248,12 +404,10 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        encode = _encoder(path, lambda _, ids: ids)
+        encode = _encoder(path, "ids", lambda _, ids: ids)
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                texts = _texts(part, 1)
-                ids = [list(chain.from_iterable(found)) for _, found in encode(texts)]
+            for part, texts in _groups(batch):
+                ids = [list(chain.from_iterable(found)) for found in encode(texts)]
                 more = [check(m, i, t) for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow)], ["doc_id", "ids", name])
 
@@ -269,15 +423,17 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        encode = _encoder(path, lambda c, ids: ("".join([f"{i}," for i in ids]), len(ids), m._surface(ids)))
+        decimal = [f"{i}," for i in range(len(m.pieces))]
+        encode = _encoder(path, "text", lambda c, ids: ("".join([decimal[i] for i in ids]), len(ids), m._surface(ids)))
         for batch in batches:
-            n, ids, text = [], [], []
-            for _, found in encode(_texts(batch, 1)):
-                heads, sizes, surfaces = zip(*found) if found else ((), (), ())
-                n.append(sum(sizes))
-                ids.append(sha("".join(heads)[:-1]))
-                out = "".join(surfaces)
-                text.append(sha(out[1:] if m.prefix else out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, texts in _groups(batch):
+                n, ids, text = [], [], []
+                for found in encode(texts):
+                    heads, sizes, surfaces = zip(*found) if found else ((), (), ())
+                    n.append(sum(sizes))
+                    ids.append(sha("".join(heads)[:-1]))
+                    out = "".join(surfaces)
+                    text.append(sha(out[1:] if m.prefix else out))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

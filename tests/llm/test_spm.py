@@ -44,6 +44,13 @@ def test_long_chunk_takes_the_heap(lib, own):
         assert own.encode(("nationalthe" * 9)[:n]) == lib.encode(("nationalthe" * 9)[:n])
 
 
+@given(texts=st.lists(TEXTS, max_size=30))
+@settings(max_examples=150, deadline=None)
+def test_many_chunks_at_once(own, texts):
+    chunks = [c for t in texts for c in own.chunks.findall(own.normalise(t))]
+    assert own.encode_chunks(chunks) == [own.encode_chunk(c) for c in chunks]
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs, lib):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     want = []
