@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .ngrams import char_ngrams, has_letter
 
 #: Labelled rows that a model is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS = 14
 CENTROIDS = 4
 UNKNOWN = "und"
@@ -72,27 +72,28 @@ def fit(labelled: DataFrame, limit: int = SAMPLE, centroids: int = CENTROIDS) ->
     picked = _sample(labelled.select("doc_id").where(F.col("lang").isNotNull()), limit)
     ids = {r[0] for r in picked.collect()}  # at most ``limit``
     rows = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isin(*ids)) if ids else labelled.limit(0)
-    found = rows.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(features, "lang string, cells array<int>, counts array<float>").collect()
-    found.sort(key=lambda r: (r.lang, len(r.cells), r.cells, r.counts))
-    size, n = 1 << BITS, len(found)
+    found = rows.select("doc_id", F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(features, "lang string, cells array<int>, counts array<float>").toArrow()
+    lang_of = found.column(0).to_pylist()
+    cells, counts = ([x.values.to_numpy(zero_copy_only=False) for x in found.column(c)] for c in (1, 2))
+    order = sorted(range(len(lang_of)), key=lambda i: (lang_of[i], len(cells[i]), cells[i].tobytes(), counts[i].tobytes()))
+    size, n = 1 << BITS, len(order)
     df = np.zeros(size)
-    for r in found:
-        df[r.cells] += 1
-    idf = np.log((1 + n) / (1 + df)) + 1
-    by_lang: dict[str, list[np.ndarray]] = {}
-    for r in found:
-        x = np.zeros(size, np.float32)
-        x[r.cells] = np.log1p(r.counts) * idf[r.cells]
-        by_lang.setdefault(r.lang, []).append(x / np.linalg.norm(x))
+    for c in cells:
+        df[c] += 1
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     langs, rows_, least = [], [], []
-    for lang in sorted(by_lang):
-        x = np.array(by_lang[lang])
+    for lang in sorted(set(lang_of)):  # one language's rows are dense at a time
+        own = [i for i in order if lang_of[i] == lang]
+        x = np.zeros((len(own), size), np.float32)
+        for r, i in zip(x, own):
+            r[cells[i]] = np.log1p(counts[i]) * idf[cells[i]]
+            r /= np.linalg.norm(r)
         c = _spherical(x, centroids)
         nearest = (x @ c.T).max(axis=1)
         langs += [lang] * len(c)
         rows_ += list(c)
         least += [float(nearest.min())] * len(c)
-    return Model(langs, np.array(rows_, np.float32).reshape(len(langs), size), idf.astype(np.float32), np.array(least))
+    return Model(langs, np.array(rows_, np.float32).reshape(len(langs), size), idf, np.array(least))
 
 
 def _spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -104,7 +105,7 @@ def _spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     c = x[starts]
     for _ in range(rounds):
         nearest = (x @ c.T).argmax(axis=1)
-        c = np.array([x[nearest == i].sum(axis=0) if (nearest == i).any() else c[i] for i in range(len(c))])
+        c = np.array([(nearest == i).astype(np.float32) @ x if (nearest == i).any() else c[i] for i in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c
 

@@ -84,7 +84,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
         rows = docs.where(F.col("doc_id").isin(*marks)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         found = rows.mapInArrow(run, "doc_id long, cells array<int>, x array<float>").toArrow()
         texts = [(i, c.values.to_numpy(), x.values.to_numpy()) for i, c, x in zip(found.column(0).to_pylist(), found.column(1), found.column(2))]
-        texts.sort(key=lambda r: (r[0], len(r[1]), r[1].tolist()))
+        texts.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
         rng = np.random.default_rng(9)
         for _ in range(EPOCHS):
             for i in rng.permutation(len(texts)).tolist():
