@@ -37,9 +37,9 @@ def ranking_metrics(graded: DataFrame, query: str, k: int, totals: DataFrame | N
     return met.select(
         query,
         "precision_at_k",
-        F.least(F.lit(1.0), F.col("found") / total).alias("recall_at_k"),
+        F.when(total.isNotNull(), F.least(F.lit(1.0), F.col("found") / total)).alias("recall_at_k"),
         "mrr",
-        F.least(F.lit(1.0), F.col("ap_sum") / total).alias("average_precision"),
+        F.when(total.isNotNull(), F.least(F.lit(1.0), F.col("ap_sum") / total)).alias("average_precision"),
         (F.col("dcg") / F.nullif(F.col("ideal"), F.lit(0.0))).alias("ndcg"),
     )
 

@@ -288,7 +288,7 @@ def context_budget(spark, sf_dir):
     return assemble.budget(hits.select("item_id", "doc_id", "rank", "text"), "item_id", "text", 2000)
 
 
-@query(BM25_SQL + """, cut AS (SELECT item_id, rank, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM r JOIN documents USING (doc_id) WHERE rank <= 5),
+@query(BM25_SQL + """, cut AS (SELECT item_id, rank, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM r JOIN documents USING (doc_id) WHERE rank <= 5),
 e AS (SELECT item_id, rank, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM cut),
 d AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(regexp_replace(sentence, '\\s+', ' ', 'g')) ORDER BY rank, pos) AS n FROM e)
 SELECT item_id, rank, CAST(pos AS INTEGER) AS pos, sentence FROM d WHERE n = 1""")
