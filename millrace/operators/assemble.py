@@ -57,7 +57,7 @@ def graded_yes(chunks: DataFrame, verdicts: DataFrame, keys: list[str]) -> DataF
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def distinct_sentences(sources: DataFrame, query: str, text: str) -> DataFrame:
