@@ -144,8 +144,40 @@ def _anchor_hashes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, k binary, h binary, at binary, code binary")
 
 
-def _repeated(anchors: DataFrame) -> DataFrame:
-    """k, h, ats: for each document the places of its anchors whose hash occurs more than once in a bucket."""
+_RUN = np.dtype([("k", "<i8"), ("h", "<i8"), ("start", "<u4"), ("n", "<u4")])
+
+
+def _dealt(runs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Runs as one row for each bucket of documents."""
+    mixed = (runs["k"].astype(np.uint64) ^ runs["h"].astype(np.uint64)) * _BASE
+    part = (mixed >> np.uint64(33)) % np.uint64(buckets)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
+    used = np.flatnonzero(np.diff(cuts))
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([runs[order[cuts[i] : cuts[i + 1]]].tobytes() for i in used], pa.binary())], ["to", "runs"])
+
+
+def _by_document(dealt: DataFrame) -> DataFrame:
+    """k, h, runs: one row for each document, its runs as bytes of (start, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(to, []).append(blob)
+        for to in list(held):
+            r = np.frombuffer(b"".join(held.pop(to)), _RUN)
+            r = r[np.lexsort((r["start"], r["h"], r["k"]))]
+            new = np.flatnonzero(np.concatenate(([True], (r["k"][1:] != r["k"][:-1]) | (r["h"][1:] != r["h"][:-1])))) if len(r) else np.zeros(0, int)
+            pairs = np.ascontiguousarray(np.stack((r["start"], r["n"]), axis=1))
+            ends = np.append(new[1:], len(r))
+            yield pa.RecordBatch.from_arrays([pa.array(r["k"][new]), pa.array(r["h"][new]), pa.array([pairs[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], ["k", "h", "runs"])
+
+    return dealt.repartition(F.col("to")).mapInArrow(run, "k long, h long, runs binary")
+
+
+def _repeated(anchors: DataFrame, buckets: int) -> DataFrame:
+    """k, h, ats: for each document the places (``start`` of runs) of its anchors whose hash is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, ...]]] = {}
@@ -159,16 +191,12 @@ def _repeated(anchors: DataFrame) -> DataFrame:
             order = np.argsort(code, kind="stable")
             same = code[order][1:] == code[order][:-1]
             twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
-            twice = twice[np.lexsort((at[twice], h[twice], k[twice]))]
-            k, h, at = k[twice], h[twice], at[twice]
-            new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))) if len(k) else np.zeros(0, int)
-            ends = np.append(new[1:], len(k))
-            yield pa.RecordBatch.from_arrays([pa.array(k[new], pa.int64()), pa.array(h[new], pa.int64()), pa.array([at[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], ["k", "h", "ats"])
+            out = np.zeros(len(twice), _RUN)
+            out["k"], out["h"], out["start"] = k[twice], h[twice], at[twice]
+            yield _dealt(out, buckets)
 
-    return anchors.repartition(F.col("bucket")).mapInArrow(run, "k long, h long, ats binary")
-
-
-_RUN = np.dtype([("k", "<i8"), ("h", "<i8"), ("start", "<u4"), ("n", "<u4")])
+    found = anchors.repartition(F.col("bucket")).mapInArrow(run, "to int, runs binary")
+    return _by_document(found).withColumnRenamed("runs", "ats")
 
 
 def _stretches(found: DataFrame, buckets: int) -> DataFrame:
@@ -181,16 +209,16 @@ def _stretches(found: DataFrame, buckets: int) -> DataFrame:
             order = np.lexsort((h, k))
             k, h, texts = k[order], h[order], [texts[i] for i in order]
             ats = batch.column("ats").to_pylist()
-            wanted = [np.unique(np.frombuffer(b"".join(ats[i]), np.uint32)) for i in order]
+            wanted = [np.unique(np.frombuffer(ats[i], np.uint32)[::2]) for i in order]
             seen: dict[bytes, tuple[int, int, int]] = {}
             out: dict[int, tuple[list, list[bytes], list]] = {}
+            asked = np.concatenate([(np.int64(d) << 32) | w.astype(np.int64) for d, w in enumerate(wanted)]) if wanted else np.zeros(0, np.int64)
             for doc, first, count, at, code in anchor_windows(texts):
-                bucket = ((code >> np.uint64(40)) % np.uint64(buckets)).tolist()
-                for d, a, n, p, b in zip(doc.tolist(), first.tolist(), count.tolist(), at.tolist(), bucket):
-                    w = wanted[d]
-                    i = np.searchsorted(w, p)
-                    if i == len(w) or w[i] != p:
-                        continue
+                mine = (doc.astype(np.int64) << 32) | at
+                place = np.minimum(np.searchsorted(asked, mine), len(asked) - 1)
+                chosen = np.flatnonzero(asked[place] == mine)
+                bucket = ((code >> np.uint64(40)) % np.uint64(buckets))[chosen].tolist()
+                for d, a, n, p, b in zip(doc[chosen].tolist(), first[chosen].tolist(), count[chosen].tolist(), at[chosen].tolist(), bucket):
                     data = texts[d][a : a + n + LENGTH - 1]
                     me = (int(k[d]), int(h[d]), a)
                     heads, bodies, runs = out.setdefault(b, ([], [], []))
@@ -228,8 +256,6 @@ def _ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         order = np.lexsort((w, rank))
         step = (rank[order][1:] != rank[order][:-1]) | (w[order][1:] != w[order][:-1])
         rank[order] = np.concatenate(([0], np.cumsum(step)))
-        if d >= 32 and not len(at):
-            break
     return rank
 
 
@@ -241,11 +267,10 @@ def block_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     rank = _ranks(text, sample, LENGTH)
     residue = starts % PERIOD
     tie = rank[(starts + (-starts) % PERIOD) // PERIOD]
-    order = np.lexsort((_word(text, starts), residue))
-    group = np.zeros(len(order), np.int64)
+    order, group = np.arange(len(starts)), residue
     for d in range(0, PERIOD, 8):  # refine equal groups eight bytes at a time
         w = _word(text, starts[order] + d)
-        key = group if d else residue[order]
+        key = group
         inner = np.lexsort((w, key))
         order, w, key = order[inner], w[inner], key[inner]
         group = np.concatenate(([0], np.cumsum((w[1:] != w[:-1]) | (key[1:] != key[:-1]))))
@@ -254,11 +279,31 @@ def block_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         order, group = order[keep], group[keep]
         if not len(order):
             return order
-    return order[np.lexsort((tie[order], group))]
+    return order[np.argsort((group.astype(np.int64) << 32) | tie[order])]
 
 
 def repeated_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
-    """Runs of windows of one block that are repeated. ``heads``: k, h, start, n, at of each stretch."""
+    """Runs of windows of one block that are repeated. ``heads``: k, h, start, n, at of each stretch. Of equal
+    stretches the earliest is sorted; the windows of the others are repeated whole."""
+    sizes = heads["n"].astype(np.int64) + LENGTH - 1
+    ends = np.cumsum(sizes).tolist()
+    seen: dict[bytes, int] = {}
+    chosen, whole = [], []
+    order = np.lexsort((heads["start"], heads["h"], heads["k"])).tolist()
+    bodies = [data[e - n : e] for e, n in zip(ends, sizes.tolist())]
+    for i in order:
+        first = seen.setdefault(bodies[i], i)
+        if first == i:
+            chosen.append(i)
+        elif heads[first] != heads[i]:
+            whole.append(i)
+    if len(chosen) < len(heads):
+        equal = heads[whole][["k", "h", "start", "n"]].astype(_RUN)
+        return np.concatenate((equal, _sorted_windows(heads[chosen], b"".join([bodies[i] for i in chosen]))))
+    return _sorted_windows(heads, data)
+
+
+def _sorted_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
     sizes = heads["n"].astype(np.int64) + LENGTH - 1
     ends = np.cumsum(sizes)
     anchor = heads["at"].astype(np.int64)
@@ -283,31 +328,27 @@ def repeated_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
         w = _word(text, starts[order] + d)
         equal &= w[1:] == w[:-1]
     group = np.concatenate(([0], np.cumsum(~equal)))
-    k, h = heads["k"][stretch[order]], heads["h"][stretch[order]]
-    where = heads["start"][stretch[order]].astype(np.int64) + offset[order]
-    by = np.lexsort((where, h, k, group))
-    group, k, h, where = group[by], k[by], h[by], where[by]
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    lead = first[group]
-    late = (k != k[lead]) | (h != h[lead]) | (where != where[lead])
-    return as_runs(k[late], h[late], where[late])
-
-
-def as_runs(k: np.ndarray, h: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Runs of consecutive windows of one document."""
-    order = np.lexsort((where, h, k))
-    k, h, where = k[order], h[order], where[order]
-    if not len(k):
+    # one number for each window that sorts like (document, place)
+    by = np.lexsort((heads["h"], heads["k"]))
+    k, h = heads["k"][by], heads["h"][by]
+    step = np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])))
+    rank = np.zeros(len(heads), np.int64)
+    rank[by] = np.cumsum(step) - 1
+    where = (rank[stretch[order]] << 32) | (heads["start"][stretch[order]].astype(np.int64) + offset[order])
+    least = np.minimum.reduceat(where, np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))))
+    late = np.sort(where[where != least[group]])
+    if not len(late):
         return np.zeros(0, _RUN)
-    new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (where[1:] > where[:-1] + 1))))
-    last = np.append(new[1:], len(k)) - 1
+    new = np.flatnonzero(np.concatenate(([True], late[1:] > late[:-1] + 1)))
+    last = np.append(new[1:], len(late)) - 1
     out = np.zeros(len(new), _RUN)
-    out["k"], out["h"], out["start"], out["n"] = k[new], h[new], where[new], where[last] - where[new] + 1
+    out["k"], out["h"] = k[step][late[new] >> 32], h[step][late[new] >> 32]
+    out["start"], out["n"] = late[new] & 0xFFFFFFFF, late[last] - late[new] + 1
     return out
 
 
-def _sorted_buckets(stretches: DataFrame) -> DataFrame:
-    """k, h, runs: repeated windows as bytes of (start, n), by document and task."""
+def _sorted_buckets(stretches: DataFrame, buckets: int) -> DataFrame:
+    """k, h, runs: the repeated windows of each document as bytes of (start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -322,16 +363,10 @@ def _sorted_buckets(stretches: DataFrame) -> DataFrame:
             heads = np.frombuffer(b"".join(p[0] for p in parts), kind)
             if len(heads):
                 runs += list(_blocks(heads, b"".join(p[1] for p in parts)))
-        if not runs:
-            return
-        r = np.concatenate(runs)
-        r = r[np.lexsort((r["start"], r["h"], r["k"]))]
-        new = np.flatnonzero(np.concatenate(([True], (r["k"][1:] != r["k"][:-1]) | (r["h"][1:] != r["h"][:-1])))) if len(r) else np.zeros(0, int)
-        pairs = np.ascontiguousarray(r[["start", "n"]].astype(np.dtype([("start", "<u4"), ("n", "<u4")])))
-        ends = np.append(new[1:], len(r))
-        yield pa.RecordBatch.from_arrays([pa.array(r["k"][new]), pa.array(r["h"][new]), pa.array([pairs[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], ["k", "h", "runs"])
+        if runs:
+            yield _dealt(np.concatenate(runs), buckets)
 
-    return stretches.repartition(F.col("bucket")).mapInArrow(run, "k long, h long, runs binary")
+    return _by_document(stretches.repartition(F.col("bucket")).mapInArrow(run, "to int, runs binary"))
 
 
 def _blocks(heads: np.ndarray, data: bytes) -> Iterator[np.ndarray]:
@@ -358,9 +393,9 @@ def _blocks(heads: np.ndarray, data: bytes) -> Iterator[np.ndarray]:
             yield repeated_windows(heads[own], b"".join([data[starts[i] : starts[i] + sizes[i]] for i in own.tolist()]))
 
 
-def _kept(text: bytes, blobs: list[bytes]) -> tuple[int, int, list[tuple[int, int]]]:
+def _kept(text: bytes, blob: bytes) -> tuple[int, int, list[tuple[int, int]]]:
     """Removed byte ranges of a text."""
-    pairs = np.frombuffer(b"".join(blobs), np.uint32).reshape(-1, 2).astype(np.int64)
+    pairs = np.frombuffer(blob, np.uint32).reshape(-1, 2).astype(np.int64)
     if not len(pairs):
         return 0, 0, []
     a, b = pairs[:, 0], pairs[:, 0] + pairs[:, 1] + LENGTH - 1
@@ -384,11 +419,10 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("h", F.lit(0).cast("long"))
     rows = rows.select("k", "h", "doc_id", "text")
     buckets = partitions(docs.sparkSession)
-    twice = materialize(_repeated(_anchor_hashes(rows.select("k", "h", "text"), buckets)), "anchors")
-    places = twice.groupBy("k", "h").agg(F.collect_list("ats").alias("ats"))
-    found = rows.select("k", "h", "text").join(places, ["k", "h"])
-    runs = materialize(_sorted_buckets(_stretches(found, buckets)), "runs")
-    return rows, runs.groupBy("k", "h").agg(F.collect_list("runs").alias("runs"))
+    twice = materialize(_repeated(_anchor_hashes(rows.select("k", "h", "text"), buckets), buckets), "anchors")
+    found = rows.select("k", "h", "text").join(twice, ["k", "h"])
+    runs = materialize(_sorted_buckets(_stretches(found, buckets), buckets), "runs")
+    return rows, runs
 
 
 def _with_ranges(docs: DataFrame, kind: str, make) -> DataFrame:
@@ -399,7 +433,7 @@ def _with_ranges(docs: DataFrame, kind: str, make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
-            made = [make(t, *_kept(t, r or [])) for t, r in zip(texts, batch.column(2).to_pylist())]
+            made = [make(t, *_kept(t, r or b"")) for t, r in zip(texts, batch.column(2).to_pylist())]
             columns = list(zip(*made)) if made else [()] * (len(names) - 1)
             types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, types[k.split()[1]]) for c, k in zip(columns, kind.split(", ")[1:]))], names)

@@ -6,7 +6,7 @@ import sentencepiece
 import corpus_pipeline as p
 from millrace.llm import langid, ngrams, pii
 
-from .test_simhash import brute_fp, brute_roots
+from .test_simhash import brute_fp, wide_roots
 
 
 def test_stages_one_by_one(spark, odd_docs, odd_rows):
@@ -17,11 +17,12 @@ def test_stages_one_by_one(spark, odd_docs, odd_rows):
     assert all(ngrams.has_letter(r[1] or "") for r in rows) and all(rows[r] for r in odd_rows if r[2] and len(r[1] or "") > 200)
 
     kept = list(map(tuple, p.near_duplicates(spark, docs, "").collect()))
-    roots = brute_roots({brute_fp(r[1], p.SHINGLE) for r in rows}, p.DISTANCE)
+    pair = {r: (brute_fp(r[1], p.SHINGLE), brute_fp(r[1], p.SHINGLE, 43)) for r in rows}
+    roots = wide_roots(set(pair.values()), p.DISTANCE, p.TOTAL)
     least = {}
     for r in rows:
         if r[0] is not None:
-            k = roots[brute_fp(r[1], p.SHINGLE)]
+            k = roots[pair[r]]
             least[k] = min(r[0], least.get(k, r[0]))
     assert Counter(r[0] for r in kept if r[0] is not None) == Counter(least.values())
     assert [r for r in kept if r[0] is None] == [r for r in rows if r[0] is None]

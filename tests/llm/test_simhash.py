@@ -9,12 +9,12 @@ from hypothesis import strategies as st
 from millrace.llm import simhash
 
 
-def brute_fp(text, n=4):
+def brute_fp(text, n=4, seed=42):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
     shingles = [b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
-    hs = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    hs = [xxhash.xxh64_intdigest(s, seed) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
@@ -34,6 +34,23 @@ def brute_roots(fps, distance=4):
     return {f: find(f) for f in fs}
 
 
+def wide_roots(pairs, distance, total):
+    up = {p: p for p in pairs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ps = sorted(up)
+    for i, x in enumerate(ps):
+        for y in ps[:i]:
+            d, e = (x[0] ^ y[0]).bit_count(), (x[1] ^ y[1]).bit_count()
+            if min(d, e) <= distance and d + e <= total:
+                up[find(x)] = find(y)
+    return {p: find(p) for p in ps}
+
+
 @given(st.text(alphabet="aB \n\té ", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_fingerprint(text):
@@ -69,6 +86,30 @@ def test_links_match_brute_force():
         assert back.setdefault(forest.find(f), want[f]) == want[f]
 
 
+def test_wide_links_match_brute_force():
+    rng = random.Random(4)
+    pairs = set()
+    for _ in range(10):
+        centre = [rng.getrandbits(64), rng.getrandbits(64)]
+        for _ in range(80):
+            x = list(centre)
+            for _ in range(rng.randrange(16)):
+                x[rng.randrange(2)] ^= 1 << rng.randrange(64)
+            pairs.add(tuple(x))
+    pairs |= {(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)}
+    a, b = (np.array([p[i] for p in sorted(pairs)], np.uint64) for i in (0, 1))
+    forest = simhash._Forest()
+    for mask in simhash.grids(8):
+        simhash.link_wide_rows(a, b, mask, 8, 20, forest)
+        simhash.link_wide_rows(b, a, mask, 8, 20, forest, True)
+    nodes = dict(zip(sorted(pairs), simhash.node_of(a, b).tolist()))
+    want = wide_roots(pairs, 8, 20)
+    got, back = {}, {}
+    for p, n in nodes.items():
+        assert got.setdefault(want[p], forest.find(n)) == forest.find(n)
+        assert back.setdefault(forest.find(n), want[p]) == want[p]
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     out = [tuple(r) for r in simhash.near_duplicates(odd_docs).collect()]
     roots = brute_roots({brute_fp(r[1]) for r in odd_rows})
