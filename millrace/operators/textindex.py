@@ -96,11 +96,16 @@ def full_text_rank(docs: DataFrame, queries: DataFrame, doc_key: str, classes: M
 
 
 def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine neighbours of each query among all vectors but itself. The query side is broadcast, and is
-    therefore cut off at an error beyond ``max_queries`` rows."""
-    checked = queries.select(query_key, query_vector).limit(max_queries + 1)
-    if checked.count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search them in parts")
-    pairs = vectors.select(key, vector).crossJoin(F.broadcast(checked)).where(F.col(key) != F.col(query_key))
+    """Exact cosine neighbours of each query among all vectors but itself. Up to ``max_queries`` queries are
+    broadcast; more are dealt into blocks, each of which meets every vector through a join on the block."""
+    asked = queries.select(query_key, query_vector)
+    blocks = -(-asked.count() // max_queries)
+    if blocks <= 1:
+        pairs = vectors.select(key, vector).crossJoin(F.broadcast(asked))
+    else:
+        asked = asked.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
+        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("__block"))
+        pairs = spread.join(asked, "__block").drop("__block")
+    pairs = pairs.where(F.col(key) != F.col(query_key))
     scored = pairs.select(query_key, key, cosine(F.col(query_vector), F.col(vector)).alias("score"))
     return top_k(scored, query_key, key, k)

@@ -239,23 +239,23 @@ def sort_by_count(spark, sf_dir):
 
 
 @query("""
-WITH a AS (SELECT orders.o_orderkey AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'background' ELSE 'follow_up' END AS aspect, CAST(l_quantity AS INTEGER) % 3 AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0),
+WITH a AS (SELECT orders.o_orderkey AS case_id, CASE l_linenumber % 3 WHEN 0 THEN 'core' WHEN 1 THEN 'background' ELSE 'follow_up' END AS aspect, CAST(l_quantity AS INTEGER) % 3 AS score FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 w AS (SELECT *, CASE aspect WHEN 'core' THEN 1.0::DOUBLE WHEN 'background' THEN 0.5 ELSE 0.25 END AS w FROM a)
 SELECT case_id, round(sum(w * score / 2.0) / nullif(sum(w), 0), 6) AS completeness FROM w GROUP BY 1
 """)
 def weighted_completeness(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_orderkey % 10 = 0")
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     kind = F.col("l_linenumber") % 3
     rows = lines.select(F.col("o_orderkey").alias("case_id"), F.when(kind == 0, "core").when(kind == 1, "background").otherwise("follow_up").alias("aspect"), (F.col("l_quantity").cast("int") % 3).alias("score"))
     return evaluate.completeness(rows, "case_id").withColumn("completeness", F.round("completeness", 6))
 
 
 @query("""
-WITH h AS (SELECT doc_id % 20 AS q, doc_id AS rank, source AS uri FROM documents WHERE doc_id < 200), e(position, entry) AS (VALUES (0, 'rc1'), (1, 'SRC2'), (2, 'none'))
+WITH h AS (SELECT doc_id % 20 AS q, doc_id AS rank, source AS uri FROM documents), e(position, entry) AS (VALUES (0, 'rc1'), (1, 'SRC2'), (2, 'none'))
 SELECT q, rank, CASE WHEN contains(lower(uri), 'rc1') THEN 'rc1' WHEN contains(lower(uri), 'src2') THEN 'SRC2' END AS entry, CASE WHEN contains(lower(uri), 'rc1') OR contains(lower(uri), 'src2') THEN 3 ELSE 0 END AS grade FROM h
 """)
 def golden_context(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").where("doc_id < 200").select((F.col("doc_id") % 20).alias("q"), F.col("doc_id").alias("rank"), F.col("source").alias("uri"))
+    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("q"), F.col("doc_id").alias("rank"), F.col("source").alias("uri"))
     entries = spark.createDataFrame([(0, "rc1"), (1, "SRC2"), (2, "none")], "position int, entry string")
     expected = hits.select("q").distinct().join(F.broadcast(entries), F.lit(True))
     return evaluate.golden_grades(hits, expected, "q").select("q", "rank", "entry", "grade")
@@ -386,7 +386,7 @@ def truncate_words(spark, sf_dir):
 
 
 ITEMS_SQL = """
-WITH items AS (SELECT event_id AS item_id, CASE event_type WHEN 'click' THEN 'PENDING' WHEN 'view' THEN 'LEASED' WHEN 'error' THEN 'DEAD_LETTER' WHEN 'signup' THEN 'RETRY_WAITING' ELSE 'DONE' END AS status, CASE WHEN user_id % 2 = 0 THEN 'FETCH' ELSE 'INDEX' END AS stage, user_id AS run_id, CAST(value AS INTEGER) % 5 AS priority, CAST(event_id % 7 AS INTEGER) AS attempts, ts AS created_at, ts + INTERVAL 1 HOUR AS available_at, ts + INTERVAL 30 SECOND AS lease_until FROM events)
+WITH items AS (SELECT event_id AS item_id, CASE event_type WHEN 'click' THEN 'PENDING' WHEN 'view' THEN 'LEASED' WHEN 'error' THEN 'DEAD_LETTER' WHEN 'signup' THEN 'RETRY_WAITING' ELSE 'DONE' END AS status, CASE WHEN user_id % 2 = 0 THEN 'FETCH' ELSE 'INDEX' END AS stage, user_id * 100 + day(ts) AS run_id, CAST(value AS INTEGER) % 5 AS priority, CAST(event_id % 7 AS INTEGER) AS attempts, ts AS created_at, ts + INTERVAL 1 HOUR AS available_at, ts + INTERVAL 30 SECOND AS lease_until FROM events)
 """
 
 
@@ -397,7 +397,7 @@ def _items(spark, sf_dir):
         F.col("event_id").alias("item_id"),
         status.alias("status"),
         F.when(F.col("user_id") % 2 == 0, "FETCH").otherwise("INDEX").alias("stage"),
-        F.col("user_id").alias("run_id"),
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("run_id"),
         (F.round(F.col("value")).cast("int") % 5).alias("priority"),
         (F.col("event_id") % 7).cast("int").alias("attempts"),
         F.col("ts").alias("created_at"),
@@ -417,10 +417,10 @@ def retry_backoff(spark, sf_dir):
     return failed.select("item_id", "attempts", "status", state.backoff_seconds(F.col("attempts")).alias("wait"))
 
 
-@query(ITEMS_SQL + """, b AS (SELECT run_id, count(*) FILTER (status = 'DEAD_LETTER' AND stage <> 'FETCH') AS hard, count(*) FILTER (status = 'DEAD_LETTER' AND stage = 'FETCH') AS soft, count(*) FILTER (status IN ('PENDING', 'LEASED', 'RETRY_WAITING')) AS active FROM items WHERE created_at < TIMESTAMP '2024-01-03' GROUP BY 1)
+@query(ITEMS_SQL + """, b AS (SELECT run_id, count(*) FILTER (status = 'DEAD_LETTER' AND stage <> 'FETCH') AS hard, count(*) FILTER (status = 'DEAD_LETTER' AND stage = 'FETCH') AS soft, count(*) FILTER (status IN ('PENDING', 'LEASED', 'RETRY_WAITING')) AS active FROM items GROUP BY 1)
 SELECT run_id, CASE WHEN hard > 0 THEN 'FAILED' WHEN active > 0 THEN 'RUNNING' WHEN soft > 0 THEN 'COMPLETED_WITH_WARNINGS' ELSE 'COMPLETED' END AS status FROM b""")
 def run_status(spark, sf_dir):
-    return state.run_status(relational.between_times(_items(spark, sf_dir), "created_at", None, datetime(2024, 1, 3)), "run_id")
+    return state.run_status(_items(spark, sf_dir), "run_id")
 
 
 @query("""

@@ -87,12 +87,12 @@ def code_tokens(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT item_id, split_part(text, ' ', 3) AS needle FROM benchmark WHERE item_id < 10),
+WITH q AS (SELECT item_id, split_part(text, ' ', 3) AS needle FROM benchmark),
 m AS (SELECT item_id, needle, doc_id, text, greatest(0, strpos(lower(text), lower(needle)) - 101) AS s FROM q JOIN documents ON contains(lower(text), lower(needle)))
 SELECT item_id, doc_id, CASE WHEN length(text) <= 240 THEN text ELSE concat(CASE WHEN s > 0 THEN '...' ELSE '' END, substr(text, s + 1, 240), CASE WHEN s + 240 < length(text) THEN '...' ELSE '' END) END AS snippet FROM m
 """)
 def snippet(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", F.element_at(F.split("text", " "), 3).alias("needle"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 3).alias("needle"))
     met = table(spark, sf_dir, "documents").join(F.broadcast(items), F.lower("text").contains(F.lower("needle")))
     return met.select("item_id", "doc_id", X.snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
@@ -115,14 +115,14 @@ def weighted_fulltext(spark, sf_dir):
 
 
 KNN_SQL = """
-WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS ql FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS ql FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, ql, vec_id, label, round(list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query_id),
 """
 
 
 def _vectors(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    q = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return v, q
 
 
@@ -139,10 +139,10 @@ def knn_filtered(spark, sf_dir):
 
 
 def _legs(spark, sf_dir, k=30):
-    """A semantic leg by cosine, and a lexical stand-in: nearness of ids and labels."""
+    """Queries are the rows whose id is divisible by 50. A semantic leg by cosine, and a lexical stand-in: nearness of ids and labels."""
     v, q = _vectors(spark, sf_dir)
     semantic = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", k)
-    labels = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    labels = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     pairs = v.join(F.broadcast(labels), F.col("ql") == F.col("label")).where("vec_id <> query_id")
     scored = pairs.select("query_id", "vec_id", (100.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id")))).alias("score"))
     return textindex.top_k(scored, "query_id", "vec_id", k), semantic
@@ -171,12 +171,12 @@ def minmax_fusion(spark, sf_dir):
     return retrieve.min_max_fusion(*_legs(spark, sf_dir), "query_id", "vec_id", 0.5, 10)
 
 
-@query(LEGS_SQL + """u AS (SELECT query_id // 4 AS question, query_id AS list, vec_id, rank FROM sem),
+@query(LEGS_SQL + """u AS (SELECT query_id // 200 AS question, query_id AS list, vec_id, rank FROM sem),
 f AS (SELECT question, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS seen FROM u GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, seen, vec_id) AS INTEGER) AS rank FROM f) SELECT question, vec_id, score, rank FROM r WHERE rank <= 10""")
 def multi_query_rrf(spark, sf_dir):
     _, semantic = _legs(spark, sf_dir)
-    lists = semantic.select(F.floor(F.col("query_id") / 4).alias("question"), F.col("query_id").alias("list"), "vec_id", "rank")
+    lists = semantic.select(F.floor(F.col("query_id") / 200).alias("question"), F.col("query_id").alias("list"), "vec_id", "rank")
     return retrieve.multi_query_rrf(lists, "question", "vec_id", 10)
 
 
@@ -243,19 +243,19 @@ def section_grouping(spark, sf_dir):
 
 @query(LINES_SQL + """h AS (SELECT document_id, content, ordinal, count(CASE WHEN length(content) < 30 THEN 1 END) OVER (PARTITION BY document_id ORDER BY ordinal) AS sec FROM lines),
 secs AS (SELECT document_id, sec, min(ordinal) AS a, max(ordinal) AS b FROM h GROUP BY 1, 2),
-hit AS (SELECT document_id % 10 AS query_id, document_id, sec FROM secs WHERE (document_id + sec) % 7 = 0)
+hit AS (SELECT document_id % 10 AS query_id, document_id, sec FROM secs WHERE b - a >= 6)
 SELECT DISTINCT query_id, l.document_id, CAST(l.ordinal AS INTEGER) AS ordinal FROM hit JOIN secs USING (document_id, sec) JOIN lines l ON l.document_id = secs.document_id AND l.ordinal BETWEEN a AND b""")
 def hierarchical_scope(spark, sf_dir):
     rows = _lines(spark, sf_dir)
     line = Window.partitionBy("document_id").orderBy("ordinal")
     rows = rows.withColumn("heading", F.count(F.when(F.length("content") < 30, 1)).over(line).cast("string"))
     secs = chunk.sections(rows, "document_id").withColumn("section_id", F.concat_ws(":", "document_id", "heading"))
-    hits = secs.where((F.col("document_id") + F.col("heading").cast("long")) % 7 == 0).select((F.col("document_id") % 10).alias("query_id"), "section_id")
+    hits = secs.where("last_ordinal - first_ordinal >= 6").select((F.col("document_id") % 10).alias("query_id"), "section_id")
     scope = retrieve.hierarchical_scope(hits, secs.select("section_id", "document_id", "first_ordinal", "last_ordinal"), rows.withColumn("chunk_id", F.struct("document_id", "ordinal")))
     return scope.select("query_id", "chunk_id.document_id", "chunk_id.ordinal")
 
 
-WINDOWS_SQL = LINES_SQL + """hits AS (SELECT document_id % 5 AS query_id, document_id, ordinal, row_number() OVER (PARTITION BY document_id % 5 ORDER BY length(content) DESC, document_id, ordinal) AS rank FROM lines WHERE ordinal % 4 = 1),
+WINDOWS_SQL = LINES_SQL + """hits AS (SELECT document_id % 5 AS query_id, document_id, ordinal, row_number() OVER (PARTITION BY document_id % 5 ORDER BY length(content) DESC, document_id, ordinal) AS rank FROM lines WHERE length(content) >= 400),
 sp AS (SELECT query_id, document_id, rank, greatest(0, ordinal - 1) AS a, ordinal + 1 AS b FROM hits),
 re AS (SELECT *, max(b) OVER (PARTITION BY query_id, document_id ORDER BY a, b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp),
 fr AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, document_id ORDER BY a, b, rank ROWS UNBOUNDED PRECEDING) AS win FROM re),
@@ -264,7 +264,7 @@ w AS (SELECT query_id, document_id, CAST(win AS BIGINT) AS win, CAST(min(a) AS I
 
 
 def _hits(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("ordinal % 4 = 1").withColumn("query_id", F.col("document_id") % 5)
+    rows = _lines(spark, sf_dir).where("length(content) >= 400").withColumn("query_id", F.col("document_id") % 5)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.length("content").desc(), "document_id", "ordinal")))
 
 
@@ -316,7 +316,7 @@ ide AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS ideal FROM (S
 def _metrics(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     hits = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", 1_000_000)
-    labels = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    labels = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
     grade = F.when(F.col("ql") == F.col("label"), 3).when(F.abs(F.col("ql") - F.col("label")) == 1, 2).otherwise(0)
     return evaluate.ranking_metrics(hits.join(v.select("vec_id", "label"), "vec_id").join(F.broadcast(labels), "query_id").select("query_id", "rank", grade.alias("grade")), "query_id", 10)
 

@@ -172,6 +172,15 @@ def test_globs(spark):
     assert hit("*.java", "a/b/C.java") and hit("docs/", "docs/a/b") and hit("**/x/*.md", "a/b/x/y.md") and not hit("src/*.py", "src/a/b.py")
 
 
+def test_knn_in_blocks(spark):
+    from millrace.operators import textindex
+
+    v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
+    q = v.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    whole, parts = (sorted(map(tuple, textindex.knn(v, q, "id", "v", "q", "qv", 3, n).collect())) for n in (100, 9))
+    assert whole == parts and len(whole) == 120
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.py").write_text("x = 1\n")
