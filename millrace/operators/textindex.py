@@ -104,7 +104,7 @@ def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key
         pairs = vectors.select(key, vector).crossJoin(F.broadcast(asked))
     else:
         asked = asked.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("__block"))
+        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
         pairs = spread.join(asked, "__block").drop("__block")
     pairs = pairs.where(F.col(key) != F.col(query_key))
     scored = pairs.select(query_key, key, cosine(F.col(query_vector), F.col(vector)).alias("score"))
