@@ -110,8 +110,8 @@ def _spherical(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score and rejected added, for each row of ``docs``."""
+def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns ``keep`` with prediction, score and rejection added under ``names``, for each row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: centroids of 2**BITS floats each
     kept = docs.select(*keep)
     schema = kept.schema.simpleString()[7:-1]
@@ -121,9 +121,9 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             arrays = [*batch.columns[:-1], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean")
+    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 def held_out(c: Column, parts: int, part: int) -> Column:

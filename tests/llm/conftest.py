@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, g string, fp string, extra int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rejected string, fp string, size int"
 
 
 @pytest.fixture(scope="session")
