@@ -22,8 +22,8 @@ SHINGLE, DISTANCE, TOTAL = 5, 8, 20
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps every document whose language is known; goes: null, letterless, or unlike every learned language."""
     model = langid.fit(docs.where("doc_id is not null").select("doc_id", "text", "lang"))
-    found = langid.predict(docs, model, tuple(docs.columns))
-    return found.where("not rejected").select(*docs.columns)
+    found = langid.predict(docs, model, tuple(docs.columns), ("__lang", "__score", "__rejected"))
+    return found.where("not __rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
