@@ -12,6 +12,7 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import chain, pairwise
@@ -404,11 +405,11 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        encode = _encoder(path, "ids", lambda _, ids: ids)
+        encode = _encoder(path, "ids", lambda _, ids: array("i", ids).tobytes())  # four bytes an id
         for batch in batches:
             for part, texts in _groups(batch):
-                ids = [list(chain.from_iterable(found)) for found in encode(texts)]
-                more = [check(m, i, t) for i, t in zip(ids, texts)]
+                ids = [np.frombuffer(b"".join(found), np.int32) for found in encode(texts)]
+                more = [check(m, i.tolist(), t) for i, t in zip(ids, texts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow)], ["doc_id", "ids", name])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, ids array<int>, {column}")
