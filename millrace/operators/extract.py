@@ -68,8 +68,15 @@ def replace_results(results: DataFrame, fresh: DataFrame, chunks: DataFrame) ->
     return results.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti").unionByName(fresh)
 
 
-def find_results(results: DataFrame, value: str | None = None, number: int = 0, size: int = 50, **ids) -> DataFrame:
+def matching_results(results: DataFrame, value: str | None = None, **ids) -> DataFrame:
+    """All results whose value contains ``value``, in no order."""
     rows = optional_filters(results, **ids)
     if value:
         rows = rows.where(F.lower("matched_value").contains(value.lower()))
+    return rows
+
+
+def find_results(results: DataFrame, value: str | None = None, number: int = 0, size: int = 50, **ids) -> DataFrame:
+    """One page of the matching results."""
+    rows = matching_results(results, value, **ids)
     return page(rows, [F.desc("created_at"), F.col("result_id")] if "created_at" in results.columns else [F.col("result_id")], number, size)

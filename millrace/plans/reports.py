@@ -340,7 +340,7 @@ def ip_extract(spark, sf_dir):
 def extraction_search(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     found = extract.extract(chunks, [("ip", "ip", None)])
-    return extract.find_results(found, "1.", size=200, rule_id="ip", chunk_id=None).select("chunk_id", "matched_value")
+    return extract.matching_results(found, "1.", rule_id="ip", chunk_id=None).select("chunk_id", "matched_value")
 
 
 @query("""

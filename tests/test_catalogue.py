@@ -40,3 +40,14 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_is_named_once():
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) > 80
+
+
+def test_extraction_search_has_no_page(spark, tmp_path):
+    docs = [(i, f"from 1.{i // 250}.{i % 250}.7 on") for i in range(450)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES["extraction_search"](spark, str(tmp_path))
+    rel = c.sql(ORACLE["extraction_search"])
+    got = rows(df.columns, [tuple(r) for r in df.collect()])
+    assert len(got) > 200 and got == rows(rel.columns, rel.fetchall())
