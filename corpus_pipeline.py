@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, pii, simhash, spm
+from millrace.llm import langid, mixing, nearcopies, pii, spm
 from millrace.llm.common import materialize, table
 from millrace.llm.entry import piece_model
 
-#: Five-word shingles under two 64-bit fingerprints. Texts of Jaccard similarity 0.8 differ in about 19 of the 128
-#: bits; near copies differ in at most TOTAL, and in at most DISTANCE of either word.
+#: Near copies: Jaccard similarity of at least SIMILARITY between the sets of five-word shingles. Most such pairs differ
+#: in at most DISTANCE bits of a 64-bit SimHash and TOTAL of two; that decides nothing here.
+SIMILARITY = 0.8
 SHINGLE, DISTANCE, TOTAL = 5, 8, 20
 
 
@@ -28,8 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest id of each near-duplicate component; rows without an id stay."""
-    found = simhash.wide_classes(docs, SHINGLE, DISTANCE, TOTAL).where("doc_id is not null")
-    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min("component_id").alias("__c")).where("__id <> __c").select("__id")
+    found = nearcopies.classes(docs, SHINGLE, SIMILARITY).where("doc_id is not null")
+    least = found.groupBy("root").agg(F.min("doc_id").alias("__c"))
+    gone = found.join(least, "root").groupBy(F.col("doc_id").alias("__id")).agg(F.min("__c").alias("__c")).where("__id <> __c").select("__id")
     kept = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
     # rows that repeat an id: one of them stays
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])

@@ -74,9 +74,9 @@ def unit_hash(w: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def shingles(w: list[str]) -> np.ndarray:
-    """Sorted distinct hashes of the five-word shingles."""
-    parts = [" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
+def shingles(w: list[str], n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the ``n``-word shingles."""
+    parts = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts), np.uint64, len(parts)))
 
 

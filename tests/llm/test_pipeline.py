@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -43,3 +44,23 @@ def test_empty(spark, no_docs):
     docs = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in p.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_by_similarity(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    rows, near, far = [], set(), set()
+    for k in range(60):  # pairs just above and just below 0.8
+        w = [rng.choice(words) for _ in range(200)]
+        v = w[:180 if k % 2 else 172] + [rng.choice(words) for _ in range(20 if k % 2 else 28)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+        (near if jaccard(rows[-1][1], rows[-2][1]) >= 0.8 else far).add(2 * k + 1)
+    df = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in p.near_duplicates(spark, df, "").collect()]
+    assert len(near) == len(far) == 30
+    assert sorted(kept) == sorted({i for i, _ in rows} - near)
