@@ -1,8 +1,9 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Units are the lines of a text and, inside lines of several sentences, groups of sentences that end where the content
-says (so that a passage set into other text is cut alike). Units of at least MIN_WORDS words take part. Equal units
-meet by hash. Lines are near copies at a Jaccard similarity of at least THRESHOLD of their five-word shingles: bands of
+Units are the lines of a text; inside lines of several sentences, groups of sentences that end where the content says;
+and inside lines windows of WINDOW words, of each GAP neighbouring ones that of least hash. So a passage set into other
+text has the same windows there: a shared run of WINDOW + GAP - 1 words or more loses all but at most GAP - 1 words at
+either end. Units of at least MIN_WORDS words take part. Equal units meet by hash. Lines are near copies at a Jaccard similarity of at least THRESHOLD of their five-word shingles: bands of
 minima find candidates, shingle sets verify them exactly. Components are clusters; of each the earliest place stays.
 
 The band count follows from the rows of a band and the recall wanted at the threshold. A band bucket is searched from
@@ -30,6 +31,7 @@ THRESHOLD = 0.8
 MIN_WORDS = 12
 BAND_ROWS = 3
 RECALL = 0.985
+WINDOW, GAP = 20, 8
 _LEAST = -(2**63)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*|\n")
 
@@ -45,8 +47,55 @@ _MULTIPLY = _rng.integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) | np.uin
 _ADD = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
 
 
+_SPACE = np.array([chr(c).isspace() for c in range(0x3001)])
+_LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x20000)], np.uint64)
+_P = 0x9E3779B97F4A7C15
+_WEIGHTS = _rng.integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = []
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the windows inside lines."""
+    none = np.array([], np.int64), np.array([], np.int64), np.array([], np.uint64)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (codes < 0x3001) & _SPACE[np.minimum(codes, 0x3000)]
+    turn = np.flatnonzero(np.diff(blank, prepend=True, append=True))
+    starts, ends = turn[::2], turn[1::2]
+    if len(starts) < WINDOW + GAP - 1:
+        return none
+    n = len(codes)
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, x, np.uint64))), dtype=np.uint64) for x in (_P, pow(_P, -1, 1 << 64))]
+    low = np.where(codes < 0x20000, _LOWER[np.minimum(codes, 0x1FFFF)], codes)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed((low + np.uint64(1)) * np.uint64(_P)) * _powers[0][:n], dtype=np.uint64)))
+    word = _mixed((sums[ends] - sums[starts]) * _powers[1][starts])
+    at = len(word) - WINDOW + 1
+    hashes = np.zeros(at, np.uint64)
+    for j, weight in enumerate(_WEIGHTS):
+        hashes += word[j : j + at] * weight
+    hashes = _mixed(hashes)
+    line = np.searchsorted(np.flatnonzero(codes == 10), starts)
+    whole = np.flatnonzero(line[:at] == line[WINDOW - 1 :])
+    if len(whole) < GAP:
+        return none
+    least = np.lib.stride_tricks.sliding_window_view(hashes[whole], GAP).argmin(axis=1) + np.arange(len(whole) - GAP + 1)
+    taken = whole[np.unique(least[line[whole[: len(least)]] == line[whole[GAP - 1 :]]])]
+    return starts[taken], ends[taken + WINDOW - 1], hashes[taken]
+
+
 def units(text: str) -> tuple[list[tuple[int, int]], int]:
-    """Offsets of the lines, then of the sentence groups of lines that have several; and the number of lines."""
+    """Offsets of the lines, of the sentence groups of lines that have several, of the windows; the number of lines."""
+    found, n = _lines_and_groups(text)
+    starts, ends, _ = windows(text)
+    return found + list(zip(starts.tolist(), ends.tolist())), n
+
+
+def _lines_and_groups(text: str) -> tuple[list[tuple[int, int]], int]:
     lines, groups, at = [], [], 0
     for line in text.split("\n"):
         end = at + len(line)
@@ -81,7 +130,7 @@ def shingles(w: list[str], n: int = SHINGLE) -> np.ndarray:
 
 
 def band_keys(sh: np.ndarray) -> np.ndarray:
-    minima = np.array([(sh * m + a).min() for m, a in zip(_MULTIPLY, _ADD)], np.uint64).reshape(BANDS, BAND_ROWS)
+    minima = (sh * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1).reshape(BANDS, BAND_ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for r in range(BAND_ROWS):
         key = (key ^ minima[:, r]) * np.uint64(0x9E3779B97F4A7C15)
@@ -90,14 +139,14 @@ def band_keys(sh: np.ndarray) -> np.ndarray:
 
 
 def _unit_table(docs: DataFrame) -> DataFrame:
-    """k, doc_id, lines, starts, ends, hashes: the units of each document; null hashes do not take part."""
+    """k, doc_id, lines, starts, ends, hashes: the lines and groups of each document; null hashes do not take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends, hashes, lines = [], [], [], []
             for text in batch.column(2).to_pylist():
                 text = text or ""
-                found, n = units(text)
+                found, n = _lines_and_groups(text)
                 lines.append(n)
                 starts.append([a for a, _ in found])
                 ends.append([b for _, b in found])
@@ -108,6 +157,56 @@ def _unit_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "k long, doc_id long, lines int, starts array<int>, ends array<int>, hashes array<long>")
 
 
+#: A window's place is a number above all ordinals of lines and groups: mark, start, length.
+_MARK, _LENGTH_BITS = 1 << 61, 28
+
+
+def _span(starts: list[int], ends: list[int], place: int) -> tuple[int, int] | None:
+    if place < _MARK:
+        return (starts[place], ends[place]) if place < len(starts) else None
+    start = (place - _MARK) >> _LENGTH_BITS
+    return start, start + (place & ((1 << _LENGTH_BITS) - 1))
+
+
+def _repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
+    """k, ord, unit: the places of windows that occur more than once."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ks, places, units = [], [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                starts, ends, hashes = windows(text or "")
+                if len(hashes):
+                    ks.append(np.full(len(hashes), k, np.int64))
+                    places.append(_MARK + (starts.astype(np.int64) << _LENGTH_BITS) + (ends - starts))
+                    units.append(hashes)
+            if not ks:
+                continue
+            columns = [np.concatenate(x) for x in (units, ks, places)]
+            part = (columns[0] >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
+            used = np.flatnonzero(np.diff(cuts))
+            blobs = [[x[order[cuts[i] : cuts[i + 1]]].tobytes() for i in used] for x in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "units", "ks", "places"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[bytes, ...]]] = {}
+        for batch in batches:
+            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(bucket, []).append(tuple(blobs))
+        for bucket in list(held):
+            unit, k, place = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held.pop(bucket)))
+            order = np.argsort(unit, kind="stable")
+            same = unit[order][1:] == unit[order][:-1]
+            order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            for i in range(0, len(order), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(x[order[i : i + (1 << 17)]]) for x in (k, place, unit)], ["k", "ord", "unit"])
+
+    dealt = docs.mapInArrow(deal, "bucket int, units binary, ks binary, places binary")
+    return dealt.repartition(F.col("bucket")).mapInArrow(meet, "k long, ord long, unit long")
+
+
 def _colliding(docs: DataFrame, buckets: int) -> DataFrame:
     """key, unit: the band keys under which different lines lie."""
 
@@ -221,13 +320,14 @@ def _links(docs: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The unit table, and k, removed, first: by document the ordinals of units that repeat an earlier place, and the
+    """The unit table, and k, removed, first: by document the places of units that repeat an earlier place, and the
     smallest document that holds one of those places first. A row without id counts as before all others."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     buckets = partitions(docs.sparkSession)
     table = materialize(_unit_table(rows), "units")
     stars = components(_links(rows, table, buckets))
-    places = table.select("k", F.posexplode("hashes").alias("ord", "unit")).where("unit is not null")
+    places = table.select("k", F.posexplode("hashes").alias("ord", "unit")).where("unit is not null").withColumn("ord", F.col("ord").cast("long"))
+    places = places.unionByName(materialize(_repeated_windows(rows, buckets), "windows"))
     # the earliest place of each unit, then of each cluster; only units with another place or another text go on
     first = places.groupBy("unit").agg(F.min("k").alias("k"), F.count("*").alias("n"))
     root = first.join(stars.withColumnRenamed("node", "unit"), "unit", "left").where("n > 1 or root is not null")
@@ -244,7 +344,7 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _union(starts: list[int], ends: list[int], removed: list[int]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted((starts[i], ends[i]) for i in removed):
+    for a, b in sorted(s for i in removed if (s := _span(starts, ends, i))):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -264,7 +364,7 @@ def report(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, lines, starts, ends, removed, first = (batch.column(c).to_pylist() for c in ("doc_id", "lines", "starts", "ends", "removed", "first"))
-            spans = [_union(a, b, [i for i in r if i < len(a)]) if r else [] for a, b, r in zip(starts, ends, removed)]
+            spans = [_union(a, b, r) if r else [] for a, b, r in zip(starts, ends, removed)]
             columns = [
                 pa.array(ids, pa.int64()),
                 pa.array(lines, pa.int64()),
@@ -289,8 +389,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out = []
             for text, removed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text and removed:
-                    found = units(text)[0]
-                    for a, b in reversed(_union([u[0] for u in found], [u[1] for u in found], [i for i in removed if i < len(found)])):
+                    found = _lines_and_groups(text)[0]
+                    for a, b in reversed(_union([u[0] for u in found], [u[1] for u in found], removed)):
                         text = text[:a] + text[b:]
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])

@@ -109,3 +109,22 @@ def test_odd_rows(odd_docs, odd_rows, no_docs):
 
 def test_band_count():
     assert p.band_count(0.8, 3, 0.985) == 6
+
+
+def test_passage_inside_other_text(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    rows, passages = [], []
+    for i in range(40):  # no sentence marks: a line is never cut by sentences
+        passages.append(line(50))
+        rows += [(2 * i, f"{line(30)} {passages[i]} {line(40)}"), (2 * i + 1, f"{line(45)} {passages[i].upper()} {line(25)}")]
+    rows.append((80, line(120)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in p.report(df).collect()}
+    for i, t in rows:
+        spans = [tuple(map(int, s.split(":"))) for s in out[i].removed_spans.split(",") if s]
+        if i % 2:
+            (a, b), at = spans[0], t.index(passages[i // 2].upper())
+            assert len(spans) == 1 and at <= a and b <= at + len(passages[i // 2]) and len(t[a:b].split()) >= 50 - 2 * (p.GAP - 1) and out[i].class_id == i - 1
+        else:
+            assert not spans
