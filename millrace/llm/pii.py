@@ -2,7 +2,8 @@
 
 Four base kinds follow fixed rules and always stay: email, ip, card, phone. The added kinds (iban by mod 97,
 nino and ssn by their formats) need a score of at least ``threshold``; context words before a span raise it.
-All scans are linear in the text: runs are matched greedily once and never retried from inside.
+All scans are linear in the text: runs are matched greedily once and not retried from inside, but for an IBAN's at most
+34 characters.
 """
 
 from __future__ import annotations
@@ -120,6 +121,21 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("+", after)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """The longest run that ends at a word border and has a valid checksum, from each head that no span holds."""
+    m = _IBAN.search(text)
+    while m:
+        a, b = m.span()
+        after = a + 1
+        while b > a:
+            if 15 <= len(own := text[a:b].replace(" ", "")) <= 34 and mod97(own):
+                yield a, b
+                after = b
+                break
+            b = text.rfind(" ", a, b)
+        m = _IBAN.search(text, after)
+
+
 def _near(text: str, kind: str, start: int) -> bool:
     before = text[max(0, start - CONTEXT_CHARS) : start].lower()
     return any(w in CONTEXT[kind] for w in _WORD.findall(before))
@@ -137,8 +153,8 @@ def find(text: str, threshold: float = THRESHOLD) -> list[Span]:
         i = bisect_left(starts, b)
         return not any(taken[j][1] > a for j in range(max(0, i - 4), i))
 
-    for kind, pattern, valid in (("iban", _IBAN, lambda s: 15 <= len(s) <= 34 and mod97(s)), ("ssn", _SSN, bool), ("nino", _NINO, bool)):
-        proposed += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if valid(m.group().replace(" ", "")) and free(m.start(), m.end())]
+    for kind, found in (("iban", ibans(text)), *((kind, (m.span() for m in pattern.finditer(text))) for kind, pattern in (("ssn", _SSN), ("nino", _NINO)))):
+        proposed += [(kind, a, b) for a, b in found if free(a, b)]
     spans = [Span(k, a, b, min(1.0, BASE_SCORE[k] + CONTEXT_BONUS * _near(text, k, a))) for k, a, b in proposed]
     return [s for s in spans if s.kind in BASE_KINDS or s.score >= threshold]
 

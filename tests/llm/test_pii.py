@@ -46,6 +46,13 @@ def test_added_kinds():
     assert pii.redact("ask a@b.co now", pii.find("ask a@b.co now")) == "ask [EMAIL] now"
 
 
+def test_iban_before_other_capitals():
+    for text in ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "IBAN GB82 WEST 1234 5698 7654 32 REF 12", "AB12 CDEF GHIJ KLMN DE89370400440532013000"):
+        found = [text[s.start : s.end] for s in pii.find(text) if s.kind == "iban"]
+        assert found in (["DE89370400440532013000"], ["GB82 WEST 1234 5698 7654 32"])
+    assert pii.redact(text, pii.find(text)) == "AB12 CDEF GHIJ KLMN [IBAN]"
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     want = []
     for r in odd_rows:
