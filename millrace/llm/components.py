@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import forget, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,8 +33,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(root, "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = root.select("u", F.col("m").alias("v"))
-        current = materialize(moved.unionByName(kept).distinct(), "edges")
+        current, read = materialize(moved.unionByName(kept).distinct(), "edges"), current
         before, mark = mark, _mark(current)
+        forget(read)
         if mark == before:
             break
     else:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "nino")
 KINDS = BASE_KINDS + ADDED_KINDS
@@ -179,7 +181,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(struct))], ["doc_id", "spans"])
 
     kind = "doc_id long, spans array<struct<kind:string,start_pos:long,end_pos:long,score:double>>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), kind)
 
 
 def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,7 +202,7 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 arrays[k] = pa.array(sizes, arrays[k].type)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -21,35 +21,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import by_group, groups, lean, materialize
 from .components import components
 
 SEED = 42
+#: Shingles of a text that are hashed at a time.
+HASHED = 1 << 15
 _LOW = np.uint64(0x5555555555555555)
 #: Cells up to this size are compared pair by pair; larger ones by canopies, with the same result.
 _SMALL_CELL = 48
+_LARGE_CELL = 2048
 
 
 def fingerprint(data: bytes, shingle: int = 4, seed: int = SEED) -> int:
     """SimHash of the ``shingle``-word shingles (repeats included) of a UTF-8 text, A-Z lower-cased.
 
     A text of fewer words has its whole sequence as the one shingle; a text without words has fingerprint 0."""
-    words = data.lower().split()
-    if not words:
+    joined, ends = _words(data.lower())
+    if not len(ends):
         return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
+    if len(ends) <= shingle:
         return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    last = (ends[shingle - 1 :]).tolist()
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), last)], np.uint64)
+    last = ends[shingle - 1 :]
+    starts = np.concatenate(([0], ends[: len(last) - 1] + 1))
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)]
+    for at in range(0, len(last), HASHED):  # so many shingles at a time, however long the text is
+        spans = zip(starts[at : at + HASHED].tolist(), last[at : at + HASHED].tolist())
+        part = np.array([digest(joined[a:b], seed) for a, b in spans], np.uint64)
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * counts > len(last), bitorder="little").view(np.uint64)[0])
+
+
+def _words(data: bytes) -> tuple[bytes, np.ndarray]:
+    """The words of a text with one space between them, and where each ends."""
+    codes = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    keep = ~blank
+    keep[1:] |= keep[:-1]  # each word and the blank after it
+    kept, gap = codes[keep], blank[keep]
+    kept = np.where(gap, np.uint8(32), kept)
+    ends = np.flatnonzero(gap)
+    if len(kept) and not gap[-1]:
+        return kept.tobytes(), np.append(ends, len(kept))
+    return kept[:-1].tobytes(), ends
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -61,7 +76,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def embed(fps: np.ndarray) -> np.ndarray:
@@ -131,8 +146,17 @@ def _link_canopies(fps: np.ndarray, distance: int, forest: _Forest) -> None:
                     break
 
 
-def link_cell_rows(fps: np.ndarray, mask: int, distance: int, forest: _Forest) -> None:
-    """Links between distinct fingerprints that share a cell of the grid ``mask``."""
+def finer(mask: int, distance: int) -> list[int]:
+    """Grids inside a cell of ``mask``: vectors that agree there and lie within ``distance`` agree on two more of
+    ``distance`` + 2 groups of the other segments."""
+    rest = [3 << 2 * s for s in range(32) if not mask >> 2 * s & 1]
+    parts = [sum(rest[k :: distance + 2]) for k in range(distance + 2)]
+    return [a | b for a, b in combinations(parts, 2)]
+
+
+def link_cell_rows(fps: np.ndarray, mask: int, distance: int, forest: _Forest, finest: bool = False) -> None:
+    """Links between distinct fingerprints that share a cell of the grid ``mask``. Cells of more than _LARGE_CELL are cut
+    by finer grids, so their work stays near their size."""
     fps = np.unique(fps)
     vectors = embed(fps)
     keys = vectors & np.uint64(mask)
@@ -152,7 +176,11 @@ def link_cell_rows(fps: np.ndarray, mask: int, distance: int, forest: _Forest) -
             forest.join(a, b)
         lag += 1
     for s, n in zip(starts[sizes > _SMALL_CELL].tolist(), sizes[sizes > _SMALL_CELL].tolist()):
-        _link_canopies(fps[s : s + n], distance, forest)
+        if n > _LARGE_CELL and not finest:
+            for inner in finer(mask, distance):
+                link_cell_rows(fps[s : s + n], mask | inner, distance, forest, True)
+        else:
+            _link_canopies(fps[s : s + n], distance, forest)
 
 
 def fingerprint_links(distinct: DataFrame, distance: int = 4, rows: int | None = None) -> DataFrame:
@@ -171,25 +199,22 @@ def fingerprint_links(distinct: DataFrame, distance: int = 4, rows: int | None =
                 part = (cell >> np.uint64(33)) % np.uint64(parts)
                 order = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-                for p in range(parts):
-                    if cuts[p] < cuts[p + 1]:
-                        buckets.append(k * parts + p)
-                        blobs.append(fps[order[cuts[p] : cuts[p + 1]]].tobytes())
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    buckets.append(k * parts + p)
+                    blobs.append(fps[order[cuts[p] : cuts[p + 1]]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "fps"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        forest = _Forest()
-        for bucket in list(held):
-            link_cell_rows(np.frombuffer(b"".join(held.pop(bucket)), np.uint64), masks[bucket // parts], distance, forest)
-        ends = [np.array(x, np.uint64).view(np.int64) for x in forest.edges()]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
+        for bucket in groups(batches):
+            forest = _Forest()
+            fps = np.frombuffer(b"".join(bucket.column("fps").to_pylist()), np.uint64)
+            link_cell_rows(fps, masks[bucket.column("bucket")[0].as_py() // parts], distance, forest)
+            ends = [np.array(x, np.uint64).view(np.int64) for x in forest.edges()]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
 
-    dealt = distinct.select("fp").mapInArrow(deal, "bucket long, fps binary").repartition(F.col("bucket"))
-    return dealt.mapInArrow(link, "src long, dst long")
+    dealt = distinct.select("fp").mapInArrow(lean(deal), "bucket long, fps binary")
+    dealt = by_group(dealt, "bucket")
+    return dealt.mapInArrow(lean(link), "src long, dst long")
 
 
 def classes(fps: DataFrame, distance: int = 4) -> DataFrame:
@@ -211,107 +236,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     kept; an empty table gives an empty result; other columns of ``docs`` are ignored."""
     found = classes(materialize(fingerprints(docs, shingle), "docfps"), distance)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# Wide near-duplicates: two independent words of 64 bits each.
-
-
-def node_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One number for a pair of words."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, node, a, b of every row: the SimHash under two seeds, and a number for the pair."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            a, b = (np.fromiter((fingerprint(t, shingle, seed) for t in texts), np.uint64, len(texts)) for seed in (SEED, SEED + 1))
-            columns = [pa.array(x.view(np.int64)) for x in (node_of(a, b), a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "node", "a", "b"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, node long, a long, b long")
-
-
-def link_wide_rows(a: np.ndarray, b: np.ndarray, mask: int, distance: int, total: int, forest: _Forest, swapped: bool = False) -> None:
-    """Links, up to connectivity, between pairs of words that share a cell of the grid ``mask`` of the first: at most
-    ``distance`` bits differ in the first, ``total`` in both. ``swapped``: the first is the second word of a pair."""
-    name = lambda: node_of(b, a) if swapped else node_of(a, b)
-    _, first = np.unique(name(), return_index=True)
-    a, b = a[first], b[first]
-    vectors = embed(a)
-    order = np.argsort(vectors & np.uint64(mask), kind="stable")
-    a, b, vectors = a[order], b[order], vectors[order]
-    keys, nodes = vectors & np.uint64(mask), name()
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.array([], int)
-    sizes = np.diff(np.append(starts, len(keys)))
-    size_of = np.repeat(sizes, sizes)
-
-    def near(i, j):
-        d = np.bitwise_count(a[i] ^ a[j])
-        return (np.bitwise_count(vectors[i] ^ vectors[j]) <= distance) & (d <= distance) & (d.astype(int) + np.bitwise_count(b[i] ^ b[j]) <= total)
-
-    for lag in range(1, min(_SMALL_CELL, len(keys))):
-        i = np.flatnonzero((size_of[lag:] <= _SMALL_CELL) & (keys[lag:] == keys[:-lag]))
-        if not len(i):
-            break
-        i = i[near(i, i + lag)]
-        for x, y in zip(nodes[i].tolist(), nodes[i + lag].tolist()):
-            forest.join(x, y)
-    large = sizes > _SMALL_CELL
-    for s, n in zip(starts[large].tolist(), sizes[large].tolist()):
-        waiting = np.arange(s, s + n)
-        while len(waiting):  # from each one reached to those not yet reached
-            frontier, waiting = [int(waiting[0])], waiting[1:]
-            while frontier and len(waiting):
-                u = frontier.pop()
-                hit = near(waiting, u)
-                if hit.any():
-                    for v in waiting[hit].tolist():
-                        forest.join(int(nodes[u]), int(nodes[v]))
-                        frontier.append(v)
-                    waiting = waiting[~hit]
-
-
-def wide_classes(docs: DataFrame, shingle: int, distance: int, total: int) -> DataFrame:
-    """doc_id, component_id: near-duplicates by both words. Candidates come from the grids of either word."""
-    fps = materialize(wide_fingerprints(docs, shingle), "widefps")
-    distinct = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("a").alias("a"), F.first("b").alias("b")), "wide")
-    masks = grids(distance)
-    parts = max(1, -(-distinct.count() // 200_000))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1)]
-            buckets, blobs = [], []
-            for side in (0, 1):
-                pair = np.stack((words[side], words[1 - side]), axis=1)
-                vectors = embed(words[side])
-                for k, mask in enumerate(masks):
-                    part = (((vectors & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
-                    for p in range(parts):
-                        own = pair[part == p] if parts > 1 else pair
-                        if len(own):
-                            buckets.append((side * len(masks) + k) * parts + p)
-                            blobs.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "pairs"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(bucket, []).append(blob)
-        forest = _Forest()
-        for bucket in list(held):
-            pair = np.frombuffer(b"".join(held.pop(bucket)), np.uint64).reshape(-1, 2)
-            link_wide_rows(pair[:, 0].copy(), pair[:, 1].copy(), masks[bucket // parts % len(masks)], distance, total, forest, bucket // parts >= len(masks))
-        ends = [np.array(x, np.uint64).view(np.int64) for x in forest.edges()]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["src", "dst"])
-
-    edges = distinct.select("a", "b").mapInArrow(deal, "bucket long, pairs binary").repartition(F.col("bucket")).mapInArrow(link, "src long, dst long")
-    stars = components(edges)
-    rooted = distinct.select("node", "first_id").join(stars, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.select("doc_id", "node").join(rooted.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

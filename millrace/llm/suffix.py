@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions, text_or_empty
+from .common import lean, materialize, partitions, text_or_empty
 
 LENGTH = 100
 GRAM = 40
@@ -141,7 +141,7 @@ def _anchor_hashes(docs: DataFrame, buckets: int) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "k", "h", "at", "code"])
 
-    return docs.mapInArrow(run, "bucket int, k binary, h binary, at binary, code binary")
+    return docs.mapInArrow(lean(run), "bucket int, k binary, h binary, at binary, code binary")
 
 
 _RUN = np.dtype([("k", "<i8"), ("h", "<i8"), ("start", "<u4"), ("n", "<u4")])
@@ -173,7 +173,7 @@ def _by_document(dealt: DataFrame) -> DataFrame:
             ends = np.append(new[1:], len(r))
             yield pa.RecordBatch.from_arrays([pa.array(r["k"][new]), pa.array(r["h"][new]), pa.array([pairs[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], ["k", "h", "runs"])
 
-    return dealt.repartition(F.col("to")).mapInArrow(run, "k long, h long, runs binary")
+    return dealt.repartition(F.col("to")).mapInArrow(lean(run), "k long, h long, runs binary")
 
 
 def _repeated(anchors: DataFrame, buckets: int) -> DataFrame:
@@ -195,7 +195,7 @@ def _repeated(anchors: DataFrame, buckets: int) -> DataFrame:
             out["k"], out["h"], out["start"] = k[twice], h[twice], at[twice]
             yield _dealt(out, buckets)
 
-    found = anchors.repartition(F.col("bucket")).mapInArrow(run, "to int, runs binary")
+    found = anchors.repartition(F.col("bucket")).mapInArrow(lean(run), "to int, runs binary")
     return _by_document(found).withColumnRenamed("runs", "ats")
 
 
@@ -239,7 +239,7 @@ def _stretches(found: DataFrame, buckets: int) -> DataFrame:
                 ["bucket", "heads", "data", "runs"],
             )
 
-    return found.mapInArrow(run, "bucket int, heads binary, data binary, runs binary")
+    return found.mapInArrow(lean(run), "bucket int, heads binary, data binary, runs binary")
 
 
 def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -366,7 +366,7 @@ def _sorted_buckets(stretches: DataFrame, buckets: int) -> DataFrame:
         if runs:
             yield _dealt(np.concatenate(runs), buckets)
 
-    return _by_document(stretches.repartition(F.col("bucket")).mapInArrow(run, "to int, runs binary"))
+    return _by_document(stretches.repartition(F.col("bucket")).mapInArrow(lean(run), "to int, runs binary"))
 
 
 def _blocks(heads: np.ndarray, data: bytes) -> Iterator[np.ndarray]:
@@ -438,7 +438,7 @@ def _with_ranges(docs: DataFrame, kind: str, make) -> DataFrame:
             types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, types[k.split()[1]]) for c, k in zip(columns, kind.split(", ")[1:]))], names)
 
-    return met.mapInArrow(run, kind)
+    return met.mapInArrow(lean(run), kind)
 
 
 def _rest(text: bytes, ranges: list[tuple[int, int]]) -> bytes:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lean, materialize
 
 LISTS = 4
 #: Rows and queries of one block; a block of 64 dimensions has about 2 MB and 0.5 MB.
@@ -62,7 +62,7 @@ def _pack(rows: DataFrame, block_rows: int) -> DataFrame:
         for dim in list(held):
             yield flush(dim)
 
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(lean(run), kind)
 
 
 def _matrix(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def _meet(blocks: DataFrame, queries: DataFrame, run) -> DataFrame:
 
     spread = max(1, blocks.sparkSession.sparkContext.defaultParallelism)
     met = blocks.join(queries, "dim").repartition(spread, "block", "q_block")
-    return met.mapInArrow(each, kind)
+    return met.mapInArrow(lean(each), kind)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -166,9 +166,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b] * len(ids), pa.string()), pa.array(ids)], ["q_block", "query_id"])
 
     # each block of queries gets its cutoffs: at most BLOCK_QUERIES of them
-    of_block = q.select("q_block", "q_ids").mapInArrow(members, "q_block string, query_id long").join(cut, "query_id")
+    of_block = q.select("q_block", "q_ids").mapInArrow(lean(members), "q_block string, query_id long").join(cut, "query_id")
     cuts = of_block.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "cutoff")).alias("cuts"))
-    bounded = q.join(cuts, "q_block", "left").mapInArrow(attach, "q_block string, dim int, q_ids binary, q_data binary, cutoffs binary")
+    bounded = q.join(cuts, "q_block", "left").mapInArrow(lean(attach), "q_block string, dim int, q_ids binary, q_data binary, cutoffs binary")
     last = _meet(blocks, bounded, lambda ri, r, qi, qs, c: resolved(ri, r, qi, qs, c, k))
     out = last.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

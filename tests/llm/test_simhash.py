@@ -34,23 +34,6 @@ def brute_roots(fps, distance=4):
     return {f: find(f) for f in fs}
 
 
-def wide_roots(pairs, distance, total):
-    up = {p: p for p in pairs}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    ps = sorted(up)
-    for i, x in enumerate(ps):
-        for y in ps[:i]:
-            d, e = (x[0] ^ y[0]).bit_count(), (x[1] ^ y[1]).bit_count()
-            if min(d, e) <= distance and d + e <= total:
-                up[find(x)] = find(y)
-    return {p: find(p) for p in ps}
-
-
 @given(st.text(alphabet="aB \n\té ", max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_fingerprint(text):
@@ -86,28 +69,28 @@ def test_links_match_brute_force():
         assert back.setdefault(forest.find(f), want[f]) == want[f]
 
 
-def test_wide_links_match_brute_force():
-    rng = random.Random(4)
-    pairs = set()
-    for _ in range(10):
-        centre = [rng.getrandbits(64), rng.getrandbits(64)]
-        for _ in range(80):
-            x = list(centre)
-            for _ in range(rng.randrange(16)):
-                x[rng.randrange(2)] ^= 1 << rng.randrange(64)
-            pairs.add(tuple(x))
-    pairs |= {(rng.getrandbits(64), rng.getrandbits(64)) for _ in range(200)}
-    a, b = (np.array([p[i] for p in sorted(pairs)], np.uint64) for i in (0, 1))
+def test_large_cells_are_cut_by_finer_grids(monkeypatch):
+    monkeypatch.setattr(simhash, "_LARGE_CELL", 60)
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = {base}
+    while len(fps) < 900:  # one dense cloud, so that cells are large
+        x = base
+        for _ in range(rng.randrange(12)):
+            x ^= 1 << rng.randrange(64)
+        fps.add(x)
     forest = simhash._Forest()
-    for mask in simhash.grids(8):
-        simhash.link_wide_rows(a, b, mask, 8, 20, forest)
-        simhash.link_wide_rows(b, a, mask, 8, 20, forest, True)
-    nodes = dict(zip(sorted(pairs), simhash.node_of(a, b).tolist()))
-    want = wide_roots(pairs, 8, 20)
-    got, back = {}, {}
-    for p, n in nodes.items():
-        assert got.setdefault(want[p], forest.find(n)) == forest.find(n)
-        assert back.setdefault(forest.find(n), want[p]) == want[p]
+    for mask in simhash.grids(4):
+        simhash.link_cell_rows(np.array(sorted(fps), np.uint64), mask, 4, forest)
+    want = brute_roots(fps)
+    pairs = {(want[f], forest.find(f)) for f in fps}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_long_text_is_hashed_in_parts(monkeypatch):
+    monkeypatch.setattr(simhash, "HASHED", 7)
+    text = " ".join(f"w{i % 41}" for i in range(3000)) + "\n "
+    assert simhash.fingerprint(text.encode()) == brute_fp(text)
 
 
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
