@@ -2,8 +2,9 @@
 
 Adjacent symbol pairs whose joint piece is known wait in an agenda ordered by score, then position; the best is
 merged and its new neighbours are entered. Where no piece runs from another character into a word mark or over a
-line break, a text falls into chunks that merge independently; results are kept by chunk, and each chunk that is new
-to a worker is checked against the sentencepiece library, in groups of an Arrow batch.
+line break, a text falls into chunks that merge independently; a task keeps results by chunk, up to so many bytes, and
+holds each new chunk against the sentencepiece library, ids and decoded text, in groups of an Arrow batch. Results are
+always the agenda's own; ``off`` counts the chunks of a text on which the two differ, and is zero where all is well.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 #: Symbols of a chunk up to which the agenda is a plain list.
 SHORT = 64
-#: Chunks of one generation that a Python worker keeps; two generations are held.
-KEPT = 250_000
+#: About so many bytes of chunks and results that a task keeps; half of them are the ones used before.
+KEPT_BYTES = 40 << 20
 #: Symbols of a chunk up to which many chunks are merged together.
 WIDE = 32
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
@@ -138,7 +141,8 @@ class Model:
     def _boundaries(self) -> str:
         """A pattern for chunks that merge independently: no piece runs over their ends."""
         joined = "\n".join(self.ids)
-        if re.search(f"[^{MARK}\n]{MARK}", joined) or any("\n" in p for p in self.ids):
+        self.whole = bool(re.search(f"[^{MARK}\n]{MARK}", joined) or any("\n" in p for p in self.ids))
+        if self.whole:
             return r"(?s).+"
         return r" *[^ \n]+| +|\n"
 
@@ -207,8 +211,8 @@ class Model:
             else:
                 out[i] = self.encode_chunk(c)
         for width, at in by_width.items():
-            for lo in range(0, len(at), 1 << 14):
-                part = at[lo : lo + (1 << 14)]
+            for lo in range(0, len(at), 1 << 12):
+                part = at[lo : lo + (1 << 12)]
                 for i, ids in zip(part, self._merge_rows([chunks[i] for i in part], width)):
                     out[i] = self.encode_chunk(chunks[i]) if ids is None else ids
         return out
@@ -292,8 +296,17 @@ class Model:
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks.findall(self.normalise(text)) for i in self.encode_chunk(c)]
 
+    @cached_property
+    def _plain_text(self) -> list[str | None]:
+        """The text of each piece; None for bytes, controls and the unknown piece."""
+        return [None if k in (_UNKNOWN, _CONTROL, _BYTE) else p.replace(MARK, " ") for p, k in zip(self.pieces, self.kinds)]
+
     def _surface(self, ids: list[int]) -> str:
         """Text of ids with the leading word mark still there."""
+        try:
+            return "".join([self._plain_text[i] for i in ids])
+        except TypeError:  # one of them is no plain piece
+            pass
         out, raw = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -309,8 +322,10 @@ class Model:
         return "".join(out).replace(MARK, " ")
 
     def decode(self, ids: list[int]) -> str:
-        text = self._surface(ids)
-        return text[1:] if self.prefix and ids and self.pieces[ids[0]].startswith(MARK) else text
+        return self._plain(ids, self._surface(ids))
+
+    def _plain(self, ids: list[int], surface: str) -> str:
+        return surface[1:] if self.prefix and ids and self.pieces[ids[0]].startswith(MARK) else surface
 
 
 def _utf8(raw: bytes) -> str:
@@ -339,41 +354,51 @@ def _library(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def _checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int]]]:
-    """Ids of chunks by the agenda, held against the library. A line break before each chunk keeps the library's
-    own leading word mark apart; should the two ever differ, the library's ids are taken."""
+def checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int], str, bool]]:
+    """Each chunk with its ids by the agenda, their surface, and whether the library finds the same ids and decodes them
+    to the same text. A line break before each chunk keeps the library's own leading word mark apart."""
     own = m.encode_chunks(chunks)
-    head = lib.encode("\n")
-    for chunk, ids, other in zip(chunks, own, lib.encode(["\n" + c for c in chunks], num_threads=1)):
-        yield chunk, ids if other[: len(head)] != head or ids == other[len(head) :] else other[len(head) :]
-
-
-#: What a Python worker keeps from task to task, by model and kind of entry: the chunks of now and of before.
-_known: dict[tuple[str, str], tuple[dict, dict]] = {}
-
-
-def _encoder(path: str, kind: str, entry):
-    """A function from texts to lists of ``entry(chunk, ids)``, one list for each text, an entry for each chunk."""
-    m, lib = model(path), _library(path)
-
-    def run(texts: list[str]) -> list[list]:
-        now, before = _known.setdefault((path, kind), ({}, {}))
-        if len(now) > KEPT:
-            now, before = _known[path, kind] = {}, now
+    if m.whole:
+        head, asked = [], [c[1:] if m.prefix else c for c in chunks]
+    else:
+        head, asked = lib.encode("\n"), ["\n" + c for c in chunks]
+    decoded, skip = lib.decode(own), len(head)
+    for chunk, ids, other, text in zip(chunks, own, lib.encode(asked, num_threads=1), decoded):
+        surface = m._surface(ids)
+        plain = surface[1:] if surface.startswith(" ") and m.prefix else surface
+        yield chunk, ids, surface, other[skip:] == ids and (text == plain or text == m._plain(ids, surface))
+
+
+class Encoder:
+    """From texts to ``entry(ids, surface)`` of their chunks, each a tuple, and the number of chunks that the library sees
+    otherwise. Chunks are kept in two generations, each of half of KEPT_BYTES."""
+
+    def __init__(self, path: str, entry) -> None:
+        self.model, self.library, self.entry = model(path), _library(path), entry
+        self.now: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+        self.size = 0
+
+    def __call__(self, texts: list[str]) -> list[tuple[list, int]]:
+        if self.size > KEPT_BYTES // 2:
+            self.now, self.before, self.size = {}, self.now, 0
+        m, now, entry = self.model, self.now, self.entry
         chunks = [m.chunks.findall(m.normalise(text)) for text in texts]
         new = set(chain.from_iterable(chunks)).difference(now)
-        if before:
-            found = [c for c in new if c in before]
-            now.update((c, before[c]) for c in found)
-            new.difference_update(found)
-        if new:
-            now.update((c, entry(c, ids)) for c, ids in _checked(m, lib, list(new)))
-        return [[now[c] for c in own] for own in chunks]
-
-    return run
+        known = new.intersection(self.before)
+        now.update((c, self.before[c]) for c in known)
+        fresh = list(new.difference(known))
+        for c, ids, surface, same in checked(m, self.library, fresh) if fresh else ():
+            now[c] = (*entry(ids, c if surface == c else surface), not same)
+        self.size += 300 * len(new) + 3 * sum(map(len, new))
+        out = []
+        for own in chunks:
+            found = [now[c] for c in own]
+            out.append((found, sum([f[-1] for f in found])))
+        return out
 
 
-def _groups(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _groups(batch: pa.RecordBatch, rows: int = 320, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch, of so many rows and about so many characters at most, with their texts."""
     at = 0
     while at < batch.num_rows:
@@ -387,16 +412,16 @@ def _groups(batch: pa.RecordBatch, rows: int = 256, size: int = 1 << 21) -> Iter
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids, decoded for each row of ``docs``: the token ids of the whole text, without begin or end ids,
-    and the text that they decode to. A null text counts as empty and has no ids."""
-    return _encoded(docs, path, "decoded string", lambda m, ids, text: m.decode(ids))
+    """doc_id, ids, decoded, off for each row of ``docs``: the token ids of the whole text, without begin or end ids, and
+    the text that they decode to. A null text counts as empty and has no ids."""
+    return _encoded(docs, path, "decoded string", lambda back, text: back)
 
 
 def encoded_rows(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, round_trip for each row of ``docs``: as ``encoded``, with whether the ids decode to
+    """doc_id, n_tokens, ids, round_trip, off for each row of ``docs``: as ``encoded``, with whether the ids decode to
     the text (word marks that stand in the text itself come back as spaces)."""
-    found = _encoded(docs, path, "round_trip boolean", lambda m, ids, text: m.decode(ids) == text)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    found = _encoded(docs, path, "round_trip boolean", lambda back, text: back == text)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", "off")
 
 
 def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
@@ -405,36 +430,42 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        encode = _encoder(path, "ids", lambda _, ids: array("i", ids).tobytes())  # four bytes an id
+        encode = Encoder(path, lambda ids, surface: (array("i", ids).tobytes(), surface))  # four bytes an id
         for batch in batches:
             for part, texts in _groups(batch):
-                ids = [np.frombuffer(b"".join(found), np.int32) for found in encode(texts)]
-                more = [check(m, i.tolist(), t) for i, t in zip(ids, texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow)], ["doc_id", "ids", name])
+                ids, more, off = [], [], []
+                for (found, wrong), text in zip(encode(texts), texts):
+                    ids.append(np.frombuffer(b"".join([f[0] for f in found]), np.int32))
+                    back = "".join([f[1] for f in found])
+                    more.append(check(back[1:] if m.prefix else back, text))
+                    off.append(wrong)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow), pa.array(off, pa.int64())], ["doc_id", "ids", name, "off"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, ids array<int>, {column}")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, ids array<int>, {column}, off long")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256. The ids of a document are
+    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, off. The ids of a document are
     not kept as a list: each chunk brings its ids and its decoded form as text. Null and empty texts have no tokens
-    and the digests of empty strings; repeated rows are kept; other columns are ignored; an empty table gives an
-    empty result."""
+    and the digests of empty strings; very long texts are handled by themselves, chunk by chunk; repeated rows are
+    kept; other columns are ignored; an empty table gives an empty result."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         decimal = [f"{i}," for i in range(len(m.pieces))]
-        encode = _encoder(path, "text", lambda c, ids: ("".join([decimal[i] for i in ids]), len(ids), m._surface(ids)))
+        encode = Encoder(path, lambda ids, surface: ("".join([decimal[i] for i in ids]), len(ids), surface))
         for batch in batches:
             for part, texts in _groups(batch):
-                n, ids, text = [], [], []
-                for found in encode(texts):
-                    heads, sizes, surfaces = zip(*found) if found else ((), (), ())
+                n, ids, text, off = [], [], [], []
+                for found, wrong in encode(texts):
+                    heads, sizes, surfaces, _ = zip(*found) if found else ((), (), (), ())
                     n.append(sum(sizes))
                     ids.append(sha("".join(heads)[:-1]))
                     out = "".join(surfaces)
                     text.append(sha(out[1:] if m.prefix else out))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    off.append(wrong)
+                columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(off, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "off"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, off long")

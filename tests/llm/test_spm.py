@@ -57,7 +57,25 @@ def test_odd_rows(spark, odd_docs, odd_rows, no_docs, lib):
     for r in odd_rows:
         ids = lib.encode(r[1] or "")
         want.append((r[0], len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids))))
-    assert Counter(map(tuple, spm.digests(odd_docs, PATH).collect())) == Counter(want)
+    assert Counter(map(tuple, spm.digests(odd_docs, PATH).collect())) == Counter((*w, 0) for w in want)
     assert spm.digests(no_docs, PATH).count() == 0
     rows = {(r.doc_id, tuple(r.ids), r.decoded) for r in spm.encoded(odd_docs, PATH).collect()}
     assert rows == {(r[0], tuple(ids := lib.encode(r[1] or "")), lib.decode(ids)) for r in odd_rows}
+
+
+def test_a_wrong_agenda_shows(lib, own, monkeypatch):
+    chunks = [" national", " station", "\n"]
+    assert [c[3] for c in spm.checked(own, lib, chunks)] == [True] * 3
+    right = own.encode_chunks(chunks)
+    monkeypatch.setattr(own, "encode_chunks", lambda _: [right[0], right[1][:-1] + [300], right[2]])
+    found = list(spm.checked(own, lib, chunks))
+    assert [c[3] for c in found] == [True, False, True] and found[1][1] == right[1][:-1] + [300]
+
+
+def test_generations_of_chunks(monkeypatch):
+    texts = [f"word{i} and word{i % 7}" for i in range(400)]
+    entry = lambda ids, surface: (tuple(ids),)
+    want = [spm.Encoder(PATH, entry)([t])[0] for t in texts]
+    monkeypatch.setattr(spm, "KEPT_BYTES", 5000)
+    small = spm.Encoder(PATH, entry)
+    assert [small([t])[0] for t in texts] == want and all(w == 0 for _, w in want) and len(small.now) + len(small.before) < 100
