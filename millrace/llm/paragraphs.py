@@ -23,16 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .buckets import links as bucket_edges
+from .common import buckets_for, by_group, groups, lean, materialize
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-MIN_WORDS = 12
+MIN_WORDS = 20
+#: A document belongs to the class of the document it repeats if at least this share of its text repeats.
+CLASS_SHARE = 0.5
 BAND_ROWS = 3
 RECALL = 0.985
 WINDOW, GAP = 20, 8
-_LEAST = -(2**63)
+#: Keys of rows without an id of their own lie at or below this.
+_ODD = -(2**62)
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*[^\S\n]*|[.!?]+[^\S\n]*|\n")
 
 
@@ -154,7 +158,7 @@ def _unit_table(docs: DataFrame) -> DataFrame:
             kinds = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lines, pa.int32()), *(pa.array(c, t) for c, t in zip((starts, ends, hashes), kinds))], ["k", "doc_id", "lines", "starts", "ends", "hashes"])
 
-    return docs.mapInArrow(run, "k long, doc_id long, lines int, starts array<int>, ends array<int>, hashes array<long>")
+    return docs.mapInArrow(lean(run), "k long, doc_id long, lines int, starts array<int>, ends array<int>, hashes array<long>")
 
 
 #: A window's place is a number above all ordinals of lines and groups: mark, start, length.
@@ -191,20 +195,16 @@ def _repeated_windows(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "units", "ks", "places"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append(tuple(blobs))
-        for bucket in list(held):
-            unit, k, place = (np.frombuffer(b"".join(x), np.int64) for x in zip(*held.pop(bucket)))
+        for bucket in groups(batches):
+            unit, k, place = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), np.int64) for c in ("units", "ks", "places"))
             order = np.argsort(unit, kind="stable")
             same = unit[order][1:] == unit[order][:-1]
             order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
             for i in range(0, len(order), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(x[order[i : i + (1 << 17)]]) for x in (k, place, unit)], ["k", "ord", "unit"])
 
-    dealt = docs.mapInArrow(deal, "bucket int, units binary, ks binary, places binary")
-    return dealt.repartition(F.col("bucket")).mapInArrow(meet, "k long, ord long, unit long")
+    dealt = docs.mapInArrow(lean(deal), "bucket int, units binary, ks binary, places binary")
+    return by_group(dealt, "bucket").mapInArrow(lean(meet), "k long, ord long, unit long")
 
 
 def _colliding(docs: DataFrame, buckets: int) -> DataFrame:
@@ -230,14 +230,9 @@ def _colliding(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)], ["bucket", "keys", "units"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append(tuple(blobs))
-        for bucket in list(held):
-            parts = held.pop(bucket)
-            key = np.frombuffer(b"".join(p[0] for p in parts), np.uint64)
-            unit = np.frombuffer(b"".join(p[1] for p in parts), np.int64)
+        for bucket in groups(batches):
+            key = np.frombuffer(b"".join(bucket.column("keys").to_pylist()), np.uint64)
+            unit = np.frombuffer(b"".join(bucket.column("units").to_pylist()), np.int64)
             order = np.lexsort((unit, key))
             key, unit = key[order], unit[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (unit[1:] != unit[:-1])))
@@ -246,38 +241,8 @@ def _colliding(docs: DataFrame, buckets: int) -> DataFrame:
             keep = np.concatenate(([False], same)) | np.concatenate((same, [False]))
             yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(unit[keep])], ["key", "unit"])
 
-    dealt = docs.mapInArrow(bands, "bucket int, keys binary, units binary")
-    return dealt.repartition(F.col("bucket")).mapInArrow(meet, "key long, unit long")
-
-
-def bucket_links(sets: list[np.ndarray], threshold: float = THRESHOLD) -> Iterator[tuple[int, int]]:
-    """Edges whose components are those of all pairs of Jaccard similarity of at least ``threshold``: from each unit
-    reached the search compares only with units not yet reached."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    waiting = np.ones(n, bool)
-    for first in range(n):
-        if not waiting[first]:
-            continue
-        waiting[first] = False
-        frontier = [first]
-        while frontier:
-            u = frontier.pop()
-            lo, hi = np.searchsorted(flat, sets[u]), np.searchsorted(flat, sets[u], side="right")
-            spans = hi - lo
-            at = np.repeat(lo, spans) + np.arange(int(spans.sum())) - np.repeat(np.cumsum(spans) - spans, spans)
-            shared = np.bincount(owner[at], minlength=n)
-            near = np.flatnonzero(waiting & (shared >= threshold * (sizes + sizes[u] - shared) - 1e-9))
-            for v in near.tolist():
-                yield u, v
-            waiting[near] = False
-            frontier += near.tolist()
-            if len(near) and n > 64:  # drop the postings of units that are reached
-                keep = waiting[owner]
-                flat, owner = flat[keep], owner[keep]
+    dealt = docs.mapInArrow(lean(bands), "bucket int, keys binary, units binary")
+    return by_group(dealt, "bucket").mapInArrow(lean(meet), "key long, unit long")
 
 
 def _links(docs: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
@@ -299,31 +264,29 @@ def _links(docs: DataFrame, table: DataFrame, buckets: int) -> DataFrame:
                         found[u] = shingles(w).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["unit", "sh"])
 
-    known = docs.select("k", "text").join(by_doc, "k").select("text", "units").mapInArrow(sets, "unit long, sh binary")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, bytes]] = {}
-        for batch in batches:
-            for key, unit, sh in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(key, {})[unit] = sh
-        src, dst = [], []
-        for key in list(held):
-            own = held.pop(key)
-            ids = list(own)
-            for a, b in bucket_links([np.frombuffer(own[u], np.uint64) for u in ids]):
-                src.append(ids[a])
-                dst.append(ids[b])
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    dealt = met.join(known, "unit").select("key", "unit", "sh").repartition(F.col("key"))
-    return dealt.mapInArrow(verify, "src long, dst long")
-
-
-def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The unit table, and k, removed, first: by document the places of units that repeat an earlier place, and the
-    smallest document that holds one of those places first. A row without id counts as before all others."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = partitions(docs.sparkSession)
+    known = docs.select("k", "text").join(by_doc, "k").select("text", "units").mapInArrow(lean(sets), "unit long, sh binary")
+    known = materialize(known.withColumnRenamed("unit", "node"), "sets")
+    return bucket_edges(met.withColumnRenamed("unit", "node"), known, THRESHOLD)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """k, doc_id, text: k is the id where it is there and not repeated, else a number below all ids from the row's id and
+    text; so such rows come before all others, and wholly equal rows are one document."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    again = materialize(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("again")), "repeated")
+    odd = F.lit(_ODD) - F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1))
+    if again.limit(1).count():
+        rows = rows.join(again, "doc_id", "left").withColumn("k", F.when(F.col("doc_id").isNull() | F.col("again"), odd).otherwise(F.col("doc_id")))
+    else:
+        rows = rows.withColumn("k", F.coalesce("doc_id", odd))
+    return rows.select("k", "doc_id", "text")
+
+
+def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows keyed by k, the unit table, and k, removed, first, links: by document the places of units that repeat an
+    earlier place, the smallest document that holds one of those places first, and how many such documents there are."""
+    rows = _keyed(docs)
+    buckets = buckets_for(docs)
     table = materialize(_unit_table(rows), "units")
     stars = components(_links(rows, table, buckets))
     places = table.select("k", F.posexplode("hashes").alias("ord", "unit")).where("unit is not null").withColumn("ord", F.col("ord").cast("long"))
@@ -338,8 +301,8 @@ def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = repeated.where("k = first").groupBy("root").agg(F.min("ord").alias("keep"))
     gone = repeated.where("k <> first").select("k", "ord", "first")
     later = repeated.where("k = first").join(own, "root").where("ord <> keep").select("k", "ord", "first")
-    gone = gone.unionByName(later).groupBy("k").agg(F.sort_array(F.collect_set("ord")).alias("removed"), F.min("first").alias("first"))
-    return table, gone
+    gone = gone.unionByName(later).groupBy("k").agg(F.sort_array(F.collect_set("ord")).alias("removed"), F.min("first").alias("first"), F.count_distinct(F.when(F.col("first") != F.col("k"), F.col("first"))).alias("links"))
+    return rows, table, gone
 
 
 def _union(starts: list[int], ends: list[int], removed: list[int]) -> list[tuple[int, int]]:
@@ -354,35 +317,40 @@ def _union(starts: list[int], ends: list[int], removed: list[int]) -> list[tuple
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines, n_removed (code points), n_spans, removed_spans (start:end,
-    comma-joined), class_id: the smallest doc_id whose passages it repeats, or its own.
+    comma-joined), n_links (documents that hold what it repeats first), class_id: the smallest of them where at least
+    CLASS_SHARE of its text repeats, else its own id.
 
-    Null and empty texts and short lines lose nothing. Rows of one id count as one document: an equal unit at an equal
-    place is one place. Other columns are ignored; an empty table gives an empty result."""
-    table, gone = removals(docs)
+    Null and empty texts and short lines lose nothing; very long texts are cut into units like any other. Rows without id,
+    or whose id is repeated with other texts, come before all others; wholly equal rows count as one document. Other
+    columns are ignored; an empty table gives an empty result."""
+    _, table, gone = removals(docs)
     met = table.join(gone, "k", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines, starts, ends, removed, first = (batch.column(c).to_pylist() for c in ("doc_id", "lines", "starts", "ends", "removed", "first"))
+            ids, lines, starts, ends, removed, first, links = (batch.column(c).to_pylist() for c in ("doc_id", "lines", "starts", "ends", "removed", "first", "links"))
             spans = [_union(a, b, r) if r else [] for a, b, r in zip(starts, ends, removed)]
+            lost = [sum(b - a for a, b in s) for s in spans]
+            length = [e[n - 1] if n else 0 for e, n in zip(ends, lines)]
+            own = [i if f is None or f <= _ODD or i is None or m < CLASS_SHARE * n else min(i, f) for i, f, m, n in zip(ids, first, lost, length)]
             columns = [
                 pa.array(ids, pa.int64()),
                 pa.array(lines, pa.int64()),
-                pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
+                pa.array(lost, pa.int64()),
                 pa.array([len(s) for s in spans], pa.int64()),
                 pa.array([",".join(f"{a}:{b}" for a, b in s) for s in spans], pa.string()),
-                pa.array([i if f is None or f == _LEAST or i is None else min(i, f) for i, f in zip(ids, first)], pa.int64()),
+                pa.array([n or 0 for n in links], pa.int64()),
+                pa.array(own, pa.int64()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_removed", "n_spans", "removed_spans", "class_id"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "n_removed", "n_spans", "removed_spans", "n_links", "class_id"])
 
-    kind = "doc_id long, n_lines long, n_removed long, n_spans long, removed_spans string, class_id long"
-    return met.select("doc_id", "lines", "starts", "ends", "removed", "first").mapInArrow(run, kind)
+    kind = "doc_id long, n_lines long, n_removed long, n_spans long, removed_spans string, n_links long, class_id long"
+    return met.select("doc_id", "lines", "starts", "ends", "removed", "first", "links").mapInArrow(lean(run), kind)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, text without its repeated passages, for each row of ``docs``."""
-    _, gone = removals(docs)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """doc_id, text without its repeated passages, for each row of ``docs``; odd rows as in ``report``."""
+    rows, _, gone = removals(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,4 +363,4 @@ def deduplicated(docs: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return rows.join(gone, "k", "left").select("doc_id", "text", "removed").mapInArrow(run, "doc_id long, text string")
+    return rows.join(gone, "k", "left").select("doc_id", "text", "removed").mapInArrow(lean(run), "doc_id long, text string")

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 
 from millrace.llm import paragraphs as p
+from millrace.llm.buckets import bucket_links
 
 
 
@@ -96,7 +97,7 @@ def test_bucket_search_finds_components():
             out.append(x)
         return out
 
-    assert roots(p.bucket_links(sets)) == roots(pairs)
+    assert roots(bucket_links(sets, p.THRESHOLD)) == roots(pairs)
 
 
 def test_odd_rows(odd_docs, odd_rows, no_docs):
@@ -125,6 +126,15 @@ def test_passage_inside_other_text(spark):
         spans = [tuple(map(int, s.split(":"))) for s in out[i].removed_spans.split(",") if s]
         if i % 2:
             (a, b), at = spans[0], t.index(passages[i // 2].upper())
-            assert len(spans) == 1 and at <= a and b <= at + len(passages[i // 2]) and len(t[a:b].split()) >= 50 - 2 * (p.GAP - 1) and out[i].class_id == i - 1
+            assert len(spans) == 1 and at <= a and b <= at + len(passages[i // 2]) and len(t[a:b].split()) >= 50 - 2 * (p.GAP - 1) and out[i].n_links == 1 and out[i].class_id == i
         else:
             assert not spans
+
+
+def test_repeated_ids(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(40))
+    a, b, c, d, e = (line() for _ in range(5))
+    rows = [(None, a + "\n" + b), (None, c + "\n" + d), (5, a), (7, e + "\n" + b), (7, d + "\n" + e), (9, e)]
+    out = {(r.doc_id, r.n_lines, r.n_removed) for r in p.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (None, 2, 0) in out and (5, 1, len(a)) in out and (9, 1, len(e)) in out
