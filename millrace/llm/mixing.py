@@ -10,6 +10,7 @@ order, without overlap, and shuffled inside their shard. All draws follow from `
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -19,10 +20,9 @@ from .common import materialize, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
-#: Blocks of a source at most; more documents make larger blocks.
-MAX_BLOCKS = 4096
-BLOCK_DOCS = 64
-SHARDS = 16
+#: Words of a shard, about; a mix has MIN_SHARDS to MAX_SHARDS, and larger shards are written by several tasks.
+SHARD_WORDS = 4_000_000
+MIN_SHARDS, MAX_SHARDS = 16, 1024
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = MAX_REPEATS) -> list[float]:
@@ -72,10 +72,20 @@ def _hash(seed: int, *columns):
     return F.xxhash64(F.lit(seed), *columns)
 
 
-def placements(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_REPEATS, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+def shard_count(words: int) -> int:
+    return max(MIN_SHARDS, min(MAX_SHARDS, -(-words // SHARD_WORDS)))
+
+
+def placements(docs: DataFrame, **options) -> DataFrame:
+    return _placed(docs, **options)[0]
+
+
+def _placed(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_REPEATS, shards: int | None = None, seed: int = 1) -> tuple[DataFrame, int, int]:
     """One row for each row of ``docs``: doc_id, source, size (words), source_size, target, and placed: an array of
-    (shard, place), one entry for each time that the mix takes the document. Sorting a shard by place is its
-    shuffle. Sources are in code point order, null last, and weigh ``weights``, repeating.
+    (shard, place), one entry for each time that the mix takes the document; the number of shards, and of words. Sorting
+    a shard by place is its shuffle. Sources are in code point order, null last, and weigh ``weights``, repeating.
+    A source of n documents has about sqrt(n) blocks, so neither the list of its blocks nor the block at the cut grows
+    large. The driver holds one row a source and one number a source and shard.
 
     Null texts have size 0; a source without words is not taken; rows that repeat a doc_id are told apart by their
     text's hash, or taken together where that is the same too; an empty table gives an empty result."""
@@ -86,10 +96,12 @@ def placements(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_REPEATS
     stats = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("words")).collect()  # one row a source
     stats.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     wanted = targets([r.words for r in stats], [weights[i % len(weights)] for i in range(len(stats))], cap)
+    total = sum(r.words for r in stats)
+    shards = shards or shard_count(total)
     plan = []
     for i, (r, target) in enumerate(zip(stats, wanted)):
         times = min(cap, int(target // r.words)) if r.words else 0
-        plan.append((i, r.source, r.words, target, max(1, min(MAX_BLOCKS, -(-r.n // BLOCK_DOCS))), times, 0.0 if times == cap else target - times * r.words))
+        plan.append((i, r.source, r.words, target, math.isqrt(max(1, r.n - 1)) + 1, times, 0.0 if times == cap else target - times * r.words))
     kind = "s int, source string, source_size long, target double, blocks int, times int, rest double"
     sources = spark.createDataFrame(plan, kind)
     rows = rows.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
@@ -122,22 +134,25 @@ def placements(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = MAX_REPEATS
     out = rows.join(of_block, ["s", "block"], "left")
     mine = F.filter(F.coalesce("shares", F.array().cast("array<struct<repeat:int,shard:int>>")), lambda x: x["repeat"] < F.col("times") + F.col("extra"))
     placed = F.transform(mine, lambda x: F.struct(x["shard"].alias("shard"), _hash(seed + 4, "doc_id", "h", x["repeat"]).alias("place")))
-    return out.select("doc_id", "source", "size", "source_size", "target", placed.alias("placed"), "h")
+    return out.select("doc_id", "source", "size", "source_size", "target", placed.alias("placed"), "h"), shards, total
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time a document is taken, in shards whose rows are
-    shuffled. Rows are not collected by source: each finds its own places."""
-    names = docs.columns
-    where = placements(docs, **options).where(F.size("placed") > 0).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "placed").distinct()
-    keyed = docs.withColumn("__h2", F.xxhash64(text_or_empty()))
-    met = keyed.join(where, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__h2") == F.col("__h")))
-    spread = met.select(*names, F.explode("placed").alias("__at"))
-    shards = options.get("shards", SHARDS)
-    return spread.repartition(shards, F.col("__at.shard")).sortWithinPartitions("__at.shard", "__at.place").select(*names)
+    shuffled. Rows are not collected by source: each finds its own places. Rows that repeat one another by id and text are
+    taken together; texts without words are not taken, nor are sources without any; rows without id mix like others."""
+    found, shards, words = _placed(docs, **options)
+    where = found.where(F.size("placed") > 0).select(F.col("doc_id").alias("id"), "h", "placed").distinct()
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own"), F.xxhash64(text_or_empty()).alias("code"))
+    met = keyed.join(where, F.col("own").eqNullSafe(F.col("id")) & (F.col("code") == F.col("h")))
+    # a task takes a range of places of one shard, of about SHARD_WORDS
+    tasks = max(1, -(-words // (shards * SHARD_WORDS)))
+    spread = met.select("row", F.explode("placed").alias("at")).select("row", "at.shard", "at.place")
+    spread = spread.withColumn("part", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * tasks).cast("int"))
+    return spread.repartition(shards * tasks, "shard", "part").sortWithinPartitions("shard", "place").select("row.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``."""
+    """doc_id, size, source_size, target, taken, shards (one for each time the mix takes it) for each row of ``docs``."""
     found = placements(docs, **options)
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placed")).alias("taken"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("placed")).alias("taken"), F.array_sort(F.col("placed.shard")).alias("shards"))
