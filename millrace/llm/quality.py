@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .langid import held_out
 from .ngrams import word_ngrams
 
@@ -68,7 +69,8 @@ class Ftrl:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
-    """``docs``: doc_id, text. ``labels``: doc_id, quality (0 or 1; others are passed over)."""
+    """``docs``: doc_id, text. ``labels``: doc_id, quality (0 or 1; others are passed over). Of rows that repeat an id the
+    one of least text is learned from, so the driver gets at most ``limit`` rows."""
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     picked = good.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     marks = {r[0]: r[1] for r in picked.collect()}  # at most ``limit``
@@ -81,8 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
 
     machine = Ftrl(1 << BITS)
     if marks:
-        rows = docs.where(F.col("doc_id").isin(*marks)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        found = rows.mapInArrow(run, "doc_id long, cells array<int>, x array<float>").toArrow()
+        rows = docs.where(F.col("doc_id").isin(*marks)).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+        found = rows.mapInArrow(lean(run), "doc_id long, cells array<int>, x array<float>").toArrow()
         texts = [(i, c.values.to_numpy(), x.values.to_numpy()) for i, c, x in zip(found.column(0).to_pylist(), found.column(1), found.column(2))]
         texts.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
         rng = np.random.default_rng(9)
@@ -102,7 +105,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -110,7 +113,8 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     out (crc32 of the id modulo 3 is 1).
 
     Null and empty texts get the score of the bias alone; without labels every score is 0.5; of several labels of
-    one id the smaller counts; rows without an id are scored but not learned from; other columns are ignored."""
+    one id the smaller counts; rows without an id are scored but not learned from; repeated rows are scored alike and
+    learned from once; very long texts are scored whole; other columns are ignored."""
     out = held_out(F.col("doc_id"), 3, 1)
     model = fit(docs.where(~out), labels.where(~out), **options)
     found = scores(docs, model)
