@@ -1,15 +1,18 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust the score.
 
-Four base kinds follow fixed rules and always stay: email, ip, card, phone. The added kinds (iban by mod 97,
-nino and ssn by their formats) need a score of at least ``threshold``; context words before a span raise it.
+Four base kinds follow fixed rules and always stay: email, ip, card, phone. The added kinds need a score of at least
+``threshold``, which context words on either side of a span raise: iban by mod 97, nino and ssn by their formats, key
+(blocks of private keys), secret (runs of letters and digits by their entropy, surer behind a prefix of an issuer).
 All scans are linear in the text: runs are matched greedily once and not retried from inside, but for an IBAN's at most
 34 characters.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import lean
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("iban", "ssn", "nino")
+ADDED_KINDS = ("iban", "ssn", "nino", "key", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-#: Words that speak for a kind when they stand within CONTEXT_CHARS before a span.
+#: Words that speak for a kind when they stand within CONTEXT_CHARS before or after a span.
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server"),
@@ -32,9 +35,11 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "taxpayer"),
     "nino": ("nino", "insurance", "national"),
+    "key": ("key",),
+    "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "auth", "bearer", "credential", "credentials", "passwort", "clave"),
 }
 CONTEXT_CHARS = 40
-BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "nino": 0.3}
+BASE_SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "nino": 0.3, "key": 1.0, "secret": 0.3}
 CONTEXT_BONUS = 0.4
 THRESHOLD = 0.6
 
@@ -44,8 +49,15 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE_HEAD = re.compile(r"\+[0-9][ ().0-9-]++")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SSN = re.compile(r"(?<![A-Za-z0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9-])")
 _NINO = re.compile(r"(?<![A-Za-z0-9])[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z][0-9]{6}[A-D](?![A-Za-z0-9])")
+_KEY = re.compile(r"-----BEGIN (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----")
+_KEY_END = re.compile(r"-----END (?:[A-Z]{1,20} ){0,3}PRIVATE KEY-----")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]++)*+={0,2}(?![@])")
+#: Prefixes that issuers give their keys and tokens.
+_ISSUED = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20}|glpat-|xox[abprs]-|sk-[A-Za-z0-9_-]{16}|[sr]k_live_|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.")
+#: Bits a character that a secret has at least.
+SECRET_ENTROPY = 3.0
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|-)*")
 
 
@@ -138,9 +150,32 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
         m = _IBAN.search(text, after)
 
 
-def _near(text: str, kind: str, start: int) -> bool:
-    before = text[max(0, start - CONTEXT_CHARS) : start].lower()
-    return any(w in CONTEXT[kind] for w in _WORD.findall(before))
+def keys(text: str) -> Iterator[tuple[int, int]]:
+    """Blocks of private keys; one without an end reaches to the end of its line."""
+    at = 0
+    while m := _KEY.search(text, at):
+        end = _KEY_END.search(text, m.end())
+        at = end.end() if end else len(text) if (n := text.find("\n", m.end())) < 0 else n
+        yield m.start(), at
+
+
+def entropy(run: str) -> float:
+    """Bits a character, from the run's own frequencies."""
+    n = len(run)
+    return sum(c / n * math.log2(n / c) for c in Counter(run).values())
+
+
+def secrets(text: str) -> Iterator[tuple[int, int, float]]:
+    """Runs that mix letters and digits at a high entropy, with their score before context."""
+    for m in _SECRET.finditer(text):
+        run = m.group()
+        if any(map(str.isdigit, run)) and any(map(str.isalpha, run)) and entropy(run) >= SECRET_ENTROPY:
+            yield *m.span(), 0.8 if _ISSUED.match(run) else BASE_SCORE["secret"]
+
+
+def _near(text: str, kind: str, start: int, end: int) -> bool:
+    around = f"{text[max(0, start - CONTEXT_CHARS) : start]}\n{text[end : end + CONTEXT_CHARS]}".lower()
+    return any(w in CONTEXT[kind] for w in _WORD.findall(around))
 
 
 def find(text: str, threshold: float = THRESHOLD) -> list[Span]:
@@ -155,9 +190,13 @@ def find(text: str, threshold: float = THRESHOLD) -> list[Span]:
         i = bisect_left(starts, b)
         return not any(taken[j][1] > a for j in range(max(0, i - 4), i))
 
-    for kind, found in (("iban", ibans(text)), *((kind, (m.span() for m in pattern.finditer(text))) for kind, pattern in (("ssn", _SSN), ("nino", _NINO)))):
-        proposed += [(kind, a, b) for a, b in found if free(a, b)]
-    spans = [Span(k, a, b, min(1.0, BASE_SCORE[k] + CONTEXT_BONUS * _near(text, k, a))) for k, a, b in proposed]
+    added: list[tuple[str, int, int, float]] = []
+    for kind, found in (("iban", ibans(text)), ("ssn", (m.span() for m in _SSN.finditer(text))), ("nino", (m.span() for m in _NINO.finditer(text))), ("key", keys(text))):
+        added += [(kind, a, b, BASE_SCORE[kind]) for a, b in found if free(a, b)]
+    blocks = [(a, b) for kind, a, b, _ in added if kind in ("key", "iban")]
+    added += [("secret", a, b, x) for a, b, x in secrets(text) if free(a, b) and not any(p < b and a < q for p, q in blocks)]
+    rows = [(k, a, b, BASE_SCORE[k]) for k, a, b in proposed] + added
+    spans = [Span(k, a, b, min(1.0, x + CONTEXT_BONUS * _near(text, k, a, b))) for k, a, b, x in rows]
     return [s for s in spans if s.kind in BASE_KINDS or s.score >= threshold]
 
 
@@ -206,8 +245,10 @@ def redacted(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans
-    as text. Null and empty texts have no spans; repeated rows are kept; other columns are ignored."""
+    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans as text, the counts of
+    the added kinds, n_spans of all kinds, top_score of any span (null without one). Null and empty texts have no spans;
+    very long texts are scanned whole, in linear time; repeated rows are kept; other columns are ignored; an empty table
+    gives an empty result."""
     found = scan(docs, threshold)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     label = lambda s: F.concat_ws(":", s["kind"], s["start_pos"].cast("string"), s["end_pos"].cast("string"))
@@ -217,6 +258,7 @@ def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(F.array_join(F.transform(base, label), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", label), ",").alias("spans"),
+        *(count(k).alias(f"n_{k}") for k in ADDED_KINDS),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.array_max(F.transform("spans", lambda s: s["score"])).alias("top_score"),
     )
-
-
