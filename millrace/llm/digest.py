@@ -1,8 +1,9 @@
 """Canonical exact digests, with DataFrame functions only.
 
-canonical form: Unicode NFC, lower case, runs of white space as one space, none at the ends, NFC again.
+canonical form: Unicode NFC, full case folding, runs of white space as one space, none at the ends, NFC again.
 digest: two chained XXH64 values (128 bits) as 32 hexadecimal digits. Texts of one digest are compared byte by
-byte; should a digest hold different canonical texts, the SHA-256 of the canonical text is appended for all of them.
+byte; should a digest hold different canonical texts, the SHA-256 of the canonical text is appended for all of them. A
+document's likeness to its edited text and to the next document is decided by the bytes of the canonical texts as well.
 """
 
 from __future__ import annotations
@@ -12,18 +13,23 @@ from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
 
-#: About so many documents share a window group of ``with_next``.
+#: About so many documents share a window group of ``with_next``, whose width follows the ids' own density.
 GROUP_ROWS = 512
+QUANTILES = 64
 
 
 def _nfc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(False))).otherwise(c)
 
 
+def _folded(c: Column) -> Column:
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))).otherwise(F.lower(c))
+
+
 def canonical(c: Column) -> Column:
     """Canonical form of a non-null text."""
-    folded = F.regexp_replace(F.lower(_nfc(c)), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " ")
-    return _nfc(F.trim(folded))
+    spaced = F.regexp_replace(_folded(_nfc(c)), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " ")
+    return _nfc(F.trim(spaced))
 
 
 def wide_digest(canon: Column) -> Column:
@@ -40,16 +46,32 @@ def colliding(canon: DataFrame) -> DataFrame:
     return ends.where(F.col("low") != F.col("high")).select("digest")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row by ascending doc_id, then text; the first after the last.
+def _group(docs: DataFrame) -> Column:
+    """Numbers of groups of neighbouring ids, ascending: between two quantiles ids share groups of one width, set so that
+    a group has about GROUP_ROWS. The driver gets the QUANTILES + 1 cuts and a count."""
+    shares = [k / QUANTILES for k in range(QUANTILES + 1)]
+    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", shares, 10 * QUANTILES)).first()
+    if not n:
+        return F.lit(0).cast("long")
+    parts = max(1, -(-n // (QUANTILES * GROUP_ROWS)))
+    marks = sorted(set(cuts))
+    group, at = F.lit(0).cast("long"), 1
+    for low, high in zip(marks, marks[1:] + [marks[-1] + 1]):
+        width = max(1, -(-(high - low) // parts))
+        group = F.when(F.col("doc_id") >= low, at + F.least(F.floor((F.col("doc_id") - low) / width), F.lit(parts))).otherwise(group)
+        at += parts + 1
+    return F.coalesce(group.cast("long"), F.lit(-1).cast("long"))
+
+
+def with_next(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, next_text: the text of the next row by ascending doc_id, then text; the first after the last. Columns
+    ``more`` made from the text are carried along, and those of the next row as next_<name>.
 
     Rows are dealt into groups of neighbouring ids. The first row of each group is sent to the group before it
     as well, so one shuffle of the texts is enough. Nulls among the ids come first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    n, ends = docs.agg(F.count("*"), F.percentile_approx("doc_id", [0.25, 0.75])).first()
-    width = max(1, int((ends[1] - ends[0] + 1) * 2 * GROUP_ROWS / n)) if ends else 1
-    group = F.coalesce(F.floor(F.col("doc_id") / width), F.lit(-(2**62)))
-    docs = docs.withColumn("g", group)
+    group = _group(docs)
+    docs = docs.withColumn("g", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(group))
     # the smallest id of each group, and the group before it; two levels, so no window holds all groups
     firsts = materialize(docs.groupBy("g").agg(F.min("doc_id").alias("first_id")).withColumn("top", F.floor(F.col("g") / 4096)), "groups")
     tops = firsts.groupBy("top").agg(F.max("g").alias("last_g"))
@@ -63,11 +85,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         F.coalesce("before", "before_top", F.lit(edge[1])).alias("__to"),
         (F.col("g") == F.lit(edge[0])).alias("__wraps"),
     )
+    docs = docs.select("*", *more)
+    names = [c for c in docs.columns if c not in ("doc_id", "g")]
     heads = docs.join(linked, F.col("g").eqNullSafe(F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    heads = heads.select("doc_id", "text", F.col("__to").alias("g"), F.lit(True).alias("extra"), F.col("__wraps").alias("wraps"))
-    rows = docs.select("doc_id", "text", "g", F.lit(False).alias("extra"), F.lit(False).alias("wraps")).unionByName(heads)
+    heads = heads.select("doc_id", *names, F.col("__to").alias("g"), F.lit(True).alias("extra"), F.col("__wraps").alias("wraps"))
+    rows = docs.select("doc_id", *names, "g", F.lit(False).alias("extra"), F.lit(False).alias("wraps")).unionByName(heads)
     order = Window.partitionBy("g").orderBy("wraps", F.col("extra"), "doc_id", F.xxhash64("text"), "text")
-    return rows.select("doc_id", "text", "extra", F.lead("text").over(order).alias("next_text")).where("not extra").drop("extra")
+    return rows.select("doc_id", *names, "extra", *(F.lead(c).over(order).alias(f"next_{c}") for c in names)).where("not extra").drop("extra")
 
 
 def edited(text: Column, nxt: Column) -> Column:
@@ -81,22 +105,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited, near_next. An exact digest knows only equal (1.0) and different (0.0).
 
     A null text counts as empty; with one row the next document is the row itself; equal texts, repeated rows
-    included, have equal digests; an empty table gives an empty result; other columns are ignored."""
+    included, have equal digests; rows without id come first; very long texts are digested whole; an empty table gives
+    an empty result; other columns are ignored."""
     text = docs.select(canonical(text_or_empty()).alias("canon"))
     clash = materialize(colliding(text.select(wide_digest(F.col("canon")).alias("digest"), "canon")), "collisions")
-    rows = with_next(docs).withColumn("edit", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select(
+    rows = with_next(docs, wide_digest(canonical(F.col("text"))).alias("digest"))
+    rows = rows.withColumn("edit", edited(F.col("text"), F.col("next_text"))).withColumn("c_edit", canonical(F.col("edit")))
+    rows = rows.withColumn("edit_digest", wide_digest(F.col("c_edit")))
+    equal = lambda digest, canon: F.when(F.col("digest") == F.col(digest), canonical(F.col("text")) == canon).otherwise(F.lit(False)).cast("double")
+    some = clash.limit(1).count() > 0
+    out = rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edit", 256).alias("edited_sha256"),
-        *(canonical(F.col(c)).alias(f"c_{c}") for c in ("text", "edit", "next_text")),
+        F.col("digest").alias("fingerprint"),
+        F.col("edit_digest").alias("edited_fingerprint"),
+        equal("edit_digest", F.col("c_edit")).alias("near_edited"),
+        equal("next_digest", canonical(F.col("next_text"))).alias("near_next"),
+        *((F.sha2(canonical(F.col("text")), 256).alias("fingerprint_more"), F.sha2("c_edit", 256).alias("edited_fingerprint_more")) if some else ()),
     )
-    names = {"c_text": "fingerprint", "c_edit": "edited_fingerprint", "c_next_text": "next_fingerprint"}
-    some = clash.limit(1).count() > 0
-    out = rows.select("doc_id", "n_chars", "edited_sha256", *(wide_digest(F.col(c)).alias(n) for c, n in names.items()), *((F.sha2(c, 256).alias(c) for c in names) if some else ()))
-    if some:
-        for c, n in names.items():
-            mark = clash.select(F.col("digest").alias(n), F.lit(True).alias("__clash"))
-            out = out.join(mark, n, "left").withColumn(n, F.when(F.col("__clash"), F.concat(n, F.lit("-"), c)).otherwise(F.col(n))).drop("__clash")
-    same = lambda c: (F.col("fingerprint") == F.col(c)).cast("double")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+    for name in ("fingerprint", "edited_fingerprint") if some else ():
+        mark = clash.select(F.col("digest").alias(name), F.lit(True).alias("clash"))
+        out = out.join(mark, name, "left").withColumn(name, F.when(F.col("clash"), F.concat(name, F.lit("-"), f"{name}_more")).otherwise(F.col(name))).drop("clash")
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
