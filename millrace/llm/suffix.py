@@ -4,13 +4,14 @@ Removed is each byte of a ``LENGTH``-byte string that also starts earlier (small
 
 1. Anchors. Each window of LENGTH bytes has an anchor, the least-hashed GRAM-byte string in it, so equal windows have
    equal anchors at equal places. Anchors that occur once are dropped: their windows cannot repeat.
-2. Blocks. The windows of each remaining anchor, a stretch of fewer than 2 * LENGTH bytes, go to the suffix bucket of
-   the anchor's hash. A bucket is sorted by itself, in blocks of bounded text: the suffixes of its windows
-   by their first PERIOD bytes, and longer ties by the ranks of a cover sample, computed before. Stretches
-   are laid out with their anchors at multiples of PERIOD: suffixes that can tie up to LENGTH bytes then have the same
-   residue, so the cover of period PERIOD needs one residue only, and its ranks decide the tie at one distance.
+2. Blocks. The windows of each remaining anchor, a stretch of fewer than 2 * LENGTH bytes, go to the bucket of the
+   anchor's hash. Buckets are sorted one at a time, in blocks of bounded text: the suffixes of its windows by their first
+   PERIOD bytes; longer ties of two places i and j by the ranks of i + d and j + d, where d < PERIOD brings both into the
+   difference cover of period PERIOD. The ranks of the cover's places are computed before.
 3. Neighbours in the order that agree in LENGTH bytes are one group; all but its earliest window are repeated.
 
+Anchors only spare text that cannot repeat from the sort; they decide nothing.
+
 Only byte ranges return to the documents. Stretches that are equal inside one batch travel once.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, partitions, text_or_empty
+from .common import buckets_for, by_group, groups, lean, materialize, text_or_empty
 
 LENGTH = 100
 GRAM = 40
@@ -161,33 +162,24 @@ def _by_document(dealt: DataFrame) -> DataFrame:
     """k, h, runs: one row for each document, its runs as bytes of (start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for to, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(to, []).append(blob)
-        for to in list(held):
-            r = np.frombuffer(b"".join(held.pop(to)), _RUN)
+        for bucket in groups(batches):
+            r = np.frombuffer(b"".join(bucket.column("runs").to_pylist()), _RUN)
             r = r[np.lexsort((r["start"], r["h"], r["k"]))]
             new = np.flatnonzero(np.concatenate(([True], (r["k"][1:] != r["k"][:-1]) | (r["h"][1:] != r["h"][:-1])))) if len(r) else np.zeros(0, int)
             pairs = np.ascontiguousarray(np.stack((r["start"], r["n"]), axis=1))
             ends = np.append(new[1:], len(r))
             yield pa.RecordBatch.from_arrays([pa.array(r["k"][new]), pa.array(r["h"][new]), pa.array([pairs[a:b].tobytes() for a, b in zip(new, ends)], pa.binary())], ["k", "h", "runs"])
 
-    return dealt.repartition(F.col("to")).mapInArrow(lean(run), "k long, h long, runs binary")
+    return by_group(dealt, "to").mapInArrow(lean(run), "k long, h long, runs binary")
 
 
 def _repeated(anchors: DataFrame, buckets: int) -> DataFrame:
     """k, h, ats: for each document the places (``start`` of runs) of its anchors whose hash is repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, ...]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append(tuple(blobs))
-        for bucket in list(held):
-            parts = held.pop(bucket)
-            k, h = (np.frombuffer(b"".join(p[i] for p in parts), np.int64) for i in (0, 1))
-            at, code = (np.frombuffer(b"".join(p[i] for p in parts), np.uint32) for i in (2, 3))
+        for bucket in groups(batches):
+            k, h = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), np.int64) for c in ("k", "h"))
+            at, code = (np.frombuffer(b"".join(bucket.column(c).to_pylist()), np.uint32) for c in ("at", "code"))
             order = np.argsort(code, kind="stable")
             same = code[order][1:] == code[order][:-1]
             twice = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(order) else order
@@ -195,7 +187,7 @@ def _repeated(anchors: DataFrame, buckets: int) -> DataFrame:
             out["k"], out["h"], out["start"] = k[twice], h[twice], at[twice]
             yield _dealt(out, buckets)
 
-    found = anchors.repartition(F.col("bucket")).mapInArrow(lean(run), "to int, runs binary")
+    found = by_group(anchors, "bucket").mapInArrow(lean(run), "to int, runs binary")
     return _by_document(found).withColumnRenamed("runs", "ats")
 
 
@@ -242,44 +234,118 @@ def _stretches(found: DataFrame, buckets: int) -> DataFrame:
     return found.mapInArrow(lean(run), "bucket int, heads binary, data binary, runs binary")
 
 
+def _cover(period: int) -> np.ndarray:
+    """Residues that have every difference modulo ``period`` between two of them, chosen greedily."""
+    chosen, missing = [0], set(range(1, period))
+    while missing:
+        gain = lambda x: len(missing & {(s * (x - c)) % period for c in chosen for s in (1, -1)})
+        best = max(range(period), key=lambda x: (gain(x), -x))
+        missing -= {(s * (best - c)) % period for c in chosen for s in (1, -1)}
+        chosen.append(best)
+    return np.array(sorted(chosen))
+
+
+COVER = _cover(PERIOD)
+_IN_COVER = np.isin(np.arange(PERIOD), COVER)
+#: The least d for which places of residues a and b both come into the cover d bytes on.
+_SHIFT = np.array([[next(d for d in range(PERIOD) if _IN_COVER[(a + d) % PERIOD] and _IN_COVER[(b + d) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
+
+
 def _word(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The eight bytes from each place as one number that sorts like them."""
     words = np.lib.stride_tricks.sliding_window_view(text, 8)[at]
     return np.ascontiguousarray(words).view(">u8").ravel().astype(np.uint64)
 
 
-def _ranks(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the suffixes at ``at`` by their first ``depth`` bytes; equal ones share a rank."""
-    rank = np.zeros(len(at), np.int64)
+def _refined(text: np.ndarray, starts: np.ndarray, depth: int, singles: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at ``starts`` by their first ``depth`` bytes, eight at a time, and the group of equal ones
+    of each in that order. Without ``singles`` only groups of two or more are returned."""
+    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
+    place = np.arange(len(starts))
+    out = np.arange(len(starts))
+    tags = np.zeros(len(starts), np.int64)
     for d in range(0, depth, 8):
-        w = _word(text, at + d)
-        order = np.lexsort((w, rank))
-        step = (rank[order][1:] != rank[order][:-1]) | (w[order][1:] != w[order][:-1])
-        rank[order] = np.concatenate(([0], np.cumsum(step)))
-    return rank
+        w = _word(text, starts[order] + d)
+        if depth - d < 8:
+            w &= np.uint64((~0 << 8 * (8 - depth + d)) & (2**64 - 1))
+        inner = np.lexsort((w, group))
+        order, w, group = order[inner], w[inner], group[inner]
+        new = np.concatenate(([True], (w[1:] != w[:-1]) | (group[1:] != group[:-1])))
+        # groups are named by the place of their first member in the whole order
+        first = np.flatnonzero(new)
+        group = place[first][np.cumsum(new) - 1]
+        out[place], tags[place] = order, group
+        sizes = np.diff(np.append(first, len(order)))
+        keep = np.repeat(sizes > 1, sizes)
+        order, group, place = order[keep], group[keep], place[keep]
+        if not len(order):
+            break
+    return (out, tags) if singles else (order, group)
+
+
+class _Sample:
+    """The cover sample of a text: the places whose residue is in the cover, in the order of their first LENGTH bytes, and
+    how many bytes neighbours in that order share, so that they can be compared by any fewer bytes too."""
+
+    def __init__(self, text: np.ndarray, places: np.ndarray) -> None:
+        order, _ = _refined(text, places, LENGTH, True)
+        at = places[order]
+        self.slot = np.zeros(len(text), np.int32)
+        self.slot[at] = np.arange(len(at))
+        shared = np.full(len(at), LENGTH, np.int64)
+        shared[:1] = 0
+        open_ = np.arange(1, len(at))
+        for d in range(0, LENGTH, 8):
+            if not len(open_):
+                break
+            x = _word(text, at[open_] + d) ^ _word(text, at[open_ - 1] + d)
+            differ = x != 0
+            byte = (x[differ].astype(">u8").view(np.uint8).reshape(-1, 8) != 0).argmax(axis=1)
+            shared[open_[differ]] = np.minimum(LENGTH, d + byte)
+            open_ = open_[~differ]
+        self.shared = shared
+        self.by_shift: dict[int, np.ndarray] = {}
+
+    def ranks(self, places: np.ndarray, shift: int) -> np.ndarray:
+        """Ranks of the suffixes ``shift`` bytes after ``places`` by their first LENGTH - shift bytes, ties alike."""
+        if shift not in self.by_shift:
+            self.by_shift[shift] = np.cumsum(self.shared < LENGTH - shift)
+        return self.by_shift[shift][self.slot[places + shift]]
 
 
 def block_order(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The order of the suffixes at ``starts`` in one block: by residue modulo PERIOD, then their first PERIOD bytes,
-    then, for ties, the rank of the cover sample at the next multiple of PERIOD. ``text`` has LENGTH + 2 * PERIOD
-    bytes after the last window."""
-    sample = np.arange(0, len(text) - LENGTH - 8, PERIOD)
-    rank = _ranks(text, sample, LENGTH)
-    residue = starts % PERIOD
-    tie = rank[(starts + (-starts) % PERIOD) // PERIOD]
-    order, group = np.arange(len(starts)), residue
-    for d in range(0, PERIOD, 8):  # refine equal groups eight bytes at a time
-        w = _word(text, starts[order] + d)
-        key = group
-        inner = np.lexsort((w, key))
-        order, w, key = order[inner], w[inner], key[inner]
-        group = np.concatenate(([0], np.cumsum((w[1:] != w[:-1]) | (key[1:] != key[:-1]))))
-        sizes = np.bincount(group)
-        keep = sizes[group] > 1  # suffixes alone in their group repeat nothing
-        order, group = order[keep], group[keep]
-        if not len(order):
-            return order
-    return order[np.argsort((group.astype(np.int64) << 32) | tie[order])]
+    """Of the suffixes at ``starts`` those that share their first PERIOD bytes with another, in the order of their first
+    LENGTH bytes. Such a tie between places i and j is resolved by the ranks of i + d and j + d in the cover sample, where
+    d < PERIOD brings both into it. ``text`` has LENGTH + 2 * PERIOD bytes after the last window."""
+    order, group = _refined(text, starts, PERIOD, False)
+    if not len(order):
+        return order
+    tied = starts[order]
+    near = np.zeros(len(text), bool)
+    for d in range(PERIOD):
+        near[tied + d] = True
+    places = np.flatnonzero(near)
+    sample = _Sample(text, places[_IN_COVER[places % PERIOD]])
+    residue = tied % PERIOD
+    # every residue by itself, then each one's members counted among those of each other
+    lists, keys = [], group.astype(np.int64) << 32
+    for a in range(PERIOD):
+        own = np.flatnonzero(residue == a)
+        d = int(_SHIFT[a, a])
+        lists.append(own[np.argsort(keys[own] | sample.ranks(tied[own], d), kind="stable")])
+    position = np.zeros(len(tied), np.int64)
+    for a in range(PERIOD):
+        position[lists[a]] += np.arange(len(lists[a]))
+        for b in range(a + 1, PERIOD):
+            one, two = lists[a], lists[b]
+            if len(one) and len(two):
+                d = int(_SHIFT[a, b])
+                x, y = (keys[z] | sample.ranks(tied[z], d) for z in (one, two))
+                position[one] += np.searchsorted(y, x, "left")
+                position[two] += np.searchsorted(x, y, "right")
+    out = np.empty_like(order)
+    out[position] = order
+    return out
 
 
 def repeated_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
@@ -306,13 +372,9 @@ def repeated_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
 def _sorted_windows(heads: np.ndarray, data: bytes) -> np.ndarray:
     sizes = heads["n"].astype(np.int64) + LENGTH - 1
     ends = np.cumsum(sizes)
-    anchor = heads["at"].astype(np.int64)
-    # lay the stretches out with their anchors at multiples of PERIOD
-    place, free = np.zeros(len(heads), np.int64), 0
-    room = sizes + 2 * PERIOD
-    base = np.cumsum(room) - room
-    place = base + (-(base + anchor)) % PERIOD
-    text = np.zeros(int(base[-1] + room[-1]) + LENGTH + 4 * PERIOD + 16, np.uint8)
+    room = sizes + 8
+    place = np.cumsum(room) - room
+    text = np.zeros(int(room.sum()) + LENGTH + 4 * PERIOD + 16, np.uint8)
     raw = np.frombuffer(data, np.uint8)
     inner = np.arange(len(raw)) - np.repeat(ends - sizes, sizes)
     text[np.repeat(place, sizes) + inner] = raw
@@ -351,22 +413,16 @@ def _sorted_buckets(stretches: DataFrame, buckets: int) -> DataFrame:
     """k, h, runs: the repeated windows of each document as bytes of (start, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
-        for batch in batches:
-            for bucket, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(bucket, []).append(tuple(blobs))
         kind = np.dtype([*_RUN.descr, ("at", "<u4")])
-        runs = []
-        for bucket in list(held):
-            parts = held.pop(bucket)
-            runs += [np.frombuffer(p[2], _RUN) for p in parts if p[2]]
-            heads = np.frombuffer(b"".join(p[0] for p in parts), kind)
+        for bucket in groups(batches):
+            runs = [np.frombuffer(r, _RUN) for r in bucket.column("runs").to_pylist() if r]
+            heads = np.frombuffer(b"".join(bucket.column("heads").to_pylist()), kind)
             if len(heads):
-                runs += list(_blocks(heads, b"".join(p[1] for p in parts)))
-        if runs:
-            yield _dealt(np.concatenate(runs), buckets)
+                runs += list(_blocks(heads, b"".join(bucket.column("data").to_pylist())))
+            if runs:
+                yield _dealt(np.concatenate(runs), buckets)
 
-    return _by_document(stretches.repartition(F.col("bucket")).mapInArrow(lean(run), "to int, runs binary"))
+    return _by_document(by_group(stretches, "bucket").mapInArrow(lean(run), "to int, runs binary"))
 
 
 def _blocks(heads: np.ndarray, data: bytes) -> Iterator[np.ndarray]:
@@ -418,7 +474,7 @@ def repeated_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         rows = rows.withColumn("h", F.lit(0).cast("long"))
     rows = rows.select("k", "h", "doc_id", "text")
-    buckets = partitions(docs.sparkSession)
+    buckets = buckets_for(docs)
     twice = materialize(_repeated(_anchor_hashes(rows.select("k", "h", "text"), buckets), buckets), "anchors")
     found = rows.select("k", "h", "text").join(twice, ["k", "h"])
     runs = materialize(_sorted_buckets(_stretches(found, buckets), buckets), "runs")
@@ -450,11 +506,13 @@ def _rest(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, kept (the bytes that stay) for each row of ``docs``."""
+    """doc_id, kept (the bytes that stay) for each row of ``docs``; odd rows as in ``report``."""
     return _with_ranges(docs, "doc_id long, kept binary", lambda t, n, k, r: (_rest(t, r),))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Null and empty texts, and
-    texts under LENGTH bytes, lose nothing; other columns are ignored; an empty table gives an empty result."""
+    texts under LENGTH bytes, lose nothing; very long texts are searched in pieces that overlap; rows without id come
+    first, and rows that repeat one another are one document; other columns are ignored; an empty table gives an empty
+    result."""
     return _with_ranges(docs, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda t, n, k, r: (len(t), n, k, hashlib.sha256(_rest(t, r)).hexdigest()))

@@ -65,3 +65,27 @@ def test_long_texts_in_pieces(monkeypatch):
     for p in rng.sample(range(len(at)), 300):
         hs = [int(x) >> 24 for x in h[p : p + 61]]
         assert at[p] == p + hs.index(min(hs))
+
+
+def test_cover_has_every_difference():
+    differences = {(int(a) - int(b)) % suffix.PERIOD for a in suffix.COVER for b in suffix.COVER}
+    assert differences == set(range(suffix.PERIOD)) and len(suffix.COVER) <= 8
+    for a in range(suffix.PERIOD):
+        for b in range(suffix.PERIOD):
+            d = int(suffix._SHIFT[a, b])
+            assert {(a + d) % suffix.PERIOD, (b + d) % suffix.PERIOD} <= set(suffix.COVER.tolist())
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"a", b"abcdefgh", b"\x00\xff"])
+def test_order_of_suffixes(alphabet):
+    """Against plain sorting by the first LENGTH bytes; ties of PERIOD bytes at all residues."""
+    rng = random.Random(2)
+    body = b"".join(bytes(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) * rng.randrange(1, 9) for _ in range(25))
+    body += body[100:500]
+    text = np.frombuffer(body + bytes(suffix.LENGTH + 4 * suffix.PERIOD + 16), np.uint8)
+    starts = np.arange(len(body))
+    heads = [bytes(text[i : i + suffix.PERIOD]) for i in starts]
+    often = Counter(heads)
+    want = sorted((bytes(text[i : i + suffix.LENGTH]) for i in starts if often[heads[i]] > 1))
+    got = [bytes(text[starts[i] : starts[i] + suffix.LENGTH]) for i in suffix.block_order(text, starts)]
+    assert got == want
