@@ -26,10 +26,25 @@ def _folded(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), c, F.lit(True))).otherwise(F.lower(c))
 
 
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def canonical(c: Column) -> Column:
-    """Canonical form of a non-null text."""
-    spaced = F.regexp_replace(_folded(_nfc(c)), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+", " ")
-    return _nfc(F.trim(spaced))
+    """Canonical form of a non-null text, as one expression. It repeats its parts: for few rows."""
+    return _nfc(F.trim(F.regexp_replace(_folded(_nfc(c)), _SPACE, " ")))
+
+
+def with_canonical(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the canonical form of the column ``text`` as ``name``, a projection for each step, so that none is
+    evaluated twice."""
+    for step in (_nfc(F.col(text)), _folded(F.col(name)), F.trim(F.regexp_replace(name, _SPACE, " ")), _nfc(F.col(name))):
+        rows = rows.withColumn(name, step)
+    return rows
+
+
+def with_digest(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """``rows`` with the digest of the column ``text`` as ``name``."""
+    return with_canonical(rows, text, "canon").withColumn(name, wide_digest(F.col("canon"))).drop("canon")
 
 
 def wide_digest(canon: Column) -> Column:
@@ -63,9 +78,9 @@ def _group(docs: DataFrame) -> Column:
     return F.coalesce(group.cast("long"), F.lit(-1).cast("long"))
 
 
-def with_next(docs: DataFrame, *more: Column) -> DataFrame:
+def with_next(docs: DataFrame, more=lambda rows: rows) -> DataFrame:
     """doc_id, text, next_text: the text of the next row by ascending doc_id, then text; the first after the last. Columns
-    ``more`` made from the text are carried along, and those of the next row as next_<name>.
+    that ``more`` adds are carried along, and those of the next row as next_<name>.
 
     Rows are dealt into groups of neighbouring ids. The first row of each group is sent to the group before it
     as well, so one shuffle of the texts is enough. Nulls among the ids come first."""
@@ -85,11 +100,10 @@ def with_next(docs: DataFrame, *more: Column) -> DataFrame:
         F.coalesce("before", "before_top", F.lit(edge[1])).alias("__to"),
         (F.col("g") == F.lit(edge[0])).alias("__wraps"),
     )
-    docs = docs.select("*", *more)
-    names = [c for c in docs.columns if c not in ("doc_id", "g")]
     heads = docs.join(linked, F.col("g").eqNullSafe(F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    heads = heads.select("doc_id", *names, F.col("__to").alias("g"), F.lit(True).alias("extra"), F.col("__wraps").alias("wraps"))
-    rows = docs.select("doc_id", *names, "g", F.lit(False).alias("extra"), F.lit(False).alias("wraps")).unionByName(heads)
+    heads = heads.select("doc_id", "text", F.col("__to").alias("g"), F.lit(True).alias("extra"), F.col("__wraps").alias("wraps"))
+    rows = more(docs.select("*", F.lit(False).alias("extra"), F.lit(False).alias("wraps"))).unionByName(more(heads))
+    names = [c for c in rows.columns if c not in ("doc_id", "g", "extra", "wraps")]
     order = Window.partitionBy("g").orderBy("wraps", F.col("extra"), "doc_id", F.xxhash64("text"), "text")
     return rows.select("doc_id", *names, "extra", *(F.lead(c).over(order).alias(f"next_{c}") for c in names)).where("not extra").drop("extra")
 
@@ -107,10 +121,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     A null text counts as empty; with one row the next document is the row itself; equal texts, repeated rows
     included, have equal digests; rows without id come first; very long texts are digested whole; an empty table gives
     an empty result; other columns are ignored."""
-    text = docs.select(canonical(text_or_empty()).alias("canon"))
+    text = with_canonical(docs.select(text_or_empty().alias("text")), "text", "canon")
     clash = materialize(colliding(text.select(wide_digest(F.col("canon")).alias("digest"), "canon")), "collisions")
-    rows = with_next(docs, wide_digest(canonical(F.col("text"))).alias("digest"))
-    rows = rows.withColumn("edit", edited(F.col("text"), F.col("next_text"))).withColumn("c_edit", canonical(F.col("edit")))
+    rows = with_next(docs, lambda found: with_digest(found, "text", "digest"))
+    rows = with_canonical(rows.withColumn("edit", edited(F.col("text"), F.col("next_text"))), "edit", "c_edit")
     rows = rows.withColumn("edit_digest", wide_digest(F.col("c_edit")))
     equal = lambda digest, canon: F.when(F.col("digest") == F.col(digest), canonical(F.col("text")) == canon).otherwise(F.lit(False)).cast("double")
     some = clash.limit(1).count() > 0
