@@ -22,6 +22,42 @@ class RerankingProvider(Protocol):
     def rerank(self, query: str, documents: list[str]) -> list[float]: ...
 
 
+class AnswerProvider(Protocol):
+    def complete(self, messages: list[dict], temperature: float = 0.0, images: list[bytes] = ()) -> str: ...
+
+
+class IndexBackend(Protocol):
+    def search(self, queries: DataFrame, limit: int) -> DataFrame: ...
+
+    def write(self, records: DataFrame) -> None: ...
+
+
+class ArtifactStore(Protocol):
+    def put(self, rows: DataFrame, most_bytes: int) -> DataFrame: ...
+
+    def read(self, digest: str) -> DataFrame: ...
+
+
+class PipelineQueue(Protocol):
+    def claim(self, items: DataFrame, n: int) -> DataFrame: ...
+
+    def acknowledge(self, items: DataFrame, outcomes: DataFrame) -> DataFrame: ...
+
+
+class ReplayedAnswers:
+    """Answers from recorded replies by the fingerprint of their messages; an ask that was not recorded is an error."""
+
+    def __init__(self, replies: dict[str, str]) -> None:
+        self.replies = replies
+
+    @staticmethod
+    def fingerprint(messages: list[dict]) -> str:
+        return hashlib.sha256("\n".join(f"{m['role']}: {m['content']}" for m in messages).encode()).hexdigest()
+
+    def complete(self, messages: list[dict], temperature: float = 0.0, images: list[bytes] = ()) -> str:
+        return self.replies[self.fingerprint(messages)]
+
+
 class HashEmbedding:
     """Words hashed to signed places, normalised: a deterministic stand-in for a model."""
 

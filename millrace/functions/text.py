@@ -136,13 +136,11 @@ def glob_to_regex(pattern: str) -> str:
 
 
 def path_glob_to_regex(pattern: str) -> str:
-    """Wildcards of file trees: a pattern without slash matches in any folder, a closing slash means all below,
-    ** spans folders, * and ? stay inside one."""
-    p = pattern.strip()
-    if p.endswith("/"):
-        p += "**"
-    anchored = "/" in p.rstrip("/*") or p.startswith("/")
-    p = p.lstrip("/")
+    """Wildcards of file trees: a pattern without slash matches in any folder, one with a slash from the root, a closing
+    slash means all below, ** spans folders, * and ? stay inside one."""
+    p = pattern.strip().replace("\\", "/")
+    anchored = "/" in p or p == "**"
+    p = p.removeprefix("/") + ("**" if p.endswith("/") else "")
     out, i = "", 0
     while i < len(p):
         if p.startswith("**/", i):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,18 +62,20 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({SENTENCE})"), 1), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def left_whole(text: Column, most: int = 300) -> Column:
+    """Whether compression leaves a source alone: code, or more than ``most`` sentences."""
+    return text.contains("```") | (F.size(sentences(text)) > most)
+
+
 def distinct_sentences(sources: DataFrame, query: str, text: str) -> DataFrame:
-    """query, rank, pos, sentence: each sentence where it first stands in a query's sources, compared in lower case
-    with white space collapsed. Sources with a code fence are left to ``whole_sources``."""
-    rows = sources.where(~F.col(text).contains("```")).select(query, "rank", F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
+    """query, rank, pos, sentence, whole: each sentence where it first stands in a query's sources, compared in lower case
+    with white space collapsed. Sources that are left whole come as they are, in one row."""
+    rows = sources.withColumn("whole", left_whole(F.col(text)))
+    kept = rows.where("whole").select(query, "rank", F.lit(0).alias("pos"), F.col(text).alias("sentence"), "whole")
+    rows = rows.where("not whole").select(query, "rank", F.posexplode(sentences(F.col(text))).alias("pos", "sentence"), "whole")
     normal = F.lower(F.regexp_replace("sentence", r"\s+", " "))
     first = Window.partitionBy(query, normal).orderBy("rank", "pos")
-    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
-
-
-def whole_sources(sources: DataFrame, text: str, most: int = 300) -> DataFrame:
-    """Sources that compression leaves alone: code, or more than ``most`` sentences."""
-    return sources.where(F.col(text).contains("```") | (F.size(sentences(F.col(text))) > most))
+    return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").unionByName(kept)
 
 
 def verification(supported: Column, revised: Column, policy: Column) -> Column:
@@ -102,3 +106,46 @@ def superscript_citations(text: Column) -> Column:
     plain, raised = "".join(_SUPERSCRIPT), "".join(_SUPERSCRIPT.values())
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.concat(F.translate(F.substring_index(p, "\u0002", 1), plain, raised), F.regexp_replace(p, "(?s)^[^\u0002]*\u0002", "")))
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
+
+
+def answer_images(images: DataFrame, query: str, most: int = 4, most_bytes: int = 12 << 20) -> DataFrame:
+    """query, n, id, mark: images of an answer in the order of ranks, at most ``most``. One that would take the bytes
+    together beyond bounds is passed over; smaller ones after it may still fit."""
+    rows = images.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("size").cast("long").alias("size")))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<string>").alias("ids"))
+    fits = lambda s, x: (F.size(s["ids"]) < most) & (s["total"] + x["size"] <= most_bytes)
+    step = lambda s, x: F.when(fits(s, x), F.struct((s["total"] + x["size"]).alias("total"), F.concat(s["ids"], F.array(x["id"].cast("string"))).alias("ids"))).otherwise(s)
+    kept = rows.select(query, F.posexplode(F.aggregate("all", start, step, lambda s: s["ids"])).alias("pos", "id"))
+    return kept.select(query, (F.col("pos") + 1).alias("n"), "id", F.format_string("[[image:%d]]", F.col("pos") + 1).alias("mark"))
+
+
+PROMPT_LENGTH = 4000
+
+
+def clean_prompt(text: str | None) -> str | None:
+    """Equal line ends, no control characters but those and tabs; null where nothing is left, an error if it is too long."""
+    plain = (text or "").replace("\r\n", "\n").replace("\r", "\n")
+    plain = "".join(c for c in plain if c in "\n\t" or unicodedata.category(c) != "Cc").strip()
+    if len(plain) > PROMPT_LENGTH:
+        raise ValueError(f"a prompt has at most {PROMPT_LENGTH} characters")
+    return plain or None
+
+
+def system_prompt(built_in: str, installation: str | None = None, crate: str | None = None) -> str:
+    """The built-in rules, then the layers that say something; earlier layers win over later ones."""
+    layers = (("Rules of this installation", installation), ("Wishes of this crate, within the rules above", crate))
+    return "\n\n".join([built_in, *(f"{head}:\n{text}" for head, layer in layers if (text := clean_prompt(layer)))])
+
+
+#: Limits of a request.
+QUESTION_LENGTH, HISTORY_MESSAGES, ROLES = 8000, 20, ("user", "assistant")
+
+
+def check_request(question: str, history: list[tuple[str, str]] = ()) -> None:
+    if not question or not question.strip() or len(question) > QUESTION_LENGTH:
+        raise ValueError(f"a question of at most {QUESTION_LENGTH} characters is needed")
+    if len(history) > HISTORY_MESSAGES:
+        raise ValueError(f"at most {HISTORY_MESSAGES} messages of history")
+    for role, text in history:
+        if role not in ROLES or not text or len(text) > QUESTION_LENGTH:
+            raise ValueError("messages have a role of user or assistant, and a text")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,77 +32,108 @@ class ChunkOptions:
         return cls(size, max(0, min(200 if overlap is None else overlap, size // 2)))
 
 
+#: The overlap of a part that goes on where the one before ended, without repeating anything.
+CONTINUES = -1
+#: Shortest repetition that counts as an overlap where none was recorded.
+LEGACY_OVERLAP = 20
+_TRIMMED = "".join(map(chr, range(33)))
+
+
 @dataclass(frozen=True)
 class Part:
-    """A piece of text; ``overlap`` characters at its start repeat the end of the piece before. -1: it goes on after
-    white space, 0: a new beginning."""
+    """A piece of text; ``overlap`` characters at its start repeat the end of the piece before. CONTINUES: it goes on after
+    white space, 0: a new beginning, None: not recorded."""
 
     text: str
-    overlap: int
+    overlap: int | None
 
 
-def prose_parts(text: str, size: int, overlap: int) -> list[Part]:
-    """Windows of at most ``size`` characters, cut at white space in the second half where there is some. Each window
-    starts ``overlap`` characters before the last one's end, moved up to a word's start."""
-    text = text.strip()
-    parts: list[Part] = []
-    start = end = 0
+def _windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``size`` characters; each ends at the last blank of its second half, where there is one, and the
+    next begins ``overlap`` characters before that end."""
+    start = 0
     while start < len(text):
-        stop = min(len(text), start + size)
-        if stop < len(text):
-            cut = max(text.rfind(c, start + size // 2, stop) for c in " \n")
-            stop = cut if cut > start else stop
-        piece = text[start:stop].rstrip()
-        shared = max(0, end - start)
-        parts.append(Part(piece, 0 if not parts else shared if shared else -1 if text[start - 1].isspace() else 0))
-        if parts[-1].overlap == 0 and len(parts) > 1:  # cut inside a word: nothing stands between the two
-            parts[-1] = Part(piece, -2)
-        end = start + len(piece)
-        if stop >= len(text):
-            break
-        nxt = end
-        if overlap:
-            back = max(start + 1, end - overlap)
-            word = back
-            while word < end and not text[word - 1].isspace():
-                word += 1
-            nxt = word if word < end else back
-        while nxt < len(text) and text[nxt].isspace():
-            nxt += 1
-        start = max(nxt, start + 1)
+        end = min(len(text), start + size)
+        if end < len(text):
+            blank = max(text.rfind(c, start, end + 1) for c in " \n")
+            end = blank if blank > start + size // 2 else end
+        yield start, end
+        if end == len(text):
+            return
+        start = max(start + 1, end - overlap)
+
+
+def prose_parts(text: str, size: int, overlap: int) -> list[Part]:
+    """Trimmed windows, each with the stretch of the text that it shares with the one before."""
+    spans = []
+    for a, b in _windows(text, size, overlap):
+        piece = text[a:b]
+        left = len(piece) - len(piece.lstrip(_TRIMMED))
+        span = a + left, a + left + len(piece.strip(_TRIMMED))
+        if text[slice(*span)].strip():
+            spans.append(span)
+    parts = [Part(text[a:b], 0) for a, b in spans[:1]]
+    for (p, q), (a, b) in pairwise(spans):
+        shared = q - a if p <= a < q <= b else 0
+        parts.append(Part(text[a:b], shared or CONTINUES))
     return parts
 
 
+def _repeated(before: str, part: Part) -> int:
+    """How many characters at the start of a part repeat the end of the text before it."""
+    text, k = part.text, part.overlap
+    if k is not None:
+        return k if 0 < k <= len(text) and before.endswith(text[:k]) else 0
+    head, first = text[:LEGACY_OVERLAP], max(0, len(before) - len(text))
+    at = before.find(head, first) if len(head) == LEGACY_OVERLAP else -1
+    while at >= 0:  # the first place from which the text runs to the end is the longest repetition
+        if text.startswith(before[at:]):
+            return len(before) - at
+        at = before.find(head, at + 1)
+    return 0
+
+
 def join_parts(parts: list[Part]) -> str:
-    """The text that was cut, white space between windows counting as one space."""
-    out = ""
-    for p in parts:
-        if p.overlap > 0 and out.endswith(p.text[: p.overlap]):
-            out += p.text[p.overlap :]
+    """The text that was cut: repeated starts are left out, parts that go on follow a space, others a blank line."""
+    out = parts[0].text if parts else ""
+    for p in parts[1:]:
+        if p.overlap is not None and p.overlap < 0:
+            out += " " + p.text
         else:
-            out += ("" if not out or p.overlap == -2 else " " if p.overlap == -1 else "\n\n") + p.text
+            k = _repeated(out, p)
+            out += p.text[k:] if k else "\n\n" + p.text
     return out
 
 
 def code_lines(text: str, size: int) -> list[tuple[str, int, int]]:
-    """Pieces of whole lines with first and last line number; a blank line past half of the size ends a piece, longer
-    lines are wrapped hard."""
+    """Pieces of whole lines of at most ``size`` characters with first and last line number. A full piece ends after its
+    last blank line where that lies past half of the size; longer lines are wrapped hard."""
     out: list[tuple[str, int, int]] = []
-    held: list[str] = []
-    first = n = 0
+    held: list[tuple[int, str]] = []
+
+    def release(count: int) -> None:
+        rows = held[:count]
+        del held[:count]
+        while rows and not rows[0][1].strip():
+            rows.pop(0)
+        while rows and not rows[-1][1].strip():
+            rows.pop()
+        if rows:
+            out.append(("\n".join(r for _, r in rows).rstrip(), rows[0][0], rows[-1][0]))
+
     for number, line in enumerate(text.split("\n"), 1):
-        for k in range(0, max(1, len(line)), size):
-            part = line[k : k + size]
-            if held and n + len(part) + 1 > size or held and n > size // 2 and not part.strip():
-                out.append(("\n".join(held), first, number - (k == 0)))
-                held, n = [], 0
-            if not held:
-                first = number
-            held.append(part)
-            n += len(part) + 1
-    if held:
-        out.append(("\n".join(held), first, number))
-    return [(t, a, b) for t, a, b in out if t.strip()]
+        if len(line) > size:
+            release(len(held))
+            while len(line) > size:
+                held.append((number, line[:size]))
+                release(1)
+                line = line[size:]
+        if held and sum(len(r) + 1 for _, r in held) + len(line) + 1 > size:
+            blank = max((i + 1 for i, (_, r) in enumerate(held) if not r.strip()), default=0)
+            release(blank if sum(len(r) + 1 for _, r in held[:blank]) > size // 2 else len(held))
+        held.append((number, line))
+    release(len(held))
+    return out
 
 
 def python_symbols(source: str) -> list[tuple[str, int, int]]:
@@ -150,45 +184,60 @@ def code_chunks(path: str, source: str, options: ChunkOptions) -> list[tuple[str
     return [("", t, a, b) for t, a, b in code_lines(source, options.size)]
 
 
-def pack_blocks(blocks: list[dict], options: ChunkOptions) -> list[dict]:
-    """Blocks (heading, kind, text) in order into chunks (heading, kind, text, overlap) of at most ``size`` characters.
-    A chunk keeps to one heading; two characters stand between blocks; a block that is too long is cut by itself; a
-    chunk of code alone stays raw."""
-    out: list[dict] = []
-    held: list[dict] = []
+def rendered(block: dict) -> str:
+    """A block as text; code stands between fences."""
+    return f"```{block.get('language') or ''}\n{block['text']}\n```" if block["kind"] == "code" else block["text"]
 
-    def flush() -> None:
-        if held:
-            kind = "code" if all(b["kind"] == "code" for b in held) else "prose"
-            text = "\n\n".join(f"```\n{b['text']}\n```" if kind == "prose" and b["kind"] == "code" else b["text"] for b in held)
-            out.append({"heading": held[0]["heading"], "kind": kind, "text": text, "overlap": 0})
-            held.clear()
 
+def pack_blocks(blocks: list[dict], options: ChunkOptions) -> list[dict]:
+    """Blocks (heading, kind, text, language) in order into chunks (heading, kind, language, text, overlap) of at most
+    ``size`` characters. A chunk keeps to one heading; two characters stand between blocks; a block that is too long as
+    it is shown is cut by itself; a chunk of code alone stays raw, in the language of its first block."""
+    out: list[dict] = []
+    runs: list[list[dict]] = []
+    room = 0
     for b in blocks:
-        n = sum(len(x["text"]) + 2 for x in held)
-        if held and (held[0]["heading"] != b["heading"] or n + len(b["text"]) > options.size):
-            flush()
-        if len(b["text"]) <= options.size:
-            held.append(b)
-        elif b["kind"] == "code":
-            out += [{"heading": b["heading"], "kind": "code", "text": t, "overlap": 0} for t, _, _ in code_lines(b["text"], options.size)]
+        if not b["text"].strip():
+            continue
+        n = len(rendered(b))
+        last = runs[-1] if runs else None
+        if n > options.size:
+            runs.append([b])
+            room = -1
+        elif last and last[0]["heading"] == b["heading"] and room >= n + 2:
+            last.append(b)
+            room -= n + 2
         else:
-            out += [{"heading": b["heading"], "kind": "prose", "text": p.text, "overlap": p.overlap} for p in prose_parts(b["text"], options.size, options.overlap)]
-    flush()
-    return [c for c in out if c["text"].strip()]
+            runs.append([b])
+            room = options.size - n
+    for run in runs:
+        heading, code = run[0]["heading"], all(b["kind"] == "code" for b in run)
+        base = {"heading": heading, "kind": "code" if code else "prose", "language": run[0].get("language") or "" if code else ""}
+        if len(run) == 1 and len(rendered(run[0])) > options.size:
+            cut = [(t, 0) for t, _, _ in code_lines(run[0]["text"], options.size)] if code else [(x.text, x.overlap) for x in prose_parts(run[0]["text"], options.size, options.overlap)]
+            out += [base | {"text": t, "overlap": k} for t, k in cut]
+        else:
+            out.append(base | {"text": "\n\n".join(b["text"] if code else rendered(b) for b in run), "overlap": 0})
+    return out
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """key, ordinal, heading, kind, content, content_hash, overlap of plain-text documents."""
-    schema = "array<struct<heading:string,kind:string,text:string,overlap:int>>"
 
-    @F.udf(schema)
-    def pack(paragraphs: list[str] | None) -> list[tuple]:
-        blocks = [{"heading": "", "kind": "prose", "text": p} for p in paragraphs or []]
-        return [(c["heading"], c["kind"], c["text"], c["overlap"]) for c in pack_blocks(blocks, options)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, found in enumerate(batch.column(1).to_pylist()):
+                packed = pack_blocks([{"heading": "", "kind": "prose", "text": p} for p in found or []], options)
+                at += [i] * len(packed)
+                rows += [(n, c["heading"], c["kind"], c["text"], c["overlap"]) for n, c in enumerate(packed)]
+            columns = zip(*rows) if rows else [()] * 5
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], [key, "ordinal", "heading", "kind", "content", "overlap"])
 
-    rows = docs.select(key, F.posexplode(pack(paragraphs(F.col(text)))).alias("ordinal", "c"))
-    return rows.select(key, "ordinal", "c.heading", "c.kind", F.col("c.text").alias("content"), F.sha2("c.text", 256).alias("content_hash"), "c.overlap")
+    kind = dict(docs.dtypes)[key]
+    rows = docs.select(key, paragraphs(F.col(text)).alias("found")).mapInArrow(run, f"{key} {kind}, ordinal int, heading string, kind string, content string, overlap int")
+    return rows.select(key, "ordinal", "heading", "kind", "content", F.sha2("content", 256).alias("content_hash"), "overlap")
 
 
 def paragraphs(text: Column) -> Column:
@@ -330,14 +379,15 @@ def sections(chunks: DataFrame, document: str) -> DataFrame:
 
 
 def joined_text(chunks: DataFrame, document: str) -> DataFrame:
-    """document, content: chunks in order joined by their overlaps."""
+    """document, content: chunks in order joined by their overlaps; a null overlap is looked for."""
 
-    @F.udf("string")
-    def join(parts) -> str:
-        return join_parts([Part(p.content, p.overlap) for p in parts])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [join_parts([Part(p["content"], p["overlap"]) for p in parts]) for parts in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [document, "content"])
 
     rows = chunks.groupBy(document).agg(F.sort_array(F.collect_list(F.struct("ordinal", "content", "overlap"))).alias("parts"))
-    return rows.select(document, join("parts").alias("content"))
+    return rows.mapInArrow(run, f"{document} {dict(chunks.dtypes)[document]}, content string")
 
 
 def with_smaller_chunks(make, embed, options: ChunkOptions, attempts: int = 8, least: int = 256):

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_question
+from ..functions.text import cosine, normal_question
 
 RELEVANT = 2
 
@@ -70,10 +70,11 @@ def completeness(aspects: DataFrame, key: str) -> DataFrame:
     return aspects.groupBy(key).agg((F.sum(w * F.col("score") / 2.0) / F.nullif(F.sum(F.when(F.col("score").isNotNull(), w)), F.lit(0.0))).alias("completeness"))
 
 
-def answer_status(verdict: Column, found_sources: Column, in_sources: Column):
-    """Status and reason for a gap."""
-    status = F.when(verdict == "complete", "ANSWERED").when(verdict == "partial", "PARTIAL").otherwise("UNANSWERED")
-    reason = F.when(status == "ANSWERED", F.lit(None)).when(~found_sources, "NO_SOURCES").when(~in_sources, "NOT_IN_SOURCES").otherwise("INCOMPLETE")
+def answer_status(score: Column, retrieved: Column):
+    """Status and reason for a gap: without retrieved sources the judge (0 to 2) is not asked."""
+    none = F.coalesce(retrieved, F.lit(0)) == 0
+    status = F.when(none, "UNANSWERED").when(score == 2, "ANSWERED").when(score == 1, "PARTIAL").when(score.isNotNull(), "UNANSWERED")
+    reason = F.when(none, "no-sources").when(score == 1, "partial").when(score == 0, "not-in-sources")
     return status, reason
 
 
@@ -89,10 +90,11 @@ def topic_text_groups(questions: DataFrame, text: str) -> DataFrame:
 
 
 def leader_clusters(topics: DataFrame, tenant: str, threshold: float = 0.92, cap: int = 300) -> DataFrame:
-    """``topics``: tenant, topic, frequency, vector. By falling frequency each topic joins the first leader whose
-    cosine reaches the threshold, or leads anew; of each tenant the ``cap`` most frequent topics are grouped."""
+    """``topics``: tenant, topic, frequency, vector. Returns tenant, topic, leader. By falling frequency each of the
+    ``cap`` most frequent topics of a tenant joins the first leader whose cosine reaches the threshold, or leads anew;
+    the topics beyond merge among themselves where their texts are equal but for case and closing marks."""
     order = Window.partitionBy(tenant).orderBy(F.desc("frequency"), "topic")
-    kept = topics.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    ranked = topics.withColumn("n", F.row_number().over(order))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
@@ -110,7 +112,10 @@ def leader_clusters(topics: DataFrame, tenant: str, threshold: float = 0.92, cap
         return pd.DataFrame({tenant: pdf[tenant], "topic": pdf.topic, "leader": out})
 
     kinds = dict(topics.dtypes)
-    return kept.groupBy(tenant).applyInPandas(group, f"{tenant} {kinds[tenant]}, topic {kinds['topic']}, leader {kinds['topic']}")
+    head = ranked.where(F.col("n") <= cap).groupBy(tenant).applyInPandas(group, f"{tenant} {kinds[tenant]}, topic {kinds['topic']}, leader {kinds['topic']}")
+    alike = F.regexp_replace(F.lower("topic"), r"[\s.?!]+$", "")
+    rest = ranked.where(F.col("n") > cap).withColumn("leader", F.first("topic").over(Window.partitionBy(tenant, alike).orderBy("n")))
+    return head.unionByName(rest.select(tenant, "topic", "leader"))
 
 
 def judge_reply(reply: Column, low: int, high: int):
@@ -127,3 +132,67 @@ def clean_tags(tags: Column, most: int = 5, width: int = 40):
 
 def fact_line(name: str, value: Column):
     return F.concat(F.lit(f"{name}: "), F.coalesce(F.format_string("%.2f", value), F.lit("n/a")))
+
+
+def share(verdicts: DataFrame, key: str, score: str, name: str, most: int = 20) -> DataFrame:
+    """Faithfulness or reference recall: the share of a case's first ``most`` statements (pos) with score 1."""
+    return verdicts.where(F.col("pos") < most).groupBy(key).agg(F.avg((F.col(score) == 1).cast("double")).alias(name))
+
+
+def answer_relevance(questions: DataFrame, key: str, vector: str, generated: str, judged: str) -> DataFrame:
+    """Mean cosine, held between 0 and 1, of a question's vector and those of the questions generated from its answer;
+    the judge's score (0 to 3) over 3 where there are no vectors."""
+    near = F.when(F.col(generated).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col(vector), F.col(generated)))))
+    return questions.groupBy(key).agg(F.coalesce(F.avg(near), F.max(F.col(judged)) / 3.0).alias("answer_relevance"))
+
+
+def case_outcome(dimensions: DataFrame, key: str) -> DataFrame:
+    """``dimensions``: key, name, ok of each dimension that was attempted. FAILED only where all failed; ``errors`` names
+    the failed ones."""
+    bad = F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("name"))))
+    return dimensions.groupBy(key).agg(F.when(F.max("ok"), "DONE").otherwise("FAILED").alias("status"), F.nullif(F.array_join(bad, "; "), F.lit("")).alias("errors"))
+
+
+#: Scores from which an answer counts as good, where it has them.
+WELL_ANSWERED = {"faithfulness": 0.8, "answer_relevance": 0.7, "completeness": 0.7}
+
+
+def well_answered() -> Column:
+    good = F.lit(True)
+    for name, least in WELL_ANSWERED.items():
+        good = good & F.coalesce(F.col(name) >= least, F.lit(True))
+    return good
+
+
+def averages(cases: DataFrame, group: list, names: list[str], digits: int = 6) -> DataFrame:
+    """Means of the scores by group; those that a case lacks do not count."""
+    return cases.groupBy(*group).agg(F.count("*").alias("cases"), *(F.round(F.avg(n), digits).alias(n) for n in names))
+
+
+def top_topics(cases: DataFrame, topic: str, leader: str, most: int = 25, variants: int = 5) -> DataFrame:
+    """label, cases, variants: the most frequent groups of topics, by falling count, then label. Variants are the other
+    wordings, the most frequent first."""
+    words = cases.groupBy(leader, topic).agg(F.count("*").alias("n"))
+    others = F.array_sort(F.collect_list(F.when(F.col(topic) != F.col(leader), F.struct((-F.col("n")).alias("n"), F.col(topic).alias("t")))))
+    by = words.groupBy(leader).agg(F.sum("n").alias("cases"), F.slice(F.transform(others, lambda x: x["t"]), 1, variants).alias("variants"))
+    return by.select(F.col(leader).alias("label"), "cases", "variants").orderBy(F.desc("cases"), "label").limit(most)
+
+
+def topic_tags(cases: DataFrame, topic: str, tags: str, most: int = 5) -> DataFrame:
+    """topic, tags: the most frequent tags of each topic, by falling count, then name."""
+    n = cases.select(topic, F.explode(tags).alias("tag")).groupBy(topic, "tag").agg(F.count("*").alias("n"))
+    order = Window.partitionBy(topic).orderBy(F.desc("n"), "tag")
+    best = n.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+    return best.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]).alias("tags"))
+
+
+def rule_counts(rules: DataFrame, cases: DataFrame, since: Column) -> DataFrame:
+    """rule_id, ever, lately: cases that each rule ignored, rules without any included."""
+    hits = cases.groupBy("rule_id").agg(F.count("*").alias("ever"), F.count_if(F.col("created_at") >= since).alias("lately"))
+    zero = F.lit(0).cast("long")
+    return rules.select("rule_id").join(hits, "rule_id", "left").select("rule_id", F.coalesce("ever", zero).alias("ever"), F.coalesce("lately", zero).alias("lately"))
+
+
+def scrubbed(cases: DataFrame, columns: list[str], keep: Column) -> DataFrame:
+    """Texts of judged cases become null unless they are to be kept."""
+    return cases.withColumns({c: F.when(keep, F.col(c)) for c in columns})

@@ -193,33 +193,54 @@ def image_line(attrs: dict[str, str], caption: str = "") -> str:
     return f"[Image: {label}{f' — {caption}' if caption else ''}] ({url})" if url else ""
 
 
-#: Signs of images that say nothing about the content.
-BADGE_HOSTS = ("img.shields.io", "badge.fury.io", "badgen.net", "codecov.io", "travis-ci.org")
-NAME_HINTS = ("logo", "icon", "avatar", "sprite", "spacer", "pixel", "badge", "banner")
+#: Words in names and parts of addresses of images that say nothing about the content.
+NAME_HINTS = (
+    "icon", "logo", "avatar", "emoji", "badge", "sprite", "spinner", "loader", "favicon", "social", "share", "button", "arrow",
+    "pixel", "tracking", "gravatar", "banner-ad", "advert",
+)
+BAD_HOSTS = (
+    "img.shields.io", "badgen.net", "badge.fury.io", "travis-ci.", "circleci.com/gh", "codecov.io", "coveralls.io",
+    "gravatar.com", "doubleclick.net", "google-analytics.com", "googletagmanager.com", "facebook.com/tr", "pixel.",
+    "bat.bing.com", "scorecardresearch.com",
+)
+#: Characters below which an image inside the address is tiny; words from which an alternative text describes.
+TINY_DATA, DESCRIBED = 2048, 4
+
+
+def image_reason(image: dict, least: int = 32, patterns: tuple[str, ...] = ()) -> str:
+    """Why an image is left out; empty where it is kept. ``image``: url, alt, title, caption, width, height, hints,
+    decorative."""
+    url, alt = (image.get("url") or "").lower(), image.get("alt")
+    said = {k: (image.get(k) or "").strip() for k in ("alt", "title", "caption")}
+    path, fragment = url.split("?")[0], url.find("#")
+    if image.get("decorative"):
+        return "marked decorative"
+    if image.get("url") is None:
+        return "" if any(said.values()) else "no text"
+    where = f"{url} {image.get('hints') or ''} {alt or ''}".lower()
+    words = set(re.split(r"[^a-z0-9]+", where))
+    hint = next((h for h in NAME_HINTS if {h, h + "s"} & words), None)
+    found = next((p for p in patterns if p in where), None)
+    rules = (
+        (url.startswith("data:") and len(url) < TINY_DATA, "tiny inline image"),
+        (fragment > 0 and url[:fragment].endswith(".svg"), "svg sprite"),
+        (path.endswith(".ico"), "icon file"),
+        (alt == "" and image.get("caption") is None and not said["title"], "empty alt text"),
+        (any(image.get(k) is not None and image[k] < least for k in ("width", "height")), f"smaller than {least}px"),
+        (any(h in url for h in BAD_HOSTS), "badge or tracker"),
+        (hint is not None and not said["caption"] and len(said["alt"].split()) < DESCRIBED, f"looks like decoration ({hint})"),
+        (found is not None, f"skip pattern '{found}'"),
+    )
+    return next((reason for true, reason in rules if true), "")
 
 
-def image_reason(image: dict, least: int = 32) -> str:
-    """Why an image is left out; empty where it is kept."""
-    url, alt = image.get("url") or "", image.get("alt")
-    name = url.rsplit("/", 1)[-1].lower()
-    sizes = [x for x in (image.get("width"), image.get("height")) if x]
-    if image.get("decorative"):
-        return "decorative"
-    if url.startswith("data:") and len(url) < 1000:
-        return "tiny-data"
-    if "#" in url and url.split("#")[0].endswith(".svg"):
-        return "sprite"
-    if name.split("?")[0].endswith(".ico"):
-        return "favicon"
-    if alt is not None and not alt.strip() and not image.get("caption"):
-        return "empty-alt"
-    if sizes and min(sizes) < least:
-        return "small"
-    if (urlsplit(url).hostname or "") in BADGE_HOSTS:
-        return "badge"
-    if any(h in re.split(r"[^a-z]+", name) for h in NAME_HINTS) and not image.get("caption"):
-        return "name"
-    return ""
+def image_anchor(images: DataFrame, chunks: DataFrame) -> DataFrame:
+    """document_id, url, anchor_ordinal: the first chunk that shows the image's address in brackets, else the last chunk
+    under its heading."""
+    met = images.select("document_id", "url", "heading").join(chunks.select("document_id", "ordinal", F.col("heading").alias("own"), "content"), "document_id", "left")
+    shown = F.min(F.when(F.col("content").contains(F.concat(F.lit("("), F.col("url"), F.lit(")"))), F.col("ordinal")))
+    under = F.max(F.when(F.col("own").eqNullSafe(F.col("heading")), F.col("ordinal")))
+    return met.groupBy("document_id", "url", "heading").agg(F.coalesce(shown, under).alias("anchor_ordinal")).drop("heading")
 
 
 def cap_images(images: DataFrame, document: str, cap: int = 20) -> DataFrame:
@@ -308,13 +329,15 @@ def inline_text(s: str, strip: bool = True) -> str:
 
 
 def body_text(blocks: list[dict]) -> str:
-    """Blocks as one text; the last heading of a path stands where the path changes."""
-    out, last = [], None
+    """Blocks as one text, code between fences, a blank line between them; where the path of headings changes its last one
+    stands on the line above."""
+    out, shown = [], ""
     for b in blocks:
-        if b["heading"] != last and b["heading"]:
-            out.append(b["heading"].split(" > ")[-1])
-        last = b["heading"]
-        out.append(b["text"])
+        if not b["text"].strip():
+            continue
+        lead = b["heading"].split(" > ")[-1] + "\n" if b["heading"] and b["heading"] != shown else ""
+        shown = b["heading"] if lead else shown
+        out.append(lead + (f"```{b.get('language') or ''}\n{b['text']}\n```" if b["kind"] == "code" else b["text"]))
     return "\n\n".join(out)
 
 
@@ -386,16 +409,21 @@ def format_of(content_type: Column, name: Column) -> Column:
 
 #: Languages by file extension.
 LANGUAGES = {
-    "py": "python", "java": "java", "kt": "kotlin", "scala": "scala", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
-    "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift",
-    "sh": "bash", "sql": "sql", "yaml": "yaml", "yml": "yaml", "json": "json", "xml": "xml", "toml": "toml", "css": "css", "lua": "lua", "r": "r", "pl": "perl",
+    "java": "java", "py": "python", "pyw": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "mts": "typescript", "cts": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cc": "cpp", "cpp": "cpp",
+    "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "cs": "csharp", "rb": "ruby", "sh": "bash", "bash": "bash", "zsh": "bash",
+    "kt": "kotlin", "kts": "kotlin", "php": "php", "swift": "swift", "scala": "scala", "sql": "sql", "yml": "yaml", "yaml": "yaml",
+    "json": "json", "toml": "toml", "xml": "xml", "html": "html", "htm": "html", "css": "css", "scss": "scss", "gradle": "groovy",
+    "groovy": "groovy", "lua": "lua", "pl": "perl", "r": "r", "dart": "dart", "tf": "terraform", "proto": "protobuf", "ini": "ini",
+    "properties": "properties", "rst": "rst", "adoc": "asciidoc",
 }
 
 
 def language_of(path: Column) -> Column:
-    name = F.substring_index(path, "/", -1)
+    name = F.lower(F.substring_index(path, "/", -1))
     table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.when(name == "Dockerfile", "dockerfile").when(name == "Makefile", "makefile").otherwise(F.element_at(table, F.nullif(F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))))
+    ending = F.when(name.contains("."), F.element_at(table, F.substring_index(name, ".", -1)))
+    return F.when((name == "dockerfile") | name.startswith("dockerfile."), "dockerfile").when(name == "makefile", "makefile").otherwise(ending)
 
 
 def forge_url(uri: Column) -> Column:

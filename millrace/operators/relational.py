@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def optional_filters(rows: DataFrame, **wanted: Any) -> DataFrame:
@@ -104,14 +107,27 @@ def add_counters(current: DataFrame, deltas: DataFrame, keys: Sequence[str], cou
     return both.groupBy(*keys).agg(F.sum(count).alias(count), F.max(seen).alias(seen))
 
 
+#: Rows of a listed side that are broadcast; larger ones are joined without.
+LISTED = 10_000
+
+
+def listed(rows: DataFrame, most: int = LISTED) -> DataFrame:
+    """``rows`` to be broadcast if they are few, by their count."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ignore_rules(cases: DataFrame, rules: DataFrame, normal) -> DataFrame:
-    """rule_id of the oldest rule that matches each case, null where none does. Rules are few and are broadcast: kind
-    EQUALS or CONTAINS on the normalised question, or TAG on any tag."""
-    text = normal(F.col("question"))
-    want = normal(F.col("pattern"))
-    hit = F.when(F.col("kind") == "EQUALS", text == want).when(F.col("kind") == "CONTAINS", text.contains(want)).otherwise(F.array_contains(F.col("tags"), F.col("pattern")))
-    met = cases.join(F.broadcast(rules.limit(10_000)), hit, "left")
-    return first_in_group(met, ["case_id"], [F.col("created_at").asc_nulls_last(), F.col("rule_id").asc_nulls_last()]).select("case_id", "rule_id")
+    """rule_id of the oldest rule that matches each case, null where none does: kind EQUALS or CONTAINS on the normalised
+    question, or TAG on any tag. Equal questions and tags are joined by value; only CONTAINS rules meet every case."""
+    rows = cases.select("case_id", normal(F.col("question")).alias("text"), "tags")
+    want = rules.select("rule_id", "kind", "created_at", F.when(F.col("kind") == "TAG", F.col("pattern")).otherwise(normal(F.col("pattern"))).alias("want"))
+    of = lambda kind: want.where(F.col("kind") == kind).drop("kind")
+    equal = rows.join(of("EQUALS"), F.col("text") == F.col("want"))
+    tagged = rows.select("case_id", F.explode("tags").alias("tag")).join(of("TAG"), F.col("tag") == F.col("want"))
+    inside = rows.join(listed(of("CONTAINS")), F.col("text").contains(F.col("want")))
+    hits = [x.select("case_id", F.struct("created_at", "rule_id").alias("hit")) for x in (equal, tagged, inside)]
+    first = hits[0].unionByName(hits[1]).unionByName(hits[2]).groupBy("case_id").agg(F.min("hit").alias("hit"))
+    return cases.select("case_id").join(first, "case_id", "left").select("case_id", F.col("hit.rule_id").alias("rule_id"))
 
 
 def sampled(rows: DataFrame, key: str, rate: float, keep: Column) -> DataFrame:
@@ -125,21 +141,79 @@ def json_tags(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
-def line_diff(rows: DataFrame, old: str, new: str, most_cells: int = 1_000_000) -> DataFrame:
-    """Adds ``diff``: lines with '  ', '- ' or '+ ' before them; texts whose table of lines would exceed
-    ``most_cells`` are shown as replaced whole."""
-
-    @F.udf("string")
-    def diff(a: str | None, b: str | None) -> str:
-        x, y = (a or "").split("\n"), (b or "").split("\n")
-        if len(x) * len(y) > most_cells:
-            return "\n".join([f"- {line}" for line in x] + [f"+ {line}" for line in y])
-        out = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag == "equal":
-                out += [f"  {line}" for line in x[i1:i2]]
-            else:
-                out += [f"- {line}" for line in x[i1:i2]] + [f"+ {line}" for line in y[j1:j2]]
-        return "\n".join(out)
-
-    return rows.withColumn("diff", diff(F.col(old), F.col(new)))
+_LINE_ENDS = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
+
+
+def unified_diff(old: str, new: str, most_cells: int = 1_000_000) -> list[str]:
+    """Lines of either text in order, ' ' before those of a longest common subsequence, '-' and '+' before the others;
+    where either may come first the new line does. Texts whose table would exceed ``most_cells`` are replaced whole."""
+    x, y = _LINE_ENDS.split(old), _LINE_ENDS.split(new)
+    if len(x) * len(y) > most_cells:
+        return [f"-{line}" for line in x] + [f"+{line}" for line in y]
+    codes: dict[str, int] = {}
+    a, b = (np.array([codes.setdefault(line, len(codes)) for line in lines]) for lines in (x, y))
+    # common[i, j]: the longest common subsequence of what follows, a row at a time from the end
+    common = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in range(len(x) - 1, -1, -1):
+        best = np.where(b == a[i], common[i + 1, 1:] + 1, common[i + 1, :-1])
+        common[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(x) and j < len(y):
+        if a[i] == b[j]:
+            out.append(f" {x[i]}")
+            i, j = i + 1, j + 1
+        elif common[i, j + 1] >= common[i + 1, j]:
+            out.append(f"+{y[j]}")
+            j += 1
+        else:
+            out.append(f"-{x[i]}")
+            i += 1
+    return out + [f"+{line}" for line in y[j:]] + [f"-{line}" for line in x[i:]]
+
+
+def line_diff(rows: DataFrame, old: str, new: str, version: str) -> DataFrame:
+    """Adds ``diff``: the difference of two texts by lines, below a head with the version and the one before it."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, x, y = (batch.column(c).to_pylist() for c in (version, old, new))
+            diffs = ["\n".join([f"--- v{n - 1}", f"+++ v{n}", *unified_diff(p or "", q or "")]) + "\n" for n, p, q in zip(v, x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(diffs, pa.string())], names=[*names, "diff"])
+
+    return rows.mapInArrow(run, _with(rows.schema, "diff"))
+
+
+def _with(schema: StructType, name: str) -> StructType:
+    return StructType([*schema.fields, StructField(name, StringType())])
+
+
+def ordered_by_name(rows: DataFrame, name: str, key: str) -> DataFrame:
+    """By name whatever its case, then id."""
+    return rows.orderBy(F.lower(name), key)
+
+
+def with_looked_up(rows: DataFrame, lookup: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with the one value that their key has in ``lookup``, null where it has none."""
+    return rows.join(lookup.groupBy(key).agg(F.max(value).alias(value)), key, "left")
+
+
+def view(rows: DataFrame, texts: Sequence[str], elevated: Column) -> DataFrame:
+    """Rows with their texts hidden unless the reader is elevated."""
+    return rows.withColumns({c: F.when(elevated, F.col(c)) for c in texts})
+
+
+def histogram(rows: DataFrame, group: str, value: str, low: float, high: float, bins: int) -> DataFrame:
+    """group, bin, n: counts by bins of equal width; bin 0 lies below, bins + 1 from ``high`` on."""
+    at = F.width_bucket(F.col(value), F.lit(float(low)), F.lit(float(high)), F.lit(bins))
+    return rows.groupBy(group, at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def merged_maps(rows: DataFrame, group: str, entries: str) -> DataFrame:
+    """group, merged: maps of counts added up key by key, as a map in the order of keys."""
+    flat = rows.select(group, F.explode(entries).alias("k", "v")).groupBy(group, "k").agg(F.sum("v").alias("v"))
+    return flat.groupBy(group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("merged"))
+
+
+def json_value(c: Column, path: str, default: str) -> Column:
+    return F.coalesce(F.get_json_object(c, path), F.lit(default))

@@ -231,3 +231,64 @@ def cached_replies(asks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFr
 def summary_fallback(text, width: int = 300, cut: int = 500):
     """A section's own text where it is short, else its start."""
     return F.when(F.length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, cut), F.lit("...")))
+
+
+#: Kinds of records beside chunks.
+RECORD_KINDS = ("chunk", "proposition", "question", "summary", "caption", "document")
+
+
+def all_records(parts: dict) -> DataFrame:
+    """One table of the records of every kind that is there, each with its kind; kinds that are not known are an error."""
+    unknown = set(parts) - set(RECORD_KINDS)
+    if unknown or not parts:
+        raise ValueError(f"kinds are {', '.join(RECORD_KINDS)}")
+    tables = [parts[k].withColumn("kind", F.lit(k)) for k in RECORD_KINDS if k in parts]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def retrieval_text(kind, language, symbol, content, title=None, summary=None, section=None):
+    """What is indexed for a chunk: code below its language and symbol; below a header of what is known of its document."""
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    head = F.concat(F.lit("["), F.coalesce(language, F.lit("code")), F.lit("]"), F.when(has(symbol), F.concat(F.lit(" "), symbol)).otherwise(""), F.lit("\n"))
+    body = F.when(kind == "code", F.concat(head, content)).otherwise(content)
+    lines = [F.when(has(c), F.concat(F.lit(f"{name}: "), c)) for name, c in (("Title", title), ("Summary", summary), ("Section", section)) if c is not None]
+    if not lines:
+        return body
+    header = F.concat_ws("\n", *lines)
+    return F.when(header != "", F.concat(header, F.lit("\n\n"), body)).otherwise(body)
+
+
+def hyde_vectors(queries: DataFrame, passages: DataFrame, query: str, vector: str, width: int = 2000) -> DataFrame:
+    """Queries with ``vector`` replaced by that of their generated passage (query, text, passage_vector) where there is one;
+    the text of the query, which the lexical leg uses, stays. ``passage`` is the text without fence, cut to length."""
+    text = F.substring(F.trim(F.regexp_replace("text", r"(?s)^\s*```[^\n]*\n(.*?)\n?```\s*$", "$1")), 1, width)
+    found = passages.select(query, F.nullif(text, F.lit("")).alias("passage"), "passage_vector")
+    met = queries.join(found, query, "left")
+    return met.withColumn(vector, F.when(F.col("passage").isNotNull(), F.coalesce("passage_vector", vector)).otherwise(F.col(vector))).drop("passage_vector")
+
+
+class RoutingIndex:
+    """The backend of each crate: ``make(configuration)`` builds one, kept until the configuration's fingerprint changes."""
+
+    def __init__(self, configuration, make) -> None:
+        self.configuration, self.make = configuration, make
+        self.kept: dict = {}
+
+    def of(self, crate: str):
+        settings = self.configuration(crate)
+        mark = repr(sorted(settings.items()))
+        if self.kept.get(crate, (None, None))[0] != mark:
+            self.kept[crate] = mark, self.make(settings)
+        return self.kept[crate][1]
+
+
+def both_legs(lexical, semantic):
+    """The rows of two plans gathered at the same time; the first error of either is raised."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        waiting = [pool.submit(leg.toArrow) for leg in (lexical, semantic)]
+        return tuple(w.result() for w in waiting)

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import cosine, fnv1a, tokens
+from .relational import listed
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str, split=tokens) -> DataFrame:
-    """key, term, tf, dl."""
+def postings(docs: DataFrame, key: str, text: str, split=tokens, asked: DataFrame | None = None) -> DataFrame:
+    """key, term, tf, dl; only of the terms in ``asked`` where it is given, which are picked before anything is shuffled."""
     rows = docs.select(key, split(F.col(text)).alias("ts")).select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    if asked is not None:
+        rows = rows.join(listed(asked, ASKED), "term", "left_semi")
+    return rows.groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
+
+
+#: Distinct terms of queries that are broadcast.
+ASKED = 200_000
 
 
 def query_terms(queries: DataFrame, key: str, text: str, split=tokens) -> DataFrame:
@@ -30,11 +40,9 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query_key: str, query_text: str) -> DataFrame:
     """query_key, doc_key, score of every document that shares a term. Only postings of asked terms are counted, so a
     term's document frequency is an aggregate over its own postings."""
-    sizes = docs.select(F.size(tokens(F.col(doc_text))).alias("dl"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.col(doc_text)), F.lit("[a-z0-9]+"))).alias("avgdl"))  # one row
     terms = query_terms(queries, query_key, query_text)
-    asked = terms.select("term").distinct()
-    hits = postings(docs, doc_key, doc_text).join(asked, "term")
+    hits = postings(docs, doc_key, doc_text, asked=terms.select("term").distinct())
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -42,6 +50,15 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query
     return weighted.join(terms, "term").groupBy(query_key, doc_key).agg(F.sum("w").alias("score"))
 
 
+def bm25_fields(docs: DataFrame, queries: DataFrame, doc_key: str, fields: Mapping[str, float], query_key: str, query_text: str) -> DataFrame:
+    """As ``bm25``, summed over fields, each with its own lengths and frequencies, times its boost."""
+    parts = [bm25(docs, queries, doc_key, f, query_key, query_text).withColumn("score", F.col("score") * boost) for f, boost in fields.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(query_key, doc_key).agg(F.sum("score").alias("score"))
+
+
 def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, digits: int = 6) -> DataFrame:
     """The k best of each query with their rank: by rounded score, then id."""
     scored = scored.withColumn("score", F.round("score", digits))
@@ -49,16 +66,25 @@ def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, digits: int =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_weights(docs: DataFrame, key: str, fields: Mapping[str, float], max_terms: int = 10_000) -> DataFrame:
-    """key, term_hash, weight: saturated, field-boosted term frequencies by hashed term; the heaviest terms stay,
-    those of equal weight by smaller hash."""
+def sparse_weights(docs: DataFrame, key: str, fields: Mapping[str, float], max_terms: int | None = 10_000, asked: DataFrame | None = None) -> DataFrame:
+    """key, term_hash, weight: saturated, field-boosted term frequencies by hashed term; the ``max_terms`` heaviest terms
+    stay, those of equal weight by smaller hash, all where it is None. Distinct terms are hashed once. With ``asked``
+    (term_hash) only those are made, which suits queries over documents without a limit."""
     parts = [docs.select(key, F.explode(tokens(F.col(f))).alias("term"), F.lit(float(b)).alias("boost")) for f, b in fields.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     by_term = rows.groupBy(key, "term").agg(F.sum("boost").alias("tf"))
-    by_hash = by_term.groupBy(key, fnv1a(F.col("term")).alias("term_hash")).agg(F.sum("tf").alias("tf"))
+    names = by_term.select("term").distinct().withColumn("term_hash", fnv1a(F.col("term")))
+    if asked is not None and max_terms is None:
+        names = names.join(listed(asked, ASKED), "term_hash", "left_semi")
+        by_term = rows.join(listed(names, ASKED), "term").groupBy(key, "term_hash").agg(F.sum("boost").alias("tf"))
+        by_hash = by_term
+    else:
+        by_hash = by_term.join(names, "term").groupBy(key, "term_hash").agg(F.sum("tf").alias("tf"))
     weighted = by_hash.select(key, "term_hash", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("weight"))
+    if max_terms is None:
+        return weighted
     order = Window.partitionBy(key).orderBy(F.desc("weight"), "term_hash")
     return weighted.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_terms).drop("n")
 
@@ -68,9 +94,10 @@ def sparse_query(queries: DataFrame, key: str, text: str) -> DataFrame:
     return query_terms(queries, key, text).select(key, fnv1a(F.col("term")).alias("term_hash")).distinct()
 
 
-def sparse_dot(weights: DataFrame, query: DataFrame, doc_key: str, query_key: str) -> DataFrame:
-    """Sum of weight times inverse document frequency over shared terms."""
-    n = weights.agg(F.count_distinct(doc_key).alias("n"))  # one row
+def sparse_dot(weights: DataFrame, query: DataFrame, doc_key: str, query_key: str, documents: DataFrame | None = None) -> DataFrame:
+    """Sum of weight times inverse document frequency over shared terms. ``documents``: one row a document that has any
+    term, where ``weights`` holds asked terms only."""
+    n = weights.agg(F.count_distinct(doc_key).alias("n")) if documents is None else documents.agg(F.count("*").alias("n"))  # one row
     hits = weights.join(query.select("term_hash").distinct(), "term_hash")
     df = hits.groupBy("term_hash").agg(F.count("*").alias("df"))
     scored = hits.join(df, "term_hash").crossJoin(F.broadcast(n)).withColumn("w", F.col("weight") * idf(F.col("n"), F.col("df")))
@@ -95,17 +122,51 @@ def full_text_rank(docs: DataFrame, queries: DataFrame, doc_key: str, classes: M
     return found.join(sizes, query_key).select(query_key, doc_key, (F.col("s") / F.col("asked")).alias("score"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, max_queries: int = 10_000) -> DataFrame:
-    """Exact cosine neighbours of each query among all vectors but itself. Up to ``max_queries`` queries are
-    broadcast; more are dealt into blocks, each of which meets every vector through a join on the block."""
-    asked = queries.select(query_key, query_vector)
-    blocks = -(-asked.count() // max_queries)
-    if blocks <= 1:
-        pairs = vectors.select(key, vector).crossJoin(F.broadcast(asked))
-    else:
-        asked = asked.withColumn("__block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
-        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-        pairs = spread.join(asked, "__block").drop("__block")
-    pairs = pairs.where(F.col(key) != F.col(query_key))
-    scored = pairs.select(query_key, key, cosine(F.col(query_vector), F.col(vector)).alias("score"))
+#: Bytes of a query set that is sent to every task.
+QUERY_BYTES = 64 << 20
+
+
+def knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query_key: str, query_vector: str, k: int, most_bytes: int = QUERY_BYTES, itself: bool = False) -> DataFrame:
+    """Exact cosine neighbours of each query among all vectors, but itself (the equal key) unless ``itself``: query_key,
+    key, score, rank. A stated query set
+    of up to ``most_bytes`` goes to every task, which sends on what can be among its k best; a larger one is dealt into
+    blocks that each meet every vector through a join on the block."""
+    asked = queries.select(F.col(query_key), F.col(query_vector).cast("array<double>").alias(query_vector))
+    count, width = asked.agg(F.count("*"), F.coalesce(F.max(F.size(query_vector)), F.lit(0))).first()
+    if 8 * count * width > most_bytes:
+        blocks = -(-8 * count * width // most_bytes)
+        asked = asked.withColumn("block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
+        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+        pairs = spread.join(asked, "block").where(F.lit(itself) | (F.col(key) != F.col(query_key)))
+        return top_k(pairs.select(query_key, key, cosine(F.col(query_vector), F.col(vector)).alias("score")), query_key, key, k)
+    kinds = dict(queries.dtypes), dict(vectors.dtypes)
+    rows = sorted(asked.collect(), key=lambda r: str(r[0]))  # at most ``most_bytes``
+    by_width: dict[int, tuple[list, np.ndarray, np.ndarray]] = {}
+    for w in {len(r[1]) for r in rows if r[1] is not None}:
+        own = [r for r in rows if r[1] is not None and len(r[1]) == w]
+        m = np.array([r[1] for r in own], float).reshape(len(own), w)
+        by_width[w] = [r[0] for r in own], m, np.sqrt((m * m).sum(axis=1))
+    shared = vectors.sparkSession.sparkContext.broadcast(by_width)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            ids, values = batch.column(0).to_pylist(), batch.column(1)
+            sizes = np.array([len(v) if v.is_valid else -1 for v in values])
+            for w, (names, m, lengths) in shared.value.items():
+                at = np.flatnonzero(sizes == w)
+                if not len(at):
+                    continue
+                v = values.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), w)
+                norm = np.sqrt((v * v).sum(axis=1))[None, :] * lengths[:, None]
+                scores = np.divide(m @ v.T, norm, out=np.zeros(norm.shape), where=norm > 0)
+                for name, line in zip(names, scores):
+                    # all that rounding could bring among the k best of this batch, and the query's own row
+                    least = np.partition(line, len(line) - k - 1)[len(line) - k - 1] - 4e-6 if len(line) > k + 1 else -np.inf
+                    found += [(name, ids[at[j]], float(line[j])) for j in np.flatnonzero(line >= least).tolist() if itself or ids[at[j]] != name]
+            columns = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [query_key, key, "score"])
+
+    types = to_arrow_schema(queries.select(query_key).schema).field(0).type, to_arrow_schema(vectors.select(key).schema).field(0).type, pa.float64()
+    scored = vectors.select(key, F.col(vector).cast("array<double>").alias(vector)).mapInArrow(near, f"{query_key} {kinds[0][query_key]}, {key} {kinds[1][key]}, score double")
     return top_k(scored, query_key, key, k)

@@ -21,12 +21,10 @@ NOW = datetime(2024, 1, 31)
 
 
 @query("""
-SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang FROM pages
+SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang FROM pages
 """)
 def html_title_lang(spark, sf_dir):
-    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    lang = F.nullif(F.regexp_extract("html", r'(?i)<html[^>]*\slang="([^"]*)"', 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"), lang.alias("lang"))
+    return parse.parse_pages(table(spark, sf_dir, "pages"), "page_id", "html", "url").select("page_id", "title", "lang")
 
 
 @query("""
@@ -43,9 +41,14 @@ def html_blocks(spark, sf_dir):
     return parsed.select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.*")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<script')) AS INTEGER) AS scripts, false AS shell FROM pages")
+@query("""
+SELECT page_id, CAST(CASE WHEN page_id % 5 = 0 THEN page_id % 7 ELSE len(regexp_extract_all(html, '(?i)<script')) END AS INTEGER) AS scripts, page_id % 5 = 0 AND page_id % 7 > 3 AS shell FROM pages
+""")
 def js_shell_flag(spark, sf_dir):
-    parsed = parse.parse_pages(table(spark, sf_dir, "pages"), "page_id", "html", "url")
+    """Every fifth page is replaced by a shell with some scripts; the others are as they are."""
+    empty = F.concat(F.lit("<html><body><div id='app'>Loading</div>"), F.repeat(F.lit("<script src='a.js'></script>"), (F.col("page_id") % 7).cast("int")), F.lit("</body></html>"))
+    pages = table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 5 == 0, empty).otherwise(F.col("html")))
+    parsed = parse.parse_pages(pages, "page_id", "html", "url")
     return parsed.select("page_id", "scripts", parse.is_script_shell(F.col("characters"), F.col("scripts")).alias("shell"))
 
 
@@ -72,9 +75,9 @@ def url_canonical(spark, sf_dir):
     return _urls(spark, sf_dir)
 
 
-@query(URL_SQL + "SELECT page_id, regexp_matches(canonical, '(?i)^https?://.*[02468].*$') AND NOT regexp_matches(canonical, '(?i)^.*7.*$') AS in_scope FROM c")
+@query(URL_SQL + "SELECT page_id, (host = 'example.com' OR host LIKE '%.example.com' OR host LIKE '%.example.org') AND regexp_matches(canonical, '(?i)^https?://.*[02468].*$') AND NOT regexp_matches(canonical, '(?i)^.*7.*$') AS in_scope FROM c")
 def scope_filter(spark, sf_dir):
-    return _urls(spark, sf_dir).select("page_id", web.in_scope(F.col("canonical"), [], include=[f"http*://*{d}*" for d in "02468"], exclude=["*7*"]).alias("in_scope"))
+    return _urls(spark, sf_dir).select("page_id", web.in_scope(F.col("canonical"), ["Example.com", "example.org"], subdomains=True, include=[f"http*://*{d}*" for d in "02468"], exclude=["*7*"]).alias("in_scope"))
 
 
 @query(URL_SQL + "SELECT DISTINCT canonical AS url, CAST(1 AS INTEGER) AS depth FROM c WHERE canonical NOT IN (SELECT canonical FROM c WHERE page_id % 2 = 0) ORDER BY 1 LIMIT 50")
@@ -125,15 +128,14 @@ def path_globs(spark, sf_dir):
 
 
 VERSIONS_SQL = """
-WITH o AS (SELECT doc_id, source, sha256(CASE WHEN doc_id % 40 < 30 THEN lang ELSE text END) AS h FROM documents),
+WITH o AS (SELECT doc_id, source, sha256(text) AS h FROM documents),
 l AS (SELECT *, lag(h) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM o),
 v AS (SELECT doc_id, source, h AS content_hash, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS version, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) = 1 AS current FROM l WHERE p IS NULL OR p <> h)
 """
 
 
 def _hashed(spark, sf_dir):
-    body = F.when(F.col("doc_id") % 40 < 30, F.col("lang")).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(body, 256).alias("content_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("content_hash"))
 
 
 @query(VERSIONS_SQL + "SELECT * FROM v")
@@ -149,12 +151,12 @@ def version_pairs(spark, sf_dir):
 
 
 @query("""
-WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN lang ELSE text END) AS h FROM documents)
+WITH old AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), new AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN concat(text, ' changed') ELSE text END) AS h FROM documents)
 SELECT doc_id, CASE WHEN old.h IS NULL THEN 'NEW' WHEN old.h = new.h THEN 'UNCHANGED' ELSE 'UPDATED' END AS state FROM new LEFT JOIN old USING (doc_id)
 """)
 def content_hash_change(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    new = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.col("lang")).otherwise(F.col("text")), 256).alias("h"))
+    new = docs.select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")), 256).alias("h"))
     return relational.changed(new, docs.where("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h").select("doc_id", "state")
 
 
@@ -268,29 +270,30 @@ def daily_trend(spark, sf_dir):
 
 
 @query("""
-SELECT CASE WHEN value > 60 THEN 'ANSWERED' WHEN value > 30 THEN 'PARTIAL' ELSE 'UNANSWERED' END AS status,
-CASE WHEN value > 60 THEN NULL WHEN NOT user_id % 3 > 0 THEN 'NO_SOURCES' WHEN NOT user_id % 2 > 0 THEN 'NOT_IN_SOURCES' ELSE 'INCOMPLETE' END AS reason, count(*) AS cases FROM events GROUP BY 1, 2
+WITH c AS (SELECT user_id % 4 AS retrieved, CASE WHEN value > 60 THEN 2 WHEN value > 30 THEN 1 ELSE 0 END AS score FROM events)
+SELECT CASE WHEN retrieved = 0 THEN 'UNANSWERED' WHEN score = 2 THEN 'ANSWERED' WHEN score = 1 THEN 'PARTIAL' ELSE 'UNANSWERED' END AS status,
+CASE WHEN retrieved = 0 THEN 'no-sources' WHEN score = 1 THEN 'partial' WHEN score = 0 THEN 'not-in-sources' END AS reason, count(*) AS cases FROM c GROUP BY 1, 2
 """)
 def gap_report(spark, sf_dir):
-    verdict = F.when(F.col("value") > 60, "complete").when(F.col("value") > 30, "partial").otherwise("none")
-    status, reason = evaluate.answer_status(verdict, F.col("user_id") % 3 > 0, F.col("user_id") % 2 > 0)
+    score = F.when(F.col("value") > 60, 2).when(F.col("value") > 30, 1).otherwise(0)
+    status, reason = evaluate.answer_status(score, F.col("user_id") % 4)
     return table(spark, sf_dir, "events").groupBy(status.alias("status"), reason.alias("reason")).agg(F.count("*").alias("cases"))
 
 
 @query("""
-WITH q AS (SELECT split_part(text, chr(10), 1) AS t FROM conversations WHERE role = 'user')
+WITH q AS (SELECT text AS t FROM conversations WHERE role = 'user')
 SELECT regexp_replace(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), '[\\s.?!]+$', '') AS topic, count(*) AS questions, count(DISTINCT t) AS variants FROM q GROUP BY 1 HAVING topic <> ''
 """)
 def topic_text_groups(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.substring_index("text", "\n", 1).alias("t"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("text").alias("t"))
     return evaluate.topic_text_groups(rows, "t")
 
 
 @query()
 def topic_leader_clusters(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.substring_index("text", ".", 1).alias("topic")).agg(F.count("*").alias("frequency"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy(F.col("text").alias("topic")).agg(F.count("*").alias("frequency"))
     rows = rows.withColumn("tenant", F.lit("all")).withColumn("vector", embedding_udf(HashEmbedding())(F.col("topic")))
-    return evaluate.leader_clusters(rows, "tenant", 0.5)
+    return evaluate.leader_clusters(rows, "tenant")
 
 
 @query("""
@@ -314,15 +317,14 @@ def sampling(spark, sf_dir):
 
 
 @query("""
-WITH m AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS vs FROM documents),
-e AS (SELECT doc_id, text, unnest(vs) AS matched_value FROM m)
-SELECT doc_id AS chunk_id, matched_value, CAST(strpos(text, matched_value) - 1 AS INTEGER) AS match_start, substr(text, greatest(1, strpos(text, matched_value) - 80), least(80, strpos(text, matched_value) - 1)) AS context_before, substr(text, strpos(text, matched_value) + length(matched_value), 80) AS context_after FROM e
+WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z0-9]') AS vs, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z0-9]') AS ps FROM documents),
+e AS (SELECT doc_id, text, vs[i] AS v, CAST(list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS off FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM m))
+SELECT doc_id AS chunk_id, v AS matched_value, CAST(off AS INTEGER) AS match_start, substr(text, greatest(1, off - 79), least(80, off)) AS context_before, substr(text, off + length(v) + 1, 80) AS context_after FROM e
 """)
 def regex_extract_context(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     found = extract.extract(chunks, [("mail", "regex", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]")])
-    first = relational.first_in_group(found, ["chunk_id", "matched_value"], [F.col("match_start")])
-    return first.select("chunk_id", "matched_value", "match_start", "context_before", "context_after")
+    return found.select("chunk_id", "matched_value", "match_start", "context_before", "context_after")
 
 
 IP_SQL = """
@@ -333,7 +335,7 @@ WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9A-Za-z_.:])
 @query(IP_SQL + "SELECT doc_id AS chunk_id, v AS matched_value FROM c WHERE len(list_filter(string_split(v, '.'), lambda x: CAST(x AS INTEGER) > 255 OR (length(x) > 1 AND x[1] = '0'))) = 0")
 def ip_extract(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return extract.extract(chunks, [("ip", "ip", None)]).where("matched_value not like '%:%'").select("chunk_id", "matched_value")
+    return extract.extract(chunks, [("ip", "ip", None)]).select("chunk_id", "matched_value")
 
 
 @query(IP_SQL + "SELECT doc_id AS chunk_id, v AS matched_value FROM c WHERE len(list_filter(string_split(v, '.'), lambda x: CAST(x AS INTEGER) > 255 OR (length(x) > 1 AND x[1] = '0'))) = 0 AND contains(v, '1.')")
@@ -362,12 +364,14 @@ def line_diff(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     new = v.join(docs, "doc_id").select("source", "version", F.col("text").alias("new"))
     old = new.select("source", (F.col("version") + 1).alias("version"), F.col("new").alias("old"))
-    return relational.line_diff(new.join(old, ["source", "version"]), "old", "new").select("source", "version", "diff")
+    return relational.line_diff(new.join(old, ["source", "version"]), "old", "new", "version").select("source", "version", "diff")
 
 
-@query("SELECT doc_id, concat(substr(text, 1, 20), '¹ and ²³') AS cited FROM documents WHERE NOT contains(text, '[')")
+@query("""
+SELECT doc_id, concat(replace(replace(replace(regexp_replace(replace(text, '. ', '. [1] [SOURCE 2] '), '\\[(?:SOURCE )?([0-9]+)\\]', '[[\\1]]', 'g'), '[[1]]', '¹'), '[[2]]', '²'), '[[', '[['), '⁴⁰⁷') AS cited FROM documents WHERE NOT contains(text, '[')
+""")
 def citation_rewrite(spark, sf_dir):
-    cited = F.concat(F.substring("text", 1, 20), F.lit("[1] and [SOURCE 23]"))
+    cited = F.concat(F.replace(F.col("text"), F.lit(". "), F.lit(". [1] [SOURCE 2] ")), F.lit("[407]"))
     return table(spark, sf_dir, "documents").where(~F.col("text").contains("[")).select("doc_id", assemble.superscript_citations(cited).alias("cited"))
 
 
@@ -467,10 +471,15 @@ def percent_change(spark, sf_dir):
     return days.join(before, "day", "left").select(F.col("day").cast("string").alias("day"), X.percent_change(F.col("n"), F.coalesce("p", F.lit(0))).alias("change"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'INDEXED' WHEN event_id % 7 = 0 THEN 'APPROVED' WHEN user_id % 5 >= 3 AND event_id % 5 >= 3 THEN 'CANDIDATE' WHEN user_id % 5 < 2 OR event_id % 5 < 2 THEN 'REJECTED' ELSE 'NONE' END AS state FROM events")
+@query("""
+WITH f AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN 'CANDIDATE' WHEN 2 THEN 'APPROVED' WHEN 3 THEN 'INDEXED' ELSE 'REJECTED' END AS st, 1 + user_id % 5 AS rel, CASE WHEN event_id % 13 > 0 THEN 1 + event_id % 4 + 1 END AS qual, event_id % 3 AS sources, user_id % 2 = 0 AS approval FROM events)
+SELECT event_id, CASE WHEN st IN ('INDEXED', 'REJECTED') THEN st WHEN NOT coalesce(sources > 0 AND rel >= 4 AND qual >= 4, false) THEN 'NONE' WHEN approval AND st <> 'APPROVED' THEN 'CANDIDATE' ELSE 'APPROVED' END AS state FROM f
+""")
 def feedback_states(spark, sf_dir):
-    e = F.col("event_id")
-    return table(spark, sf_dir, "events").select("event_id", state.feedback_state(F.col("user_id") % 5, e % 5, e % 7 == 0, e % 11 == 0).alias("state"))
+    e, u = F.col("event_id"), F.col("user_id")
+    now = F.when(e % 5 == 0, "NONE").when(e % 5 == 1, "CANDIDATE").when(e % 5 == 2, "APPROVED").when(e % 5 == 3, "INDEXED").otherwise("REJECTED")
+    quality = F.when(e % 13 > 0, 2 + e % 4)
+    return table(spark, sf_dir, "events").select("event_id", state.feedback_state(now, 1 + u % 5, quality, e % 3, u % 2 == 0).alias("state"))
 
 
 # joins

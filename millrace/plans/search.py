@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import assemble, chunk, evaluate, retrieve, textindex
+from ..operators.relational import listed
 from .registry import query, table
 
 BM25_SQL = """
@@ -39,10 +40,10 @@ h AS (SELECT doc_id, sum(tf) AS tf, list_reduce(list_prepend(2166136261::BIGINT,
 g AS (SELECT doc_id, term_hash, sum(tf) AS tf FROM h GROUP BY 1, 2),
 w AS (SELECT doc_id, term_hash, tf * 2.2 / (tf + 1.2) AS weight FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term_hash) AS n FROM w)
-SELECT doc_id, term_hash, round(weight, 6) AS weight FROM r WHERE n <= 20
+SELECT doc_id, term_hash, round(weight, 6) AS weight FROM r WHERE n <= 10000
 """)
 def sparse_tf_saturation(spark, sf_dir):
-    found = textindex.sparse_weights(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0, "source": 3.0}, 20)
+    found = textindex.sparse_weights(table(spark, sf_dir, "documents"), "doc_id", {"text": 1.0, "source": 3.0})
     return found.select("doc_id", "term_hash", F.round("weight", 6).alias("weight"))
 
 
@@ -66,22 +67,19 @@ SELECT item_id, doc_id, score FROM r WHERE rank <= 10
 """)
 def sparse_idf_dot(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    weights = textindex.sparse_weights(docs, "doc_id", {"text": 1.0}, 1_000_000)
-    scored = textindex.sparse_dot(weights, textindex.sparse_query(items, "item_id", "text"), "doc_id", "item_id")
+    asked = textindex.sparse_query(items, "item_id", "text")
+    weights = textindex.sparse_weights(docs, "doc_id", {"text": 1.0}, None, asked.select("term_hash").distinct())
+    some = docs.where(F.lower("text").rlike("[a-z0-9]"))
+    scored = textindex.sparse_dot(weights, asked, "doc_id", "item_id", some)
     return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
 
 
 @query("""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents),
-p AS (SELECT doc_id, w, list_filter(regexp_extract_all(regexp_replace(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '_', ' ', 'g'), '[A-Z]+|[A-Z]?[a-z]+|[0-9]+'), lambda x: x <> '') AS ps FROM t)
-SELECT doc_id, count(*) AS words FROM t GROUP BY doc_id
+p AS (SELECT doc_id, w, regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+') AS ps FROM t),
+x AS (SELECT doc_id, lower(w) AS term FROM p UNION ALL SELECT doc_id, lower(unnest(ps)) FROM p WHERE len(ps) > 1)
+SELECT doc_id, term, count(*) AS tf FROM x GROUP BY 1, 2
 """)
-def code_words(spark, sf_dir):
-    words = F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z0-9_]+)"), 1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("words")).where("words > 0")
-
-
-@query()
 def code_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(X.code_tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
@@ -93,7 +91,7 @@ SELECT item_id, doc_id, CASE WHEN length(text) <= 240 THEN text ELSE concat(CASE
 """)
 def snippet(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 3).alias("needle"))
-    met = table(spark, sf_dir, "documents").join(F.broadcast(items), F.lower("text").contains(F.lower("needle")))
+    met = table(spark, sf_dir, "documents").join(listed(items), F.lower("text").contains(F.lower("needle")))
     return met.select("item_id", "doc_id", X.snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 
@@ -138,44 +136,79 @@ def knn_filtered(spark, sf_dir):
     return textindex.knn(v.where(F.col("label").isin(1, 2, 3)), q, "vec_id", "embedding", "query_id", "q", 10)
 
 
-def _legs(spark, sf_dir, k=30):
-    """Queries are the rows whose id is divisible by 50. A semantic leg by cosine, and a lexical stand-in: nearness of ids and labels."""
+def _leg(spark, sf_dir, k=30):
+    """Queries are the rows whose id is divisible by 50; the semantic leg by cosine."""
     v, q = _vectors(spark, sf_dir)
-    semantic = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", k)
-    labels = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    pairs = v.join(F.broadcast(labels), F.col("ql") == F.col("label")).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", (100.0 / (1 + F.abs(F.col("vec_id") - F.col("query_id")))).alias("score"))
-    return textindex.top_k(scored, "query_id", "vec_id", k), semantic
+    return textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", k)
+
+
+LEGS_SQL = KNN_SQL + "sem AS (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 30),"
+
+#: Word counts of a text at 64 places by a hash, as SQL and Spark both have it: the stand-in for an embedding model.
+PLACES = 64
+HYBRID_SQL = BM25_SQL + """, lex AS (SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 30),
+w AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+p AS (SELECT id, CAST(concat('0x', substr(md5(term), 1, 4)) AS INTEGER) % 64 AS pl, CAST(count(*) AS DOUBLE) AS n FROM w GROUP BY 1, 2),
+dn AS (SELECT id, sqrt(sum(n * n)) AS len FROM p GROUP BY 1),
+qp AS (SELECT item_id, CAST(concat('0x', substr(md5(term), 1, 4)) AS INTEGER) % 64 AS pl, CAST(count(*) AS DOUBLE) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1, 2),
+qn AS (SELECT item_id, sqrt(sum(n * n)) AS len FROM qp GROUP BY 1),
+dots AS (SELECT item_id, id AS doc_id, sum(qp.n * p.n) AS dot FROM qp JOIN p USING (pl) GROUP BY 1, 2),
+cs AS (SELECT q.item_id, d.doc_id, round(coalesce(dot / (qn.len * dn.len), 0.0), 6) AS score FROM benchmark q CROSS JOIN documents d LEFT JOIN dots ON dots.item_id = q.item_id AND dots.doc_id = d.doc_id LEFT JOIN qn ON qn.item_id = q.item_id LEFT JOIN dn ON dn.id = d.doc_id),
+sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM cs) WHERE rank <= 30),
+"""
 
 
-LEGS_SQL = (
-    KNN_SQL
-    + """sem AS (SELECT * FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 30),
-lx AS (SELECT query_id, vec_id, round(100.0 / (1 + abs(vec_id - query_id)), 6) AS score FROM s WHERE ql = label),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM lx) WHERE rank <= 30),
-"""
-)
+def _placed(rows, key, name):
+    """key, name: the vector of each text."""
+    terms = rows.select(key, F.explode(X.tokens(F.col("text"))).alias("term"))
+    at = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % PLACES).alias("at")
+    counts = terms.select(key, at).groupBy(key, "at").agg(F.count("*").cast("double").alias("n"))
+    by = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
+    places = F.sequence(F.lit(0), F.lit(PLACES - 1))
+    vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return rows.select(key).join(by, key, "left").select(key, vector.alias(name))
 
 
-@query(LEGS_SQL + """f AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, vec_id, rank FROM lex UNION ALL SELECT query_id, vec_id, rank FROM sem) GROUP BY 1, 2),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 10""")
+def _hybrid_legs(spark, sf_dir, k=30):
+    """Documents by BM25 and by the cosine of their vectors, for each benchmark item: both legs of one plan."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    semantic = textindex.knn(_placed(docs, "doc_id", "v"), _placed(items, "item_id", "q"), "doc_id", "v", "item_id", "q", k, itself=True)
+    return _bm25(spark, sf_dir, k), semantic
+
+
+@query(HYBRID_SQL + """f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM lex UNION ALL SELECT item_id, doc_id, rank FROM sem) GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10""")
 def rrf_hybrid(spark, sf_dir):
-    return retrieve.rrf(_legs(spark, sf_dir), "query_id", "vec_id", 10)
+    return retrieve.rrf(_hybrid_legs(spark, sf_dir), "item_id", "doc_id", 10)
 
 
-@query(LEGS_SQL + """a AS (SELECT query_id, vec_id, score, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM lex WINDOW w AS (PARTITION BY query_id)),
-b AS (SELECT query_id, vec_id, score, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM sem WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, vec_id, round(0.5 * coalesce(b.x, 0) + 0.5 * coalesce(a.x, 0), 6) AS score, a.score AS lexical_score, b.score AS semantic_score FROM a FULL JOIN b USING (query_id, vec_id)),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM f) SELECT query_id, vec_id, rank, score, lexical_score, semantic_score FROM r WHERE rank <= 10""")
+@query(HYBRID_SQL + """a AS (SELECT item_id, doc_id, score, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM lex WINDOW w AS (PARTITION BY item_id)),
+b AS (SELECT item_id, doc_id, score, CASE WHEN max(score) OVER w - min(score) OVER w <= 1e-12 THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM sem WINDOW w AS (PARTITION BY item_id)),
+f AS (SELECT item_id, doc_id, round(0.5 * coalesce(b.x, 0) + 0.5 * coalesce(a.x, 0), 6) AS score, a.score AS lexical_score, b.score AS semantic_score FROM a FULL JOIN b USING (item_id, doc_id)),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT item_id, doc_id, rank, score, lexical_score, semantic_score FROM o WHERE rank <= 10""")
 def minmax_fusion(spark, sf_dir):
-    return retrieve.min_max_fusion(*_legs(spark, sf_dir), "query_id", "vec_id", 0.5, 10)
+    return retrieve.min_max_fusion(*_hybrid_legs(spark, sf_dir), "item_id", "doc_id", 0.5, 10)
+
+
+@query(BM25_SQL.replace("SELECT doc_id, regexp_extract_all(lower(text)", "SELECT doc_id, regexp_extract_all(lower(split_part(text, chr(10), 1))").replace("s AS (SELECT", "s1 AS (SELECT").replace("r AS (SELECT *, CAST", "unused AS (SELECT *, CAST").replace("FROM s)", "FROM s1)") + """,
+tok2 AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), st2 AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok2),
+post2 AS (SELECT doc_id, term, any_value(dl) AS dl, count(*) AS tf FROM (SELECT doc_id, len(ts) AS dl, unnest(ts) AS term FROM tok2) GROUP BY doc_id, term),
+df2 AS (SELECT term, count(*) AS df FROM post2 GROUP BY term),
+raw1 AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post USING (term) JOIN df USING (term), st GROUP BY item_id, doc_id),
+raw2 AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post2 USING (term) JOIN df2 USING (term), st2 GROUP BY item_id, doc_id),
+m AS (SELECT item_id, doc_id, round(sum(score), 6) AS score FROM (SELECT item_id, doc_id, 2 * score AS score FROM raw1 UNION ALL SELECT * FROM raw2) GROUP BY 1, 2),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM m) SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10""")
+def bm25_fields(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("head", F.substring_index("text", "\n", 1))
+    scored = textindex.bm25_fields(docs, table(spark, sf_dir, "benchmark"), "doc_id", {"head": 2.0, "text": 1.0}, "item_id", "text")
+    return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score", "rank")
 
 
 @query(LEGS_SQL + """u AS (SELECT query_id // 200 AS question, query_id AS list, vec_id, rank FROM sem),
 f AS (SELECT question, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(list * 1000 + rank) AS seen FROM u GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY question ORDER BY score DESC, seen, vec_id) AS INTEGER) AS rank FROM f) SELECT question, vec_id, score, rank FROM r WHERE rank <= 10""")
 def multi_query_rrf(spark, sf_dir):
-    _, semantic = _legs(spark, sf_dir)
+    semantic = _leg(spark, sf_dir)
     lists = semantic.select(F.floor(F.col("query_id") / 200).alias("question"), F.col("query_id").alias("list"), "vec_id", "rank")
     return retrieve.multi_query_rrf(lists, "question", "vec_id", 10)
 
@@ -184,7 +217,7 @@ def multi_query_rrf(spark, sf_dir):
 o AS (SELECT *, count(*) OVER w = count(rr) OVER w AS ok FROM m WINDOW w AS (PARTITION BY query_id)),
 r AS (SELECT query_id, vec_id, CASE WHEN ok THEN rr ELSE score END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ok THEN -rr ELSE rank END, vec_id) AS INTEGER) AS rank FROM o) SELECT * FROM r WHERE rank <= 8""")
 def rerank_fail_open(spark, sf_dir):
-    _, semantic = _legs(spark, sf_dir)
+    semantic = _leg(spark, sf_dir)
     scores = semantic.where("query_id % 2 = 0 or vec_id % 7 <> 0").select("query_id", "vec_id", (F.col("vec_id") % 13).cast("double").alias("rerank_score"))
     return retrieve.rerank(semantic, scores, "query_id", "vec_id", 8).select("query_id", "vec_id", "score", "rank")
 
@@ -193,7 +226,7 @@ def rerank_fail_open(spark, sf_dir):
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY n) AS m FROM l WHERE n <= 20)
 SELECT query_id, chunk_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n) AS INTEGER) AS rank FROM d WHERE m = 1""")
 def hit_dedup_after_limit(spark, sf_dir):
-    _, semantic = _legs(spark, sf_dir)
+    semantic = _leg(spark, sf_dir)
     hits = semantic.drop("rank").withColumn("chunk_id", F.floor(F.col("vec_id") / 8))
     return retrieve.dedup_hits(hits, "query_id", "vec_id", "chunk_id", 20).select("query_id", "chunk_id", "vec_id", "score", "rank")
 
@@ -202,7 +235,7 @@ def hit_dedup_after_limit(spark, sf_dir):
 def dartboard_select(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     hits = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", retrieve.dartboard_pool(5, 6))
-    rows = hits.join(v, "vec_id").join(F.broadcast(q), "query_id").select("query_id", F.col("vec_id").alias("key"), "rank", F.col("embedding").alias("vector"), F.col("q").alias("query_vector"))
+    rows = hits.join(v, "vec_id").join(listed(q), "query_id").select("query_id", F.col("vec_id").alias("key"), "rank", F.col("embedding").alias("vector"), F.col("q").alias("query_vector"))
     return retrieve.dartboard(rows, 5)
 
 
@@ -288,13 +321,13 @@ def context_budget(spark, sf_dir):
     return assemble.budget(hits.select("item_id", "doc_id", "rank", "text"), "item_id", "text", 2000)
 
 
-@query(BM25_SQL + """, cut AS (SELECT item_id, rank, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM r JOIN documents USING (doc_id) WHERE rank <= 5),
-e AS (SELECT item_id, rank, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM cut),
+@query(BM25_SQL + """, cut AS (SELECT item_id, rank, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?]*'), lambda x: trim(x, ' ')), lambda x: x <> '') AS ss FROM r JOIN documents USING (doc_id) WHERE rank <= 5),
+e AS (SELECT item_id, rank, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM cut WHERE NOT (contains(text, '```') OR len(ss) > 300)),
 d AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(regexp_replace(sentence, '\\s+', ' ', 'g')) ORDER BY rank, pos) AS n FROM e)
-SELECT item_id, rank, CAST(pos AS INTEGER) AS pos, sentence FROM d WHERE n = 1""")
+SELECT item_id, rank, CAST(pos AS INTEGER) AS pos, sentence, false AS whole FROM d WHERE n = 1 UNION ALL SELECT item_id, rank, 0, text, true FROM cut WHERE contains(text, '```') OR len(ss) > 300""")
 def sentence_dedup(spark, sf_dir):
     hits = _bm25(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return assemble.distinct_sentences(hits, "item_id", "text").select("item_id", "rank", "pos", "sentence")
+    return assemble.distinct_sentences(hits, "item_id", "text").select("item_id", "rank", "pos", "sentence", "whole")
 
 
 @query(BM25_SQL + """, t AS (SELECT item_id, rank, concat('[SOURCE ', rank, ']', chr(10), source, chr(10), '[END SOURCE ', rank, ']') AS b FROM r JOIN documents USING (doc_id) WHERE rank <= 4)
@@ -314,11 +347,18 @@ ide AS (SELECT query_id, sum((pow(2, grade) - 1) / log2(n + 1)) AS ideal FROM (S
 
 
 def _metrics(spark, sf_dir):
+    """Only the ten best of a query are ranked; totals and the ideal pool follow from the counts of labels."""
     v, q = _vectors(spark, sf_dir)
-    hits = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", 1_000_000)
     labels = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
+    hits = textindex.knn(v, q, "vec_id", "embedding", "query_id", "q", 10)
+    graded = hits.join(v.select("vec_id", "label"), "vec_id").join(labels, "query_id")
     grade = F.when(F.col("ql") == F.col("label"), 3).when(F.abs(F.col("ql") - F.col("label")) == 1, 2).otherwise(0)
-    return evaluate.ranking_metrics(hits.join(v.select("vec_id", "label"), "vec_id").join(F.broadcast(labels), "query_id").select("query_id", "rank", grade.alias("grade")), "query_id", 10)
+    near = labels.select("query_id", "ql", F.explode(F.array(F.col("ql") - 1, F.col("ql"), F.col("ql") + 1)).alias("label"))
+    counts = near.join(v.groupBy("label").agg(F.count("*").alias("n")), "label")
+    counts = counts.select("query_id", grade.alias("grade"), (F.col("n") - (F.col("ql") == F.col("label")).cast("int")).alias("n"))
+    totals = labels.select("query_id").join(counts.groupBy("query_id").agg(F.sum("n").alias("total")), "query_id", "left").fillna(0, ["total"])
+    pool = counts.where("n > 0").select("query_id", "grade", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(10)))).alias("i"))
+    return evaluate.ranking_metrics(graded.select("query_id", "rank", grade.alias("grade")), "query_id", 10, totals, pool)
 
 
 @query(METRICS_SQL + "SELECT query_id, round(p, 6) AS precision_at_k, round(least(1.0, found::DOUBLE / nullif(total, 0)), 6) AS recall_at_k FROM m JOIN tot USING (query_id)")
@@ -395,9 +435,9 @@ def chunk_pack(spark, sf_dir):
     return chunk.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text", chunk.ChunkOptions.for_job())
 
 
-@query()
+@query("SELECT doc_id, true AS same FROM documents WHERE regexp_matches(text, '\\S')")
 def chunk_join_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     back = chunk.joined_text(chunk.chunk_documents(docs, "doc_id", "text", chunk.ChunkOptions(300, 60)), "doc_id")
-    flat = lambda c: X.collapse(F.col(c))
+    flat = lambda c: F.regexp_replace(c, r"\s+", "")
     return docs.join(back, "doc_id").select("doc_id", (flat("text") == flat("content")).alias("same"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -34,8 +34,9 @@ class Generations:
     def build(self, crate: str, records: DataFrame) -> int:
         number = (self.active(crate) or 0) + 1
         path = f"{self.root}/records/crate_id={crate}/generation={number}"
-        records.write.mode("overwrite").parquet(path)
-        if self.spark.read.parquet(path).count() != records.count():
+        seen = Observation()
+        records.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+        if self.spark.read.parquet(path).count() != seen.get["rows"]:
             raise RuntimeError("the generation is not whole")
         row = self.spark.range(1).select(F.lit(crate).alias("crate_id"), F.lit(number).alias("generation"), F.current_timestamp().alias("at"))
         row.coalesce(1).write.mode("append").json(f"{self.root}/pointer")
@@ -63,3 +64,32 @@ def purge(tables: dict[str, DataFrame], crate: str) -> dict[str, DataFrame]:
 
 def duplicate(rows: DataFrame, crate: str, new_crate: str) -> DataFrame:
     return rows.where(F.col("crate_id") == crate).withColumn("crate_id", F.lit(new_crate))
+
+
+def put_artifacts(rows: DataFrame, path: str, most_bytes: int) -> DataFrame:
+    """Artifacts (name, content) written below their digest, one for each content; returns name, sha256, size, accepted.
+    Contents beyond ``most_bytes`` are not written. A write is whole or not there."""
+    marked = rows.withColumns({"sha256": F.sha2("content", 256), "size": F.octet_length("content").cast("long")}).withColumn("accepted", F.col("size") <= most_bytes)
+    marked.where("accepted").groupBy("sha256").agg(F.first("content").alias("content")).write.mode("append").parquet(path)
+    return marked.select("name", "sha256", "size", "accepted")
+
+
+def append_audit(entries: DataFrame, path: str) -> None:
+    entries.write.mode("append").parquet(path)
+
+
+def newest_audit(entries: DataFrame, at: str, key: str, n: int = 100) -> DataFrame:
+    return entries.orderBy(F.desc(at), F.desc(key)).limit(n)
+
+
+def duplicate_configuration(tables: dict[str, DataFrame], crate: str, new_crate: str, ids: dict[str, str], refers: dict[str, dict[str, str]] | None = None) -> dict[str, DataFrame]:
+    """The rows of a crate copied under a new one. ``ids``: the id column of each table; copies get ids made from the old
+    one and the new crate, and columns in ``refers`` (table to column to table) follow their target."""
+    fresh = lambda table, column: F.sha2(F.concat_ws(":", F.lit(table), F.lit(new_crate), F.col(column).cast("string")), 256)
+    out = {}
+    for name, rows in tables.items():
+        own = rows.where(F.col("crate_id") == crate).withColumn("crate_id", F.lit(new_crate))
+        for column, target in (refers or {}).get(name, {}).items():
+            own = own.withColumn(column, F.when(F.col(column).isNotNull(), fresh(target, column)))
+        out[name] = own.withColumn(ids[name], fresh(name, ids[name]))
+    return out

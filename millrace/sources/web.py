@@ -10,23 +10,40 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_to_regex
 
 
+def _plain_path(path: Column) -> Column:
+    """Without empty, . and .. segments; a .. that has nothing to go up from stays."""
+    segments = F.split(path, "/")
+    up = lambda done: (F.size(done) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), done), -1) != "..")
+    step = lambda done, x: (
+        F.when((x == "") | (x == "."), done).when((x == "..") & up(done), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    )
+    body = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    folder = path.rlike(r"(?:/|/\.|/\.\.)$") & (body != "") & ~body.rlike(r"(?:^|/)\.\.$")
+    return F.when(path.rlike(r"//|/\.\.?(?:/|$)"), F.concat(F.lit("/"), body, F.when(folder, "/").otherwise(""))).otherwise(path)
+
+
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no default port, no fragment, a path; null for other schemes."""
+    """Scheme and host in lower case, the host in ASCII, no default port, no fragment, a path without dot segments; null
+    for other schemes and hosts that have no ASCII form."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     part = lambda i: F.regexp_extract(u, r"^(?i)(https?)://([^/?#:]+)(:\d+)?(/[^?]*)?(\?.*)?$", i)
     scheme = F.lower(part(1))
+    host = F.when(part(2).rlike(r"[^\x00-\x7F]"), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), part(2))).otherwise(part(2))
     port = F.when((scheme == "http") & (part(3) == ":80") | (scheme == "https") & (part(3) == ":443"), "").otherwise(part(3))
-    path = F.when(part(4) == "", "/").otherwise(part(4))
-    return F.when(scheme == "", F.lit(None)).otherwise(F.concat(scheme, F.lit("://"), F.lower(part(2)), port, path, part(5)))
-
-
-def in_scope(url: Column, hosts: list[str], subdomains: bool = False, include: list[str] = (), exclude: list[str] = ()) -> Column:
-    host = F.regexp_extract(url, r"^https?://([^/?#:]+)", 1)
-    ok = F.lit(not hosts)
-    for h in hosts:
-        ok = ok | (host == h.lower())
+    path = F.when(part(4) == "", "/").otherwise(_plain_path(part(4)))
+    return F.when(scheme == "", F.lit(None)).otherwise(F.concat(scheme, F.lit("://"), F.lower(host), port, path, part(5)))
+
+
+def in_scope(url: Column, hosts: list[str], subdomains: bool = False, include: list[str] = (), exclude: list[str] = (), seed: str | Column | None = None) -> Column:
+    """Whether an address has one of the hosts, the seed's where none is named, and passes the patterns."""
+    name = lambda c: F.regexp_extract(c, r"^https?://([^/?#:]+)", 1)
+    host = name(url)
+    allowed = [F.lit(h.lower()) for h in hosts] or ([name(canonical_url(F.lit(seed) if isinstance(seed, str) else seed))] if seed is not None else [])
+    ok = F.lit(False)
+    for h in allowed:
+        ok = ok | (host == h)
         if subdomains:
-            ok = ok | host.endswith("." + h.lower())
+            ok = ok | host.endswith(F.concat(F.lit("."), h))
     if include:
         some = F.lit(False)
         for p in include:
@@ -34,7 +51,7 @@ def in_scope(url: Column, hosts: list[str], subdomains: bool = False, include: l
         ok = ok & some
     for p in exclude:
         ok = ok & ~url.rlike(glob_to_regex(p))
-    return ok
+    return F.coalesce(ok, F.lit(False))
 
 
 def robots_rules(bodies: DataFrame, key: str, body: str, agent: str) -> DataFrame:

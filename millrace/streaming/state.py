@@ -72,8 +72,82 @@ def expired(rows: DataFrame, ts: str, now: Column, hours: int) -> Column:
     return F.col(ts) < now - F.expr(f"interval {hours} hours")
 
 
-def feedback_state(relevance: Column, quality: Column, approved: Column, indexed: Column, low: int = 2, high: int = 3) -> Column:
-    return F.when(indexed, "INDEXED").when(approved, "APPROVED").when((relevance >= high) & (quality >= high), "CANDIDATE").when((relevance < low) | (quality < low), "REJECTED").otherwise("NONE")
+def feedback_state(current: Column, relevance: Column, quality: Column, sources: Column, needs_approval: Column, least: int = 4) -> Column:
+    """State of enrichment after a rating (1 to 5). Good ratings of an answer with sources make a candidate, or are
+    approved where the policy asks for no approval or gave it before; other ratings make it none again. States beyond
+    approval stay."""
+    good = (sources > 0) & (relevance >= least) & (quality >= least)
+    fresh = F.when(~F.coalesce(good, F.lit(False)), "NONE").when(needs_approval & (current != "APPROVED"), "CANDIDATE").otherwise("APPROVED")
+    return F.when(current.isin("NONE", "CANDIDATE", "APPROVED"), fresh).otherwise(current)
+
+
+def leased(items: DataFrame, now: Column, n: int, seconds: int = 60) -> DataFrame:
+    """Items after a claim: the ``n`` that it takes have a lease and one attempt more to show."""
+    taken = claim(items, now, n).select("item_id", F.lit(True).alias("taken"))
+    met = items.join(taken, "item_id", "left")
+    held = F.coalesce("taken", F.lit(False))
+    until = now + F.expr(f"interval {seconds} seconds")
+    return met.withColumns({"status": F.when(held, "LEASED").otherwise(F.col("status")), "lease_until": F.when(held, until).otherwise(F.col("lease_until"))}).drop("taken")
+
+
+def acknowledged(items: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
+    """Leased items after their outcomes (item_id, ok): done, or counted and waiting or dead; others stay."""
+    met = items.join(outcomes.select("item_id", "ok"), "item_id", "left")
+    held = (F.col("status") == "LEASED") & F.col("ok").isNotNull()
+    failed = after_failure(met.where(held & ~F.col("ok")), now)
+    done = met.where(held & F.col("ok")).withColumn("status", F.lit("DONE"))
+    rest = met.where(~F.coalesce(held, F.lit(False)))
+    return done.unionByName(failed).unionByName(rest).drop("ok")
+
+
+def requeued(items: DataFrame, now: Column) -> DataFrame:
+    """Dead letters brought back to the start."""
+    dead = F.col("status") == "DEAD_LETTER"
+    return items.withColumns({"status": F.when(dead, "PENDING").otherwise(F.col("status")), "attempts": F.when(dead, 0).otherwise(F.col("attempts")), "available_at": F.when(dead, now).otherwise(F.col("available_at"))})
+
+
+def queue_depth(items: DataFrame) -> DataFrame:
+    """stage, waiting, leased, dead."""
+    n = lambda *s: F.count_if(F.col("status").isin(*s))
+    return items.groupBy("stage").agg(n("PENDING", "RETRY_WAITING").alias("waiting"), n("LEASED").alias("leased"), n("DEAD_LETTER").alias("dead"))
+
+
+def routed(items: DataFrame, stages: list[str], tenants: DataFrame) -> DataFrame:
+    """route of each item: its stage if this worker serves it, else skip; reject for tenants that are not there."""
+    met = items.join(tenants.select("tenant").distinct().withColumn("there", F.lit(True)), "tenant", "left")
+    return met.withColumn("route", F.when(F.col("there").isNull(), "reject").when(F.col("stage").isin(*stages), F.col("stage")).otherwise("skip")).drop("there")
+
+
+def claim_due(schedules: DataFrame, due: Column) -> DataFrame:
+    """Compare and set: schedules never run, or last run at or before they were due, are claimed now."""
+    free = F.col("last_run").isNull() | (F.col("last_run") <= F.col("due_at"))
+    return schedules.withColumn("claimed", free & (F.col("due_at") <= due)).withColumn("last_run", F.when(F.col("claimed"), due).otherwise(F.col("last_run")))
+
+
+def learned_limit(outcomes: DataFrame, keys: list[str], start: int = 64, least: int = 1) -> DataFrame:
+    """keys, limit: the size that an endpoint is trusted with: halved by each refusal, never below ``least``."""
+    refused = F.count_if(~F.col("ok"))
+    return outcomes.groupBy(*keys).agg(F.greatest(F.lit(least), F.floor(F.lit(float(start)) / F.pow(F.lit(2.0), F.least(refused, F.lit(62))))).cast("int").alias("limit"))
+
+
+def unindexed(documents: DataFrame, run: str) -> DataFrame:
+    """Work for current documents that never reached the index, under a fresh idempotency key."""
+    lost = documents.where("current_version and not indexed")
+    return lost.select("document_id", F.lit("INDEX").alias("stage"), F.sha2(F.concat_ws(":", F.lit("reindex"), F.lit(run), F.col("document_id").cast("string")), 256).alias("idempotency_key"))
+
+
+def changed_only(snapshots: DataFrame, key: str, at: str, columns: list[str], heartbeat: int = 15) -> DataFrame:
+    """Snapshots that differ from the one before by the hash of their columns, or come ``heartbeat`` seconds or more after
+    the last one that was sent for a change."""
+    line = Window.partitionBy(key).orderBy(at)
+    rows = snapshots.withColumn("mark", F.xxhash64(*columns))
+    rows = rows.withColumn("fresh", F.lag("mark").over(line).isNull() | (F.lag("mark").over(line) != F.col("mark")))
+    seconds = F.unix_timestamp(F.col(at).cast("timestamp"))
+    since = F.max(F.when(F.col("fresh"), seconds)).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    beat = F.floor((seconds - since) / heartbeat)
+    rows = rows.withColumn("since", since).withColumn("beat", beat)
+    run = Window.partitionBy(key, "since").orderBy(at)
+    return rows.where(F.col("fresh")).unionByName(rows.withColumn("before", F.lag("beat").over(run)).where(~F.col("fresh") & (F.col("beat") > F.col("before"))).drop("before")).drop("mark", "since", "beat")
 
 
 def cron_matches(expression: str, when: datetime) -> bool:

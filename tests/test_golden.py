@@ -111,20 +111,48 @@ def test_assembly(spark):
 def test_split_and_join(text, size, overlap):
     parts = chunk.prose_parts(text, size, overlap)
     assert all(len(p.text) <= size for p in parts)
-    assert chunk.join_parts(parts).split() == text.split()
+    assert "".join(chunk.join_parts(parts).split()) == "".join(text.split())
+    assert all(p.overlap in (0, chunk.CONTINUES) or parts[i].text.endswith(p.text[: p.overlap]) for i, p in enumerate(parts[1:]))
+
+
+def test_prose_parts():
+    text = "aaaa bbbb cccc dddd eeee"
+    assert [(p.text, p.overlap) for p in chunk.prose_parts(text, 10, 3)] == [("aaaa bbbb", 0), ("bbb cccc", 3), ("ccc dddd", 3), ("ddd eeee", 3)]
+    assert [(p.text, p.overlap) for p in chunk.prose_parts(text, 10, 0)] == [("aaaa bbbb", 0), ("cccc dddd", -1), ("eeee", -1)]
+    assert [(p.text, p.overlap) for p in chunk.prose_parts("x" * 25, 10, 2)] == [("x" * 10, 0), ("x" * 10, 2), ("x" * 9, 2)]
+    assert chunk.prose_parts("   ", 10, 2) == []
+    P = chunk.Part
+    assert chunk.join_parts([P("one two three four five six", 0), P("three four five six seven", None)]) == "one two three four five six\n\nthree four five six seven"
+    assert chunk.join_parts([P("intro three four five six seven", 0), P("three four five six seven eight", None)]) == "intro three four five six seven eight"
+    assert chunk.join_parts([P("abcdef", 0), P("defghi", 5)]) == "abcdef\n\ndefghi" and chunk.join_parts([P("abc", 0), P("bcd", 2)]) == "abcd"
+
+
+def test_code_lines():
+    code = "def a():\n    x\n\ndef b():\n    y\n    z\n"
+    assert chunk.code_lines(code, 30) == [("def a():\n    x", 1, 2), ("def b():\n    y\n    z", 4, 6)]
+    assert [t for t, _, _ in chunk.code_lines("a" * 25 + "\nb", 10)] == ["a" * 10, "a" * 10, "aaaaa\nb"]
+    assert chunk.code_lines("a\n\nbbbb\ncccc\n", 10) == [("a\n\nbbbb", 1, 3), ("cccc", 4, 4)]  # the blank line lies before half
+    assert chunk.code_lines("\n  \n", 10) == []
+
+
+def test_pack_counts_fences():
+    prose, code = {"heading": "A", "kind": "prose", "text": "p" * 40}, {"heading": "A", "kind": "code", "text": "y = 1", "language": "py"}
+    assert [len(c["text"]) for c in chunk.pack_blocks([prose, code], chunk.ChunkOptions(60, 0))] == [40 + 2 + 15]
+    assert [(c["kind"], c["text"]) for c in chunk.pack_blocks([prose, code], chunk.ChunkOptions(56, 0))] == [("prose", "p" * 40), ("code", "y = 1")]
+    assert all(len(c["text"]) <= 50 for c in chunk.pack_blocks([prose, {**code, "text": "z\n" * 60}, prose], chunk.ChunkOptions(50, 0)))
 
 
 def test_chunks():
     assert chunk.ChunkOptions(10, 90).size == 50 and chunk.ChunkOptions(10, 90).overlap == 49
     assert chunk.ChunkOptions.for_job(100, 500) == chunk.ChunkOptions(200, 100)
     blocks = [{"heading": "A", "kind": "prose", "text": "x" * 30}, {"heading": "A", "kind": "code", "text": "y = 1"}, {"heading": "B", "kind": "code", "text": "z"}]
-    got = chunk.pack_blocks(blocks, chunk.ChunkOptions(60, 0))
+    got = chunk.pack_blocks([{**b, "language": ""} for b in blocks], chunk.ChunkOptions(60, 0))
     assert [(c["heading"], c["kind"]) for c in got] == [("A", "prose"), ("B", "code")] and "```\ny = 1\n```" in got[0]["text"]
     source = "import os\n\n# about f\ndef f():\n    return 1\n\nclass A:\n    def m(self):\n        return 2\n"
-    assert [(n, a, b) for n, _, a, b in chunk.code_chunks("a.py", source, chunk.ChunkOptions(500))] == [("", 1, 2), ("f", 3, 5), ("A", 7, 9)]
-    assert chunk.code_chunks("a.rs", "fn a() {}\n", chunk.ChunkOptions(500))[0][2:] == (1, 2)
+    assert [(n, a, b) for n, _, a, b in chunk.code_chunks("a.py", source, chunk.ChunkOptions(500))] == [("", 1, 1), ("f", 3, 5), ("A", 7, 9)]
+    assert chunk.code_chunks("a.rs", "fn a() {}\n", chunk.ChunkOptions(500))[0][2:] == (1, 1)
     s = "One is here. Two is there! \"Three?\" Four.\n\nFive."
-    assert [x for x, _ in chunk.split_sentences(s)] == ["One is here.", "Two is there!", "\"Three?", "Four.", "Five."] or len(chunk.split_sentences(s)) >= 4
+    assert [x for x, _ in chunk.split_sentences(s)] == ["One is here.", "Two is there!", "\"Three?", "Four.", "Five."]
     assert chunk.join_sentences([("A.", True), ("B.", False), ("C.", True)]) == "A. B.\n\nC."
     assert chunk.fit_groups([10, 10, 10, 10], [0.1, 0.9, 0.1], [False, True, False], 100, 5) == [(0, 2), (2, 4)]
     assert chunk.fit_groups([60, 60, 60], [0.2, 0.5], [False, False], 130, 5) == [(0, 2), (2, 3)]
@@ -147,18 +175,37 @@ def test_tables_and_pages():
     assert got[3]["language"] == "java" and parse.page_metadata(html)["title"] == "T" and parse.page_metadata(html)["lang"] == "en"
     md = "# Top\n\ntext *with* `code*`\n\n```py\nx = 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n![alt](i.png)\n\nSub\n---\n- one\n- two\n\n    indented\n"
     assert [(b["heading"], b["kind"], b["text"]) for b in parse.markdown_blocks(md)] == [("Top", "prose", "text with `code*`"), ("Top", "code", "x = 1"), ("Top", "prose", "a | b\n1 | 2"), ("Top", "image", "[Image: alt] (i.png)"), ("Top > Sub", "prose", "- one\n- two"), ("Top > Sub", "code", "indented")]
-    assert parse.body_text(parse.markdown_blocks("# A\n\nx\n\n## B\n\ny")) == "A\n\nx\n\nB\n\ny"
-    reasons = [parse.image_reason(i) for i in ({"url": "a/logo.png"}, {"url": "x.ico", "alt": "a"}, {"url": "p.png", "alt": "", "width": 9}, {"url": "p.png", "alt": "p", "width": 9}, {"url": "https://img.shields.io/x", "alt": "b"}, {"url": "p.png", "alt": "photo"}, {"url": "p", "decorative": True})]
-    assert reasons == ["name", "favicon", "empty-alt", "small", "badge", "", "decorative"]
-
-
-def test_web(spark):
-    urls = {"HTTP://Ex.COM:80/a#f": "http://ex.com/a", "https://ex.com": "https://ex.com/", "https://ex.com:8443/x?q=1": "https://ex.com:8443/x?q=1", "mailto:a@b": None}
+    assert parse.body_text(parse.markdown_blocks("# A\n\nx\n\n## B\n\ny")) == "A\nx\n\nB\ny"
+    cases = [
+        ({"url": "a/logo.png"}, "looks like decoration (logo)"),
+        ({"url": "a/logos.png", "alt": "the long story of it"}, ""),
+        ({"url": "a/logo.png", "caption": "Our mark"}, ""),
+        ({"url": "x.ico", "alt": "a"}, "icon file"),
+        ({"url": "p.png", "alt": "", "width": 9}, "empty alt text"),
+        ({"url": "p.png", "alt": "p", "width": 9}, "smaller than 32px"),
+        ({"url": "https://img.shields.io/x", "alt": "b"}, "badge or tracker"),
+        ({"url": "data:image/png;base64,AA", "alt": "b"}, "tiny inline image"),
+        ({"url": "data:image/png;base64," + "A" * 2048, "alt": "b"}, ""),
+        ({"url": "i.svg#menu", "alt": "b"}, "svg sprite"),
+        ({"url": "p.png", "alt": "photo"}, ""),
+        ({"url": "p", "decorative": True}, "marked decorative"),
+        ({"url": None}, "no text"),
+        ({"url": None, "title": "t"}, ""),
+        ({"url": "p.png", "alt": "x", "hints": "hero promo"}, "skip pattern 'promo'"),
+    ]
+    assert [parse.image_reason(i, patterns=("promo",)) for i, _ in cases] == [want for _, want in cases]
+
+
+def test_web(spark, tmp_path):
+    urls = {"HTTP://Ex.COM:80/a#f": "http://ex.com/a", "https://ex.com": "https://ex.com/", "https://ex.com:8443/x?q=1": "https://ex.com:8443/x?q=1", "mailto:a@b": None, "http://a/b/../c/./d": "http://a/c/d", "http://a/b/c/..": "http://a/b/", "http://a//b///c": "http://a/b/c", "http://a/./": "http://a/", "http://a/../x": "http://a/../x", "http://bücher.de/ü": "http://xn--bcher-kva.de/ü"}
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", web.canonical_url(F.col("u")).alias("c")).collect()
     assert {r.u: r.c for r in rows} == urls
     graph = {"https://a/": ["https://a/1", "https://b/"], "https://a/1": ["https://a/2#x", "https://a/"], "https://a/2": ["https://a/3"]}
     edges = spark.createDataFrame([(a, b) for a, bs in graph.items() for b in bs], "src string, dst string")
-    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    scope = spark.createDataFrame([("https://sub.a/x",), ("https://b/x",), (None,)], "u string")
+    assert [r[0] for r in scope.select(web.in_scope(F.col("u"), [], True, seed="HTTPS://A/start")).collect()] == [True, False, False]
+    assert [r[0] for r in scope.select(web.in_scope(F.col("u"), [])).collect()] == [False] * 3
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     links = lambda pages: pages.join(edges, F.col("url") == F.col("src")).select(F.col("dst").alias("url"))
     seen = web.expand_frontier(spark.createDataFrame([("https://a",)], "url string"), links, lambda u: web.in_scope(u, ["a"]), 2, 10)
     assert {(r.url, r.depth) for r in seen.collect()} == {("https://a/", 0), ("https://a/1", 1), ("https://a/2", 2)}
@@ -170,6 +217,10 @@ def test_globs(spark):
 
     hit = lambda p, s: bool(re.search(X.path_glob_to_regex(p), s))
     assert hit("*.java", "a/b/C.java") and hit("docs/", "docs/a/b") and hit("**/x/*.md", "a/b/x/y.md") and not hit("src/*.py", "src/a/b.py")
+    assert not hit("docs/", "x/docs/a") and hit("/docs/*", "docs/a") and hit("**", "a/b") and not hit("a/b.py", "x/a/b.py")
+    names = {"x/Dockerfile": "dockerfile", "dockerfile.dev": "dockerfile", "a/MAKEFILE": "makefile", "a.mts": "typescript", "b.tf": "terraform", "c": None, "d.unknown": None}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", parse.language_of(F.col("n")).alias("l")).collect()
+    assert {r.n: r.l for r in rows} == names
 
 
 def test_knn_in_blocks(spark):
@@ -177,7 +228,7 @@ def test_knn_in_blocks(spark):
 
     v = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "id long, v array<double>")
     q = v.select(F.col("id").alias("q"), F.col("v").alias("qv"))
-    whole, parts = (sorted(map(tuple, textindex.knn(v, q, "id", "v", "q", "qv", 3, n).collect())) for n in (100, 9))
+    whole, parts = (sorted(map(tuple, textindex.knn(v, q, "id", "v", "q", "qv", 3, n).collect())) for n in (1 << 20, 200))
     assert whole == parts and len(whole) == 120
 
 
@@ -199,8 +250,8 @@ def test_versions_and_lists(spark):
     assert [(r["at"], r.version, r.current) for r in v.orderBy("at").collect()] == [(1, 1, False), (3, 2, True)]
     a = spark.createDataFrame([("k", 1)], "k string, n int")
     assert [tuple(r) for r in relational.upsert(a, spark.createDataFrame([("k", 2), ("l", 3)], "k string, n int"), ["k"]).orderBy("k").collect()] == [("k", 2), ("l", 3)]
-    d = relational.line_diff(spark.createDataFrame([("a\nb", "a\nc")], "x string, y string"), "x", "y").first().diff
-    assert d == "  a\n- b\n+ c"
+    d = relational.line_diff(spark.createDataFrame([("a\nb", "a\r\nc", 2)], "x string, y string, v int"), "x", "y", "v").first().diff
+    assert d == "--- v1\n+++ v2\n a\n+c\n-b\n"
     assert one(spark, "oops", relational.json_tags) == [] and one(spark, '["a"]', relational.json_tags) == ["a"]
 
 
@@ -247,3 +298,83 @@ def test_streams(spark, tmp_path):
     q = stream().writeStream.foreachBatch(state.counter_sink(str(tmp_path / "hits"), ["item_id"], "ts")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.item_id: r.hits for r in state.read_counters(spark, str(tmp_path / "hits"), ["item_id"]).collect()} == {"a": 1, "b": 2}
+
+
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_diff_is_longest(x, y):
+    out = relational.unified_diff("\n".join(x), "\n".join(y))
+    x, y = "\n".join(x).split("\n"), "\n".join(y).split("\n")
+    assert [o[1:] for o in out if o[0] in " -"] == x and [o[1:] for o in out if o[0] in " +"] == y
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, a in enumerate(x):
+        for j, b in enumerate(y):
+            table[i + 1][j + 1] = table[i][j] + 1 if a == b else max(table[i][j + 1], table[i + 1][j])
+    assert sum(o[0] == " " for o in out) == table[-1][-1]
+    assert relational.unified_diff("a\nb", "c", 1) == ["-a", "-b", "+c"]
+
+
+def test_topics_beyond_the_cap(spark):
+    rows = [("t", f"topic {i}", 1000 - i, [1.0, float(i)]) for i in range(5)]
+    rows += [("t", x, 9 - k, [0.0, 1.0]) for k, x in enumerate(["Late one?", "late one", "other!", "LATE ONE.", "alone"])]
+    df = spark.createDataFrame(rows, "tenant string, topic string, frequency int, vector array<double>")
+    got = {r.topic: r.leader for r in evaluate.leader_clusters(df, "tenant", cap=5).collect()}
+    assert len(got) == 10 and [got[x] for x in ("Late one?", "late one", "LATE ONE.", "other!", "alone")] == ["Late one?"] * 3 + ["other!", "alone"]
+    assert got["topic 0"] == "topic 0" and got["topic 4"] == "topic 3"
+
+
+def test_rules_beyond_any_list(spark):
+    cases = spark.createDataFrame([(1, "What is it?", ["a"]), (2, "say it twice", ["b"]), (3, "none", [])], "case_id int, question string, tags array<string>")
+    rules = [(f"x{i}", "EQUALS", f"never {i}", 1) for i in range(300)] + [("eq", "EQUALS", "WHAT is it", 5), ("tag", "TAG", "a", 4), ("in", "CONTAINS", "it tw", 9), ("tag2", "TAG", "b", 9)]
+    df = spark.createDataFrame(rules, "rule_id string, kind string, pattern string, created_at int")
+    for most in (10_000, 0):
+        relational.LISTED, was = most, relational.LISTED
+        got = {r.case_id: r.rule_id for r in relational.ignore_rules(cases, df, X.normal_question).collect()}
+        relational.LISTED = was
+        assert got == {1: "tag", 2: "in", 3: None}
+
+
+def test_sources_left_whole(spark):
+    rows = [("q", 1, "One. Two. One."), ("q", 2, "```\nx\n``` One."), ("q", 3, "s. " * 400), ("q", 4, "two. Three.")]
+    got = [(r["rank"], r.pos, r.sentence, r.whole) for r in assemble.distinct_sentences(spark.createDataFrame(rows, "q string, rank int, t string"), "q", "t").orderBy("rank", "pos").collect()]
+    assert got == [(1, 0, "One.", False), (1, 1, "Two.", False), (2, 0, rows[1][2], True), (3, 0, rows[2][2], True), (4, 1, "Three.", False)]
+
+
+def test_prompts_and_requests():
+    assert assemble.system_prompt("base") == "base" and assemble.clean_prompt("a\r\n\x07b ") == "a\nb" and assemble.clean_prompt(" \x00") is None
+    assert [assemble.system_prompt("base", "one", "two").index(x) for x in ("base", "one", "two")] == sorted(assemble.system_prompt("base", "one", "two").index(x) for x in ("base", "one", "two"))
+    with pytest.raises(ValueError):
+        assemble.clean_prompt("x" * 4001)
+    assemble.check_request("q", [("user", "a")])
+    for bad in (("", []), ("q" * 8001, []), ("q", [("system", "a")]), ("q", [("user", "")]), ("q", [("user", "a")] * 21)):
+        with pytest.raises(ValueError):
+            assemble.check_request(*bad)
+
+
+def test_sinks(spark, tmp_path):
+    from millrace.sources import sinks
+
+    g = sinks.Generations(spark, str(tmp_path / "index"))
+    assert g.active("c") is None and g.build("c", spark.range(5)) == 1 and g.build("c", spark.range(7)) == 2 and g.read("c").count() == 7
+    rows = spark.createDataFrame([("a", bytearray(b"xy")), ("b", bytearray(b"xy")), ("c", bytearray(b"x" * 50))], "name string, content binary")
+    got = {r.name: (r.size, r.accepted) for r in sinks.put_artifacts(rows, str(tmp_path / "art"), 10).collect()}
+    assert got == {"a": (2, True), "b": (2, True), "c": (50, False)} and spark.read.parquet(str(tmp_path / "art")).count() == 1
+    a = spark.createDataFrame([("c1", "s1"), ("c2", "s2")], "crate_id string, source_id string")
+    b = spark.createDataFrame([("c1", "j1", "s1"), ("c1", "j2", None)], "crate_id string, job_id string, source_id string")
+    out = sinks.duplicate_configuration({"sources": a, "jobs": b}, "c1", "new", {"sources": "source_id", "jobs": "job_id"}, {"jobs": {"source_id": "sources"}})
+    new = out["sources"].first()
+    assert out["sources"].count() == 1 and new.crate_id == "new" and new.source_id != "s1"
+    assert {r.source_id for r in out["jobs"].collect()} == {new.source_id, None}
+
+
+def test_routing_and_replies(spark):
+    settings, made = {"a": {"kind": "x"}}, []
+    index = retrieve.RoutingIndex(lambda c: settings[c], lambda s: made.append(dict(s)) or len(made))
+    assert index.of("a") == index.of("a") == 1
+    settings["a"]["kind"] = "y"
+    assert index.of("a") == 2 and made == [{"kind": "x"}, {"kind": "y"}]
+    from millrace.functions.providers import ReplayedAnswers
+
+    ask = [{"role": "user", "content": "q"}]
+    assert ReplayedAnswers({ReplayedAnswers.fingerprint(ask): "r"}).complete(ask) == "r"
+    assert [t.num_rows for t in retrieve.both_legs(spark.range(3), spark.range(4))] == [3, 4]
