@@ -29,7 +29,7 @@ MARK = "▁"
 #: Symbols of a chunk up to which the agenda is a plain list.
 SHORT = 64
 #: About so many bytes of chunks and results that a task keeps; half of them are the ones used before.
-KEPT_BYTES = 40 << 20
+KEPT_BYTES = 48 << 20
 #: Symbols of a chunk up to which many chunks are merged together.
 WIDE = 32
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
@@ -365,36 +365,42 @@ def checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int],
     decoded, skip = lib.decode(own), len(head)
     for chunk, ids, other, text in zip(chunks, own, lib.encode(asked, num_threads=1), decoded):
         surface = m._surface(ids)
-        plain = surface[1:] if surface.startswith(" ") and m.prefix else surface
+        plain = surface[1:] if surface[:1] == " " and m.prefix else surface
         yield chunk, ids, surface, other[skip:] == ids and (text == plain or text == m._plain(ids, surface))
 
 
 class Encoder:
-    """From texts to ``entry(ids, surface)`` of their chunks, each a tuple, and the number of chunks that the library sees
-    otherwise. Chunks are kept in two generations, each of half of KEPT_BYTES."""
+    """From texts to their ids (four bytes each), the surface of these, and the number of chunks that the library sees
+    otherwise. Chunks are kept in two generations, each of half of KEPT_BYTES: mostly as their ids alone, with surface
+    and difference only where the surface is another than the chunk or there is a difference."""
 
-    def __init__(self, path: str, entry) -> None:
-        self.model, self.library, self.entry = model(path), _library(path), entry
-        self.now: dict[str, tuple] = {}
-        self.before: dict[str, tuple] = {}
+    def __init__(self, path: str) -> None:
+        self.model, self.library = model(path), _library(path)
+        self.now: dict[str, bytes | tuple[bytes, str, bool]] = {}
+        self.before: dict[str, bytes | tuple[bytes, str, bool]] = {}
         self.size = 0
 
-    def __call__(self, texts: list[str]) -> list[tuple[list, int]]:
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
         if self.size > KEPT_BYTES // 2:
             self.now, self.before, self.size = {}, self.now, 0
-        m, now, entry = self.model, self.now, self.entry
+        m, now = self.model, self.now
         chunks = [m.chunks.findall(m.normalise(text)) for text in texts]
         new = set(chain.from_iterable(chunks)).difference(now)
         known = new.intersection(self.before)
         now.update((c, self.before[c]) for c in known)
         fresh = list(new.difference(known))
         for c, ids, surface, same in checked(m, self.library, fresh) if fresh else ():
-            now[c] = (*entry(ids, c if surface == c else surface), not same)
-        self.size += 300 * len(new) + 3 * sum(map(len, new))
+            blob = array("i", ids).tobytes()
+            now[c] = blob if same and surface == c else (blob, surface, not same)
+        self.size += 220 * len(new) + 3 * sum(map(len, new))
         out = []
         for own in chunks:
             found = [now[c] for c in own]
-            out.append((found, sum([f[-1] for f in found])))
+            try:
+                out.append((b"".join(found), "".join(own), 0))
+            except TypeError:
+                parts = [(f, c, False) if isinstance(f, bytes) else f for f, c in zip(found, own)]
+                out.append((b"".join([p[0] for p in parts]), "".join([p[1] for p in parts]), sum([p[2] for p in parts])))
         return out
 
 
@@ -430,13 +436,12 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        encode = Encoder(path, lambda ids, surface: (array("i", ids).tobytes(), surface))  # four bytes an id
+        encode = Encoder(path)
         for batch in batches:
             for part, texts in _groups(batch):
                 ids, more, off = [], [], []
-                for (found, wrong), text in zip(encode(texts), texts):
-                    ids.append(np.frombuffer(b"".join([f[0] for f in found]), np.int32))
-                    back = "".join([f[1] for f in found])
+                for (blob, back, wrong), text in zip(encode(texts), texts):
+                    ids.append(np.frombuffer(blob, np.int32))
                     more.append(check(back[1:] if m.prefix else back, text))
                     off.append(wrong)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(more, arrow), pa.array(off, pa.int64())], ["doc_id", "ids", name, "off"])
@@ -445,25 +450,22 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, off. The ids of a document are
-    not kept as a list: each chunk brings its ids and its decoded form as text. Null and empty texts have no tokens
+    """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, off. Null and empty texts have no tokens
     and the digests of empty strings; very long texts are handled by themselves, chunk by chunk; repeated rows are
     kept; other columns are ignored; an empty table gives an empty result."""
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        decimal = [f"{i}," for i in range(len(m.pieces))]
-        encode = Encoder(path, lambda ids, surface: ("".join([decimal[i] for i in ids]), len(ids), surface))
+        decimal = list(map(str, range(len(m.pieces)))).__getitem__
+        encode = Encoder(path)
         for batch in batches:
             for part, texts in _groups(batch):
                 n, ids, text, off = [], [], [], []
-                for found, wrong in encode(texts):
-                    heads, sizes, surfaces, _ = zip(*found) if found else ((), (), (), ())
-                    n.append(sum(sizes))
-                    ids.append(sha("".join(heads)[:-1]))
-                    out = "".join(surfaces)
-                    text.append(sha(out[1:] if m.prefix else out))
+                for blob, back, wrong in encode(texts):
+                    n.append(len(blob) // 4)
+                    ids.append(sha(",".join(map(decimal, array("i", blob)))))
+                    text.append(sha(back[1:] if m.prefix else back))
                     off.append(wrong)
                 columns = [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string()), pa.array(off, pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "off"])

@@ -74,8 +74,7 @@ def test_a_wrong_agenda_shows(lib, own, monkeypatch):
 
 def test_generations_of_chunks(monkeypatch):
     texts = [f"word{i} and word{i % 7}" for i in range(400)]
-    entry = lambda ids, surface: (tuple(ids),)
-    want = [spm.Encoder(PATH, entry)([t])[0] for t in texts]
+    want = [spm.Encoder(PATH)([t])[0] for t in texts]
     monkeypatch.setattr(spm, "KEPT_BYTES", 5000)
-    small = spm.Encoder(PATH, entry)
-    assert [small([t])[0] for t in texts] == want and all(w == 0 for _, w in want) and len(small.now) + len(small.before) < 100
+    small = spm.Encoder(PATH)
+    assert [small([t])[0] for t in texts] == want and all(w[2] == 0 for w in want) and len(small.now) + len(small.before) < 100
