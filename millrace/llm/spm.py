@@ -354,19 +354,35 @@ def _library(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+#: Chunks that the library sees in one text, with line breaks between them.
+TOGETHER = 64
+
+
 def checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int], str, bool]]:
     """Each chunk with its ids by the agenda, their surface, and whether the library finds the same ids and decodes them
-    to the same text. A line break before each chunk keeps the library's own leading word mark apart."""
+    to the same text. It sees many chunks at once; where a text of several differs they are looked at one by one. A line
+    break before each chunk keeps the library's own leading word mark apart."""
     own = m.encode_chunks(chunks)
+    surfaces = [m._surface(ids) for ids in own]
+    width = 1 if m.whole else TOGETHER
+    head = [] if m.whole else lib.encode("\n")
+    mark, end = head[:-1], head[-1:]
+
+    starts = range(0, len(chunks), width)
     if m.whole:
-        head, asked = [], [c[1:] if m.prefix else c for c in chunks]
+        asked = [c[1:] if m.prefix else c for c in chunks]
+        wanted = own
+        texts = [m._plain(ids, x) for ids, x in zip(own, surfaces)]
     else:
-        head, asked = lib.encode("\n"), ["\n" + c for c in chunks]
-    decoded, skip = lib.decode(own), len(head)
-    for chunk, ids, other, text in zip(chunks, own, lib.encode(asked, num_threads=1), decoded):
-        surface = m._surface(ids)
-        plain = surface[1:] if surface[:1] == " " and m.prefix else surface
-        yield chunk, ids, surface, other[skip:] == ids and (text == plain or text == m._plain(ids, surface))
+        asked = ["\n" + "\n".join(chunks[lo : lo + width]) for lo in starts]
+        wanted = [mark + [i for ids in own[lo : lo + width] for i in chain(end, ids)] for lo in starts]
+        texts = ["\n" + "\n".join(surfaces[lo : lo + width]) for lo in starts]
+    agree = [x == y for x, y in zip(lib.encode(asked, num_threads=1), wanted)] if asked else []
+    agree = [a and x == y for a, x, y in zip(agree, lib.decode(wanted) if wanted else [], texts)]
+    for lo, good in zip(starts, agree):
+        for k in range(lo, min(lo + width, len(chunks))):
+            alone = good or not m.whole and lib.encode("\n" + chunks[k]) == head + own[k] and lib.decode(head + own[k]) == "\n" + surfaces[k]
+            yield chunks[k], own[k], surfaces[k], alone
 
 
 class Encoder:
