@@ -387,17 +387,17 @@ def checked(m: Model, lib, chunks: list[str]) -> Iterator[tuple[str, list[int],
 
 class Encoder:
     """From texts to their ids (four bytes each), the surface of these, and the number of chunks that the library sees
-    otherwise. Chunks are kept in two generations, each of half of KEPT_BYTES: mostly as their ids alone, with surface
+    otherwise. Chunks are kept in two generations, each of half of ``most`` bytes: mostly as their ids alone, with surface
     and difference only where the surface is another than the chunk or there is a difference."""
 
-    def __init__(self, path: str) -> None:
-        self.model, self.library = model(path), _library(path)
+    def __init__(self, path: str, most: int = KEPT_BYTES) -> None:
+        self.model, self.library, self.most = model(path), _library(path), most
         self.now: dict[str, bytes | tuple[bytes, str, bool]] = {}
         self.before: dict[str, bytes | tuple[bytes, str, bool]] = {}
         self.size = 0
 
     def __call__(self, texts: list[str]) -> list[tuple[bytes, str, int]]:
-        if self.size > KEPT_BYTES // 2:
+        if self.size > self.most // 2:
             self.now, self.before, self.size = {}, self.now, 0
         m, now = self.model, self.now
         chunks = [m.chunks.findall(m.normalise(text)) for text in texts]
@@ -465,7 +465,7 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, ids array<int>, {column}, off long")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
+def digests(docs: DataFrame, path: str, most: int = 3 * KEPT_BYTES) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, off. Null and empty texts have no tokens
     and the digests of empty strings; very long texts are handled by themselves, chunk by chunk; repeated rows are
     kept; other columns are ignored; an empty table gives an empty result."""
@@ -474,7 +474,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         decimal = list(map(str, range(len(m.pieces)))).__getitem__
-        encode = Encoder(path)
+        encode = Encoder(path, most)
         for batch in batches:
             for part, texts in _groups(batch):
                 n, ids, text, off = [], [], [], []

@@ -72,9 +72,8 @@ def test_a_wrong_agenda_shows(lib, own, monkeypatch):
     assert [c[3] for c in found] == [True, False, True] and found[1][1] == right[1][:-1] + [300]
 
 
-def test_generations_of_chunks(monkeypatch):
+def test_generations_of_chunks():
     texts = [f"word{i} and word{i % 7}" for i in range(400)]
     want = [spm.Encoder(PATH)([t])[0] for t in texts]
-    monkeypatch.setattr(spm, "KEPT_BYTES", 5000)
-    small = spm.Encoder(PATH)
+    small = spm.Encoder(PATH, 5000)
     assert [small([t])[0] for t in texts] == want and all(w[2] == 0 for w in want) and len(small.now) + len(small.before) < 100
