@@ -65,10 +65,12 @@ FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
 def fnv1a(c: Column) -> Column:
     """Unsigned 32-bit FNV-1a hash of the UTF-8 bytes, as long."""
-    hexes = F.hex(c.cast("binary"))
-    count = F.octet_length(c)
-    codes = F.transform(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), lambda i: F.conv(F.substring(hexes, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(codes, F.lit(FNV_BASIS).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(F.lit(4294967295).cast("long")))
+    basis, prime, low = (F.lit(x).cast("long") for x in (FNV_BASIS, FNV_PRIME, 4294967295))
+    fold = lambda codes: F.aggregate(codes, basis, lambda h, b: (h.bitwiseXOR(b) * prime).bitwiseAND(low))
+    hexes, count = F.hex(c.cast("binary")), F.octet_length(c)
+    codes = F.transform(F.sequence(F.lit(1), count), lambda i: F.conv(F.substring(hexes, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    plain = F.transform(F.split(c, ""), lambda x: F.ascii(x).cast("long"))
+    return F.when(c == "", basis).when(count == F.length(c), fold(plain)).otherwise(fold(codes))
 
 
 def uuid3(c: Column) -> Column:

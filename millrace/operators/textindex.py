@@ -66,22 +66,15 @@ def top_k(scored: DataFrame, query_key: str, doc_key: str, k: int, digits: int =
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def sparse_weights(docs: DataFrame, key: str, fields: Mapping[str, float], max_terms: int | None = 10_000, asked: DataFrame | None = None) -> DataFrame:
+def sparse_weights(docs: DataFrame, key: str, fields: Mapping[str, float], max_terms: int | None = 10_000) -> DataFrame:
     """key, term_hash, weight: saturated, field-boosted term frequencies by hashed term; the ``max_terms`` heaviest terms
-    stay, those of equal weight by smaller hash, all where it is None. Distinct terms are hashed once. With ``asked``
-    (term_hash) only those are made, which suits queries over documents without a limit."""
+    stay, those of equal weight by smaller hash, all where it is None. A term is hashed once a document."""
     parts = [docs.select(key, F.explode(tokens(F.col(f))).alias("term"), F.lit(float(b)).alias("boost")) for f, b in fields.items()]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    by_term = rows.groupBy(key, "term").agg(F.sum("boost").alias("tf"))
-    names = by_term.select("term").distinct().withColumn("term_hash", fnv1a(F.col("term")))
-    if asked is not None and max_terms is None:
-        names = names.join(listed(asked, ASKED), "term_hash", "left_semi")
-        by_term = rows.join(listed(names, ASKED), "term").groupBy(key, "term_hash").agg(F.sum("boost").alias("tf"))
-        by_hash = by_term
-    else:
-        by_hash = by_term.join(names, "term").groupBy(key, "term_hash").agg(F.sum("tf").alias("tf"))
+    by_term = rows.groupBy(key, "term").agg(F.sum("boost").alias("tf")).select(key, fnv1a(F.col("term")).alias("term_hash"), "tf")
+    by_hash = by_term.groupBy(key, "term_hash").agg(F.sum("tf").alias("tf"))
     weighted = by_hash.select(key, "term_hash", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("weight"))
     if max_terms is None:
         return weighted

@@ -21,7 +21,7 @@ NOW = datetime(2024, 1, 31)
 
 
 @query("""
-SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang FROM pages
+SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS title, nullif(regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), '') AS lang FROM pages
 """)
 def html_title_lang(spark, sf_dir):
     return parse.parse_pages(table(spark, sf_dir, "pages"), "page_id", "html", "url").select("page_id", "title", "lang")

@@ -68,7 +68,7 @@ SELECT item_id, doc_id, score FROM r WHERE rank <= 10
 def sparse_idf_dot(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = textindex.sparse_query(items, "item_id", "text")
-    weights = textindex.sparse_weights(docs, "doc_id", {"text": 1.0}, None, asked.select("term_hash").distinct())
+    weights = textindex.sparse_weights(docs, "doc_id", {"text": 1.0}, None)
     some = docs.where(F.lower("text").rlike("[a-z0-9]"))
     scored = textindex.sparse_dot(weights, asked, "doc_id", "item_id", some)
     return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
