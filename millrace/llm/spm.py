@@ -29,7 +29,7 @@ MARK = "▁"
 #: Symbols of a chunk up to which the agenda is a plain list.
 SHORT = 64
 #: About so many bytes of chunks and results that a task keeps; half of them are the ones used before.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 32 << 20
 #: Symbols of a chunk up to which many chunks are merged together.
 WIDE = 32
 _UNKNOWN, _CONTROL, _BYTE = 2, 3, 6
@@ -465,7 +465,7 @@ def _encoded(docs: DataFrame, path: str, column: str, check) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), f"doc_id long, ids array<int>, {column}, off long")
 
 
-def digests(docs: DataFrame, path: str, most: int = 3 * KEPT_BYTES) -> DataFrame:
+def digests(docs: DataFrame, path: str, most: int = 144 << 20) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, off. Null and empty texts have no tokens
     and the digests of empty strings; very long texts are handled by themselves, chunk by chunk; repeated rows are
     kept; other columns are ignored; an empty table gives an empty result."""
