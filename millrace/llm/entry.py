@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import digest, langid, mixing, paragraphs, pii, quality, simhash, spm, suffix, topk
+from . import chat, digest, langid, mixing, paragraphs, pii, quality, simhash, spm, suffix, topk
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -77,6 +81,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: Texts grow by one for each backslash and each control string; the marks of a turn are 15, 7 or 11 characters and the role's.
+_SIGNS = ("<s>", "</s>", "<|", "|>", "[INST]", "[/INST]", "\\")
+_GROWN = lambda c: f"length({c})" + "".join(f" + (length({c}) - length(replace({c}, '{x}', ''))) // {len(x)}" for x in _SIGNS)
+OP13_SQL = f"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, CASE n WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(n)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(sum({_GROWN("text")} + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 11 + {_GROWN("role")} END) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
@@ -90,9 +109,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_quality_classifier,
         op10_document_fingerprints,
+        op13_chat_formatting,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op13_chat_formatting": OP13_SQL}
