@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, digest, langid, mixing, paragraphs, pii, quality, simhash, spm, suffix, topk
+from . import chat, digest, langid, mixing, paragraphs, periodic, pii, quality, simhash, spm, suffix, topk
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_source_mixing,
         op9_quality_classifier,
         op10_document_fingerprints,
+        op11_periodic_runs,
         op13_chat_formatting,
     )
     return {f.__name__: f for f in found}
