@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, digest, langid, mixing, paragraphs, periodic, pii, quality, simhash, spm, suffix, topk
+from . import chat, digest, langid, mixing, paragraphs, periodic, pii, quality, simhash, spm, suffix, topk, whiten
 from .common import table
 
 
@@ -67,6 +67,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_quality_classifier,
         op10_document_fingerprints,
         op11_periodic_runs,
+        op12_embedding_whitening,
         op13_chat_formatting,
     )
     return {f.__name__: f for f in found}
