@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +20,27 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     if master:
         builder = builder.master(master)
     return builder.config(map=SETTINGS | settings).getOrCreate()
+
+
+#: Used only in local mode where the session names no folder (tests, the bench): there one machine is all there is.
+LOCAL_SHARED = "/tmp/checkpoints"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, from ``spark.checkpoint.dir``. Only a local session may leave
+    it unset; elsewhere a machine's own folder would not be found by the others, so that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
+    return base.rstrip("/")
+
+
+def work_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder in the shared one, deleted when the JVM ends."""
+    path = f"{shared_dir(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -16,43 +15,6 @@ def delete_documents(current: DataFrame, ids: DataFrame) -> DataFrame:
     return current.join(ids.select("parent_id").distinct(), "parent_id", "left_anti")
 
 
-class Generations:
-    """Immutable snapshots of an index below one folder, and a pointer to the active one. A build is read only after
-    its rows were counted; a build that fails leaves the pointer as it was."""
-
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def active(self, crate: str) -> int | None:
-        try:
-            rows = self.spark.read.schema("crate_id string, generation int, at timestamp").json(f"{self.root}/pointer").where(F.col("crate_id") == crate)
-            found = rows.orderBy(F.desc("at")).first()
-        except AnalysisException:
-            return None
-        return found.generation if found else None
-
-    def build(self, crate: str, records: DataFrame) -> int:
-        number = (self.active(crate) or 0) + 1
-        path = f"{self.root}/records/crate_id={crate}/generation={number}"
-        seen = Observation()
-        records.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-        if self.spark.read.parquet(path).count() != seen.get["rows"]:
-            raise RuntimeError("the generation is not whole")
-        row = self.spark.range(1).select(F.lit(crate).alias("crate_id"), F.lit(number).alias("generation"), F.current_timestamp().alias("at"))
-        row.coalesce(1).write.mode("append").json(f"{self.root}/pointer")
-        return number
-
-    def read(self, crate: str) -> DataFrame:
-        number = self.active(crate)
-        if number is None:
-            raise LookupError(crate)
-        return self.spark.read.parquet(f"{self.root}/records/crate_id={crate}/generation={number}")
-
-    def drop(self, crate: str, generation: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/records/crate_id={crate}/generation={generation}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def gauge_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Series to publish, and those that are no longer among them."""
     return new, old.join(new.select(*keys), keys, "left_anti").select(*keys)
@@ -68,9 +30,14 @@ def duplicate(rows: DataFrame, crate: str, new_crate: str) -> DataFrame:
 
 def put_artifacts(rows: DataFrame, path: str, most_bytes: int) -> DataFrame:
     """Artifacts (name, content) written below their digest, one for each content; returns name, sha256, size, accepted.
-    Contents beyond ``most_bytes`` are not written. A write is whole or not there."""
+    Contents beyond ``most_bytes`` are not written, nor those that lie there already. A write is whole or not there."""
     marked = rows.withColumns({"sha256": F.sha2("content", 256), "size": F.octet_length("content").cast("long")}).withColumn("accepted", F.col("size") <= most_bytes)
-    marked.where("accepted").groupBy("sha256").agg(F.first("content").alias("content")).write.mode("append").parquet(path)
+    fresh = marked.where("accepted").groupBy("sha256").agg(F.first("content").alias("content"))
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        fresh = fresh.join(spark.read.schema(fresh.schema).parquet(path).select("sha256"), "sha256", "left_anti")
+    fresh.write.mode("append").parquet(path)
     return marked.select("name", "sha256", "size", "accepted")
 
 

@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import records, reports, search  # noqa: F401
+from millrace.plans import records, reports, search, stateful  # noqa: F401
 from millrace.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bm25_topk", "knn_cosine_topk", "rrf_hybrid", "minmax_fusion", "context_window_merge", "semantic_breakpoints_iqr", "url_canonical", "robots_longest_prefix", "scd2_versions", "ip_extract", "run_status", "range_join", "all_records", "case_outcome", "acknowledged_work", "image_anchor", "changed_only", "gap_report", "feedback_states"]
+NAMES = ["bm25_topk", "knn_cosine_topk", "rrf_hybrid", "minmax_fusion", "context_window_merge", "semantic_breakpoints_iqr", "url_canonical", "robots_longest_prefix", "scd2_versions", "ip_extract", "run_status", "range_join", "all_records", "case_outcome", "acknowledged_work", "image_anchor", "changed_only", "gap_report", "feedback_states", "index_scan", "dual_write_index"]
 TABLES = "documents pages conversations embeddings benchmark labels events lineitem orders customer part supplier nation region".split()
 
 

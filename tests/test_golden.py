@@ -354,11 +354,11 @@ def test_prompts_and_requests():
 def test_sinks(spark, tmp_path):
     from millrace.sources import sinks
 
-    g = sinks.Generations(spark, str(tmp_path / "index"))
-    assert g.active("c") is None and g.build("c", spark.range(5)) == 1 and g.build("c", spark.range(7)) == 2 and g.read("c").count() == 7
     rows = spark.createDataFrame([("a", bytearray(b"xy")), ("b", bytearray(b"xy")), ("c", bytearray(b"x" * 50))], "name string, content binary")
     got = {r.name: (r.size, r.accepted) for r in sinks.put_artifacts(rows, str(tmp_path / "art"), 10).collect()}
     assert got == {"a": (2, True), "b": (2, True), "c": (50, False)} and spark.read.parquet(str(tmp_path / "art")).count() == 1
+    sinks.put_artifacts(rows, str(tmp_path / "art"), 100)  # what lies there already is not written again
+    assert spark.read.parquet(str(tmp_path / "art")).count() == 2
     a = spark.createDataFrame([("c1", "s1"), ("c2", "s2")], "crate_id string, source_id string")
     b = spark.createDataFrame([("c1", "j1", "s1"), ("c1", "j2", None)], "crate_id string, job_id string, source_id string")
     out = sinks.duplicate_configuration({"sources": a, "jobs": b}, "c1", "new", {"sources": "source_id", "jobs": "job_id"}, {"jobs": {"source_id": "sources"}})
