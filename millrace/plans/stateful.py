@@ -58,3 +58,79 @@ def dual_write_index(spark, sf_dir):
     index.put("all", coming, _indexed(docs))
     index.activate("all", coming)
     return index.records("all").select("generation", "parent_id", "source", F.length("content").alias("chars"))
+
+
+def _collected(stream, spark, tag: str):
+    """What a stream gives in append mode over all that its source holds now."""
+    out, state = work_folder(spark, tag), work_folder(spark, f"{tag}-state")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+#: Events as a queue's: an item for each user and week, kinds by the number of the event, times made narrow.
+_KINDS = "CASE WHEN n = 1 THEN 'offer' WHEN event_id % 7 = 0 THEN 'done' WHEN event_id % 11 = 0 THEN 'fail' WHEN event_id % 13 = 0 THEN 'requeue' WHEN event_id % 3 = 0 THEN 'retry' ELSE 'claim' END"
+_AT = "TIMESTAMP '2024-01-01' + to_microseconds(CAST((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 900 AS BIGINT))"
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, user_id * 100 + event_id % 3 AS item_id, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS n FROM events),
+k AS (SELECT item_id, n, {_KINDS} AS kind, {_AT} AS tm FROM e),
+s AS (
+  SELECT item_id, n, 'PENDING' AS status, 0 AS attempts, tm AS available_at, CAST(NULL AS TIMESTAMP) AS lease_until, 0 AS expired, 1 AS changes FROM k WHERE n = 1
+  UNION ALL
+  SELECT item_id, n, CASE WHEN does THEN CASE kind WHEN 'claim' THEN 'LEASED' WHEN 'done' THEN 'DONE' WHEN 'requeue' THEN 'PENDING' WHEN 'fail' THEN 'DEAD_LETTER' ELSE CASE WHEN attempts >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAITING' END END ELSE status END,
+    CASE WHEN does AND kind = 'claim' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN does AND kind = 'retry' AND attempts < 5 THEN tm + to_seconds(least(300, CAST(pow(2, attempts) AS INTEGER))) WHEN does AND kind = 'requeue' THEN tm ELSE available_at END,
+    CASE WHEN does THEN CASE WHEN kind = 'claim' THEN tm + INTERVAL 30 SECOND END ELSE lease_until END,
+    expired + ended, changes + ended + CAST(does AS INTEGER)
+  FROM (
+    SELECT *, (kind = 'claim' AND status IN ('PENDING', 'RETRY_WAITING') AND available_at <= tm) OR (kind IN ('done', 'retry') AND status = 'LEASED') OR (kind = 'fail' AND status NOT IN ('DONE', 'DEAD_LETTER')) OR (kind = 'requeue' AND status = 'DEAD_LETTER') AS does
+    FROM (
+      SELECT k.item_id, k.n, k.kind, k.tm, CASE WHEN s.lease_until < k.tm THEN 'PENDING' ELSE s.status END AS status, s.attempts, CASE WHEN s.lease_until < k.tm THEN s.lease_until ELSE s.available_at END AS available_at,
+        CASE WHEN s.lease_until < k.tm THEN NULL ELSE s.lease_until END AS lease_until, s.expired, s.changes, CASE WHEN s.lease_until < k.tm THEN 1 ELSE 0 END AS ended
+      FROM s JOIN k ON k.item_id = s.item_id AND k.n = s.n + 1
+    ) p
+  ) q
+), l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC) AS back FROM s), w AS (SELECT max(tm) - INTERVAL 10 MINUTE AS mark FROM k)
+SELECT item_id, CASE WHEN status = 'LEASED' AND lease_until < mark THEN 'PENDING' ELSE status END AS status, attempts,
+  CAST(changes + CASE WHEN status = 'LEASED' AND lease_until < mark THEN 1 ELSE 0 END AS BIGINT) AS changes
+FROM l, w WHERE back = 1
+""")
+def lease_stream(spark, sf_dir):
+    """Status, attempts and number of changes of each item after a stream of offers, claims and outcomes."""
+    from pyspark.sql import Window
+
+    from ..streaming.keyed import leases
+
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id", e % 3).orderBy("ts", "event_id")))
+    kind = F.when(F.col("n") == 1, "offer").when(e % 7 == 0, "done").when(e % 11 == 0, "fail").when(e % 13 == 0, "requeue").when(e % 3 == 0, "retry").otherwise("claim")
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00 UTC").cast("timestamp"))
+    at = F.timestamp_micros(start + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - start) / 900))
+    rows = rows.select((F.col("user_id") * 100 + e % 3).alias("item_id"), F.col("n").cast("long").alias("seq"), F.col("event_type").alias("stage"), kind.alias("kind"), at.alias("at"), F.concat(F.lit("w"), (e % 5).cast("string")).alias("worker"))
+    folder = work_folder(spark, "offers")
+    rows.write.parquet(folder)
+    changes = _collected(leases(spark.readStream.schema(rows.schema).parquet(folder)), spark, "leases")
+    return changes.groupBy("item_id").agg(F.max_by(F.struct("status", "attempts"), F.struct("at", "attempts", F.col("status") != "PENDING")).alias("l"), F.count("*").alias("changes")).select("item_id", "l.status", "l.attempts", "changes")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, event_type AS tenant, event_id % 4 = 0 AS takes, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 4 = 0 OR event_id % 10 > 0),
+s AS (
+  SELECT tenant, n, event_id, NOT takes AS offers, CASE WHEN takes THEN 0 ELSE 1 END AS waiting, 0 AS dropped, true AS fits FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.tenant, e.n, e.event_id, NOT e.takes, CASE WHEN e.takes THEN greatest(0, waiting - 1) ELSE least(200, waiting + 1) END, dropped + CASE WHEN NOT e.takes AND waiting >= 200 THEN 1 ELSE 0 END, e.takes OR waiting < 200
+  FROM s JOIN e ON e.tenant = s.tenant AND e.n = s.n + 1
+)
+SELECT event_id, tenant, CASE WHEN fits THEN 'kept' ELSE 'dropped' END AS outcome, CAST(waiting AS BIGINT) AS waiting, CAST(dropped AS BIGINT) AS dropped FROM s WHERE offers
+""")
+def hand_over(spark, sf_dir):
+    """What becomes of each offered case; every tenth answer is blank, a quarter of the events take a case."""
+    from ..streaming import keyed
+
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tenant"), e.alias("seq"), F.col("ts").alias("at"), F.when(e % 4 == 0, "take").otherwise("offer").alias("kind"), e.alias("case_id"), F.when(e % 10 > 0, "said").otherwise(" ").alias("answer"), F.lit(False).alias("suppressed"))
+    folder = work_folder(spark, "cases")
+    rows.write.parquet(folder)
+    done = _collected(keyed.hand_over(spark.readStream.schema(rows.schema).parquet(folder)), spark, "handed")
+    return done.where("outcome <> 'taken'").select(F.col("seq").alias("event_id"), "tenant", "outcome", "waiting", "dropped")
