@@ -206,21 +206,23 @@ def golden_recall(spark, sf_dir):
 # queues
 
 
-@query(ITEMS_SQL + """, t AS (SELECT item_id FROM items WHERE (status IN ('PENDING', 'RETRY_WAITING') AND available_at <= TIMESTAMP '2024-01-20') OR (status = 'LEASED' AND lease_until < TIMESTAMP '2024-01-20') ORDER BY priority DESC, created_at, item_id LIMIT 25)
-SELECT i.item_id, CASE WHEN t.item_id IS NOT NULL THEN 'LEASED' ELSE status END AS status, CASE WHEN t.item_id IS NOT NULL THEN TIMESTAMP '2024-01-20 00:01:00' ELSE lease_until END AS lease_until FROM items i LEFT JOIN t USING (item_id)""")
+@query(ITEMS_SQL + """, t AS (SELECT item_id FROM items WHERE stage = 'FETCH' AND ((status IN ('PENDING', 'RETRY_WAITING') AND available_at <= TIMESTAMP '2024-01-20') OR (status = 'LEASED' AND lease_until < TIMESTAMP '2024-01-20')) ORDER BY priority DESC, created_at, item_id LIMIT 25)
+SELECT i.item_id, CASE WHEN t.item_id IS NOT NULL THEN 'LEASED' ELSE status END AS status, CASE WHEN t.item_id IS NOT NULL THEN TIMESTAMP '2024-01-20 00:00:30' ELSE lease_until END AS lease_until, CAST(attempts + CASE WHEN t.item_id IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS attempts FROM items i LEFT JOIN t USING (item_id)""")
 def leased_work(spark, sf_dir):
-    return state.leased(_items(spark, sf_dir), _now(), 25).select("item_id", "status", "lease_until")
+    return state.leased(_items(spark, sf_dir), _now(), 25, "FETCH").select("item_id", "status", "lease_until", "attempts")
 
 
-@query(ITEMS_SQL + """, o AS (SELECT *, item_id % 3 = 0 AS ok, item_id % 4 > 0 AS answered FROM items)
-SELECT item_id, CASE WHEN status <> 'LEASED' OR NOT answered THEN status WHEN ok THEN 'DONE' WHEN attempts + 1 >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAITING' END AS status, CASE WHEN status = 'LEASED' AND answered AND NOT ok THEN attempts + 1 ELSE attempts END AS attempts FROM o""")
+@query(ITEMS_SQL + """, o AS (SELECT *, CASE WHEN item_id % 4 = 0 THEN NULL WHEN item_id % 3 = 0 THEN 'done' WHEN item_id % 5 = 0 THEN 'fail' ELSE 'retry' END AS outcome, status = 'LEASED' AND item_id % 4 > 0 AS held FROM items)
+SELECT item_id, CASE WHEN NOT held THEN status WHEN outcome = 'done' THEN 'DONE' WHEN outcome = 'fail' OR attempts >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAITING' END AS status, attempts, CASE WHEN held THEN NULL ELSE lease_until END AS lease_until,
+  CASE WHEN held AND outcome = 'retry' AND attempts < 5 THEN TIMESTAMP '2024-01-20' + to_seconds(least(300, CAST(pow(2, least(8, attempts)) AS INTEGER))) ELSE available_at END AS available_at FROM o""")
 def acknowledged_work(spark, sf_dir):
     items = _items(spark, sf_dir)
-    outcomes = items.where("item_id % 4 > 0").select("item_id", (F.col("item_id") % 3 == 0).alias("ok"))
-    return state.acknowledged(items, outcomes, _now()).select("item_id", "status", "attempts")
+    outcome = F.when(F.col("item_id") % 3 == 0, "done").when(F.col("item_id") % 5 == 0, "fail").otherwise("retry")
+    outcomes = items.where("item_id % 4 > 0").select("item_id", outcome.alias("outcome"))
+    return state.acknowledged(items, outcomes, _now()).select("item_id", "status", "attempts", "lease_until", "available_at")
 
 
-@query(ITEMS_SQL + "SELECT item_id, CASE WHEN status = 'DEAD_LETTER' THEN 'PENDING' ELSE status END AS status, CASE WHEN status = 'DEAD_LETTER' THEN 0 ELSE attempts END AS attempts, CASE WHEN status = 'DEAD_LETTER' THEN TIMESTAMP '2024-01-20' ELSE available_at END AS available_at FROM items")
+@query(ITEMS_SQL + "SELECT item_id, CASE WHEN status = 'DEAD_LETTER' THEN 'PENDING' ELSE status END AS status, attempts, CASE WHEN status = 'DEAD_LETTER' THEN TIMESTAMP '2024-01-20' ELSE available_at END AS available_at FROM items")
 def requeued_work(spark, sf_dir):
     return state.requeued(_items(spark, sf_dir), _now()).select("item_id", "status", "attempts", "available_at")
 
@@ -237,19 +239,23 @@ def stage_router(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts END AS last_run, CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 1 HOUR ELSE ts + INTERVAL 1 HOUR END AS due_at FROM events), c AS (SELECT *, (last_run IS NULL OR last_run <= due_at) AND due_at <= TIMESTAMP '2024-01-20' AS claimed FROM s)
+WITH s AS (SELECT event_id, CASE WHEN event_id % 3 > 0 THEN ts END AS last_run FROM events), c AS (SELECT *, last_run IS NULL OR last_run <= TIMESTAMP '2024-01-13' AS claimed FROM s)
 SELECT event_id, claimed, CASE WHEN claimed THEN TIMESTAMP '2024-01-20' ELSE last_run END AS last_run FROM c
 """)
 def claim_due(spark, sf_dir):
-    e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", F.when(e % 3 > 0, F.col("ts")).alias("last_run"), F.when(e % 2 == 0, F.expr("ts - interval 1 hour")).otherwise(F.expr("ts + interval 1 hour")).alias("due_at"))
-    return state.claim_due(rows, _now()).select("event_id", "claimed", "last_run")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("ts")).alias("last_run"))
+    return state.claim_due(rows, _now(), _now() - F.expr("interval 7 days")).select("event_id", "claimed", "last_run")
 
 
-@query("SELECT user_id, CAST(greatest(1, floor(64 / pow(2, least(62, count(*) FILTER (event_type = 'error'))))) AS INTEGER) AS \"limit\" FROM events GROUP BY 1")
+@query("""
+WITH r AS (SELECT user_id, CASE WHEN event_type = 'error' THEN 400 ELSE 500 END AS status, CASE event_id % 3 WHEN 0 THEN 'This model''s Maximum context length is 512' WHEN 1 THEN 'Too many tokens requested' ELSE 'the rate limit was exceeded' END AS body FROM events)
+SELECT user_id, CAST(greatest(256, floor(8000 / pow(2, least(62, count(*) FILTER (status = 400 AND (contains(lower(body), 'context length') OR contains(lower(body), 'too many tokens'))))))) AS INTEGER) AS "limit" FROM r GROUP BY 1
+""")
 def learned_limit(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") != "error").alias("ok"))
-    return state.learned_limit(rows, ["user_id"])
+    e = F.col("event_id") % 3
+    body = F.when(e == 0, "This model's Maximum context length is 512").when(e == 1, "Too many tokens requested").otherwise("the rate limit was exceeded")
+    rows = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") == "error", 400).otherwise(500).alias("status"), body.alias("body"))
+    return state.learned_limit(rows, ["user_id"], 8000)
 
 
 @query("SELECT doc_id AS document_id, 'INDEX' AS stage, sha256(concat('reindex:run7:', doc_id)) AS idempotency_key FROM documents WHERE doc_id % 5 > 0 AND doc_id % 3 = 0")

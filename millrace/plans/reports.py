@@ -415,7 +415,7 @@ def claimable_work(spark, sf_dir):
     return state.claim(_items(spark, sf_dir), F.lit(datetime(2024, 1, 20)).cast("timestamp_ntz"), 25).select("item_id", "priority")
 
 
-@query(ITEMS_SQL + "SELECT item_id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAITING' END AS status, CAST(least(300, pow(2, least(8, attempts + 1))) AS INTEGER) AS wait FROM items")
+@query(ITEMS_SQL + "SELECT item_id, attempts, CASE WHEN attempts >= 5 THEN 'DEAD_LETTER' ELSE 'RETRY_WAITING' END AS status, CAST(least(300, pow(2, least(8, attempts))) AS INTEGER) AS wait FROM items")
 def retry_backoff(spark, sf_dir):
     failed = state.after_failure(_items(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz"))
     return failed.select("item_id", "attempts", "status", state.backoff_seconds(F.col("attempts")).alias("wait"))

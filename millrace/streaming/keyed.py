@@ -150,7 +150,10 @@ class HandOver(StatefulProcessor):
                 dropped += 1
                 outcome = "dropped"
             out.append({"tenant": key[0], "seq": seq, "case_id": case, "outcome": outcome, "waiting": len(waiting), "dropped": dropped})
-        self.waiting.put([(c,) for c in waiting])
+        if waiting:
+            self.waiting.put([(c,) for c in waiting])
+        else:
+            self.waiting.clear()
         self.dropped.update((dropped,))
         if out:
             yield pd.DataFrame(out)

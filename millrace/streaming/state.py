@@ -23,16 +23,18 @@ def claimable(items: DataFrame, now: Column) -> DataFrame:
     return items.where(ready | (F.col("status") == "LEASED") & (F.col("lease_until") < now))
 
 
-def claim(items: DataFrame, now: Column, n: int) -> DataFrame:
-    return claimable(items, now).orderBy(F.desc("priority"), "created_at", "item_id").limit(n)
+def claim(items: DataFrame, now: Column, n: int, stage: str | None = None) -> DataFrame:
+    """The next ``n`` items of a stage, or of all."""
+    ready = claimable(items, now)
+    return (ready if stage is None else ready.where(F.col("stage") == stage)).orderBy(F.desc("priority"), "created_at", "item_id").limit(n)
 
 
 def after_failure(items: DataFrame, now: Column) -> DataFrame:
-    """attempts counted, then waiting for a retry or dead."""
-    attempts = F.col("attempts") + 1
+    """Waiting for a retry, or dead once so many attempts were claimed; a claim has counted the attempt already."""
+    attempts = F.col("attempts")
     dead = attempts >= MAX_ATTEMPTS
     wait = F.make_interval(secs=backoff_seconds(attempts).cast("decimal(18,6)"))
-    return items.withColumns({"status": F.when(dead, "DEAD_LETTER").otherwise("RETRY_WAITING"), "available_at": F.when(dead, F.col("available_at")).otherwise(now + wait), "attempts": attempts})
+    return items.withColumns({"status": F.when(dead, "DEAD_LETTER").otherwise("RETRY_WAITING"), "available_at": F.when(dead, F.col("available_at")).otherwise(now + wait), "lease_until": F.lit(None).cast(dict(items.dtypes)["lease_until"])})
 
 
 def run_status(items: DataFrame, run: str) -> DataFrame:
@@ -81,29 +83,39 @@ def feedback_state(current: Column, relevance: Column, quality: Column, sources:
     return F.when(current.isin("NONE", "CANDIDATE", "APPROVED"), fresh).otherwise(current)
 
 
-def leased(items: DataFrame, now: Column, n: int, seconds: int = 60) -> DataFrame:
-    """Items after a claim: the ``n`` that it takes have a lease and one attempt more to show."""
-    taken = claim(items, now, n).select("item_id", F.lit(True).alias("taken"))
+def leased(items: DataFrame, now: Column, n: int, stage: str, seconds: int = 30) -> DataFrame:
+    """Items after a claim of one stage: the ``n`` that it takes have a lease and one attempt more to show."""
+    taken = claim(items, now, n, stage).select("item_id", F.lit(True).alias("taken"))
     met = items.join(taken, "item_id", "left")
     held = F.coalesce("taken", F.lit(False))
     until = now + F.expr(f"interval {seconds} seconds")
-    return met.withColumns({"status": F.when(held, "LEASED").otherwise(F.col("status")), "lease_until": F.when(held, until).otherwise(F.col("lease_until"))}).drop("taken")
+    return met.withColumns(
+        {
+            "status": F.when(held, "LEASED").otherwise(F.col("status")),
+            "lease_until": F.when(held, until).otherwise(F.col("lease_until")),
+            "attempts": F.col("attempts") + F.when(held, 1).otherwise(0),
+        }
+    ).drop("taken")
 
 
 def acknowledged(items: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Leased items after their outcomes (item_id, ok): done, or counted and waiting or dead; others stay."""
-    met = items.join(outcomes.select("item_id", "ok"), "item_id", "left")
-    held = (F.col("status") == "LEASED") & F.col("ok").isNotNull()
-    failed = after_failure(met.where(held & ~F.col("ok")), now)
-    done = met.where(held & F.col("ok")).withColumn("status", F.lit("DONE"))
-    rest = met.where(~F.coalesce(held, F.lit(False)))
-    return done.unionByName(failed).unionByName(rest).drop("ok")
+    """Leased items after their outcomes (item_id, outcome): done, retry (waiting, or dead after too many attempts), or
+    fail (dead at once); other items and outcomes stay without effect."""
+    met = items.join(outcomes.select("item_id", "outcome"), "item_id", "left")
+    held = F.coalesce((F.col("status") == "LEASED") & F.col("outcome").isin("done", "retry", "fail"), F.lit(False))
+    ended = {"done": "DONE", "fail": "DEAD_LETTER"}
+    none = F.lit(None).cast(dict(items.dtypes)["lease_until"])
+    closed = [met.where(held & (F.col("outcome") == o)).withColumns({"status": F.lit(s), "lease_until": none}) for o, s in ended.items()]
+    out = met.where(~held).unionByName(after_failure(met.where(held & (F.col("outcome") == "retry")), now))
+    for part in closed:
+        out = out.unionByName(part)
+    return out.drop("outcome")
 
 
 def requeued(items: DataFrame, now: Column) -> DataFrame:
-    """Dead letters brought back to the start."""
+    """Dead letters wait again, without delay; their attempts stay counted."""
     dead = F.col("status") == "DEAD_LETTER"
-    return items.withColumns({"status": F.when(dead, "PENDING").otherwise(F.col("status")), "attempts": F.when(dead, 0).otherwise(F.col("attempts")), "available_at": F.when(dead, now).otherwise(F.col("available_at"))})
+    return items.withColumns({"status": F.when(dead, "PENDING").otherwise(F.col("status")), "available_at": F.when(dead, now).otherwise(F.col("available_at"))})
 
 
 def queue_depth(items: DataFrame) -> DataFrame:
@@ -118,16 +130,26 @@ def routed(items: DataFrame, stages: list[str], tenants: DataFrame) -> DataFrame
     return met.withColumn("route", F.when(F.col("there").isNull(), "reject").when(F.col("stage").isin(*stages), F.col("stage")).otherwise("skip")).drop("there")
 
 
-def claim_due(schedules: DataFrame, due: Column) -> DataFrame:
-    """Compare and set: schedules never run, or last run at or before they were due, are claimed now."""
-    free = F.col("last_run").isNull() | (F.col("last_run") <= F.col("due_at"))
-    return schedules.withColumn("claimed", free & (F.col("due_at") <= due)).withColumn("last_run", F.when(F.col("claimed"), due).otherwise(F.col("last_run")))
+def claim_due(schedules: DataFrame, now: Column, due: Column) -> DataFrame:
+    """Compare and set: schedules that never ran, or ran last at or before ``due``, are claimed and have run ``now``."""
+    free = F.col("last_run").isNull() | (F.col("last_run") <= due)
+    return schedules.withColumn("claimed", free).withColumn("last_run", F.when(F.col("claimed"), now).otherwise(F.col("last_run")))
 
 
-def learned_limit(outcomes: DataFrame, keys: list[str], start: int = 64, least: int = 1) -> DataFrame:
-    """keys, limit: the size that an endpoint is trusted with: halved by each refusal, never below ``least``."""
-    refused = F.count_if(~F.col("ok"))
-    return outcomes.groupBy(*keys).agg(F.greatest(F.lit(least), F.floor(F.lit(float(start)) / F.pow(F.lit(2.0), F.least(refused, F.lit(62))))).cast("int").alias("limit"))
+def is_input_limit(status: Column, body: Column) -> Column:
+    """Whether an endpoint's reply says that its input was too long, which is not any refusal."""
+    said = F.lower(F.coalesce(body, F.lit("")))
+    names = lambda *words: F.greatest(*(F.contains(said, F.lit(w)) for w in words))
+    # fixed values: what such replies say
+    long = names("context window", "context length", "input token", "too many tokens", "input too long")
+    return (status == 400) & long & names("maximum", "exceed", "limit", "requested")
+
+
+def learned_limit(replies: DataFrame, keys: list[str], start: int, least: int = 256) -> DataFrame:
+    """keys, limit: the input characters that an endpoint is trusted with. Each reply (status, body) that names the input limit
+    halves them, never below ``least``; other refusals teach nothing."""
+    halved = F.floor(F.lit(float(start)) / F.pow(F.lit(2.0), F.least(F.count_if(is_input_limit(F.col("status"), F.col("body"))), F.lit(62))))
+    return replies.groupBy(*keys).agg(F.least(F.lit(start), F.greatest(F.lit(least), halved)).cast("int").alias("limit"))
 
 
 def unindexed(documents: DataFrame, run: str) -> DataFrame:
