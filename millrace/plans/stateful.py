@@ -134,3 +134,51 @@ def hand_over(spark, sf_dir):
     rows.write.parquet(folder)
     done = _collected(keyed.hand_over(spark.readStream.schema(rows.schema).parquet(folder)), spark, "handed")
     return done.where("outcome <> 'taken'").select(F.col("seq").alias("event_id"), "tenant", "outcome", "waiting", "dropped")
+
+
+def _bundles(spark, sf_dir):
+    """Entries of one bundle for each hundred documents: bundles of even numbers in version 1, the others in version 6."""
+    from pyspark.sql import Window
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("b"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"))
+    text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    same = {"id": text("d", "doc_id"), "runId": text("r", "b"), "title": F.col("source"), "language": F.col("lang"), "contentHash": F.col("hash")}
+    first = F.struct(*(c.alias(n) for n, c in {**same, "fetchId": text("f", "doc_id"), "canonicalUrl": F.col("source")}.items()))
+    later = F.struct(*(c.alias(n) for n, c in {**same, "acquisitionId": text("f", "doc_id"), "sourceUri": F.col("source"), "identityUri": text("u", "doc_id"), "versionNumber": F.lit(7)}.items()))
+    fetch = F.struct(text("f", "doc_id").alias("id"), text("r", "b").alias("runId"), text("i", "doc_id").alias("frontierEntryId"), text("i", "doc_id").alias("sourceItemId"))
+    item = F.struct(text("i", "doc_id").alias("id"), text("r", "b").alias("runId"), F.col("source").alias("url"), F.col("source").alias("locator"))
+    in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("doc_id", c.alias("x")))), lambda s: s["x"])
+    by = docs.groupBy("b").agg(in_order(first).alias("v1"), in_order(later).alias("v6"), in_order(fetch).alias("fetches"), in_order(item).alias("items"))
+    run = F.array(F.struct(text("r", "b").alias("id"), text("j", "b").alias("jobId"), text("j", "b").alias("ingestionJobId"), text("s", "b").alias("sourceId")))
+    job = F.array(F.struct(text("j", "b").alias("id"), F.lit("job").alias("name"), text("s", "b").alias("sourceId")))
+    source = F.array(F.struct(text("s", "b").alias("id"), F.lit("GIT").alias("connectorType")))
+    old = F.to_json(F.struct(job.alias("jobs"), run.alias("runs"), F.col("items").alias("frontier"), "fetches", F.col("v1").alias("documents")))
+    new = F.to_json(F.struct(source.alias("sources"), job.alias("ingestionJobs"), run.alias("ingestionRuns"), F.col("items").alias("sourceItems"), F.col("fetches").alias("acquisitions"), F.col("v6").alias("documents")))
+    even = F.pmod("b", F.lit(2)) == 0
+    by = by.select(text("bundle-", "b").alias("bundle"), F.when(even, 1).otherwise(6).alias("version"), F.when(even, old).otherwise(new).alias("data"))
+    manifest = F.to_json(F.struct(F.col("version").alias("schemaVersion"), F.create_map(F.lit("data.json"), F.sha2("data", 256)).alias("checksums")))
+    return by.select("bundle", F.explode(F.array(F.struct(F.lit("data.json").alias("name"), F.col("data").cast("binary").alias("content")), F.struct(F.lit("manifest.json").alias("name"), manifest.cast("binary").alias("content")))).alias("e")).select("bundle", "e.*")
+
+
+@query("""
+WITH d AS (SELECT doc_id, doc_id // 100 AS b, coalesce(source, '') AS source, coalesce(lang, '') AS lang, md5(coalesce(text, '')) AS hash FROM documents),
+n AS (SELECT *, concat('crate-', b) AS crate, b % 2 = 0 AS first FROM d)
+SELECT crate AS crate_id, sha256(concat(crate, ':documents:d', doc_id)) AS document_id, sha256(concat(crate, ':ingestionRuns:r', b)) AS run_id, sha256(concat(crate, ':acquisitions:f', doc_id)) AS acquisition_id,
+  CASE WHEN first THEN source ELSE concat('u', doc_id) END AS identity_uri, CAST(CASE WHEN first THEN row_number() OVER (PARTITION BY b, CASE WHEN first THEN source ELSE concat('u', doc_id) END ORDER BY doc_id) ELSE 7 END AS INTEGER) AS version_number,
+  nullif(trim(lang), '') AS language, hash AS content_hash, sha256(concat(crate, ':sources:', CASE WHEN first THEN 'j' ELSE 's' END, b)) AS source_id, CASE WHEN first THEN 'HTTPS' ELSE 'GIT' END AS connector, concat(crate, ':import-index:', sha256(concat(crate, ':documents:d', doc_id))) AS work_key FROM n
+""")
+def bundle_import(spark, sf_dir):
+    """Documents of bundles of two versions, with the runs, sources and work that they lead to."""
+    from ..sources import bundles
+
+    folder = work_folder(spark, "bundles")
+    _bundles(spark, sf_dir).write.parquet(folder)
+    entries = spark.read.parquet(folder)
+    crates = entries.select("bundle").distinct().select("bundle", F.regexp_replace("bundle", "^bundle", "crate").alias("crate_id"))
+    out = bundles.import_bundles(entries, crates)
+    runs = out["ingestionRuns"].select(F.col("id").alias("runId"), F.col("sourceId").alias("source_id"))
+    sources = out["sources"].select(F.col("id").alias("source_id"), F.col("connectorType").alias("connector"))
+    work = out["work"].select(F.col("document_id").alias("id"), F.col("idempotency_key").alias("work_key"))
+    met = out["documents"].join(runs, "runId").join(sources, "source_id").join(work, "id")
+    names = {"id": "document_id", "runId": "run_id", "acquisitionId": "acquisition_id", "identityUri": "identity_uri", "versionNumber": "version_number", "contentHash": "content_hash"}
+    return met.select("crate_id", *(F.col(a).alias(b) for a, b in names.items()), "language", "source_id", "connector", "work_key")
