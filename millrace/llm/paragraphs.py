@@ -29,7 +29,7 @@ from .components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-MIN_WORDS = 20
+MIN_WORDS = 12
 #: A document belongs to the class of the document it repeats if at least this share of its text repeats.
 CLASS_SHARE = 0.5
 BAND_ROWS = 3

@@ -138,3 +138,46 @@ def test_repeated_ids(spark):
     rows = [(None, a + "\n" + b), (None, c + "\n" + d), (5, a), (7, e + "\n" + b), (7, d + "\n" + e), (9, e)]
     out = {(r.doc_id, r.n_lines, r.n_removed) for r in p.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert (None, 2, 0) in out and (5, 1, len(a)) in out and (9, 1, len(e)) in out
+
+
+def met(a, b):
+    return bool(set(p.band_keys(p.shingles(a)).tolist()) & set(p.band_keys(p.shingles(b)).tolist()))
+
+
+def jaccard(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_recall_of_line_pairs_at_the_threshold():
+    rng = random.Random(2)
+    found = []
+    while len(found) < 2000:  # one changed word at either end leaves 0.8 or little more of the shingles
+        a = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(p.MIN_WORDS, 60))]
+        b = list(a)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [f"w{rng.randrange(500)}"]
+        if p.THRESHOLD <= jaccard(a, b) < 0.9:
+            found.append(met(a, b))
+    assert sum(found) >= 0.97 * len(found)
+
+
+def test_recall_of_line_pairs_in_the_test_data():
+    import os
+
+    import pyarrow.parquet as pq
+    import pytest
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    lines = {tuple(w) for t in pq.read_table(path, columns=["text"]).column(0).to_pylist() for x in (t or "").split("\n") if len(w := p.words(x)) >= p.MIN_WORDS}
+    by_shingle = {}
+    for w in lines:
+        for i in range(len(w) - 4):
+            by_shingle.setdefault(w[i : i + 5], set()).add(w)
+    pairs = {(a, b) for same in by_shingle.values() for a in same for b in same if a < b}
+    close = [met(list(a), list(b)) for a, b in pairs if jaccard(list(a), list(b)) >= p.THRESHOLD]
+    assert len(close) >= 30 and sum(close) >= 0.9 * len(close), (sum(close), len(close))
+    print("pairs met", sum(close), "of", len(close))
