@@ -89,12 +89,33 @@ def topic_text_groups(questions: DataFrame, text: str) -> DataFrame:
     return questions.where(topic != "").groupBy(topic.alias("topic")).agg(F.count("*").alias("questions"), F.count_distinct(text).alias("variants"))
 
 
-def leader_clusters(topics: DataFrame, tenant: str, threshold: float = 0.92, cap: int = 300) -> DataFrame:
+#: Cosine from which a topic joins a leader, topics that are compared, and topics that a judge is shown. Fixed values.
+MERGE_AT, MOST_TOPICS, JUDGED_TOPICS = 0.92, 300, 100
+
+
+def topic_key(topic: Column) -> Column:
+    """Topics are the same text but for case and closing marks."""
+    return F.regexp_replace(F.lower(topic), r"[\s.?!]+$", "")
+
+
+def text_clusters(topics: DataFrame, tenant: str) -> DataFrame:
+    """tenant, topic, leader: topics of one key follow the most frequent of them. Two aggregates, whatever the number."""
+    order = F.struct((-F.col("frequency")).alias("f"), F.col("topic"))
+    lead = topics.groupBy(tenant, topic_key(F.col("topic")).alias("__key")).agg(F.min_by("topic", order).alias("leader"))
+    return topics.withColumn("__key", topic_key(F.col("topic"))).join(lead, [tenant, "__key"]).select(tenant, "topic", "leader")
+
+
+def most_frequent(topics: DataFrame, tenant: str, most: int) -> DataFrame:
+    """The ``most`` topics of each tenant with the highest frequency, with their number n from 1: every task keeps as many
+    of each tenant before anything is sent, so a tenant's topics never meet as a whole."""
+    order = Window.partitionBy(tenant).orderBy(F.desc("frequency"), "topic")
+    return topics.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+
+
+def leader_clusters(topics: DataFrame, tenant: str, threshold: float = MERGE_AT, cap: int = MOST_TOPICS) -> DataFrame:
     """``topics``: tenant, topic, frequency, vector. Returns tenant, topic, leader. By falling frequency each of the
     ``cap`` most frequent topics of a tenant joins the first leader whose cosine reaches the threshold, or leads anew;
     the topics beyond merge among themselves where their texts are equal but for case and closing marks."""
-    order = Window.partitionBy(tenant).orderBy(F.desc("frequency"), "topic")
-    ranked = topics.withColumn("n", F.row_number().over(order))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
@@ -112,10 +133,94 @@ def leader_clusters(topics: DataFrame, tenant: str, threshold: float = 0.92, cap
         return pd.DataFrame({tenant: pdf[tenant], "topic": pdf.topic, "leader": out})
 
     kinds = dict(topics.dtypes)
-    head = ranked.where(F.col("n") <= cap).groupBy(tenant).applyInPandas(group, f"{tenant} {kinds[tenant]}, topic {kinds['topic']}, leader {kinds['topic']}")
-    alike = F.regexp_replace(F.lower("topic"), r"[\s.?!]+$", "")
-    rest = ranked.where(F.col("n") > cap).withColumn("leader", F.first("topic").over(Window.partitionBy(tenant, alike).orderBy("n")))
-    return head.unionByName(rest.select(tenant, "topic", "leader"))
+    head = most_frequent(topics, tenant, cap)
+    grouped = head.groupBy(tenant).applyInPandas(group, f"{tenant} {kinds[tenant]}, topic {kinds['topic']}, leader {kinds['topic']}")
+    # at most ``cap`` topics of a tenant are taken out of the others
+    names = most_frequent(topics.drop("vector"), tenant, cap).select(tenant, "topic")
+    rest = topics.select(tenant, "topic", "frequency").join(names, [tenant, "topic"], "left_anti")
+    return grouped.unionByName(text_clusters(rest, tenant))
+
+
+def judge_clusters(topics: DataFrame, replies: DataFrame, tenant: str, asked: int = JUDGED_TOPICS) -> DataFrame:
+    """``topics``: tenant, topic, frequency; ``replies``: tenant, reply, a judge's {"groups": [[0, 2], [1]]} over the ``asked`` most
+    frequent topics, numbered from 0. Returns tenant, topic, leader for the tenants with groups in their reply: numbers that
+    are unknown or were given before are ignored, a group is led by its most frequent topic, topics that the judge forgot
+    or was not shown stand alone. Tenants whose reply has no groups are left out, for ``text_clusters``."""
+    body = F.regexp_extract("reply", r"(?s)(\{.*\})", 1)
+    given = replies.select(tenant, F.from_json(body, "groups array<string>")["groups"].alias("groups")).where("groups is not null")
+    numbers = F.regexp_extract_all("group", F.lit(r"(?<=[\[,])\s*(-?\d{1,9})\s*(?=[,\]])"), F.lit(1))
+    places = given.select(tenant, F.posexplode("groups").alias("g", "group")).where(F.col("group").startswith("["))
+    places = places.select(tenant, "g", F.posexplode(numbers).alias("m", "number")).select(tenant, "g", "m", (F.col("number").cast("int") + 1).alias("n"))
+    shown = most_frequent(topics.select(tenant, "topic", "frequency"), tenant, asked).select(tenant, "topic", "n")
+    # the first group that names a topic has it
+    own = places.where(F.col("n").between(1, asked)).groupBy(tenant, "n").agg(F.min("g").alias("g"))
+    placed = shown.join(own, [tenant, "n"])
+    lead = placed.groupBy(tenant, "g").agg(F.min_by("topic", "n").alias("leader"))
+    named = placed.join(lead, [tenant, "g"]).select(tenant, "topic", "leader")
+    all_topics = topics.select(tenant, "topic").join(given.select(tenant).distinct(), tenant, "left_semi")
+    return all_topics.join(named, [tenant, "topic"], "left").select(tenant, "topic", F.coalesce("leader", "topic").alias("leader"))
+
+
+#: Averages of a report, by the names that scores have in a case.
+SCORES = ("precision_at_k", "recall_at_k", "mrr", "average_precision", "ndcg", "faithfulness", "answer_relevance", "completeness", "reference_recall")
+GAPS = ("UNANSWERED", "PARTIAL")
+
+
+def gap_cube(cases: DataFrame, tenant: str, scores: tuple[str, ...] = SCORES, digits: int = 6) -> DataFrame:
+    """``cases``: tenant, created_at, status, reason, leader (label of its topic, or null), tags (array), and any of ``scores``. One
+    pass with grouping sets gives a row for each tenant (level tenant), topic, tag, and tag of a topic: cases, tracked
+    (with a status), gaps, unanswered, no_sources, not_in_sources, partial, newest_gap, and the means of the scores that there are.
+
+    A case has each of its tags once; cases without topic or tags count for their tenant only."""
+    own = F.array_distinct(F.coalesce("tags", F.array().cast("array<string>")))
+    rows = cases.select("*", F.posexplode_outer(own).alias("__at", "tag")).drop("tags").withColumnRenamed("leader", "topic")
+    # what is counted for a case is counted at its first tag, except where tags are told apart
+    level = F.grouping_id()
+    gap = F.col("status").isin(*GAPS)
+    counts = lambda c: F.count_if((c) & ((F.col("__at").isNull()) | (F.col("__at") == 0)))
+    named = {
+        "cases": F.lit(True),
+        "tracked": F.col("status").isNotNull(),
+        "gaps": gap,
+        "unanswered": F.col("status") == "UNANSWERED",
+        "no_sources": gap & (F.col("reason") == "no-sources"),
+        "not_in_sources": gap & (F.col("reason") == "not-in-sources"),
+        "partial": gap & (F.col("reason") == "partial"),
+    }
+    first = F.col("__at").isNull() | (F.col("__at") == 0)
+    there = [n for n in scores if n in cases.columns]
+    by = [tenant, "topic", "tag"]
+    grouped = rows.groupingSets([[F.col(tenant)], [F.col(tenant), F.col("topic")], [F.col(tenant), F.col("tag")], [F.col(c) for c in by]], *(F.col(c) for c in by))
+    whole, split = "__whole", "__split"
+    out = grouped.agg(
+        level.alias("__level"),
+        *(counts(F.coalesce(c, F.lit(False))).alias(f"{n}{whole}") for n, c in named.items()),
+        *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"{n}{split}") for n, c in named.items()),
+        F.max(F.when(gap, F.col("created_at"))).alias("newest_gap"),
+        *(F.avg(F.when(first, F.col(n))).alias(f"{n}{whole}") for n in there),
+        *(F.avg(n).alias(f"{n}{split}") for n in there),
+    )
+    # the two last bits of the level: topic and tag are summed over
+    tagged = F.col("__level").bitwiseAND(F.lit(1)) == 0
+    names = F.when(F.col("__level") == 3, "tenant").when(F.col("__level") == 1, "topic").when(F.col("__level") == 2, "tag").otherwise("topic_tag")
+    pick = lambda n: F.when(tagged, F.col(f"{n}{split}")).otherwise(F.col(f"{n}{whole}"))
+    out = out.select(tenant, names.alias("level"), "topic", "tag", *(pick(n).alias(n) for n in named), "newest_gap", *(F.round(pick(n), digits).alias(n) for n in there))
+    has = {"topic": F.col("topic").isNotNull(), "tag": F.col("tag").isNotNull(), "topic_tag": F.col("topic").isNotNull() & F.col("tag").isNotNull()}
+    return out.where((F.col("level") == "tenant") | F.coalesce(*(F.when(F.col("level") == n, c) for n, c in has.items())))
+
+
+def gap_topics(cube: DataFrame, tenant: str, variants: DataFrame | None = None, most: int = 10, tags: int = 5) -> DataFrame:
+    """tenant, at (from 1), topic, gaps, no_sources, not_in_sources, partial, newest_gap, tags: of each tenant the ``most`` topics
+    with gaps, by falling number, then name, each with its ``tags`` most frequent tags among the gaps. ``variants``: tenant, topic,
+    variants (array) are added if given. Every task keeps its own best of a tenant or topic before they meet."""
+    topics = cube.where("level = 'topic' and gaps > 0")
+    best = topics.withColumn("at", F.row_number().over(Window.partitionBy(tenant).orderBy(F.desc("gaps"), "topic"))).where(F.col("at") <= most)
+    of = Window.partitionBy(tenant, "topic").orderBy(F.desc("gaps"), "tag")
+    named = cube.where("level = 'topic_tag' and gaps > 0").withColumn("k", F.row_number().over(of)).where(F.col("k") <= tags)
+    named = named.groupBy(tenant, "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "tag"))), lambda x: x["tag"]).alias("tags"))
+    out = best.join(named, [tenant, "topic"], "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    out = out.join(variants.select(tenant, "topic", "variants"), [tenant, "topic"], "left") if variants is not None else out
+    return out.select(tenant, "at", "topic", "gaps", "no_sources", "not_in_sources", "partial", "newest_gap", "tags", *(("variants",) if variants is not None else ()))
 
 
 def judge_reply(reply: Column, low: int, high: int):

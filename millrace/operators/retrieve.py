@@ -201,6 +201,50 @@ def feedback_reweight(hits: DataFrame, ratings: DataFrame, query: str, document:
     return met.withColumn("rank", F.row_number().over(order)).drop("factor")
 
 
+#: Ratings that are checked for one question, and the rating that changes nothing. Fixed values.
+MOST_CHECKS, NEUTRAL = 40, 3
+
+
+def feedback_checks(hits: DataFrame, documents: DataFrame, feedback: DataFrame, sources: DataFrame, query: str, per_document: int) -> DataFrame:
+    """The ratings that a judge is to be asked about, for each question at most MOST_CHECKS and ``per_document`` for each identity
+    among its hits: query, feedback_id, rated_at, relevance, by falling time, then id.
+
+    ``hits``: query, document_id; ``documents``: document_id, identity; ``feedback``: feedback_id, rated_at, relevance; ``sources``:
+    feedback_id, identity. An identity's ratings beyond its newest MOST_CHECKS cannot be among the newest of a question,
+    so they are dropped before they meet questions; a rating of many identities counts once."""
+    asked = hits.join(documents.where("identity is not null").select("document_id", "identity").distinct(), "document_id").select(query, "identity").distinct()
+    line = Window.partitionBy("identity").orderBy(F.desc("rated_at"), F.desc("feedback_id"))
+    rated = feedback.where("relevance is not null").select("feedback_id", "rated_at", "relevance")
+    rated = sources.where("identity is not null").select("feedback_id", "identity").distinct().join(rated, "feedback_id")
+    newest = rated.withColumn("n", F.row_number().over(line)).where(F.col("n") <= MOST_CHECKS).drop("n")
+    budget = asked.groupBy(query).agg(F.least(F.lit(MOST_CHECKS), per_document * F.count("*")).alias("budget"))
+    met = asked.join(newest, "identity").groupBy(query, "feedback_id").agg(F.max("rated_at").alias("rated_at"), F.max("relevance").alias("relevance"))
+    first = Window.partitionBy(query).orderBy(F.desc("rated_at"), F.desc("feedback_id"))
+    ranked = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MOST_CHECKS)
+    return ranked.join(budget, query).where("n <= budget").select(query, "feedback_id", "rated_at", "relevance")
+
+
+def feedback_weighted(hits: DataFrame, documents: DataFrame, feedback: DataFrame, sources: DataFrame, verdicts: DataFrame, query: str, per_document: int = 20) -> DataFrame:
+    """``hits`` (query, document_id, rank, score) with scores times the mean relevance over NEUTRAL of the ratings that a judge
+    holds relevant for the question, ``per_document`` newest for each identity, and new ranks; equal scores keep their order.
+
+    ``verdicts``: query, feedback_id, reply. Only a reply that begins with yes makes a rating count; a reply that is
+    missing or failed (null) does not, so where all checks of a question fail its hits keep scores and order."""
+    checks = feedback_checks(hits, documents, feedback, sources, query, per_document)
+    yes = verdicts.where(F.lower(F.trim("reply")).startswith("yes")).select(query, "feedback_id").distinct()
+    held = checks.join(yes, [query, "feedback_id"])
+    own = documents.where("identity is not null").select("document_id", "identity").distinct()
+    asked = hits.join(own, "document_id").select(query, "identity").distinct()
+    line = Window.partitionBy(query, "identity").orderBy(F.desc("rated_at"), F.desc("feedback_id"))
+    counted = held.join(sources.select("feedback_id", "identity").distinct(), "feedback_id").join(asked, [query, "identity"])
+    counted = counted.withColumn("n", F.row_number().over(line)).where(F.col("n") <= per_document)
+    factor = counted.groupBy(query, "identity").agg((F.avg("relevance") / NEUTRAL).alias("factor"))
+    met = hits.join(own, "document_id", "left").join(factor, [query, "identity"], "left")
+    met = met.withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0)))
+    order = Window.partitionBy(query).orderBy(F.desc("score"), "rank")
+    return met.withColumn("rank", F.row_number().over(order)).select(*hits.columns)
+
+
 def accepted_propositions(propositions: DataFrame, least: int = 7) -> DataFrame:
     """Those whose four scores all lie above ``least``."""
     names = ("accuracy", "clarity", "completeness", "conciseness")

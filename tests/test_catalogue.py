@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from millrace.plans import records, reports, search, stateful  # noqa: F401
+from millrace.plans import grading, records, reports, search, stateful  # noqa: F401
 from millrace.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
