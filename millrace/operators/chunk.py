@@ -124,9 +124,8 @@ def code_lines(text: str, size: int) -> list[tuple[str, int, int]]:
     for number, line in enumerate(text.split("\n"), 1):
         if len(line) > size:
             release(len(held))
-            while len(line) > size:
-                held.append((number, line[:size]))
-                release(1)
+            while len(line) > size:  # such a piece stays as it is, blanks included
+                out.append((line[:size], number, number))
                 line = line[size:]
         if held and sum(len(r) + 1 for _, r in held) + len(line) + 1 > size:
             blank = max((i + 1 for i, (_, r) in enumerate(held) if not r.strip()), default=0)
@@ -307,40 +306,156 @@ def semantic_groups(distances: DataFrame, group: str, order: str, method: str, v
     return rows.withColumn("chunk", F.coalesce(before, F.lit(0))).drop("brk")
 
 
-def fit_groups(lengths: list[int], distances: list[float], breaks: list[bool], size: int, least: int) -> list[tuple[int, int]]:
+def fit_groups(lengths: list[int], distances: list[float], breaks: list[bool], size: int, least: int, gaps: list[int] | None = None) -> list[tuple[int, int]]:
     """Half-open ranges of sentences: breaks taken first; a range that is too long is cut at its largest inner
-    distance, again and again; one that is too short joins the neighbour across the smaller distance."""
+    distance, again and again; then, from the front, one that is shorter than ``least`` joins the neighbour across the
+    smaller distance, or the other neighbour where that one is full. ``gaps``: the characters between a sentence and the one
+    before, one if not given."""
+    gaps = gaps or [1] * len(lengths)
+    upto = np.concatenate(([0], np.cumsum([n + g for n, g in zip(lengths, gaps)]))).tolist()
 
     def total(a: int, b: int) -> int:
-        return sum(lengths[a:b]) + (b - a - 1)
-
-    def cut(a: int, b: int) -> list[tuple[int, int]]:
-        if total(a, b) <= size or b - a < 2:
-            return [(a, b)]
-        at = max(range(a, b - 1), key=lambda i: distances[i]) + 1
-        return cut(a, at) + cut(at, b)
+        return upto[b] - upto[a] - gaps[a]
 
     ends = [i + 1 for i, brk in enumerate(breaks) if brk] + [len(lengths)]
-    groups = [g for a, b in zip([0, *ends], ends) if b > a for g in cut(a, b)]
+    waiting = [(a, b) for a, b in zip([0, *ends], ends) if b > a][::-1]
+    groups: list[tuple[int, int]] = []
+    while waiting:
+        a, b = waiting.pop()
+        if b - a < 2 or total(a, b) <= size:
+            groups.append((a, b))
+        else:
+            at = max(range(a, b - 1), key=distances.__getitem__) + 1
+            waiting += [(at, b), (a, at)]
     i = 0
     while i < len(groups):
         a, b = groups[i]
-        if total(a, b) < least and len(groups) > 1:
-            left = distances[a - 1] if i else float("inf")
-            right = distances[b - 1] if i + 1 < len(groups) else float("inf")
-            j = i - 1 if left <= right else i
-            merged = (groups[j][0], groups[j + 1][1])
-            if total(*merged) <= size:
-                groups[j : j + 2] = [merged]
-                i = max(0, j)
-                continue
+        sides = []
+        if total(a, b) < least:
+            sides = [(distances[groups[j][1] - 1], j) for j in (i - 1, i) if 0 <= j < len(groups) - 1]
+        for _, j in sorted(sides, key=lambda s: s[0]):
+            both = groups[j][0], groups[j + 1][1]
+            if total(*both) <= size:
+                groups[j : j + 2] = [both]
+                i = max(0, j - 1) - 1  # what lies before was tried with the same neighbours
+                break
         i += 1
     return groups
 
 
+#: Sentences of a document beyond which it is packed by size, and distances that a threshold needs. Fixed values.
+MOST_SENTENCES, LEAST_DISTANCES = 5000, 3
+
+
+def semantic_runs(blocks: DataFrame, document: str, size: int) -> DataFrame:
+    """``blocks``: document, ordinal, heading, kind, text. Every sentence of the prose with its place: document, run, pos (in the
+    document), sentence, begins (a paragraph). A run is a stretch of prose under one heading: it ends at other kinds of
+    blocks and at another heading. Blank blocks are not there; a sentence longer than ``size`` is cut as long prose is."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                pieces = [p for s, _ in split_sentences(re.sub(r"\n\s*\n", "\n", text)) for p in ([s] if len(s) <= size else [x.text for x in prose_parts(s, size, 0)])]
+                at += [i] * len(pieces)
+                rows += [(k, p, k == 0) for k, p in enumerate(pieces)]
+            columns = list(zip(*rows)) if rows else [()] * 3
+            own = [batch.column(c).take(pa.array(at, pa.int64())) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.bool_())))], [document, "run", "ordinal", "k", "sentence", "begins"])
+
+    kind = dict(blocks.dtypes)[document]
+    prose = segments(blocks, document).where("kind = 'prose'").select(document, F.col("segment").alias("run"), F.col("ordinal").cast("int").alias("ordinal"), "text")
+    rows = prose.mapInArrow(cut, f"{document} {kind}, run long, ordinal int, k int, sentence string, begins boolean")
+    line = Window.partitionBy(document).orderBy("ordinal", "k")
+    return rows.select(document, "run", (F.row_number().over(line) - 1).alias("pos"), "sentence", "begins")
+
+
+def segments(blocks: DataFrame, document: str) -> DataFrame:
+    """Blocks that are not blank, with the number of their segment: prose of one heading in succession, or other blocks in
+    succession whatever their heading."""
+    rows = blocks.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("heading", F.coalesce("heading", F.lit("")))
+    line = Window.partitionBy(document).orderBy("ordinal")
+    prose = F.col("kind") == "prose"
+    mark = F.when(prose, F.concat(F.lit("prose:"), F.col("heading"))).otherwise("other")
+    rows = rows.withColumn("__mark", mark)
+    fresh = F.when(F.lag("__mark").over(line).eqNullSafe(F.col("__mark")), 0).otherwise(1)
+    return rows.withColumn("__fresh", fresh).withColumn("segment", F.sum("__fresh").over(line)).drop("__mark", "__fresh")
+
+
+def semantic_plan(sentences: DataFrame, document: str, method: str = "percentile", value: float = 95.0) -> tuple[DataFrame, DataFrame]:
+    """``sentences``: those of ``semantic_runs`` with a column vector. Returns them with the distance to the next one of their run
+    in place of the vector, and for each document: sentences, threshold (one for all its runs), breakpoints, fallback: the
+    reason why it is packed by size alone (too_many_sentences, too_short, error: a sentence has no vector), or null."""
+    line = Window.partitionBy(document, "run").orderBy("pos")
+    nxt = F.lead("vector").over(line)
+    dist = F.when(nxt.isNotNull() & F.col("vector").isNotNull(), F.greatest(F.lit(0.0), cosine_distance(F.col("vector"), nxt)))
+    rows = sentences.withColumn("distance", dist).withColumn("last", F.lead("pos").over(line).isNull()).withColumn("bare", F.col("vector").isNull()).drop("vector")
+    by = rows.groupBy(document).agg(
+        F.count("*").alias("sentences"),
+        F.count_if(~F.col("last")).alias("pairs"),
+        F.count_if("bare").alias("bare"),
+        breakpoint_threshold(F.col("distance"), method, value).alias("threshold"),
+    )
+    reason = (
+        F.when(F.col("sentences") > MOST_SENTENCES, "too_many_sentences")
+        .when(F.col("sentences") < 2, "too_short")
+        .when(F.col("bare") > 0, "error")
+        .when(F.col("pairs") < LEAST_DISTANCES, "too_short")
+    )
+    stats = by.withColumn("fallback", reason).withColumn("threshold", F.when(F.col("fallback").isNull(), F.col("threshold"))).drop("pairs", "bare")
+    breaks = rows.join(stats, document).groupBy(document).agg(F.count_if(F.col("distance") > F.col("threshold")).alias("breakpoints"))
+    return rows.drop("bare", "last"), stats.join(breaks, document).select(document, "sentences", "breakpoints", "threshold", "fallback")
+
+
+def semantic_pack(blocks: DataFrame, planned: DataFrame, stats: DataFrame, document: str, options: ChunkOptions = ChunkOptions(), least: int = 100) -> DataFrame:
+    """document, ordinal, heading, kind, language, content, overlap. Runs of prose are cut after distances above the document's
+    threshold, then made to fit; other blocks are packed as ever, and so are all blocks of documents that fall back
+    (also those that ``stats`` does not know: they have no prose). Paragraphs stay apart inside a chunk; a chunk that begins inside a
+    paragraph goes on (overlap CONTINUES)."""
+    own = segments(blocks, document).select(document, "segment", F.struct(F.col("ordinal").cast("int").alias("ordinal"), "heading", "kind", "text", F.col("language") if "language" in blocks.columns else F.lit("").alias("language")).alias("b"))
+    of = own.groupBy(document).agg(F.sort_array(F.collect_list(F.struct("b.ordinal", "segment", "b"))).alias("blocks"))
+    said = planned.groupBy(document).agg(F.sort_array(F.collect_list(F.struct("pos", "run", "sentence", "begins", "distance"))).alias("said"))
+    rows = of.join(stats.where("fallback is null").select(document, "threshold"), document, "left").join(said, document, "left")
+
+    def cut_run(run: list[dict], heading: str, threshold: float) -> list[tuple]:
+        distances = [s["distance"] or 0.0 for s in run[:-1]]
+        gaps = [2 if s["begins"] else 1 for s in run]
+        found = fit_groups([len(s["sentence"]) for s in run], distances, [d > threshold for d in distances], options.size, least, gaps)
+        texts = [join_sentences([(s["sentence"], s["begins"]) for s in run[a:b]]) for a, b in found]
+        return [(heading, "prose", "", t, 0 if a == 0 or run[a]["begins"] else CONTINUES) for t, (a, _) in zip(texts, found)]
+
+    def packed(found: list[dict]) -> list[tuple]:
+        return [(c["heading"], c["kind"], c["language"], c["text"], c["overlap"]) for c in pack_blocks(found, options)]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (held, threshold, sentences) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                out: list[tuple] = []
+                if threshold is None:
+                    out = packed([x["b"] for x in held])
+                else:
+                    runs: dict[int, list[dict]] = {}
+                    for s in sentences or ():
+                        runs.setdefault(s["run"], []).append(s)
+                    parts: dict[int, list[dict]] = {}
+                    for x in held:
+                        parts.setdefault(x["segment"], []).append(x["b"])
+                    for number, part in parts.items():
+                        if part[0]["kind"] != "prose":
+                            out += packed(part)
+                        elif number in runs:
+                            out += cut_run(runs[number], part[0]["heading"], threshold)
+                columns = list(zip(*out)) if out else [()] * 5
+                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(out), pa.int64())), pa.array(range(len(out)), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))], [document, "ordinal", "heading", "kind", "language", "content", "overlap"])
+
+    kind = dict(blocks.dtypes)[document]
+    return rows.select(document, "blocks", "threshold", "said").mapInArrow(fold, f"{document} {kind}, ordinal int, heading string, kind string, language string, content string, overlap int")
+
+
 def semantic_chunks(sentences: DataFrame, group: str, method: str = "percentile", value: float = 95.0, size: int = 1000, least: int = 100) -> DataFrame:
-    """``sentences``: group, pos, sentence, vector. Returns group, ordinal, content. Documents of under two sentences
-    or over 5000 are one run cut by size alone."""
+    """``sentences``: group, pos, sentence, vector, and begins (a paragraph) where it is known. Returns group, ordinal, content.
+    Documents of under two sentences or over 5000 are one run cut by size alone."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -359,8 +474,9 @@ def semantic_chunks(sentences: DataFrame, group: str, method: str = "percentile"
             breaks = [y > limit for y in distances]
         else:
             breaks = [False] * max(0, n - 1)
-        groups = fit_groups([len(t) for t in text], distances, breaks, size, least)
-        return pd.DataFrame({group: pdf[group].iloc[0], "ordinal": range(len(groups)), "content": [" ".join(text[a:b]) for a, b in groups]})
+        begins = pdf.begins.tolist() if "begins" in pdf else [False] * n
+        groups = fit_groups([len(t) for t in text], distances, breaks, size, least, [2 if x else 1 for x in begins])
+        return pd.DataFrame({group: pdf[group].iloc[0], "ordinal": range(len(groups)), "content": [join_sentences(list(zip(text[a:b], begins[a:b]))) for a, b in groups]})
 
     kind = dict(sentences.dtypes)[group]
     return sentences.groupBy(group).applyInPandas(fold, f"{group} {kind}, ordinal int, content string")
