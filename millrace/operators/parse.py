@@ -121,15 +121,16 @@ def main_content(root: Node) -> Node:
 
 
 def html_blocks(html: str, content: bool = True) -> list[dict]:
-    """Blocks of a page in order: heading (path joined by ' > '), kind, language, text, and url of images."""
+    """Blocks of a page in order: heading (path joined by ' > '), kind, language, text, url of images, and image: what the page
+    says of an image, as it stands there."""
     root = tree(html)
     path: list[tuple[int, str]] = []
     out: list[dict] = []
     inline: list = []
 
-    def add(kind: str, text: str, language: str = "", url: str = "") -> None:
-        if text.strip():
-            out.append({"heading": " > ".join(t for _, t in path)[-1000:], "kind": kind, "language": language, "text": text, "url": url})
+    def add(kind: str, text: str, language: str = "", url: str = "", image: dict | None = None) -> None:
+        if text.strip() or image:
+            out.append({"heading": " > ".join(t for _, t in path)[-1000:], "kind": kind, "language": language, "text": text, "url": url, "image": image})
 
     def flush() -> None:
         if inline:
@@ -138,7 +139,8 @@ def html_blocks(html: str, content: bool = True) -> list[dict]:
             inline.clear()
             add("prose", _flat(n.text()))
 
-    def visit(node: Node, depth: int = 0) -> None:
+    def visit(node: Node, above: tuple[Node, ...] = ()) -> None:
+        above += (node,)
         for c in node.children:
             if isinstance(c, str):
                 inline.append(c)
@@ -162,10 +164,10 @@ def html_blocks(html: str, content: bool = True) -> list[dict]:
                 add("prose", render_list(c))
             elif c.tag == "img":
                 flush()
-                add("image", image_line(c.attrs), url=best_source(c.attrs))
-            elif depth < 200 and (c.tag in _BLOCK or c.tag in ("body", "html", "blockquote") or c.all("p", "div", "pre", "table", "ul", "ol", "img", "h1", "h2", "h3", "h4", "h5", "h6")):
+                add("image", image_line(c.attrs), url=best_source(c.attrs), image=image_of(c, above))
+            elif len(above) <= 200 and (c.tag in _BLOCK or c.tag in ("body", "html", "blockquote") or c.all("p", "div", "pre", "table", "ul", "ol", "img", "h1", "h2", "h3", "h4", "h5", "h6")):
                 flush()
-                visit(c, depth + 1)
+                visit(c, above)
                 flush()
             else:
                 inline.append(c)
@@ -175,6 +177,31 @@ def html_blocks(html: str, content: bool = True) -> list[dict]:
     return out
 
 
+def image_of(node: Node, above: tuple[Node, ...]) -> dict:
+    """An image's own words and those of what it stands in; nothing is chosen, resolved or judged here."""
+    own, parent = node.attrs, above[-1]
+    sources = [n.attrs["srcset"] for n in parent.all("source") if n.attrs.get("srcset")] if parent.tag == "picture" else []
+    figure = next((n for n in reversed(above) if n.tag == "figure"), None)
+    caption = next((_flat(n.text()) for n in figure.all("figcaption")), "") if figure else ""
+    marks = [own.get("class", ""), own.get("id", ""), own.get("role", "")]
+    for n in reversed(above):
+        if sum(map(len, marks)) >= 400:
+            break
+        marks += [n.attrs.get("class", ""), n.attrs.get("id", "")]
+        if n.tag == "body":
+            break
+    return {
+        **{k: own.get(k, "") for k in ("src", "title", "width", "height")},
+        "srcset": own.get("srcset", "").strip() or next(iter(sources), ""),
+        "data_src": own.get("data-src", ""),
+        "link": parent.attrs.get("href", "") if parent.tag == "a" else "",
+        "alt": own["alt"].strip() if "alt" in own else None,
+        "caption": caption or None,
+        "hints": " ".join(" ".join(marks).lower().split()),
+        "decorative": own.get("role") in ("presentation", "none") or own.get("aria-hidden") == "true",
+    }
+
+
 def best_source(attrs: dict[str, str]) -> str:
     """The widest candidate of srcset, else src."""
     best = (0.0, attrs.get("src", ""))
@@ -207,33 +234,6 @@ BAD_HOSTS = (
 TINY_DATA, DESCRIBED = 2048, 4
 
 
-def image_reason(image: dict, least: int = 32, patterns: tuple[str, ...] = ()) -> str:
-    """Why an image is left out; empty where it is kept. ``image``: url, alt, title, caption, width, height, hints,
-    decorative."""
-    url, alt = (image.get("url") or "").lower(), image.get("alt")
-    said = {k: (image.get(k) or "").strip() for k in ("alt", "title", "caption")}
-    path, fragment = url.split("?")[0], url.find("#")
-    if image.get("decorative"):
-        return "marked decorative"
-    if image.get("url") is None:
-        return "" if any(said.values()) else "no text"
-    where = f"{url} {image.get('hints') or ''} {alt or ''}".lower()
-    words = set(re.split(r"[^a-z0-9]+", where))
-    hint = next((h for h in NAME_HINTS if {h, h + "s"} & words), None)
-    found = next((p for p in patterns if p in where), None)
-    rules = (
-        (url.startswith("data:") and len(url) < TINY_DATA, "tiny inline image"),
-        (fragment > 0 and url[:fragment].endswith(".svg"), "svg sprite"),
-        (path.endswith(".ico"), "icon file"),
-        (alt == "" and image.get("caption") is None and not said["title"], "empty alt text"),
-        (any(image.get(k) is not None and image[k] < least for k in ("width", "height")), f"smaller than {least}px"),
-        (any(h in url for h in BAD_HOSTS), "badge or tracker"),
-        (hint is not None and not said["caption"] and len(said["alt"].split()) < DESCRIBED, f"looks like decoration ({hint})"),
-        (found is not None, f"skip pattern '{found}'"),
-    )
-    return next((reason for true, reason in rules if true), "")
-
-
 def image_anchor(images: DataFrame, chunks: DataFrame) -> DataFrame:
     """document_id, url, anchor_ordinal: the first chunk that shows the image's address in brackets, else the last chunk
     under its heading."""
@@ -243,12 +243,6 @@ def image_anchor(images: DataFrame, chunks: DataFrame) -> DataFrame:
     return met.groupBy("document_id", "url", "heading").agg(F.coalesce(shown, under).alias("anchor_ordinal")).drop("heading")
 
 
-def cap_images(images: DataFrame, document: str, cap: int = 20) -> DataFrame:
-    """Images without a reason against them: the first of each address, and the first ``cap`` of a document."""
-    first = images.withColumn("n", F.row_number().over(Window.partitionBy(document, "url").orderBy("pos"))).where("n = 1 and reason = ''")
-    return first.withColumn("n", F.row_number().over(Window.partitionBy(document).orderBy("pos"))).where(F.col("n") <= cap).drop("n")
-
-
 def usable_image(size: Column, width: Column, height: Column, mime: Column) -> Column:
     """After download: not too small, not too long, no drawing."""
     short, long = F.least(width, height), F.greatest(width, height)
@@ -369,7 +363,9 @@ def is_script_shell(characters: Column, scripts: Column) -> Column:
     return (characters < 100) & (scripts > 3)
 
 
-_BLOCK_STRUCT = pa.struct([(n, pa.string()) for n in ("heading", "kind", "language", "text", "url")])
+_IMAGE = ("src", "srcset", "data_src", "link", "alt", "title", "caption", "width", "height", "hints")
+_IMAGE_STRUCT = pa.struct([*((n, pa.string()) for n in _IMAGE), ("decorative", pa.bool_())])
+_BLOCK_STRUCT = pa.struct([*((n, pa.string()) for n in ("heading", "kind", "language", "text", "url")), ("image", _IMAGE_STRUCT)])
 
 
 def parse_pages(pages: DataFrame, key: str, html: str, url: str | None = None) -> DataFrame:
@@ -389,7 +385,8 @@ def parse_pages(pages: DataFrame, key: str, html: str, url: str | None = None) -
             yield pa.RecordBatch.from_arrays(columns, [key, "blocks", "title", "lang", "links", "characters", "scripts"])
 
     kind = dict(pages.dtypes)[key]
-    block = "struct<heading:string,kind:string,language:string,text:string,url:string>"
+    image = ",".join(f"{n}:string" for n in _IMAGE) + ",decorative:boolean"
+    block = f"struct<heading:string,kind:string,language:string,text:string,url:string,image:struct<{image}>>"
     source = pages.select(key, html, F.col(url) if url else F.lit("").alias("__url"))
     return source.mapInArrow(run, f"{key} {kind}, blocks array<{block}>, title string, lang string, links array<string>, characters int, scripts int")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.providers import HashEmbedding, embedding_udf
-from ..operators import assemble, chunk, evaluate, extract, parse, relational
+from ..operators import assemble, chunk, evaluate, extract, images, parse, relational
 from ..sources import files, web
 from ..streaming import state
 from .registry import query, table
@@ -37,8 +37,43 @@ def html_links(spark, sf_dir):
 
 @query()
 def html_blocks(spark, sf_dir):
-    parsed = parse.parse_pages(table(spark, sf_dir, "pages"), "page_id", "html", "url")
-    return parsed.select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.*")
+    pages = table(spark, sf_dir, "pages")
+    parsed = parse.parse_pages(pages, "page_id", "html", "url").join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    return images.page_blocks(parsed, "page_id", "page_url").where("reason is null").drop("reason")
+
+
+#: Images set into each page with an article, some of which the rules take out.
+_IMAGES = (
+    '<img src="/a{k}.png" alt="A chart of sales" width="640"><img src="logo.png"><img src="/a{k}.png" alt="once more the chart">'
+    '<img src="x.png" width="{w}px" alt="pic"><a href="../big.jpg?q=1"><img src="t.png" srcset="m.png 100w, l.png 300w" alt="full"></a>'
+    '<figure><img src="./icon.svg" alt=""><figcaption>Figure of it</figcaption></figure><img src="https://img.shields.io/x.svg" alt="b">'
+    '<picture><source srcset="p.webp 2x"><img src="p.jpg" aria-hidden="true"></picture><img alt="no source">'
+    '<img srcset="s.png, n o.png 2.5x, l.png 2x" alt="largest of them">'
+)
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+') AS origin, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/))', 1) AS folder, regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/))[^/]+/', 1) AS above, page_id % 3 AS k, page_id % 50 AS w FROM pages WHERE contains(html, '<article>')),
+i AS (SELECT page_id, unnest([
+  {'n': 0, 'url': concat(origin, '/a', k, '.png'), 'reason': NULL, 'text': 'A chart of sales'}, {'n': 1, 'url': concat(folder, 'logo.png'), 'reason': 'looks like decoration (logo)', 'text': 'logo.png'}, {'n': 2, 'url': concat(origin, '/a', k, '.png'), 'reason': 'duplicate on page', 'text': 'once more the chart'},
+  {'n': 3, 'url': concat(folder, 'x.png'), 'reason': CASE WHEN w < 32 THEN 'smaller than 32px' END, 'text': 'pic'}, {'n': 4, 'url': concat(coalesce(nullif(regexp_extract(folder, '^(https?://.+/)[^/]+/$', 1), ''), folder), 'big.jpg?q=1'), 'reason': NULL, 'text': 'full'},
+  {'n': 5, 'url': concat(folder, 'icon.svg'), 'reason': NULL, 'text': 'icon.svg — Figure of it'}, {'n': 6, 'url': 'https://img.shields.io/x.svg', 'reason': 'badge or tracker', 'text': 'b'}, {'n': 7, 'url': concat(folder, 'p.webp'), 'reason': 'marked decorative', 'text': 'p.webp'},
+  {'n': 8, 'url': NULL, 'reason': NULL, 'text': 'no source'}, {'n': 9, 'url': concat(folder, 'l.png'), 'reason': NULL, 'text': 'largest of them'}]) AS x FROM p)
+SELECT page_id, CAST(x.n AS INTEGER) AS n, x.url, x.reason, concat('[Image: ', x.text, ']', coalesce(' (' || x.url || ')', '')) AS text FROM i
+""")
+def page_images(spark, sf_dir):
+    """Every image of the pages, with its address and the reason against it."""
+    from pyspark.sql import Window
+
+    pages = table(spark, sf_dir, "pages")
+    piece = F.replace(F.replace(F.lit(_IMAGES), F.lit("{k}"), (F.col("page_id") % 3).cast("string")), F.lit("{w}"), (F.col("page_id") % 50).cast("string"))
+    at = F.instr("html", "<article>")
+    full = F.when(at > 0, F.concat(F.substring(F.col("html"), F.lit(1), at + 8), piece, F.expr("substring(html, instr(html, '<article>') + 9)"))).otherwise(F.col("html"))
+    pages = pages.select("page_id", "url", full.alias("html"))
+    parsed = parse.parse_pages(pages, "page_id", "html", "url").join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    found = images.page_blocks(parsed, "page_id", "page_url").where("kind = 'image'")
+    n = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")) - 1
+    return found.select("page_id", n.alias("n"), "url", "reason", "text")
 
 
 @query("""

@@ -34,6 +34,26 @@ def canonical_url(url: Column) -> Column:
     return F.when(scheme == "", F.lit(None)).otherwise(F.concat(scheme, F.lit("://"), F.lower(host), port, path, part(5)))
 
 
+def resolved_url(base: Column, reference: Column) -> Column:
+    """A reference of a page as an address: its own if it has a scheme, else by the page's. Blanks inside are encoded; without a
+    page's address, or where that is none, the reference stays as it is."""
+    ref = F.replace(F.trim(reference), F.lit(" "), F.lit("%20"))
+    part = lambda i: F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/?#]*)?([^?#]*)(\?[^#]*)?", i)
+    scheme, host, path, asked = (part(i) for i in range(1, 5))
+    own, rest = F.regexp_extract(ref, r"^[^?#]*", 0), F.regexp_extract(ref, r"[?#].*$", 0)
+    folder = F.regexp_extract(path, r"^.*/", 0)
+    below = F.concat(F.when(folder == "", "/").otherwise(folder), own)
+    start = F.concat(scheme, F.lit(":"), host)
+    joined = (
+        F.when(own.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+        .when(own.startswith("/"), F.concat(start, _plain_path(own), rest))
+        .when(own != "", F.concat(start, _plain_path(below), rest))
+        .when(rest.startswith("?"), F.concat(start, path, rest))
+        .otherwise(F.concat(start, path, asked, rest))
+    )
+    return F.when((F.coalesce(scheme, F.lit("")) == "") | ref.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), ref).otherwise(joined)
+
+
 def in_scope(url: Column, hosts: list[str], subdomains: bool = False, include: list[str] = (), exclude: list[str] = (), seed: str | Column | None = None) -> Column:
     """Whether an address has one of the hosts, the seed's where none is named, and passes the patterns."""
     name = lambda c: F.regexp_extract(c, r"^https?://([^/?#:]+)", 1)

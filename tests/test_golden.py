@@ -176,24 +176,6 @@ def test_tables_and_pages():
     md = "# Top\n\ntext *with* `code*`\n\n```py\nx = 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n![alt](i.png)\n\nSub\n---\n- one\n- two\n\n    indented\n"
     assert [(b["heading"], b["kind"], b["text"]) for b in parse.markdown_blocks(md)] == [("Top", "prose", "text with `code*`"), ("Top", "code", "x = 1"), ("Top", "prose", "a | b\n1 | 2"), ("Top", "image", "[Image: alt] (i.png)"), ("Top > Sub", "prose", "- one\n- two"), ("Top > Sub", "code", "indented")]
     assert parse.body_text(parse.markdown_blocks("# A\n\nx\n\n## B\n\ny")) == "A\nx\n\nB\ny"
-    cases = [
-        ({"url": "a/logo.png"}, "looks like decoration (logo)"),
-        ({"url": "a/logos.png", "alt": "the long story of it"}, ""),
-        ({"url": "a/logo.png", "caption": "Our mark"}, ""),
-        ({"url": "x.ico", "alt": "a"}, "icon file"),
-        ({"url": "p.png", "alt": "", "width": 9}, "empty alt text"),
-        ({"url": "p.png", "alt": "p", "width": 9}, "smaller than 32px"),
-        ({"url": "https://img.shields.io/x", "alt": "b"}, "badge or tracker"),
-        ({"url": "data:image/png;base64,AA", "alt": "b"}, "tiny inline image"),
-        ({"url": "data:image/png;base64," + "A" * 2048, "alt": "b"}, ""),
-        ({"url": "i.svg#menu", "alt": "b"}, "svg sprite"),
-        ({"url": "p.png", "alt": "photo"}, ""),
-        ({"url": "p", "decorative": True}, "marked decorative"),
-        ({"url": None}, "no text"),
-        ({"url": None, "title": "t"}, ""),
-        ({"url": "p.png", "alt": "x", "hints": "hero promo"}, "skip pattern 'promo'"),
-    ]
-    assert [parse.image_reason(i, patterns=("promo",)) for i, _ in cases] == [want for _, want in cases]
 
 
 def test_web(spark, tmp_path):
