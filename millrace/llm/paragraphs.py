@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,21 +128,60 @@ def unit_hash(w: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+_words_seen: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
+    """Hash of a word; frequent ones are looked up."""
+    h = _words_seen.get(word)
+    if h is None:
+        if len(_words_seen) >= 1 << 17:
+            _words_seen.clear()
+        h = _words_seen[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return h
+
+
+def _combined(h: np.ndarray, n: int = SHINGLE) -> np.ndarray:
+    """Hash of each ``n`` neighbouring words, their order included."""
+    m = len(h) - n + 1
+    out = np.zeros(m, np.uint64)
+    for i in range(n):
+        out = _mixed((out + h[i : i + m]) * np.uint64(_P))
+    return out
+
+
 def shingles(w: list[str], n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the ``n``-word shingles."""
-    parts = [" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts), np.uint64, len(parts)))
+    """Sorted distinct hashes of the ``n``-word shingles; one of all words where there are fewer."""
+    h = np.fromiter(map(_word_hash, w), np.uint64, len(w))
+    return np.unique(_combined(h, min(n, len(w)))) if w else np.zeros(1, np.uint64)
 
 
-def band_keys(sh: np.ndarray) -> np.ndarray:
-    minima = (sh * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1).reshape(BANDS, BAND_ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def _keys_of_minima(minima: np.ndarray) -> np.ndarray:
+    """A key for each band from minima (band, row, ...)."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64).reshape(-1, *(1,) * (minima.ndim - 2)) * np.ones(minima.shape[2:], np.uint64)
     for r in range(BAND_ROWS):
         key = (key ^ minima[:, r]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(32)
     return key
 
 
+def band_keys(sh: np.ndarray) -> np.ndarray:
+    return _keys_of_minima((sh * _MULTIPLY[:, None] + _ADD[:, None]).min(axis=1).reshape(BANDS, BAND_ROWS))
+
+
+def line_band_keys(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Band keys (line, band) of lines of at least SHINGLE words each, from the hashes of their words one after the other."""
+    ends = np.cumsum(lengths)
+    sh = _combined(hashes)
+    inside = np.ones(len(hashes), bool)  # a shingle may not run over the end of its line
+    for k in range(1, SHINGLE):
+        inside[ends - k] = False
+    sh = sh[inside[: len(sh)]]
+    starts = np.concatenate(([0], np.cumsum(lengths - SHINGLE + 1)[:-1]))
+    minima = np.stack([np.minimum.reduceat(sh * m + a, starts) for m, a in zip(_MULTIPLY, _ADD)])
+    return _keys_of_minima(minima.reshape(BANDS, BAND_ROWS, -1)).T
+
+
 def _unit_table(docs: DataFrame) -> DataFrame:
     """k, doc_id, lines, starts, ends, hashes: the lines and groups of each document; null hashes do not take part."""
 
@@ -212,15 +252,17 @@ def _colliding(docs: DataFrame, buckets: int) -> DataFrame:
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[int, np.ndarray] = {}
+            seen: dict[int, int] = {}
+            hashes = array("Q")
             for text in batch.column(2).to_pylist():
                 for line in (text or "").split("\n"):
                     w = words(line)
                     if len(w) >= MIN_WORDS and (u := unit_hash(w)) not in seen:
-                        seen[u] = band_keys(shingles(w))
+                        seen[u] = len(w)
+                        hashes.extend(map(_word_hash, w))
             if not seen:
                 continue
-            keys = np.concatenate(list(seen.values()))
+            keys = line_band_keys(np.frombuffer(hashes, np.uint64), np.fromiter(seen.values(), np.int64, len(seen))).ravel()
             own = np.repeat(np.fromiter(seen, np.int64, len(seen)), BANDS)
             part = (keys >> np.uint64(33)) % np.uint64(buckets)
             order = np.argsort(part, kind="stable")

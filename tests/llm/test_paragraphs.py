@@ -181,3 +181,12 @@ def test_recall_of_line_pairs_in_the_test_data():
     close = [met(list(a), list(b)) for a, b in pairs if jaccard(list(a), list(b)) >= p.THRESHOLD]
     assert len(close) >= 30 and sum(close) >= 0.9 * len(close), (sum(close), len(close))
     print("pairs met", sum(close), "of", len(close))
+
+
+def test_keys_of_many_lines_at_once():
+    rng = random.Random(3)
+    lines = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(p.SHINGLE, 70))] for _ in range(50)]
+    hashes = np.array([p._word_hash(x) for w in lines for x in w], np.uint64)
+    got = p.line_band_keys(hashes, np.array([len(w) for w in lines]))
+    assert got.tolist() == [p.band_keys(p.shingles(w)).tolist() for w in lines]
+    assert len(p.shingles("a b c d e f".split())) == 2 and len(p.shingles(["a"])) == len(p.shingles([])) == 1
