@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -11,21 +13,65 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import cosine, fnv1a, tokens
+from ..session import written
 from .relational import listed
 
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, key: str, text: str, split=tokens, asked: DataFrame | None = None) -> DataFrame:
-    """key, term, tf, dl; only of the terms in ``asked`` where it is given, which are picked before anything is shuffled."""
-    rows = docs.select(key, split(F.col(text)).alias("ts")).select(key, F.size("ts").alias("dl"), F.explode("ts").alias("term"))
-    if asked is not None:
-        rows = rows.join(listed(asked, ASKED), "term", "left_semi")
-    return rows.groupBy(key, "term").agg(F.first("dl").alias("dl"), F.count("*").alias("tf"))
-
-
-#: Distinct terms of queries that are broadcast.
+#: Distinct terms of queries that are sent to every task; where there are more, all terms are counted and joined with them.
 ASKED = 200_000
+#: The rule of ``tokens``: runs of these in the text in lower case.
+_TOKEN = re.compile("[a-z0-9]+")
+_hashes: dict[str, int] = {}
+
+
+def _hashed(term: str) -> int:
+    """The hash of ``fnv1a``; terms that come again are looked up."""
+    h = _hashes.get(term)
+    if h is None:
+        if len(_hashes) >= 1 << 18:
+            _hashes.clear()
+        h = 2166136261
+        for x in term.encode():
+            h = (h ^ x) * 16777619 & 0xFFFFFFFF
+        _hashes[term] = h
+    return h
+
+
+def counted(docs: DataFrame, key: str, text: str, asked: DataFrame, hashed: bool = False) -> DataFrame:
+    """key, dl (tokens of the text, null for a null text), terms: the terms of ``asked`` (one column) with their counts tf, or
+    their hashes. One pass over the texts, written; lengths and postings are read from it."""
+    most = asked.distinct().limit(ASKED + 1).collect()
+    wanted = None if len(most) > ASKED else frozenset(r[0] for r in most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("term", pa.int64() if hashed else pa.string()), ("tf", pa.int64())]))
+        for batch in batches:
+            sizes, rows = [], []
+            for t in batch.column(1).to_pylist():
+                found = None if t is None else _TOKEN.findall(t.lower())
+                sizes.append(None if found is None else len(found))
+                counts: dict = {}
+                if hashed:
+                    for w, n in Counter(found or ()).items():
+                        h = _hashed(w)
+                        if wanted is None or h in wanted:
+                            counts[h] = counts.get(h, 0) + n
+                else:
+                    counts = Counter(found or () if wanted is None else filter(wanted.__contains__, found or ()))
+                rows.append([{"term": w, "tf": n} for w, n in counts.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(rows, kind)], [key, "dl", "terms"])
+
+    term = "long" if hashed else "string"
+    out = docs.select(key, text).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, dl long, terms array<struct<term:{term},tf:long>>")
+    return written(out, "terms")
+
+
+def postings(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """key, dl, term, tf of ``counted`` rows, for the asked terms."""
+    out = rows.select(key, "dl", F.explode("terms").alias("t")).select(key, "dl", "t.term", "t.tf")
+    return out.join(asked.select(F.col(asked.columns[0]).alias("term")).distinct(), "term", "left_semi")
 
 
 def query_terms(queries: DataFrame, key: str, text: str, split=tokens) -> DataFrame:
@@ -38,11 +84,13 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query_key: str, query_text: str) -> DataFrame:
-    """query_key, doc_key, score of every document that shares a term. Only postings of asked terms are counted, so a
-    term's document frequency is an aggregate over its own postings."""
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(F.lower(F.col(doc_text)), F.lit("[a-z0-9]+"))).alias("avgdl"))  # one row
+    """query_key, doc_key, score of every document that shares a term. The texts are read once; only asked terms are
+    kept, so a term's document frequency is an aggregate over its own postings."""
     terms = query_terms(queries, query_key, query_text)
-    hits = postings(docs, doc_key, doc_text, asked=terms.select("term").distinct())
+    asked = terms.select("term")
+    rows = counted(docs, doc_key, doc_text, asked)
+    stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
+    hits = postings(rows, doc_key, asked)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighted = hits.join(df, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
@@ -87,6 +135,14 @@ def sparse_query(queries: DataFrame, key: str, text: str) -> DataFrame:
     return query_terms(queries, key, text).select(key, fnv1a(F.col("term")).alias("term_hash")).distinct()
 
 
+def sparse_postings(docs: DataFrame, key: str, text: str, query: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, term_hash, weight of the hashes that ``query`` asks for, and a row for each document that has any term: both from
+    one pass over the texts. Terms that share a hash count together, asked or not."""
+    rows = counted(docs, key, text, query.select("term_hash"), hashed=True)
+    hits = postings(rows, key, query.select("term_hash"))
+    return hits.select(key, F.col("term").alias("term_hash"), (F.col("tf") * (K1 + 1) / (F.col("tf") + K1)).alias("weight")), rows.where("dl > 0").select(key)
+
+
 def sparse_dot(weights: DataFrame, query: DataFrame, doc_key: str, query_key: str, documents: DataFrame | None = None) -> DataFrame:
     """Sum of weight times inverse document frequency over shared terms. ``documents``: one row a document that has any
     term, where ``weights`` holds asked terms only."""

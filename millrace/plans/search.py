@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -68,8 +72,7 @@ SELECT item_id, doc_id, score FROM r WHERE rank <= 10
 def sparse_idf_dot(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     asked = textindex.sparse_query(items, "item_id", "text")
-    weights = textindex.sparse_weights(docs, "doc_id", {"text": 1.0}, None)
-    some = docs.where(F.lower("text").rlike("[a-z0-9]"))
+    weights, some = textindex.sparse_postings(docs, "doc_id", "text", asked)
     scored = textindex.sparse_dot(weights, asked, "doc_id", "item_id", some)
     return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
 
@@ -158,15 +161,31 @@ sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER B
 """
 
 
+_places: dict[str, int] = {}
+
+
+def _place(term: str) -> int:
+    if term not in _places:
+        if len(_places) >= 1 << 18:
+            _places.clear()
+        _places[term] = int(hashlib.md5(term.encode()).hexdigest()[:4], 16) % PLACES
+    return _places[term]
+
+
 def _placed(rows, key, name):
-    """key, name: the vector of each text."""
-    terms = rows.select(key, F.explode(X.tokens(F.col("text"))).alias("term"))
-    at = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 4), 16, 10).cast("int") % PLACES).alias("at")
-    counts = terms.select(key, at).groupBy(key, "at").agg(F.count("*").cast("double").alias("n"))
-    by = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"))
-    places = F.sequence(F.lit(0), F.lit(PLACES - 1))
-    vector = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return rows.select(key).join(by, key, "left").select(key, vector.alias(name))
+    """key, name: the vector of each text, in one pass over the texts."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            v = [0.0] * PLACES
+            for term in re.findall("[a-z0-9]+", (t or "").lower()):
+                v[_place(term)] += 1.0
+            out.append(v)
+        return pd.Series(out)
+
+    return rows.select(key, vectors("text").alias(name))
 
 
 def _hybrid_legs(spark, sf_dir, k=30):
