@@ -1,4 +1,4 @@
-"""HTML and Markdown into blocks, page metadata, links, image rules, code languages."""
+"""HTML into blocks, page metadata, links, image rules, code languages."""
 
 from __future__ import annotations
 
@@ -249,79 +249,6 @@ def usable_image(size: Column, width: Column, height: Column, mime: Column) -> C
     return (size >= 5 * 1024) & (short >= 128) & (long <= 8 * short) & ~mime.contains("svg")
 
 
-def markdown_blocks(text: str) -> list[dict]:
-    """Blocks of Markdown: headings, fences, indented code, quotes, lists, pipe tables, images, paragraphs."""
-    path: list[tuple[int, str]] = []
-    out: list[dict] = []
-    held: list[str] = []
-    lines = text.replace("\r\n", "\n").split("\n")
-
-    def add(kind: str, body: str, language: str = "", url: str = "") -> None:
-        if body.strip():
-            out.append({"heading": " > ".join(t for _, t in path)[-1000:], "kind": kind, "language": language, "text": body, "url": url})
-
-    def flush() -> None:
-        if not held:
-            return
-        block = list(held)
-        held.clear()
-        if len(block) > 1 and re.fullmatch(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*", block[1]) and "|" in block[0]:
-            cells = [[inline_text(c) for c in row.strip().strip("|").split("|")] for i, row in enumerate(block) if i != 1]
-            add("prose", "\n".join(" | ".join(r) for r in cells))
-        elif len(block) == 1 and (m := re.fullmatch(r"!\[([^\]]*)\]\((\S+?)(?:\s+\"([^\"]*)\")?\)", block[0].strip())):
-            add("image", image_line({"src": m[2], "alt": m[1], "title": m[3] or ""}), url=m[2])
-        elif re.match(r"\s*([-*+]|\d+[.)])\s", block[0]):
-            add("prose", "\n".join(re.sub(r"^(\s*)[*+-]\s+", r"\1- ", inline_text(x, False)) for x in block))
-        elif not re.match(r"\s*<[A-Za-z/!]", block[0]):
-            add("prose", inline_text(" ".join(x.strip() for x in block)))
-
-    def level(n: int, title: str) -> None:
-        while path and path[-1][0] >= n:
-            path.pop()
-        path.append((n, inline_text(title)))
-
-    i = 0
-    while i < len(lines):
-        line = lines[i]
-        if m := re.match(r"\s{0,3}(`{3,}|~{3,})\s*([\w+#.-]*)", line):
-            flush()
-            body = []
-            i += 1
-            while i < len(lines) and not lines[i].strip().startswith(m[1]):
-                body.append(lines[i])
-                i += 1
-            add("code", "\n".join(body), m[2].lower())
-        elif m := re.match(r"\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$", line):
-            flush()
-            level(len(m[1]), m[2])
-        elif held and re.fullmatch(r"\s*(=+|-{2,})\s*", line) and len(held) == 1 and "|" not in held[0]:
-            level(1 if "=" in line else 2, held.pop())
-        elif not held and line.startswith("    ") and line.strip():
-            body = []
-            while i < len(lines) and (lines[i].startswith("    ") or not lines[i].strip()):
-                body.append(lines[i][4:])
-                i += 1
-            add("code", "\n".join(body).rstrip("\n"))
-            continue
-        elif not line.strip():
-            flush()
-        else:
-            held.append(re.sub(r"^\s{0,3}>\s?", "", line))
-        i += 1
-    flush()
-    return out
-
-
-def inline_text(s: str, strip: bool = True) -> str:
-    """Inline marks flattened; code spans keep theirs."""
-    s = re.sub(r"!\[([^\]]*)\]\([^)]*\)", r"\1", s)
-    s = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", s)
-    parts = re.split(r"(`[^`]*`)", s)
-    parts = [p if p.startswith("`") else re.sub(r"<[^>]+>", "", re.sub(r"(\*\*|__|\*|~~)(.+?)\1", r"\2", p)) for p in parts]
-    out = "".join(parts)
-    return out.strip() if strip else out.rstrip()
-
-
 def body_text(blocks: list[dict]) -> str:
     """Blocks as one text, code between fences, a blank line between them; where the path of headings changes its last one
     stands on the line above."""

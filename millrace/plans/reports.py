@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.providers import HashEmbedding, embedding_udf
-from ..operators import assemble, chunk, evaluate, extract, images, parse, relational
+from ..operators import assemble, chunk, evaluate, extract, images, markdown, parse, relational
 from ..sources import files, web
 from ..streaming import state
 from .registry import query, table
@@ -42,6 +42,29 @@ def html_blocks(spark, sf_dir):
     return images.page_blocks(parsed, "page_id", "page_url").where("reason is null").drop("reason")
 
 
+@query(r"""
+WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[^A-Za-z0-9 ]', '', 'g')) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+k AS (SELECT doc_id, l, i, i % 4 AS form, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ordinal FROM l WHERE l <> '')
+SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, concat('part ', i // 8, CASE WHEN i % 8 > 0 THEN concat(' > s', i) ELSE '' END) AS heading, CASE form WHEN 2 THEN 'code' ELSE 'prose' END AS kind, CASE form WHEN 2 THEN 'py' ELSE '' END AS language,
+  CASE form WHEN 0 THEN concat(l, chr(10), l) WHEN 1 THEN concat('- ', l, chr(10), '  1. sub', chr(10), '- end') WHEN 2 THEN concat('# ', l, chr(10), chr(10), '*x*') ELSE concat('a | b', chr(10), l, ' | c') END AS text FROM k
+""")
+def markdown_blocks(spark, sf_dir):
+    """Lines of documents (letters and digits of them) as Markdown: paragraphs, lists, fences and tables under headings."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    lines = lines.select("doc_id", "i", F.trim(F.regexp_replace("raw", "[^A-Za-z0-9 ]", "")).alias("l")).where("l <> ''")
+    i = F.col("i")
+    head = F.when(i % 8 == 0, F.concat(F.lit("# part "), F.floor(i / 8).cast("string"))).otherwise(F.concat(F.lit("# part "), F.floor(i / 8).cast("string"), F.lit("\n## s"), i.cast("string")))
+    form = (
+        F.when(i % 4 == 0, F.format_string("%s\n%s", "l", "l"))
+        .when(i % 4 == 1, F.format_string("* %s\n   1) sub\n\n* **end**", "l"))
+        .when(i % 4 == 2, F.format_string("```Py\n# %s\n\n*x*\n```", "l"))
+        .otherwise(F.format_string("| a | b |\n|---|:-:|\n| %s | `c` |", "l"))
+    )
+    form = F.replace(form, F.lit("`c`"), F.lit("c"))
+    parts = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.concat(head, F.lit("\n\n"), form).alias("x")))), lambda p: p["x"]), "\n\n").alias("md"))
+    return markdown.markdown_blocks(parts, "doc_id", "md").select("doc_id", "ordinal", "heading", "kind", "language", "text")
+
+
 #: Images set into each page with an article, some of which the rules take out.
 _IMAGES = (
     '<img src="/a{k}.png" alt="A chart of sales" width="640"><img src="logo.png"><img src="/a{k}.png" alt="once more the chart">'

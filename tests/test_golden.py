@@ -173,9 +173,8 @@ def test_tables_and_pages():
     got = parse.html_blocks(html)
     assert [(b["heading"], b["kind"], b["text"]) for b in got] == [("A", "prose", "one two"), ("A > B", "prose", "- x\n  - y\n- z"), ("A > B", "prose", "a | b\n1 | 2"), ("A > B", "code", "int i;"), ("A > B", "image", "[Image: pic] (l.png)")]
     assert got[3]["language"] == "java" and parse.page_metadata(html)["title"] == "T" and parse.page_metadata(html)["lang"] == "en"
-    md = "# Top\n\ntext *with* `code*`\n\n```py\nx = 1\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n![alt](i.png)\n\nSub\n---\n- one\n- two\n\n    indented\n"
-    assert [(b["heading"], b["kind"], b["text"]) for b in parse.markdown_blocks(md)] == [("Top", "prose", "text with `code*`"), ("Top", "code", "x = 1"), ("Top", "prose", "a | b\n1 | 2"), ("Top", "image", "[Image: alt] (i.png)"), ("Top > Sub", "prose", "- one\n- two"), ("Top > Sub", "code", "indented")]
-    assert parse.body_text(parse.markdown_blocks("# A\n\nx\n\n## B\n\ny")) == "A\nx\n\nB\ny"
+    prose = lambda h, t: {"heading": h, "kind": "prose", "text": t}
+    assert parse.body_text([prose("A", "x"), prose("A > B", "y"), prose("A > B", " ")]) == "A\nx\n\nB\ny"
 
 
 def test_web(spark, tmp_path):
