@@ -3,7 +3,10 @@
 A bucket is searched from one member to those not yet reached, which finds its components without listing all pairs. A
 bucket of more than HOT members is dealt into cells of about HOT. One member of the whole bucket, its pivot, visits every
 cell, and each cell is searched by itself, from the pivot first: whatever it reaches is connected across the cells. Only
-members that it does not reach then visit the other cells, where they are compared with everyone.
+members that it does not reach then visit the other cells, where they are compared with everyone. Where there would be more
+than WIDE cells to visit, they meet by rare shingles instead: sets of Jaccard similarity t share one of the first
+size - ceil(t * size) + 1 of their shingles in any one order, and here the rarest of the bucket come first. So unlike members
+of a very large bucket travel in proportion to their shingles, not to the bucket.
 """
 
 from __future__ import annotations
@@ -12,12 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_group, groups, lean, materialize
 
 HOT = 4096
+#: Cells of a bucket up to which members that the pivot does not reach visit all of them.
+WIDE = 16
 _EDGES = "src long, dst long"
 
 
@@ -74,7 +79,30 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
-def links(members: DataFrame, sets: DataFrame, threshold: float, hot: int = HOT) -> DataFrame:
+def _rare(rows: DataFrame, guests: DataFrame, threshold: float) -> DataFrame:
+    """key, node: smaller buckets, a member for each of its rare shingles that is a rare one of some guest too. ``rows``,
+    ``guests``: key, node, sh; guests are among the rows. Every pair of a guest and another member that reaches the threshold
+    shares one of these buckets."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(b, np.int64) for b in batch.column(2).to_pylist()]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(sets) if sets else np.array([], np.int64)), pa.array(np.repeat(sizes, sizes))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "token", "size"])
+
+    tokens = materialize(rows.select("key", "node", "sh").mapInArrow(lean(unpack), "key long, node long, token long, size long"), "tokens")
+    frequent = tokens.groupBy("key", "token").agg(F.count("*").alias("df"))
+    first = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
+    order = Window.partitionBy("key", "node").orderBy("df", "token")
+    rare = tokens.join(frequent, ["key", "token"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= first)
+    rare = materialize(rare.select("key", "node", "token"), "rare")
+    asked = rare.join(guests.select("key", "node"), ["key", "node"], "left_semi").select("key", "token").distinct()
+    return rare.join(asked, ["key", "token"], "left_semi").select(F.xxhash64("key", "token").alias("key"), "node").distinct()
+
+
+def links(members: DataFrame, sets: DataFrame, threshold: float, hot: int = HOT, wide: int | None = WIDE) -> DataFrame:
     """``members``: key, node, without repeats. ``sets``: node, sh (sorted distinct hashes as bytes). Returns src, dst,
     whose components are those of all pairs of members of one bucket that reach the threshold."""
     large = materialize(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where(F.col("n") > hot), "hot")
@@ -119,7 +147,15 @@ def links(members: DataFrame, sets: DataFrame, threshold: float, hot: int = HOT)
             yield pa.RecordBatch.from_arrays(arrays, ["src", "dst", "key", "sh", "cells"])
 
     found = materialize(by_group(dealt, "cell").mapInArrow(lean(search), f"{_EDGES}, key long, sh binary, cells int"), "searched")
-    guests = visits(found.where("dst is null").select("key", F.col("src").alias("node"), "sh", "cells")).withColumn("guest", F.lit(True))
+    lone = found.where("dst is null").select("key", F.col("src").alias("node"), "sh", "cells")
+    far = None
+    if wide is not None and lone.where(F.col("cells") > wide).limit(1).count():
+        of = rows.where(F.col("cells") > wide).join(lone.select("key").distinct(), "key", "left_semi")
+        # what is still large then holds one rare shingle in common, and its members visit cells as before
+        far = links(_rare(of, lone.where(F.col("cells") > wide), threshold), sets, threshold, hot, None)
+        lone = lone.where(F.col("cells") <= wide)
+        rows = rows.where(F.col("cells") <= wide)
+    guests = visits(lone).withColumn("guest", F.lit(True))
     met = rows.select("cell", "key", "node", "sh", "cells", F.lit(False).alias("guest")).unionByName(guests)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,4 +176,5 @@ def links(members: DataFrame, sets: DataFrame, threshold: float, hot: int = HOT)
             yield _edges(pairs)
 
     crossed = met.repartition(F.col("cell")).sortWithinPartitions("cell", "guest").mapInArrow(lean(compare), _EDGES)
-    return small.unionByName(found.where("dst is not null").select("src", "dst")).unionByName(crossed)
+    out = small.unionByName(found.where("dst is not null").select("src", "dst")).unionByName(crossed)
+    return out if far is None else out.unionByName(far)
