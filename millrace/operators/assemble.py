@@ -108,6 +108,38 @@ def superscript_citations(text: Column) -> Column:
     return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
 
+_MARK = r"[ \t]*\[(?:SOURCE\s+)?\d+\]"
+
+
+def annotated_answers(answers: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """``answers`` (key, text) with marks [n] and [SOURCE n] as raised digits where the answer has a source n with a link, and behind
+    a rule the list of those that were cited, by their numbers: key, text. ``sources``: key, citation, title, link (http or null).
+
+    The blanks before a mark go, but not at the start of a line. Other marks stay as they are, and a text without any
+    source that can be linked is left alone. Links come from the sources only."""
+    linked = sources.where(F.lower("link").rlike("^https?://")).groupBy(key, "citation").agg(F.min_by(F.struct(F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.col("link")).alias("label"), "link"), "link").alias("s"))
+    known = linked.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("citation", "s"))).alias("known"))
+    rows = answers.select(key, "text").join(known, key, "left")
+    marks = F.regexp_extract_all("text", F.lit(_MARK), F.lit(0))
+    rows = rows.withColumns({"parts": F.split("text", _MARK, -1), "marks": marks})
+    number = lambda m: F.regexp_extract(m, r"(\d+)\]$", 1).try_cast("int")
+    plain, raised = "".join(_SUPERSCRIPT), "".join(_SUPERSCRIPT.values())
+
+    def shown(m: Column, i: Column) -> Column:
+        before = F.element_at(F.col("parts"), i + 1)
+        opens = before.endswith("\n") | ((i == 0) & (before == ""))
+        blanks = F.when(opens, F.regexp_extract(m, r"^[ \t]*", 0)).otherwise("")
+        there = F.coalesce(F.map_contains_key("known", number(m)), F.lit(False))
+        return F.struct(F.when(there, F.concat(blanks, F.translate(number(m).cast("string"), plain, raised))).otherwise(m).alias("text"), F.when(there, number(m)).alias("n"))
+
+    rows = rows.withColumn("shown", F.transform("marks", shown))
+    body = F.array_join(F.transform("parts", lambda p, i: F.concat(p, F.coalesce(F.get(F.col("shown.text"), i), F.lit("")))), "")
+    used = F.array_sort(F.array_distinct(F.filter(F.col("shown.n"), lambda n: n.isNotNull())))
+    entry = lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("] ["), F.element_at("known", n)["label"], F.lit("]("), F.element_at("known", n)["link"], F.lit(")"))
+    listed = F.when(F.size(used) > 0, F.concat(F.lit("\n\n---\n\n"), F.array_join(F.transform(used, entry), "\n"))).otherwise("")
+    return rows.select(key, F.when(F.trim("text") == "", F.col("text")).otherwise(F.concat(body, listed)).alias("text"))
+
+
 def answer_images(images: DataFrame, query: str, most: int = 4, most_bytes: int = 12 << 20) -> DataFrame:
     """query, n, id, mark: images of an answer in the order of ranks, at most ``most``. One that would take the bytes
     together beyond bounds is passed over; smaller ones after it may still fit."""

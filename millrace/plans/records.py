@@ -26,6 +26,7 @@ def _now():
 SELECT concat('chunk:', doc_id) AS record_id, 'chunk' AS kind, text AS content, lang AS language FROM documents
 UNION ALL SELECT concat('question:', conv_id, ':', turn), 'question', text, NULL FROM conversations WHERE role = 'user'
 UNION ALL SELECT concat('summary:', conv_id, ':', turn), 'summary', text, NULL FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT concat('proposition:', conv_id, ':', turn), 'proposition', text, NULL FROM conversations WHERE role = 'system'
 UNION ALL SELECT concat('document:', page_id), 'document', html, NULL FROM pages
 """)
 def all_records(spark, sf_dir):
@@ -35,19 +36,22 @@ def all_records(spark, sf_dir):
         "chunk": table(spark, sf_dir, "documents").select(F.concat(F.lit("chunk:"), F.col("doc_id").cast("string")).alias("record_id"), F.col("text").alias("content"), F.col("lang").alias("language")),
         "question": turn("question", "user"),
         "summary": turn("summary", "assistant"),
+        "proposition": turn("proposition", "system"),
         "document": table(spark, sf_dir, "pages").select(F.concat(F.lit("document:"), F.col("page_id").cast("string")).alias("record_id"), F.col("html").alias("content")),
     }
     return retrieve.all_records(parts).select("record_id", "kind", "content", "language")
 
 
 @query("""
-SELECT doc_id, concat('Title: ', source, CASE WHEN doc_id % 4 = 0 THEN concat(chr(10), 'Section: ', lang) ELSE '' END, chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN concat('[', lang, ']', CASE WHEN doc_id % 2 = 0 THEN concat(' f', doc_id) ELSE '' END, chr(10), text) ELSE text END) AS retrieval_text FROM documents WHERE source <> '' AND lang <> ''
+WITH d AS (SELECT *, CASE WHEN trim(coalesce(source, '')) <> '' THEN concat('Title: ', source) END AS h1, CASE WHEN doc_id % 4 = 0 AND trim(coalesce(lang, '')) <> '' THEN concat('Section: ', lang) END AS h2 FROM documents),
+b AS (SELECT *, concat_ws(chr(10), h1, h2) AS head, CASE WHEN doc_id % 3 = 0 THEN '[' || coalesce(lang, 'code') || ']' || CASE WHEN doc_id % 2 = 0 THEN ' f' || doc_id ELSE '' END || chr(10) || text ELSE text END AS body FROM d)
+SELECT doc_id, CASE WHEN head <> '' THEN head || chr(10) || chr(10) || body ELSE body END AS retrieval_text FROM b
 """)
 def retrieval_text(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 3 == 0, "code").otherwise("prose")
     symbol = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("f"), F.col("doc_id").cast("string")))
     section = F.when(F.col("doc_id") % 4 == 0, F.col("lang"))
-    docs = table(spark, sf_dir, "documents").where("source <> '' and lang <> ''")
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", retrieve.retrieval_text(kind, F.col("lang"), symbol, F.col("text"), F.col("source"), F.lit(None).cast("string"), section).alias("retrieval_text"))
 
 

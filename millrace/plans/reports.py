@@ -426,11 +426,21 @@ def line_diff(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, concat(replace(replace(replace(regexp_replace(replace(text, '. ', '. [1] [SOURCE 2] '), '\\[(?:SOURCE )?([0-9]+)\\]', '[[\\1]]', 'g'), '[[1]]', '¹'), '[[2]]', '²'), '[[', '[['), '⁴⁰⁷') AS cited FROM documents WHERE NOT contains(text, '[')
+WITH m AS (SELECT doc_id, replace(replace(text, '[', '('), '. ', '.  [1] [SOURCE 2] [7] ') AS t FROM documents),
+b AS (SELECT doc_id, doc_id % 3 AS k, t, replace(t, '.  [1] [SOURCE 2] [7] ', concat('.¹', CASE doc_id % 3 WHEN 0 THEN '²' ELSE ' [SOURCE 2]' END, ' [7] ')) AS c FROM m)
+SELECT doc_id, CASE WHEN k = 2 OR trim(t, ' ') = '' THEN t ELSE concat(c, CASE WHEN contains(t, '[1]') THEN concat(chr(10), chr(10), '---', chr(10), chr(10), '[1] [First](http://a/', doc_id, ')', CASE k WHEN 0 THEN concat(chr(10), '[2] [https://b/2](https://b/2)') ELSE '' END) ELSE '' END) END AS cited FROM b
 """)
 def citation_rewrite(spark, sf_dir):
-    cited = F.concat(F.replace(F.col("text"), F.lit(". "), F.lit(". [1] [SOURCE 2] ")), F.lit("[407]"))
-    return table(spark, sf_dir, "documents").where(~F.col("text").contains("[")).select("doc_id", assemble.superscript_citations(cited).alias("cited"))
+    """Three marks behind every sentence: one source with a title, one without and for every third document only, one that is
+    no source; every third document has none that can be linked. Brackets of the texts are round."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.replace(F.replace("text", F.lit("["), F.lit("(")), F.lit(". "), F.lit(".  [1] [SOURCE 2] [7] "))
+    k = F.col("doc_id") % 3
+    first = docs.where(k < 2).select("doc_id", F.lit(1).alias("citation"), F.lit("First").alias("title"), F.concat(F.lit("http://a/"), F.col("doc_id").cast("string")).alias("link"))
+    second = docs.where(k == 0).select("doc_id", F.lit(2).alias("citation"), F.lit(" ").alias("title"), F.lit("https://b/2").alias("link"))
+    none = docs.select("doc_id", F.lit(7).alias("citation"), F.lit("x").alias("title"), F.lit("ftp://c").alias("link"))
+    found = assemble.annotated_answers(docs.select("doc_id", text.alias("text")), first.unionByName(second).unionByName(none), "doc_id")
+    return found.select("doc_id", F.col("text").alias("cited"))
 
 
 @query("SELECT doc_id, substr(text, 101, 500) AS part, CAST(greatest(0, length(text) - 600) AS INTEGER) AS remaining FROM documents")

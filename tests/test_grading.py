@@ -90,3 +90,20 @@ def test_feedback_budget_is_shared(spark):
         most = retrieve.feedback_checks(*args, "query", per).groupBy("query").count().agg(F.max("count")).first()[0]
         assert most <= 40
     assert {d: r for (q, d), r in got.items() if q == 5} == {h[1]: (h[2], h[3]) for h in hits if h[0] == 5}
+
+
+def test_citations_and_their_list(spark):
+    from millrace.operators import assemble
+
+    answers = [(1, "One [1], two\t[SOURCE  12].\n  [1] three [3] [9]"), (2, "none [1]"), (3, "[2]"), (4, " "), (5, None), (6, "no marks")]
+    sources = [(1, 1, "A", "http://a"), (1, 12, None, "https://b"), (1, 3, "C", "git+x"), (2, 1, "A", None), (3, 2, " ", "HTTP://c"), (4, 1, "A", "http://a"), (5, 1, "A", "http://a"), (6, 1, "A", "http://a")]
+    out = assemble.annotated_answers(spark.createDataFrame(answers, "id int, text string"), spark.createDataFrame(sources, "id int, citation int, title string, link string"), "id")
+    rule = "\n\n---\n\n"
+    assert {r.id: r.text for r in out.collect()} == {
+        1: f"One¹, two¹².\n  ¹ three [3] [9]{rule}[1] [A](http://a)\n[12] [https://b](https://b)",
+        2: "none [1]",
+        3: f"²{rule}[2] [HTTP://c](HTTP://c)",
+        4: " ",
+        5: None,
+        6: "no marks",
+    }
