@@ -217,3 +217,12 @@ def merged_maps(rows: DataFrame, group: str, entries: str) -> DataFrame:
 
 def json_value(c: Column, path: str, default: str) -> Column:
     return F.coalesce(F.get_json_object(c, path), F.lit(default))
+
+
+def related_counts(parents: DataFrame, key: str, children: dict[str, DataFrame]) -> DataFrame:
+    """key, and for each table of ``children`` (with that key) the number of its rows, 0 where it has none: results of a rule,
+    images of a run, entries of a frontier. Each table is counted before it meets the parents; null keys count for none."""
+    out = parents.select(key).where(F.col(key).isNotNull()).distinct()
+    for name, rows in children.items():
+        out = out.join(rows.groupBy(key).agg(F.count("*").alias(name)), key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return out

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from ..operators import assemble, evaluate, parse, relational, retrieve
+from ..operators import assemble, evaluate, extract, parse, relational, retrieve
 from ..sources import sinks
 from ..streaming import state
 from .registry import query, table
@@ -329,3 +329,17 @@ def json_values(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def newest_audit(spark, sf_dir):
     return sinks.newest_audit(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id", "event_type")
+
+
+@query("""
+WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]*[A-Za-z0-9]')) AS v FROM documents)
+SELECT d.source, (SELECT count(*) FROM r JOIN documents x USING (doc_id) WHERE x.source = d.source) AS results, (SELECT count(*) FROM documents x JOIN labels l USING (doc_id) WHERE x.source = d.source) AS labels, (SELECT count(*) FROM documents x WHERE x.source = d.source AND x.lang = 'fr') AS french
+FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) d
+""")
+def related_counts(spark, sf_dir):
+    """Addresses found, labels and French documents of each source."""
+    docs = table(spark, sf_dir, "documents")
+    found = extract.extract(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), [("mail", "regex", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9]")])
+    of = docs.select(F.col("doc_id").alias("chunk_id"), "source")
+    children = {"results": found.join(of, "chunk_id"), "labels": docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id"), "french": docs.where("lang = 'fr'")}
+    return relational.related_counts(docs, "source", children)
