@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import assemble, chunk, evaluate, retrieve, textindex
+from ..operators import assemble, chunk, evaluate, retrieve, textindex, tools
 from ..operators.relational import listed
 from .registry import query, table
 
@@ -460,3 +460,26 @@ def chunk_join_roundtrip(spark, sf_dir):
     back = chunk.joined_text(chunk.chunk_documents(docs, "doc_id", "text", chunk.ChunkOptions(300, 60)), "doc_id")
     flat = lambda c: F.regexp_replace(c, r"\s+", "")
     return docs.join(back, "doc_id").select("doc_id", (flat("text") == flat("content")).alias("same"))
+
+
+@query(BM25_SQL + """, h AS (SELECT item_id, rank, d.source, text, coalesce(sum(length(text)) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN documents d USING (doc_id) WHERE rank <= 8),
+n AS (SELECT item_id, count(*) FILTER (before >= 40000) AS omitted FROM h GROUP BY 1)
+SELECT item_id, rank AS citation, source AS title, md5(substr(text, 1, CAST(40000 - before AS BIGINT))) AS body, length(text) > 40000 - before AS truncated, omitted FROM h JOIN n USING (item_id) WHERE before < 40000""")
+def tool_passages(spark, sf_dir):
+    """Passages for each benchmark item within the budget of a tool."""
+    hits = _bm25(spark, sf_dir, 10).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    rows = hits.select("item_id", "rank", F.lit(" ").alias("title"), F.col("source").alias("uri"), F.col("text").alias("content"), F.lit(None).cast("string").alias("snippet"))
+    return tools.passages(rows, "item_id").select("item_id", "citation", "title", F.md5("body").alias("body"), "truncated", "omitted")
+
+
+@query("""
+SELECT doc_id AS document_id, greatest(0, least(length(text), doc_id % 7 * 100 - 50)) AS "offset", length(text) AS characters, md5(substr(text, greatest(0, least(length(text), doc_id % 7 * 100 - 50)) + 1, CASE WHEN doc_id % 2 = 0 THEN 300 ELSE 20000 END)) AS body,
+  greatest(0, length(text) - greatest(0, doc_id % 7 * 100 - 50) - CASE WHEN doc_id % 2 = 0 THEN 300 ELSE 20000 END) AS remaining FROM documents
+""")
+def tool_documents(spark, sf_dir):
+    """A part of every document, from different places on."""
+    docs = table(spark, sf_dir, "documents")
+    at = F.col("doc_id")
+    asked = docs.select(at.alias("request"), at.alias("document_id"), (at % 7 * 100 - 50).cast("int").alias("offset"), F.when(at % 2 == 0, 300).alias("most"))
+    found = tools.document_windows(asked, docs.select(at.alias("document_id"), F.col("source").alias("title"), F.col("text").alias("body")))
+    return found.select("document_id", F.col("offset").cast("long").alias("offset"), F.col("characters").cast("long").alias("characters"), F.md5("body").alias("body"), F.col("remaining").cast("long").alias("remaining"))
