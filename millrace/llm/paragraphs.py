@@ -57,6 +57,8 @@ _LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range
 _P = 0x9E3779B97F4A7C15
 _WEIGHTS = _rng.integers(0, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: list[np.ndarray] = []
+#: The hash of each character in lower case, made once in a worker.
+_signs: list[np.ndarray] = []
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,8 +78,15 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(codes)
     if not _powers or len(_powers[0]) < n:
         _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(2 * n, x, np.uint64))), dtype=np.uint64) for x in (_P, pow(_P, -1, 1 << 64))]
-    low = np.where(codes < 0x20000, _LOWER[np.minimum(codes, 0x1FFFF)], codes)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed((low + np.uint64(1)) * np.uint64(_P)) * _powers[0][:n], dtype=np.uint64)))
+    if not len(_signs):
+        _signs.append(_mixed((_LOWER + np.uint64(1)) * np.uint64(_P)))
+    if codes.max() < 0x20000:
+        signs = _signs[0][codes]
+    else:
+        low = np.where(codes < 0x20000, _LOWER[np.minimum(codes, 0x1FFFF)], codes)
+        signs = _mixed((low + np.uint64(1)) * np.uint64(_P))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(signs * _powers[0][:n], out=sums[1:])
     word = _mixed((sums[ends] - sums[starts]) * _powers[1][starts])
     at = len(word) - WINDOW + 1
     hashes = np.zeros(at, np.uint64)
@@ -88,7 +97,12 @@ def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = np.flatnonzero(line[:at] == line[WINDOW - 1 :])
     if len(whole) < GAP:
         return none
-    least = np.lib.stride_tricks.sliding_window_view(hashes[whole], GAP).argmin(axis=1) + np.arange(len(whole) - GAP + 1)
+    # the first of the least of each GAP neighbours, by spans that double
+    value, least, span = hashes[whole], np.arange(len(whole)), 1
+    while span < GAP:
+        step = min(span, GAP - span)
+        later = value[step:] < value[:-step]
+        value, least, span = np.where(later, value[step:], value[:-step]), np.where(later, least[step:], least[:-step]), span + step
     taken = whole[np.unique(least[line[whole[: len(least)]] == line[whole[GAP - 1 :]]])]
     return starts[taken], ends[taken + WINDOW - 1], hashes[taken]
 
