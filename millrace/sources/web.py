@@ -122,10 +122,10 @@ def expand_frontier(seeds: DataFrame, fetch_links, allowed, max_depth: int, max_
     return seen
 
 
-def politeness_slots(urls: DataFrame, delay_ms: int) -> DataFrame:
-    """Each address with the time after which its host may be asked."""
+def politeness_slots(urls: DataFrame, delay_ms: int, key: str) -> DataFrame:
+    """Each address with the time after which its host may be asked; equal addresses go by their ``key``."""
     host = F.regexp_extract("url", r"^https?://([^/?#:]+)", 1)
-    return urls.withColumn("host", host).withColumn("wait_ms", (F.row_number().over(Window.partitionBy("host").orderBy("url")) - 1) * delay_ms)
+    return urls.withColumn("host", host).withColumn("wait_ms", (F.row_number().over(Window.partitionBy("host").orderBy(F.asc_nulls_last("url"), key)) - 1) * delay_ms)
 
 
 def fetch_outcome(status: Column, size: Column, error: Column, most: int) -> Column:

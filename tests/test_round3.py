@@ -33,3 +33,14 @@ def test_halves_round_to_even_in_priorities(spark, tmp_path):
     events = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
     got, sql = both(spark, tmp_path, "claimable_work", events=events)
     assert got == sql and len(got) == 25
+
+
+def test_equal_addresses_go_by_their_key(spark):
+    rows = [(i * 37 % 40, f"http://h{i % 2}.example/{i % 3}") for i in range(40)] + [(99, None), (98, None)]
+    urls = spark.createDataFrame(rows, "page_id long, url string").repartition(7)
+    got = {r.page_id: r.wait_ms for r in web.politeness_slots(urls, 500, "page_id").collect()}
+    want = {}
+    for host in ("http://h0", "http://h1", "None"):
+        own = sorted((str(u), k) for k, u in rows if str(u).startswith(host))
+        want |= {k: 500 * n for n, (_, k) in enumerate(own)}
+    assert got == want
