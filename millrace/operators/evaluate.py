@@ -108,7 +108,7 @@ def text_clusters(topics: DataFrame, tenant: str) -> DataFrame:
 def most_frequent(topics: DataFrame, tenant: str, most: int) -> DataFrame:
     """The ``most`` topics of each tenant with the highest frequency, with their number n from 1: every task keeps as many
     of each tenant before anything is sent, so a tenant's topics never meet as a whole."""
-    order = Window.partitionBy(tenant).orderBy(F.desc("frequency"), "topic")
+    order = Window.partitionBy(tenant).orderBy(F.desc("frequency"), F.asc_nulls_last("topic"))
     return topics.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
 
 
@@ -156,9 +156,10 @@ def judge_clusters(topics: DataFrame, replies: DataFrame, tenant: str, asked: in
     own = places.where(F.col("n").between(1, asked)).groupBy(tenant, "n").agg(F.min("g").alias("g"))
     placed = shown.join(own, [tenant, "n"])
     lead = placed.groupBy(tenant, "g").agg(F.min_by("topic", "n").alias("leader"))
-    named = placed.join(lead, [tenant, "g"]).select(tenant, "topic", "leader")
+    named = placed.join(lead, [tenant, "g"]).select(F.col(tenant).alias("__tenant"), F.col("topic").alias("__topic"), F.struct("leader").alias("lead"))
     all_topics = topics.select(tenant, "topic").join(given.select(tenant).distinct(), tenant, "left_semi")
-    return all_topics.join(named, [tenant, "topic"], "left").select(tenant, "topic", F.coalesce("leader", "topic").alias("leader"))
+    met = all_topics.join(named, (F.col(tenant) == F.col("__tenant")) & F.col("topic").eqNullSafe(F.col("__topic")), "left")
+    return met.select(tenant, "topic", F.when(F.col("lead").isNull(), F.col("topic")).otherwise(F.col("lead.leader")).alias("leader"))
 
 
 #: Averages of a report, by the names that scores have in a case.
