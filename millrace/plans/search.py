@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import assemble, chunk, evaluate, retrieve, textindex, tools
 from ..operators.relational import listed
+from ..session import written
 from .registry import query, table
 
 BM25_SQL = """
@@ -27,10 +28,16 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 
 
 def _bm25(spark, sf_dir, k):
-    scored = textindex.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    scored = textindex.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text", k)
     return textindex.top_k(scored, "item_id", "doc_id", k)
 
 
+def _bm25_rows(spark, sf_dir, k, *columns):
+    """The hits with columns of their documents: the hits are sent to the documents, not the texts shuffled to them."""
+    hits = written(_bm25(spark, sf_dir, k), "hits")
+    return table(spark, sf_dir, "documents").select("doc_id", *columns).join(listed(hits), "doc_id")
+
+
 @query(BM25_SQL + "SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 10).select("item_id", "doc_id", "score", "rank")
@@ -111,7 +118,7 @@ SELECT item_id, doc_id, score FROM r WHERE rank <= 10
 """)
 def weighted_fulltext(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("head", F.substring_index("text", "\n", 1))
-    scored = textindex.full_text_rank(docs, table(spark, sf_dir, "benchmark"), "doc_id", {"a": "source", "b": "head", "d": "text"}, "item_id", "text")
+    scored = textindex.full_text_rank(docs, table(spark, sf_dir, "benchmark"), "doc_id", {"a": "source", "b": "head", "d": "text"}, "item_id", "text", 10)
     return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score")
 
 
@@ -219,7 +226,7 @@ m AS (SELECT item_id, doc_id, round(sum(score), 6) AS score FROM (SELECT item_id
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM m) SELECT item_id, doc_id, score, rank FROM o WHERE rank <= 10""")
 def bm25_fields(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("head", F.substring_index("text", "\n", 1))
-    scored = textindex.bm25_fields(docs, table(spark, sf_dir, "benchmark"), "doc_id", {"head": 2.0, "text": 1.0}, "item_id", "text")
+    scored = textindex.bm25_fields(docs, table(spark, sf_dir, "benchmark"), "doc_id", {"head": 2.0, "text": 1.0}, "item_id", "text", 10)
     return textindex.top_k(scored, "item_id", "doc_id", 10).select("item_id", "doc_id", "score", "rank")
 
 
@@ -336,7 +343,7 @@ def context_window_text(spark, sf_dir):
 @query(BM25_SQL + """, t AS (SELECT item_id, doc_id, rank, text, coalesce(sum(length(text)) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM r JOIN documents USING (doc_id) WHERE rank <= 10)
 SELECT item_id, doc_id, rank, substr(text, 1, CAST(8000 - used AS BIGINT)) AS text FROM t WHERE used < 8000""")
 def context_budget(spark, sf_dir):
-    hits = _bm25(spark, sf_dir, 10).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = _bm25_rows(spark, sf_dir, 10, "text")
     return assemble.budget(hits.select("item_id", "doc_id", "rank", "text"), "item_id", "text", 2000)
 
 
@@ -345,14 +352,14 @@ e AS (SELECT item_id, rank, unnest(ss) AS sentence, generate_subscripts(ss, 1) -
 d AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(regexp_replace(sentence, '\\s+', ' ', 'g')) ORDER BY rank, pos) AS n FROM e)
 SELECT item_id, rank, CAST(pos AS INTEGER) AS pos, sentence, false AS whole FROM d WHERE n = 1 UNION ALL SELECT item_id, rank, 0, text, true FROM cut WHERE contains(text, '```') OR len(ss) > 300""")
 def sentence_dedup(spark, sf_dir):
-    hits = _bm25(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = _bm25_rows(spark, sf_dir, 5, "text")
     return assemble.distinct_sentences(hits, "item_id", "text").select("item_id", "rank", "pos", "sentence", "whole")
 
 
 @query(BM25_SQL + """, t AS (SELECT item_id, rank, concat('[SOURCE ', rank, ']', chr(10), source, chr(10), '[END SOURCE ', rank, ']') AS b FROM r JOIN documents USING (doc_id) WHERE rank <= 4)
 SELECT item_id, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM t GROUP BY 1""")
 def source_blocks(spark, sf_dir):
-    hits = _bm25(spark, sf_dir, 4).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    hits = _bm25_rows(spark, sf_dir, 4, "source")
     return assemble.source_blocks(hits, "item_id", "source")
 
 
@@ -467,7 +474,7 @@ n AS (SELECT item_id, count(*) FILTER (before >= 40000) AS omitted FROM h GROUP
 SELECT item_id, rank AS citation, source AS title, md5(substr(text, 1, CAST(40000 - before AS BIGINT))) AS body, length(text) > 40000 - before AS truncated, omitted FROM h JOIN n USING (item_id) WHERE before < 40000""")
 def tool_passages(spark, sf_dir):
     """Passages for each benchmark item within the budget of a tool."""
-    hits = _bm25(spark, sf_dir, 10).join(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    hits = _bm25_rows(spark, sf_dir, 10, "source", "text")
     rows = hits.select("item_id", "rank", F.lit(" ").alias("title"), F.col("source").alias("uri"), F.col("text").alias("content"), F.lit(None).cast("string").alias("snippet"))
     return tools.passages(rows, "item_id").select("item_id", "citation", "title", F.md5("body").alias("body"), "truncated", "omitted")
 

@@ -71,3 +71,49 @@ def test_neighbours_hold_few_scores_at_once(spark, monkeypatch, cells):
         want |= {(q, n + 1): (i, scores[q, i]) for n, i in enumerate(best)}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+@pytest.fixture(scope="module")
+def words(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n: " ".join(f"w{x}" for x in rng.zipf(1.3, n) if x < 60)
+    rows = [(i, text(i % 40), text(3)) for i in range(300)] + [(300, None, None), (301, "", "w1"), (302, "W1 w1", None)]
+    docs = spark.createDataFrame(rows, "doc long, text string, head string").repartition(3).cache()
+    return docs, spark.createDataFrame([(i, text(6)) for i in range(20)] + [(20, None), (21, "none of them")], "item long, text string")
+
+
+SCORES = {
+    "bm25": lambda d, q, *k: textindex.bm25(d, q, "doc", "text", "item", "text", *k),
+    "fields": lambda d, q, *k: textindex.bm25_fields(d, q, "doc", {"head": 2.0, "text": 1.0}, "item", "text", *k),
+    "rank": lambda d, q, *k: textindex.full_text_rank(d, q, "doc", {"a": "head", "d": "text"}, "item", "text", *k),
+}
+
+
+@pytest.mark.parametrize("name", SCORES)
+def test_scores_where_texts_are_read_equal_joined_ones(spark, words, monkeypatch, name):
+    docs, items = words
+    of = SCORES[name]
+    flat = lambda df: {(r.item, r.doc): round(r.score, 9) for r in df.collect()}
+    top = lambda df: {(r.item, r.rank): (r.doc, r.score) for r in textindex.top_k(df, "item", "doc", 5).collect()}
+    whole = of(docs, items)
+    assert "hashpartitioning" not in whole._jdf.queryExecution().executedPlan().toString()  # postings are not shuffled
+    got, best = flat(whole), top(whole)
+    assert top(of(docs, items, 5)) == best
+    monkeypatch.setattr(textindex, "PAIRS", 0)
+    assert flat(of(docs, items)) == got and len(got) > 2000
+
+
+@pytest.mark.parametrize("cells, added", [(1, 1), (90, 13), (1 << 20, 1 << 21)])
+def test_blocks_add_up_all_postings(monkeypatch, cells, added):
+    monkeypatch.setattr(textindex, "CELLS", cells)
+    monkeypatch.setattr(textindex, "ADDED", added)
+    rng = np.random.default_rng(3)
+    members = [sorted(rng.choice(9, rng.integers(1, 5), replace=False).tolist()) for _ in range(12)]
+    starts = np.cumsum([0] + [len(m) for m in members])
+    places, terms, weights = rng.integers(0, 40, 200), rng.integers(0, 12, 200), rng.random(200)
+    want = {}
+    for p, t, w in zip(places, terms, weights):
+        for q in members[t]:
+            want[q, int(p)] = want.get((q, int(p)), 0) + w
+    found = [(int(i), int(j), x) for block in textindex._added(places, terms, weights, 40, 9, starts, np.concatenate(members), None) for i, j, x in zip(*block)]
+    assert len(found) == len(want) and all(abs(want[q, d] - x) < 1e-9 for q, d, x in found)
