@@ -117,9 +117,10 @@ def two_decimals(c: Column) -> Column:
     return F.coalesce(F.format_string("%.2f", c), F.lit("n/a"))
 
 
-def snippet(text: Column, query: Column, width: int = 240, before: int = 100) -> Column:
-    """A short text whole; else a window that starts shortly before the first place of the query."""
-    start = F.greatest(F.lit(0), F.position(F.lower(query), F.lower(text)) - 1 - before)
+def snippet(text: Column, query: Column, width: int = 240, before: int = 100, low: Column | None = None) -> Column:
+    """A short text whole; else a window that starts shortly before the first place of the query. ``low``: the text in lower
+    case, where it is at hand."""
+    start = F.greatest(F.lit(0), F.position(F.lower(query), F.lower(text) if low is None else low) - 1 - before)
     body = F.substring(text, start + 1, F.lit(width))
     cut = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + width < F.length(text), "...").otherwise(""))
     return F.when(F.length(text) <= width, text).otherwise(cut)

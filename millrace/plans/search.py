@@ -101,8 +101,7 @@ SELECT item_id, doc_id, CASE WHEN length(text) <= 240 THEN text ELSE concat(CASE
 """)
 def snippet(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.element_at(F.split("text", " "), 3).alias("needle"))
-    met = table(spark, sf_dir, "documents").join(listed(items), F.lower("text").contains(F.lower("needle")))
-    return met.select("item_id", "doc_id", X.snippet(F.col("text"), F.col("needle")).alias("snippet"))
+    return textindex.snippets(table(spark, sf_dir, "documents"), items, "doc_id", "text", "item_id", "needle")
 
 
 @query("""

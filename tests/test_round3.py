@@ -117,3 +117,22 @@ def test_blocks_add_up_all_postings(monkeypatch, cells, added):
             want[q, int(p)] = want.get((q, int(p)), 0) + w
     found = [(int(i), int(j), x) for block in textindex._added(places, terms, weights, 40, 9, starts, np.concatenate(members), None) for i, j, x in zip(*block)]
     assert len(found) == len(want) and all(abs(want[q, d] - x) < 1e-9 for q, d, x in found)
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_snippets_of_needles_that_are_sent_or_joined(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(textindex, "LISTED", most)
+    texts = ["Ñandú " * 60 + "AbC" + " x" * 200, "abc", "", None, "ÉTÉ " * 30 + "abC", "y" * 239 + "É", "y" * 240 + "é"]
+    docs = spark.createDataFrame([(i, texts[i % 7]) for i in range(500)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b ABC"), (2, "a b abc d"), (3, "a b é"), (4, "a b zz"), (5, None)], "item_id long, text string")
+    got, sql = both(spark, tmp_path, "snippet", documents=docs, benchmark=items)
+    assert got == sql and len(got) > 500
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    from millrace.operators import parse
+
+    pages = spark.createDataFrame([(i, f"<title>t{i}</title><a href='/{i}'>x</a>", "http://e.example/") for i in range(30)], "id long, html string, url string")
+    one = sorted(map(tuple, parse.parse_pages(pages, "id", "html", "url").select("id", "title", "links").collect()))
+    monkeypatch.setattr(parse, "PARSED", 4)
+    assert sorted(map(tuple, parse.parse_pages(pages, "id", "html", "url").select("id", "title", "links").collect())) == one and len(one) == 30
