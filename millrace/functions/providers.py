@@ -58,6 +58,20 @@ class ReplayedAnswers:
         return self.replies[self.fingerprint(messages)]
 
 
+_words: dict[str, int] = {}
+
+
+def _word_hash(word: str) -> int:
+    """32 bits of a word's place and one of its sign; words that come again are looked up."""
+    h = _words.get(word)
+    if h is None:
+        if len(_words) >= 1 << 18:
+            _words.clear()
+        digest = hashlib.md5(word.encode()).digest()
+        h = _words[word] = int.from_bytes(digest[:4], "big") << 1 | digest[4] & 1
+    return h
+
+
 class HashEmbedding:
     """Words hashed to signed places, normalised: a deterministic stand-in for a model."""
 
@@ -66,10 +80,10 @@ class HashEmbedding:
 
     def embed(self, texts: list[str], query: bool = False) -> list[list[float]]:
         out = np.zeros((len(texts), self.dimensions))
-        for row, text in zip(out, texts):
-            for w in (text or "").lower().split():
-                h = hashlib.md5(w.encode()).digest()
-                row[int.from_bytes(h[:4], "big") % self.dimensions] += 1 if h[4] & 1 else -1
+        words = [(text or "").lower().split() for text in texts]
+        found = np.array([_word_hash(w) for own in words for w in own], np.int64)  # whole signs, so their order adds nothing
+        rows = np.repeat(np.arange(len(texts)), [len(own) for own in words])
+        np.add.at(out, (rows, (found >> 1) % self.dimensions), np.where(found & 1, 1.0, -1.0))
         n = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(n > 0, n, 1)).tolist()
 

@@ -11,6 +11,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -382,14 +383,34 @@ def segments(blocks: DataFrame, document: str) -> DataFrame:
     return rows.withColumn("__fresh", fresh).withColumn("segment", F.sum("__fresh").over(line)).drop("__mark", "__fresh")
 
 
+def _distances():
+    """Cosine distance of two columns of vectors, null where either is, for batches of rows. Products are added one after the
+    other, as ``cosine_distance`` does, so both give the same bits."""
+
+    @F.arrow_udf("double")
+    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = np.full(len(a), np.nan)
+        sizes = [pc.fill_null(pc.list_value_length(x), -1).to_numpy(zero_copy_only=False) for x in (a, b)]
+        there = (sizes[0] >= 0) & (sizes[1] >= 0)
+        for w in np.unique(sizes[0][there]).tolist():
+            at = np.flatnonzero(there & (sizes[0] == w) & (sizes[1] == w))
+            x, y = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), w) for c in (a, b))
+            dot = lambda p, q: np.cumsum(p * q, axis=1)[:, -1] if w else np.zeros(len(at))
+            d = np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))
+            out[at] = np.maximum(0.0, 1 - np.divide(dot(x, y), d, out=np.zeros(len(at)), where=d != 0))
+        return pa.array(out, mask=~there)
+
+    return distance
+
+
 def semantic_plan(sentences: DataFrame, document: str, method: str = "percentile", value: float = 95.0) -> tuple[DataFrame, DataFrame]:
     """``sentences``: those of ``semantic_runs`` with a column vector. Returns them with the distance to the next one of their run
     in place of the vector, and for each document: sentences, threshold (one for all its runs), breakpoints, fallback: the
     reason why it is packed by size alone (too_many_sentences, too_short, error: a sentence has no vector), or null."""
     line = Window.partitionBy(document, "run").orderBy("pos")
     nxt = F.lead("vector").over(line)
-    dist = F.when(nxt.isNotNull() & F.col("vector").isNotNull(), F.greatest(F.lit(0.0), cosine_distance(F.col("vector"), nxt)))
-    rows = sentences.withColumn("distance", dist).withColumn("last", F.lead("pos").over(line).isNull()).withColumn("bare", F.col("vector").isNull()).drop("vector")
+    rows = sentences.withColumn("__next", nxt).withColumn("distance", _distances()(F.col("vector"), F.col("__next"))).drop("__next")
+    rows = rows.withColumn("last", F.lead("pos").over(line).isNull()).withColumn("bare", F.col("vector").isNull()).drop("vector")
     by = rows.groupBy(document).agg(
         F.count("*").alias("sentences"),
         F.count_if(~F.col("last")).alias("pairs"),

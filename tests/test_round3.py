@@ -136,3 +136,15 @@ def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
     one = sorted(map(tuple, parse.parse_pages(pages, "id", "html", "url").select("id", "title", "links").collect()))
     monkeypatch.setattr(parse, "PARSED", 4)
     assert sorted(map(tuple, parse.parse_pages(pages, "id", "html", "url").select("id", "title", "links").collect())) == one and len(one) == 30
+
+
+def test_distances_in_batches_have_the_bits_of_the_expression(spark):
+    from millrace.functions.text import cosine_distance
+    from millrace.operators import chunk
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist(), rng.normal(size=64).tolist()) for i in range(50)] + [(50, [0.0] * 64, [1.0] * 64), (51, None, [1.0] * 64), (52, [1.0], None), (53, [2.0, 1.0], [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>")
+    want = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), cosine_distance(F.col("a"), F.col("b")))
+    got = df.select("id", chunk._distances()(F.col("a"), F.col("b")).alias("x"), want.alias("y")).collect()
+    assert all(r.x == r.y for r in got) and [r.id for r in got if r.x is None] == [51, 52]
