@@ -24,6 +24,7 @@ LEVELS = 6
 def inline(text: Column) -> Column:
     """Plain text: marks, links, images and tags flattened; code spans as they are, in their backticks."""
     code = r"(`[^`]*`)|"
+    plain = text
     for pattern, keep in (
         (r"!\[([^\]]*)\]\([^)]*\)", "$1$2"),
         (r"\[([^\]]*)\]\([^)]*\)", "$1$2"),
@@ -33,27 +34,25 @@ def inline(text: Column) -> Column:
         (r"<[A-Za-z/!][^>]*>", "$1"),
         (r"\\([!-/:-@\[-`{-~])", "$1$2"),
     ):
-        text = F.regexp_replace(text, code + pattern, keep)
-    return text
+        plain = F.regexp_replace(plain, code + pattern, keep)
+    # every pattern needs one of these
+    return F.when(text.rlike(r"[\[*_~<\\]"), plain).otherwise(text)
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, quote (depth), line (without quote marks), of each line."""
-    plain = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\t", "    ")
-    rows = docs.select(key, F.posexplode(F.split(plain, "\n")).alias("pos", "raw"))
-    marks = F.regexp_extract("raw", r"^(?: {0,3}> ?)*", 0)
-    return rows.select(key, "pos", "raw", F.regexp_count(marks, F.lit(">")).alias("quote"), F.substring(F.col("raw"), F.length(marks) + 1, F.length("raw")).alias("line"))
+def _quoted(raw: Column) -> Column:
+    """The quote marks at the start of a line."""
+    return F.when(F.ltrim(raw).startswith(">"), F.regexp_extract(raw, r"^(?: {0,3}> ?)*", 0)).otherwise("")
 
 
-def _fenced(lines: DataFrame, key: str) -> DataFrame:
-    """``lines`` with fence: the line that opened the fence around them (the fence's own two lines included), or null; and
-    last: the line that closes it. A fence is closed by a line of its own mark, as long at least; one that is never closed
-    ends with its quote or the text. Only the lines with marks meet, a few of a document."""
-    mark = F.regexp_extract("line", _FENCE, 1)
-    near = lines.where(mark != "").select(key, F.struct("pos", "quote", F.substring(mark, 1, 1).alias("kind"), F.length(mark).alias("size"), F.regexp_extract("line", _FENCE, 2).alias("info")).alias("m"))
-    found = near.groupBy(key).agg(F.sort_array(F.collect_list("m")).alias("marks"))
+def _unquoted(raw: Column, marks: Column) -> Column:
+    return F.when(marks == "", raw).otherwise(F.substring(raw, F.length(marks) + 1, F.length(raw)))
+
+
+def _spans(marks: Column) -> Column:
+    """The fences (first and last line, quote depth) that the given lines with marks open and close. A fence is closed by a
+    line of its own mark, as long at least; one that is never closed ends with its quote or the text."""
     closed = lambda spans: F.struct(*(F.lit(None).cast(k).alias(c) for c, k in (("pos", "int"), ("quote", "int"), ("kind", "string"), ("size", "int"))), spans.alias("spans"))
-    with_span = lambda at, last: F.concat(at["spans"], F.array(F.struct(at["pos"].alias("first"), last.cast("int").alias("last"))))
+    with_span = lambda at, last: F.concat(at["spans"], F.array(F.struct(at["pos"].alias("first"), last.cast("int").alias("last"), at["quote"].alias("quote"))))
     opened = lambda m, spans: F.struct(m["pos"].alias("pos"), m["quote"].alias("quote"), m["kind"].alias("kind"), m["size"].alias("size"), spans.alias("spans"))
 
     def step(at: Column, m: Column) -> Column:
@@ -66,78 +65,121 @@ def _fenced(lines: DataFrame, key: str) -> DataFrame:
         )
 
     rest = lambda at: F.when(at["pos"].isNull(), at["spans"]).otherwise(with_span(at, F.lit(2**31 - 1)))
-    start = closed(F.array().cast("array<struct<first:int,last:int>>"))
-    spans = found.select(key, F.explode(F.aggregate("marks", start, step, rest)).alias("s")).select(F.col(key).alias("__key"), F.col("s.first").alias("__first"), F.col("s.last").alias("last"))
-    met = lines.join(spans, (F.col(key) == F.col("__key")) & (F.col("pos") == F.col("__first")), "left").drop("__key")
-    line = Window.partitionBy(key).orderBy("pos")
-    met = met.withColumn("__since", F.last(F.when(F.col("__first").isNotNull(), F.struct("__first", "last", "quote")), True).over(line))
-    own = Window.partitionBy(key, "__since.__first").orderBy("pos")
-    left = F.max(F.col("quote") < F.col("__since.quote")).over(own)
-    inside = F.col("__since").isNotNull() & (F.col("pos") <= F.col("__since.last")) & ~left
+    return F.aggregate(marks, closed(F.array().cast("array<struct<first:int,last:int,quote:int>>")), step, rest)
+
+
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, pos, raw and span (the fence around it, its own two lines included, or null) of each line.
+
+    Fences are found in the text's own row, from the few lines with marks, and dealt to the lines as an array beside theirs:
+    no line is joined or shuffled for them."""
+    plain = F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit("\t"), F.lit("    "))
+    rows = docs.select(key, F.split(plain, "\n").alias("lines"))
+    near = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x.alias("raw"))), lambda s: s["raw"].contains("```") | s["raw"].contains("~~~"))
+    near = F.transform(near, lambda s: F.struct(s["pos"], s["raw"], _quoted(s["raw"]).alias("marks")))
+    near = F.transform(near, lambda s: F.struct(s["pos"], F.regexp_count(s["marks"], F.lit(">")).alias("quote"), _unquoted(s["raw"], s["marks"]).alias("line")))
+    near = F.transform(near, lambda s: F.struct(s["pos"], s["quote"], F.regexp_extract(s["line"], _FENCE, 1).alias("mark"), F.regexp_extract(s["line"], _FENCE, 2).alias("info")))
+    marks = F.transform(F.filter(near, lambda s: s["mark"] != ""), lambda s: F.struct(s["pos"], s["quote"], F.substring(s["mark"], 1, 1).alias("kind"), F.length(s["mark"]).alias("size"), s["info"]))
+    rows = rows.withColumn("spans", _spans(marks))
+    none = F.lit(None).cast("struct<first:int,last:int,quote:int>")
+    gap = lambda s, i: s["first"] - F.coalesce(F.get("spans", i - 1)["last"] + 1, F.lit(0))
+    held = lambda s: F.least(s["last"], F.size("lines") - 1) - s["first"] + 1
+    around = F.flatten(F.transform("spans", lambda s, i: F.concat(F.array_repeat(none, gap(s, i)), F.array_repeat(s, held(s)))))
+    rows = rows.select(key, F.posexplode(F.arrays_zip("lines", around.alias("span"))).alias("pos", "at"))
+    return rows.select(key, "pos", F.col("at.lines").alias("raw"), F.col("at.span").alias("span"))
+
+
+def _fenced(lines: DataFrame, key: str) -> DataFrame:
+    """key, pos, quote (depth), line (without quote marks), fence: the line that opened the fence around it, or null; and
+    last: the line that closes it. A line of a lower quote depth ends the fence."""
+    rows = lines.withColumn("marks", _quoted(F.col("raw")))
+    rows = rows.withColumn("quote", F.when(F.col("marks") == "", 0).otherwise(F.regexp_count("marks", F.lit(">"))))
+    left = F.max(F.when(F.col("quote") < F.col("span.quote"), F.col("pos"))).over(Window.partitionBy(key).orderBy("pos"))
+    rows = rows.withColumn("left", left)
+    inside = F.col("span").isNotNull() & ~F.coalesce(F.col("left") >= F.col("span.first"), F.lit(False))
     # quote marks beyond the fence's own are part of what it holds
-    marks = F.concat(F.lit("^(?: {0,3}> ?){"), F.col("__since.quote").cast("string"), F.lit("}"))
-    held = F.regexp_replace("raw", marks, F.lit(""))
-    return met.select(
-        key, "pos", F.when(inside, F.col("__since.quote")).otherwise(F.col("quote")).alias("quote"), F.when(inside, held).otherwise(F.col("line")).alias("line"), F.when(inside, F.col("__since.__first")).alias("fence"), F.when(inside, F.col("__since.last")).alias("last")
+    marks = F.concat(F.lit("^(?: {0,3}> ?){"), F.col("span.quote").cast("string"), F.lit("}"))
+    held = F.when(F.col("span.quote") == 0, F.col("raw")).otherwise(F.regexp_replace("raw", marks, F.lit("")))
+    return rows.select(
+        key,
+        "pos",
+        F.when(inside, F.col("span.quote")).otherwise(F.col("quote")).alias("quote"),
+        F.when(inside, held).otherwise(_unquoted(F.col("raw"), F.col("marks"))).alias("line"),
+        F.when(inside, F.col("span.first")).alias("fence"),
+        F.when(inside, F.col("span.last")).alias("last"),
     )
 
 
 def _islands(rows: DataFrame, key: str) -> DataFrame:
-    """key, block, kind and the lines of each, in order."""
+    """key, block, kind and the lines of each, in order. All windows are of one order, so that the lines are sorted once; what
+    a line's text says is asked once, and only of lines whose first character leaves it open."""
     line = Window.partitionBy(key).orderBy("pos")
-    text, free = F.col("line"), F.col("fence").isNull()
-    blank = free & (F.trim("line") == "")
-    indent = F.length(F.regexp_extract("line", "^ *", 0))
-    rows = rows.withColumns({"blank": blank, "indent": indent, "under": F.lead("line").over(line), "above": F.lag("line").over(line)})
-    # stretches of lines without a blank one, of one quote depth, outside fences
+    text, free, c = F.col("line"), F.col("fence").isNull(), F.col("mark")
+    sees = lambda marks, pattern: c.isin(*marks) & text.rlike(pattern)
+    rows = rows.withColumn("mark", F.substring(F.ltrim("line"), 1, 1))
+    rows = rows.withColumns({"blank": free & (c == ""), "indent": F.length("line") - F.length(F.ltrim("line")), "rule": sees("*-_", _RULE)})
+    rows = rows.withColumns({"item": sees("-*+0123456789", _ITEM) & ~F.col("rule"), "delimiter": sees("|:-", _DELIMITER)})
+    under = F.coalesce(F.lead("delimiter").over(line), F.lit(False))
+    # stretches of lines without a blank one, of one quote depth, outside fences, begin at a cut
     cut = F.col("blank") | ~free | (F.lag("quote").over(line) != F.col("quote")) | F.lag("fence").over(line).isNotNull()
-    rows = rows.withColumn("stretch", F.sum(F.coalesce(cut, F.lit(True)).cast("int")).over(line))
-    first = F.coalesce(F.lag("stretch").over(line) != F.col("stretch"), F.lit(True)) | F.coalesce(F.lag("blank").over(line), F.lit(True))
-    rows = rows.withColumn("first", first & ~F.col("blank"))
-    rule = text.rlike(_RULE)
-    item = text.rlike(_ITEM) & ~rule
-    head = text.rlike(_HEADING)
-    table = F.col("line").contains("|") & F.coalesce(F.col("under").rlike(_DELIMITER) & F.col("under").contains("-"), F.lit(False)) & ~item
-    html = text.rlike(r"^ {0,3}<(?:[A-Za-z/!?])") & F.col("first")
-    opens = F.when(~free, "fence").when(F.col("blank"), F.lit(None)).when(head, "heading").when(item, "list").when(table, "table").when(rule & ~text.rlike("^ {0,3}-+ *$"), "rule").when(rule & F.col("first"), "rule").when(html, "html")
+    rows = rows.withColumns({"cut": F.coalesce(cut, F.lit(True)), "table": under & text.contains("|") & ~F.col("item"), "gap": F.coalesce(F.lag("blank").over(line), F.lit(True))})
+    rows = rows.withColumn("first", (F.col("cut") | F.col("gap")) & ~F.col("blank"))
+    html = F.col("first") & sees("<", r"^ {0,3}<(?:[A-Za-z/!?])")
+    opens = (
+        F.when(~free, "fence")
+        .when(F.col("blank"), F.lit(None))
+        .when(sees("#", _HEADING), "heading")
+        .when(F.col("item"), "list")
+        .when(F.col("table"), "table")
+        .when(F.col("rule") & (F.col("first") | ~text.rlike("^ {0,3}-+ *$")), "rule")
+        .when(html, "html")
+    )
     rows = rows.withColumn("opens", opens)
     # a list goes on over blank lines while what follows is set in; anything else at the margin ends it
     margin = F.when(F.col("opens") == "list", 1).when(F.col("opens").isNotNull() & (F.col("indent") < 2), 0).when(F.col("first") & (F.col("indent") < 2), 0)
-    rows = rows.withColumn("listed", F.coalesce(F.last(margin, True).over(line), F.lit(0)) == 1)
-    within = Window.partitionBy(key, "stretch").orderBy("pos")
-    last = F.last(F.when(F.col("opens").isin("list", "table", "html", "heading", "rule"), F.col("opens")), True).over(within)
-    loose = F.when(F.col("listed"), "list").when(last.isin("table", "html"), last).when((F.col("indent") >= 4) & F.col("first"), "indented").otherwise("paragraph")
-    kind = F.when(F.col("blank"), F.lit(None)).when(F.col("listed") & F.col("opens").isNull(), "list").otherwise(F.coalesce("opens", loose))
-    rows = rows.withColumn("kind", kind)
+    # what was opened last in the stretch
+    last = F.when(F.col("opens").isin("list", "table", "html", "heading", "rule"), F.col("opens")).when(F.col("cut"), "")
+    rows = rows.withColumns({"listed": F.coalesce(F.last(margin, True).over(line), F.lit(0)) == 1, "opened": F.last(last, True).over(line)})
+    loose = F.when(F.col("listed"), "list").when(F.col("opened").isin("table", "html"), F.col("opened")).when((F.col("indent") >= 4) & F.col("first"), "indented").otherwise("paragraph")
+    rows = rows.withColumn("kind", F.when(F.col("blank"), F.lit(None)).otherwise(F.coalesce("opens", loose)))
     # set-in code goes on line by line
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "paragraph") & (F.col("indent") >= 4) & (F.first("kind").over(within) == "indented"), "indented").otherwise(F.col("kind")))
-    line_below = (F.col("kind") == "paragraph") & ~F.col("first") & text.rlike(r"^ {0,3}(?:=+|-+) *$")
-    rows = rows.withColumn("below", line_below & (F.lag("kind").over(line) == "paragraph"))
-    shown = rows.where("kind is not null")
-    before = lambda c: F.lag(c).over(line)
-    joins = F.col("kind").isin("list", "indented", "fence") | (before("stretch") == F.col("stretch"))
-    same = (before("kind") == F.col("kind")) & (before("quote") == F.col("quote")) & before("fence").eqNullSafe(F.col("fence")) & joins & ~F.col("kind").isin("heading", "rule") & ~before("below")
-    shown = shown.withColumn("block", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(line))
+    head = F.last(F.when(F.col("cut"), F.coalesce("kind", F.lit(""))), True).over(line)
+    rows = rows.withColumn("head", head).where("kind is not null")
+    shown = rows.withColumn("kind", F.when((F.col("kind") == "paragraph") & (F.col("indent") >= 4) & (F.col("head") == "indented"), "indented").otherwise(F.col("kind")))
+    shown = shown.withColumn("line_below", (F.col("kind") == "paragraph") & ~F.col("first") & sees("=-", r"^ {0,3}(?:=+|-+) *$"))
+    before = lambda c, n=1: F.lag(c, n).over(line)
+    joins = F.col("kind").isin("list", "indented", "fence") | ~F.col("first")
+    # a line of = or - ends the paragraph that it stands below
+    below = before("line_below") & (before("kind", 2) == "paragraph")
+    same = (before("kind") == F.col("kind")) & (before("quote") == F.col("quote")) & before("fence").eqNullSafe(F.col("fence")) & joins & ~F.col("kind").isin("heading", "rule") & ~below
+    shown = shown.withColumn("same", F.coalesce(same, F.lit(False)))
+    shown = shown.withColumn("block", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(line))
     return shown.select(key, "block", "kind", "pos", "line", "indent", "last")
 
 
 def _listed(rows: DataFrame, key: str) -> DataFrame:
-    """List lines as they are shown: two blanks a level, a dash, or numbers that go on from the first of their level."""
+    """Lines of lists as they are shown: two blanks a level, a dash, or numbers that go on from the first of their level; other
+    lines as they are."""
     line = Window.partitionBy(key, "block").orderBy("pos")
-    item = F.col("line").rlike(_ITEM)
-    mark, rest = F.regexp_extract("line", _ITEM, 2), F.regexp_extract("line", _ITEM, 3)
-    indents = F.array_sort(F.collect_set(F.when(item, F.col("indent"))).over(Window.partitionBy(key, "block")))
-    level = F.least(F.lit(LEVELS - 1), F.array_position(indents, F.col("indent")).cast("int") - 1)
-    rows = rows.withColumns({"item": item, "level": F.when(item, level)}).withColumn("level", F.coalesce("level", F.last("level", True).over(line), F.lit(0)))
+    inside = F.col("kind") == "list"
+    rows = rows.withColumn("mark", F.when(inside, F.regexp_extract("line", _ITEM, 2)).otherwise(""))
+    item, numbered = F.col("mark") != "", F.col("mark").rlike(r"^\d")
+    rows = rows.withColumn("line", F.when(item, F.regexp_extract("line", _ITEM, 3)).when(inside, F.trim("line")).otherwise(F.col("line")))
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    indents = F.array_sort(F.collect_set(F.when(item, F.col("indent"))).over(whole))
+    rows = rows.withColumn("level", F.when(item, F.least(F.lit(LEVELS - 1), F.array_position(indents, F.col("indent")).cast("int") - 1)))
+    rows = rows.withColumn("level", F.coalesce("level", F.last("level", True).over(line), F.lit(0)))
     # items of a level belong together until one of a higher level comes
     lower = F.array(*(F.count_if(item & (F.col("level") < k)).over(line) for k in range(LEVELS)))
     rows = rows.withColumn("run", F.element_at(lower, F.col("level") + 1))
     own = Window.partitionBy(key, "block", "level", "run").orderBy("pos")
-    start = F.first(F.when(item, F.regexp_extract(mark, r"^\d+", 0).try_cast("int")), True).over(own)
-    number = start + F.count_if(item).over(own) - 1
+    # a cast that fails costs an exception, even a tried one
+    start = F.first(F.when(numbered, F.regexp_extract("mark", r"^\d+", 0).cast("int")), True).over(own)
+    rows = rows.withColumn("number", start + F.count_if(item).over(own) - 1)
     pad = F.repeat(F.lit("  "), F.col("level"))
-    bullet = F.when(mark.rlike(r"^\d"), F.concat(number.cast("string"), F.lit(". "))).otherwise("- ")
-    return rows.withColumn("line", F.when(item, F.concat(pad, bullet, inline(rest))).otherwise(F.concat(pad, F.lit("  "), inline(F.trim("line")))))
+    bullet = F.when(numbered, F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
+    shown = F.concat(pad, F.when(item, bullet).otherwise("  "), inline(F.col("line")))
+    return rows.select(key, "block", "kind", "pos", F.when(inside, shown).otherwise(F.col("line")).alias("line"), "last")
 
 
 def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -147,8 +189,7 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Null and blank texts have no blocks; fences that are not closed run to the end. Known departures from a full grammar: code
     inside list items stays lines of the list, lazy lines of quotes end them, references to links are not resolved."""
-    islands = _islands(_fenced(_lines(docs, key, text), key), key)
-    rows = islands.where("kind <> 'list'").drop("indent").unionByName(_listed(islands.where("kind = 'list'"), key).select(key, "block", "kind", "pos", "line", "last"))
+    rows = _listed(_islands(_fenced(_lines(docs, key, text), key), key), key)
     blocks = rows.groupBy(key, "block", "kind").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"), F.max("last").alias("last"))
     lines = F.col("ls.line")
     n = F.size("ls")
@@ -156,7 +197,8 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"^\n+", ""), r"\s+$", "")
     info = F.regexp_extract(F.element_at(lines, 1), _FENCE, 2)
     cells = F.transform(F.filter(lines, lambda x, i: i != 1), lambda x: F.array_join(F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(inline(c))), " | "))
-    joined = F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n")
+    blocks = blocks.withColumn("joined", F.when(F.col("kind").isin("paragraph", "html"), F.array_join(F.transform(lines, lambda x: F.trim(x)), "\n")))
+    joined = F.col("joined")
     # a line of = or - below a paragraph makes it a heading
     under = F.regexp_extract(F.element_at(lines, -1), r"^ {0,3}(=+|-+) *$", 1)
     setext = (F.col("kind") == "paragraph") & (n > 1) & (under != "")
@@ -189,10 +231,12 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         own = F.max(F.when(named & (F.col("level") == k), F.struct("block", "title"))).over(above)
         ended = F.max(F.when(named & (F.col("level") < k), F.col("block"))).over(above)
         path.append(F.when(ended.isNull() | (own["block"] > ended), own["title"]))
-    out = out.withColumn("heading", F.array_join(F.filter(F.array(*path), lambda p: p.isNotNull()), " > ")).where("level is null")
-    image = lambda x, i: F.struct((i + 1).alias("at"), F.lit("image").alias("kind"), F.lit("").alias("language"), F.concat(F.lit("[Image: "), F.coalesce(F.nullif(F.trim(F.regexp_extract(x, _IMAGE, 1)), F.lit("")), F.nullif(F.trim(F.regexp_extract(x, _IMAGE, 3)), F.lit("")), F.substring_index(F.regexp_extract(x, _IMAGE, 2), "/", -1)), F.lit("] ("), F.regexp_extract(x, _IMAGE, 2), F.lit(")")).alias("text"), F.regexp_extract(x, _IMAGE, 2).alias("url"))
-    whole = F.array(F.struct(F.lit(0).alias("at"), "kind", "language", "text", F.lit("").alias("url")))
-    every = out.select(key, "block", "heading", F.explode(F.concat(whole, F.transform("images", image))).alias("b")).select(key, "block", "heading", "b.*")
-    kept = every.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    order = Window.partitionBy(key).orderBy("block", "at")
-    return kept.select(key, (F.row_number().over(order) - 1).alias("ordinal"), F.substring(F.col("heading"), 1, 1000).alias("heading"), "kind", "language", "text", "url")
+    out = out.withColumn("heading", F.substring(F.array_join(F.filter(F.array(*path), lambda p: p.isNotNull()), " > "), 1, 1000)).where("level is null")
+    image = lambda x: F.struct(F.lit("image").alias("kind"), F.lit("").alias("language"), F.concat(F.lit("[Image: "), F.coalesce(F.nullif(F.trim(F.regexp_extract(x, _IMAGE, 1)), F.lit("")), F.nullif(F.trim(F.regexp_extract(x, _IMAGE, 3)), F.lit("")), F.substring_index(F.regexp_extract(x, _IMAGE, 2), "/", -1)), F.lit("] ("), F.regexp_extract(x, _IMAGE, 2), F.lit(")")).alias("text"), F.regexp_extract(x, _IMAGE, 2).alias("url"))
+    whole = F.array(F.struct("kind", "language", "text", F.lit("").alias("url")))
+    kept = F.filter(F.concat(whole, F.transform("images", image)), lambda b: F.trim(F.coalesce(b["text"], F.lit(""))) != "")
+    out = out.select(key, "block", "heading", kept.alias("bs"))
+    # a block's images follow it, so its numbers begin where those of the blocks above end
+    out = out.withColumn("from", F.sum(F.size("bs")).over(above) - F.size("bs"))
+    every = out.select(key, "heading", "from", F.posexplode("bs").alias("at", "b"))
+    return every.select(key, (F.col("from") + F.col("at")).cast("int").alias("ordinal"), "heading", "b.*")
