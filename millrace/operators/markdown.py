@@ -19,6 +19,8 @@ _HEADING = r"^ {0,3}(#{1,6})(?: +(.*?))?(?: +#+)? *$"
 _IMAGE = r"!\[([^\]]*)\]\(\s*([^)\s]+)(?:\s+\"([^\"]*)\")?\s*\)"
 #: Levels of headings and of lists.
 LEVELS = 6
+#: Lines of a list that are counted at a time.
+PART = 64
 
 
 def inline(text: Column) -> Column:
@@ -123,11 +125,11 @@ def _islands(rows: DataFrame, key: str) -> DataFrame:
     # stretches of lines without a blank one, of one quote depth, outside fences, begin at a cut
     cut = F.col("blank") | ~free | (F.lag("quote").over(line) != F.col("quote")) | F.lag("fence").over(line).isNotNull()
     rows = rows.withColumns({"cut": F.coalesce(cut, F.lit(True)), "table": under & text.contains("|") & ~F.col("item"), "gap": F.coalesce(F.lag("blank").over(line), F.lit(True))})
-    rows = rows.withColumn("first", (F.col("cut") | F.col("gap")) & ~F.col("blank"))
+    # blank lines go, what they part is known by then
+    rows = rows.where(~F.col("blank")).withColumn("first", F.col("cut") | F.col("gap"))
     html = F.col("first") & sees("<", r"^ {0,3}<(?:[A-Za-z/!?])")
     opens = (
         F.when(~free, "fence")
-        .when(F.col("blank"), F.lit(None))
         .when(sees("#", _HEADING), "heading")
         .when(F.col("item"), "list")
         .when(F.col("table"), "table")
@@ -138,13 +140,12 @@ def _islands(rows: DataFrame, key: str) -> DataFrame:
     # a list goes on over blank lines while what follows is set in; anything else at the margin ends it
     margin = F.when(F.col("opens") == "list", 1).when(F.col("opens").isNotNull() & (F.col("indent") < 2), 0).when(F.col("first") & (F.col("indent") < 2), 0)
     # what was opened last in the stretch
-    last = F.when(F.col("opens").isin("list", "table", "html", "heading", "rule"), F.col("opens")).when(F.col("cut"), "")
+    last = F.when(F.col("opens").isin("list", "table", "html", "heading", "rule"), F.col("opens")).when(F.col("first"), "")
     rows = rows.withColumns({"listed": F.coalesce(F.last(margin, True).over(line), F.lit(0)) == 1, "opened": F.last(last, True).over(line)})
     loose = F.when(F.col("listed"), "list").when(F.col("opened").isin("table", "html"), F.col("opened")).when((F.col("indent") >= 4) & F.col("first"), "indented").otherwise("paragraph")
-    rows = rows.withColumn("kind", F.when(F.col("blank"), F.lit(None)).otherwise(F.coalesce("opens", loose)))
-    # set-in code goes on line by line
-    head = F.last(F.when(F.col("cut"), F.coalesce("kind", F.lit(""))), True).over(line)
-    rows = rows.withColumn("head", head).where("kind is not null")
+    rows = rows.withColumn("kind", F.coalesce("opens", loose))
+    # set-in code goes on line by line, unless a blank one is before it
+    rows = rows.withColumn("head", F.last(F.when(F.col("cut"), F.col("kind")).when(F.col("first"), ""), True).over(line))
     shown = rows.withColumn("kind", F.when((F.col("kind") == "paragraph") & (F.col("indent") >= 4) & (F.col("head") == "indented"), "indented").otherwise(F.col("kind")))
     shown = shown.withColumn("line_below", (F.col("kind") == "paragraph") & ~F.col("first") & sees("=-", r"^ {0,3}(?:=+|-+) *$"))
     before = lambda c, n=1: F.lag(c, n).over(line)
@@ -157,29 +158,40 @@ def _islands(rows: DataFrame, key: str) -> DataFrame:
     return shown.select(key, "block", "kind", "pos", "line", "indent", "last")
 
 
-def _listed(rows: DataFrame, key: str) -> DataFrame:
-    """Lines of lists as they are shown: two blanks a level, a dash, or numbers that go on from the first of their level; other
-    lines as they are."""
-    line = Window.partitionBy(key, "block").orderBy("pos")
+def _listed(blocks: DataFrame) -> DataFrame:
+    """``blocks`` with listed: the lines of lists as they are shown, two blanks a level, a dash, or numbers that go on from the
+    first of their level; null for other blocks. Lines are counted ``PART`` at a time, so that long lists are not copied for each."""
     inside = F.col("kind") == "list"
-    rows = rows.withColumn("mark", F.when(inside, F.regexp_extract("line", _ITEM, 2)).otherwise(""))
-    item, numbered = F.col("mark") != "", F.col("mark").rlike(r"^\d")
-    rows = rows.withColumn("line", F.when(item, F.regexp_extract("line", _ITEM, 3)).when(inside, F.trim("line")).otherwise(F.col("line")))
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    indents = F.array_sort(F.collect_set(F.when(item, F.col("indent"))).over(whole))
-    rows = rows.withColumn("level", F.when(item, F.least(F.lit(LEVELS - 1), F.array_position(indents, F.col("indent")).cast("int") - 1)))
-    rows = rows.withColumn("level", F.coalesce("level", F.last("level", True).over(line), F.lit(0)))
-    # items of a level belong together until one of a higher level comes
-    lower = F.array(*(F.count_if(item & (F.col("level") < k)).over(line) for k in range(LEVELS)))
-    rows = rows.withColumn("run", F.element_at(lower, F.col("level") + 1))
-    own = Window.partitionBy(key, "block", "level", "run").orderBy("pos")
-    # a cast that fails costs an exception, even a tried one
-    start = F.first(F.when(numbered, F.regexp_extract("mark", r"^\d+", 0).cast("int")), True).over(own)
-    rows = rows.withColumn("number", start + F.count_if(item).over(own) - 1)
-    pad = F.repeat(F.lit("  "), F.col("level"))
-    bullet = F.when(numbered, F.concat(F.col("number").cast("string"), F.lit(". "))).otherwise("- ")
-    shown = F.concat(pad, F.when(item, bullet).otherwise("  "), inline(F.col("line")))
-    return rows.select(key, "block", "kind", "pos", F.when(inside, shown).otherwise(F.col("line")).alias("line"), "last")
+    read = lambda x: F.struct(x["indent"].alias("indent"), F.regexp_extract(x["line"], _ITEM, 2).alias("mark"), F.regexp_extract(x["line"], _ITEM, 3).alias("rest"), x["line"].alias("line"))
+    blocks = blocks.withColumn("items", F.when(inside, F.transform("ls", read)))
+    blocks = blocks.withColumn("indents", F.when(inside, F.sort_array(F.array_distinct(F.transform(F.filter("items", lambda x: x["mark"] != ""), lambda x: x["indent"])))))
+
+    def placed(x: Column) -> Column:
+        level = F.least(F.lit(LEVELS - 1), F.array_position("indents", x["indent"]).cast("int") - 1)
+        first = F.when(x["mark"].rlike(r"^\d"), F.regexp_extract(x["mark"], r"^\d+", 0).cast("int"))
+        return F.struct(F.when(x["mark"] != "", level).alias("level"), first.alias("first"), F.when(x["mark"] != "", x["rest"]).otherwise(F.trim(x["line"])).alias("text"))
+
+    blocks = blocks.withColumn("items", F.when(inside, F.transform("items", placed)))
+    state = lambda level, counts, starts, out: F.struct(level.alias("level"), counts.alias("counts"), starts.alias("starts"), out.alias("out"))
+
+    def step(at: Column, x: Column) -> Column:
+        # items of a level belong together until one of a higher level comes
+        level = x["level"]
+        counts = F.transform(at["counts"], lambda n, k: F.when(k < level, n).when(k == level, n + 1).otherwise(0))
+        starts = F.transform(at["starts"], lambda n, k: F.when(k < level, n).when(k == level, F.coalesce(n, x["first"])))
+        number = F.coalesce(F.get(at["starts"], level), x["first"]) + F.get(at["counts"], level)
+        shown = lambda level, number: F.concat(at["out"], F.array(F.struct(level.alias("level"), number.alias("number"))))
+        return F.when(level.isNull(), state(at["level"], at["counts"], at["starts"], shown(at["level"], F.lit(None).cast("int")))).otherwise(state(level, counts, starts, shown(level, number)))
+
+    none = F.array().cast("array<struct<level:int,number:int>>")
+    start = state(F.lit(0), F.array_repeat(F.lit(0), LEVELS), F.array_repeat(F.lit(None).cast("int"), LEVELS), none)
+    again = lambda at: state(at["level"], at["counts"], at["starts"], none)
+    part = lambda done, k: F.concat(done, F.array(F.aggregate(F.slice("items", k * PART + 1, PART), again(F.element_at(done, -1)), step)))
+    parts = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("items") - 1) / PART).cast("int")), F.array(start), part)
+    blocks = blocks.withColumn("places", F.when(inside, F.flatten(F.transform(parts, lambda p: p["out"]))))
+    bullet = lambda x, at: F.when(x["level"].isNull(), "  ").when(x["first"].isNotNull(), F.concat(at["number"].cast("string"), F.lit(". "))).otherwise("- ")
+    shown = F.zip_with("items", "places", lambda x, at: F.concat(F.repeat(F.lit("  "), at["level"]), bullet(x, at), inline(x["text"])))
+    return blocks.withColumn("listed", F.when(inside, shown))
 
 
 def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -189,8 +201,9 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Null and blank texts have no blocks; fences that are not closed run to the end. Known departures from a full grammar: code
     inside list items stays lines of the list, lazy lines of quotes end them, references to links are not resolved."""
-    rows = _listed(_islands(_fenced(_lines(docs, key, text), key), key), key)
-    blocks = rows.groupBy(key, "block", "kind").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("ls"), F.max("last").alias("last"))
+    rows = _islands(_fenced(_lines(docs, key, text), key), key)
+    blocks = rows.groupBy(key, "block", "kind").agg(F.sort_array(F.collect_list(F.struct("pos", "line", "indent"))).alias("ls"), F.max("last").alias("last"))
+    blocks = _listed(blocks)
     lines = F.col("ls.line")
     n = F.size("ls")
     body = F.slice("ls", 2, F.greatest(n - F.when(F.element_at("ls", -1)["pos"] == F.col("last"), 2).otherwise(1), F.lit(0)))["line"]
@@ -208,7 +221,7 @@ def markdown_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
         F.when(F.col("kind") == "fence", strip(F.array_join(body, "\n")))
         .when(F.col("kind") == "indented", strip(F.array_join(F.transform(lines, lambda x: F.substring(x, F.lit(5), F.length(x))), "\n")))
         .when(F.col("kind") == "table", F.array_join(cells, "\n"))
-        .when(F.col("kind") == "list", F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
+        .when(F.col("kind") == "list", F.array_join(F.transform("listed", lambda x: F.regexp_replace(x, r"\s+$", "")), "\n"))
         .when(F.col("kind") == "html", F.trim(F.regexp_replace(F.regexp_replace(joined, "<[^>]+>", " "), r"\s+", " ")))
         .when(F.col("kind") == "paragraph", F.trim(inline(joined)))
     )

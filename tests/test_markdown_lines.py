@@ -38,3 +38,10 @@ def test_fences_of_a_text_without_key(spark):
         got.setdefault(r.id, []).append((r.kind, r.language, r.text))
     want = [("prose", "", "a"), ("code", "x", "in"), ("prose", "", "out"), ("code", "", "b"), ("code", "py", "c")]
     assert got == {None: want, 2: want}
+
+
+def test_long_lists_go_on_over_their_parts(spark):
+    n = 3 * markdown.PART + 5
+    text = "\n".join(f"{7 if i == 0 else 1}. x{i}\n   - y\n     more" for i in range(n))
+    (got,) = markdown.markdown_blocks(spark.createDataFrame([(1, text)], "id int, md string"), "id", "md").collect()
+    assert got.text == "\n".join(f"{7 + i}. x{i}\n  - y\n    more" for i in range(n))
