@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.providers import EmbeddingProvider
 from ..functions.text import cosine_distance
 
 
@@ -348,6 +349,11 @@ def fit_groups(lengths: list[int], distances: list[float], breaks: list[bool], s
 MOST_SENTENCES, LEAST_DISTANCES = 5000, 3
 
 
+def _fitting_sentences(text: str, size: int) -> list[str]:
+    """Sentences of one block; one that is longer than ``size`` is cut as long prose is."""
+    return [p for s, _ in split_sentences(re.sub(r"\n\s*\n", "\n", text)) for p in ([s] if len(s) <= size else [x.text for x in prose_parts(s, size, 0)])]
+
+
 def semantic_runs(blocks: DataFrame, document: str, size: int) -> DataFrame:
     """``blocks``: document, ordinal, heading, kind, text. Every sentence of the prose with its place: document, run, pos (in the
     document), sentence, begins (a paragraph). A run is a stretch of prose under one heading: it ends at other kinds of
@@ -357,7 +363,7 @@ def semantic_runs(blocks: DataFrame, document: str, size: int) -> DataFrame:
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
-                pieces = [p for s, _ in split_sentences(re.sub(r"\n\s*\n", "\n", text)) for p in ([s] if len(s) <= size else [x.text for x in prose_parts(s, size, 0)])]
+                pieces = _fitting_sentences(text, size)
                 at += [i] * len(pieces)
                 rows += [(k, p, k == 0) for k, p in enumerate(pieces)]
             columns = list(zip(*rows)) if rows else [()] * 3
@@ -383,9 +389,16 @@ def segments(blocks: DataFrame, document: str) -> DataFrame:
     return rows.withColumn("__fresh", fresh).withColumn("segment", F.sum("__fresh").over(line)).drop("__mark", "__fresh")
 
 
+def _pair_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosine distance of each row of ``x`` to that of ``y``. Products are added one after the other, as ``cosine_distance``
+    does, so both give the same bits."""
+    dot = lambda p, q: np.cumsum(p * q, axis=1)[:, -1] if p.shape[1] else np.zeros(len(p))
+    d = np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))
+    return np.maximum(0.0, 1 - np.divide(dot(x, y), d, out=np.zeros(len(d)), where=d != 0))
+
+
 def _distances():
-    """Cosine distance of two columns of vectors, null where either is, for batches of rows. Products are added one after the
-    other, as ``cosine_distance`` does, so both give the same bits."""
+    """Cosine distance of two columns of vectors, null where either is, for batches of rows."""
 
     @F.arrow_udf("double")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -395,14 +408,70 @@ def _distances():
         for w in np.unique(sizes[0][there]).tolist():
             at = np.flatnonzero(there & (sizes[0] == w) & (sizes[1] == w))
             x, y = (c.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), w) for c in (a, b))
-            dot = lambda p, q: np.cumsum(p * q, axis=1)[:, -1] if w else np.zeros(len(at))
-            d = np.sqrt(dot(x, x)) * np.sqrt(dot(y, y))
-            out[at] = np.maximum(0.0, 1 - np.divide(dot(x, y), d, out=np.zeros(len(at)), where=d != 0))
+            out[at] = _pair_distances(x, y)
         return pa.array(out, mask=~there)
 
     return distance
 
 
+def _fallback() -> Column:
+    """Why a document (sentences, bare, pairs) is packed by size alone."""
+    return (
+        F.when(F.col("sentences") > MOST_SENTENCES, "too_many_sentences")
+        .when(F.col("sentences") < 2, "too_short")
+        .when(F.col("bare") > 0, "error")
+        .when(F.col("pairs") < LEAST_DISTANCES, "too_short")
+    )
+
+
+#: Documents that are held as Python objects at once, and sentences whose vectors are.
+FOLDED, EMBEDDED = 100, 2000
+_SAID = pa.list_(pa.struct([("run", pa.int64()), ("sentence", pa.string()), ("begins", pa.bool_()), ("distance", pa.float64())]))
+
+
+def _said(provider: EmbeddingProvider, size: int):
+    """Of documents as arrays of segments and of prose (null for other blocks): run, sentence, begins, distance to the next sentence
+    of the run by the provider's vectors as floats. Vectors stay here."""
+
+    def told(segments: list[list[int]], texts: list[list[str | None]]) -> pa.Array:
+        rows = [(i, n, p, k == 0) for i, own in enumerate(zip(segments, texts)) for n, t in zip(*own) if t is not None for k, p in enumerate(_fitting_sentences(t, size))]
+        apart = np.zeros(max(0, len(rows) - 1))
+        for a in range(0, len(apart), EMBEDDED):
+            v = np.array(provider.embed([r[2] for r in rows[a : a + EMBEDDED + 1]], False), np.float32).astype(float)
+            apart[a : a + EMBEDDED] = _pair_distances(v[:-1], v[1:])
+        out: list[list[tuple]] = [[] for _ in segments]
+        for (i, n, p, begins), after, d in zip(rows, [*rows[1:], (None, None)], [*apart.tolist(), None]):
+            out[i].append((n, p, begins, d if after[:2] == (i, n) else None))
+        return pa.array(out, _SAID)
+
+    @F.arrow_udf("array<struct<run:bigint,sentence:string,begins:boolean,distance:double>>")
+    def said(segments: pa.Array, texts: pa.Array) -> pa.Array:
+        parts = [told(segments.slice(a, FOLDED).to_pylist(), texts.slice(a, FOLDED).to_pylist()) for a in range(0, len(texts), FOLDED)]
+        return pa.concat_arrays(parts) if parts else pa.array([], _SAID)
+
+    return said
+
+
+def listed_threshold(distances: Column, method: str, value: float) -> Column:
+    """``breakpoint_threshold`` of an array of distances without nulls; null for an empty one."""
+    line, n = F.array_sort(distances), F.size(distances)
+
+    def percentile(p: float) -> Column:
+        at = (n - 1) * F.lit(p)
+        low, high = (F.get(line, f(at).cast("int")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    if method == "percentile":
+        return percentile(value / 100.0)
+    if method == "stddev":
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
+        mean = total(distances) / F.nullif(n, F.lit(0))
+        return mean + value * F.sqrt(total(F.transform(distances, lambda x: (x - mean) * (x - mean))) / F.nullif(n, F.lit(0)))
+    if method == "iqr":
+        return percentile(0.75) + value * (percentile(0.75) - percentile(0.25))
+    raise ValueError(f"unknown method {method}")
+
+
 def semantic_plan(sentences: DataFrame, document: str, method: str = "percentile", value: float = 95.0) -> tuple[DataFrame, DataFrame]:
     """``sentences``: those of ``semantic_runs`` with a column vector. Returns them with the distance to the next one of their run
     in place of the vector, and for each document: sentences, threshold (one for all its runs), breakpoints, fallback: the
@@ -417,13 +486,7 @@ def semantic_plan(sentences: DataFrame, document: str, method: str = "percentile
         F.count_if("bare").alias("bare"),
         breakpoint_threshold(F.col("distance"), method, value).alias("threshold"),
     )
-    reason = (
-        F.when(F.col("sentences") > MOST_SENTENCES, "too_many_sentences")
-        .when(F.col("sentences") < 2, "too_short")
-        .when(F.col("bare") > 0, "error")
-        .when(F.col("pairs") < LEAST_DISTANCES, "too_short")
-    )
-    stats = by.withColumn("fallback", reason).withColumn("threshold", F.when(F.col("fallback").isNull(), F.col("threshold"))).drop("pairs", "bare")
+    stats = by.withColumn("fallback", _fallback()).withColumn("threshold", F.when(F.col("fallback").isNull(), F.col("threshold"))).drop("pairs", "bare")
     breaks = rows.join(stats, document).groupBy(document).agg(F.count_if(F.col("distance") > F.col("threshold")).alias("breakpoints"))
     return rows.drop("bare", "last"), stats.join(breaks, document).select(document, "sentences", "breakpoints", "threshold", "fallback")
 
@@ -437,6 +500,25 @@ def semantic_pack(blocks: DataFrame, planned: DataFrame, stats: DataFrame, docum
     of = own.groupBy(document).agg(F.sort_array(F.collect_list(F.struct("b.ordinal", "segment", "b"))).alias("blocks"))
     said = planned.groupBy(document).agg(F.sort_array(F.collect_list(F.struct("pos", "run", "sentence", "begins", "distance"))).alias("said"))
     rows = of.join(stats.where("fallback is null").select(document, "threshold"), document, "left").join(said, document, "left")
+    return _folded(rows, document, options, least)
+
+
+def semantic_chunked(blocks: DataFrame, document: str, provider: EmbeddingProvider, options: ChunkOptions = ChunkOptions(), least: int = 100, method: str = "percentile", value: float = 95.0) -> DataFrame:
+    """The chunks of ``semantic_pack`` from blocks and a provider of vectors. The texts move once, to their document, and are dealt with
+    in its row from there on: sentences and vectors are neither shuffled nor written."""
+    language = F.col("language") if "language" in blocks.columns else F.lit("").alias("language")
+    b = F.struct(F.col("ordinal").cast("int").alias("ordinal"), "segment", F.struct(F.col("ordinal").cast("int").alias("ordinal"), "heading", "kind", "text", language).alias("b"))
+    of = segments(blocks, document).groupBy(document).agg(F.sort_array(F.collect_list(b)).alias("blocks"))
+    prose = F.transform("blocks", lambda x: F.when(x["b"]["kind"] == "prose", x["b"]["text"]))
+    rows = of.withColumn("said", _said(provider, options.size)(F.col("blocks.segment"), prose))
+    rows = rows.withColumn("distances", F.filter("said.distance", lambda d: d.isNotNull()))
+    rows = rows.withColumns({"sentences": F.size("said"), "pairs": F.size("distances"), "bare": F.lit(0)})
+    limit = F.when(_fallback().isNull(), listed_threshold(F.col("distances"), method, value))
+    return _folded(rows.withColumn("threshold", limit), document, options, least)
+
+
+def _folded(rows: DataFrame, document: str, options: ChunkOptions, least: int) -> DataFrame:
+    """``rows``: document, blocks (segment, b), threshold (null: packed by size), said (run, sentence, begins, distance), in order."""
 
     def cut_run(run: list[dict], heading: str, threshold: float) -> list[tuple]:
         distances = [s["distance"] or 0.0 for s in run[:-1]]
@@ -449,7 +531,7 @@ def semantic_pack(blocks: DataFrame, planned: DataFrame, stats: DataFrame, docum
         return [(c["heading"], c["kind"], c["language"], c["text"], c["overlap"]) for c in pack_blocks(found, options)]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, FOLDED) for b in batches for a in range(0, b.num_rows, FOLDED)):
             for i, (held, threshold, sentences) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
                 out: list[tuple] = []
                 if threshold is None:
@@ -470,7 +552,7 @@ def semantic_pack(blocks: DataFrame, planned: DataFrame, stats: DataFrame, docum
                 kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(out), pa.int64())), pa.array(range(len(out)), pa.int32()), *(pa.array(c, k) for c, k in zip(columns, kinds))], [document, "ordinal", "heading", "kind", "language", "content", "overlap"])
 
-    kind = dict(blocks.dtypes)[document]
+    kind = dict(rows.dtypes)[document]
     return rows.select(document, "blocks", "threshold", "said").mapInArrow(fold, f"{document} {kind}, ordinal int, heading string, kind string, language string, content string, overlap int")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, retrieve
-from ..session import written
 from .registry import query, table
 
 CASES_SQL = """
@@ -112,14 +111,10 @@ def feedback_budget(spark, sf_dir):
 @query()
 def semantic_pack(spark, sf_dir):
     """Documents as blocks (every third paragraph with digits is code) in semantic chunks by hashed vectors of sentences."""
-    from ..functions.providers import HashEmbedding, embedding_udf
+    from ..functions.providers import HashEmbedding
     from ..operators import chunk
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunk.paragraphs(F.regexp_replace("text", "\n", "\n\n"))).alias("ordinal", "text"))
     kind = F.when((F.col("ordinal") % 3 == 2) & F.col("text").rlike("[0-9]"), "code").otherwise("prose")
     blocks = docs.select("doc_id", "ordinal", F.concat(F.lit("part "), F.floor(F.col("ordinal") / 8).cast("string")).alias("heading"), kind.alias("kind"), "text", F.lit("").alias("language"))
-    options = chunk.ChunkOptions(600, 0)
-    sentences = chunk.semantic_runs(blocks, "doc_id", options.size)
-    embedded = sentences.withColumn("vector", embedding_udf(HashEmbedding())(F.col("sentence")).cast("array<double>"))
-    planned, stats = chunk.semantic_plan(written(embedded, "sentences"), "doc_id")
-    return chunk.semantic_pack(blocks, planned, stats, "doc_id", options)
+    return chunk.semantic_chunked(blocks, "doc_id", HashEmbedding(), chunk.ChunkOptions(600, 0))
